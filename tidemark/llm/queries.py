@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from tidemark.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from tidemark.llm.quality import op4_quality_rules
+from tidemark.llm.suffix_dedup import op1_suffix_dedup
 from tidemark.llm.url_filter import OP9_SQL, op9_url_filter
 from tidemark.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_quality_rules": op4_quality_rules,
     "op7_warc": op7_warc,
     "op9_url_filter": op9_url_filter,
 }
