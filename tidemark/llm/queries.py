@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tidemark.llm.exact_dedup import OP2_SQL, op2_exact_dedup
+from tidemark.llm.jaccard import op6_ngram_jaccard
 from tidemark.llm.quality import op4_quality_rules
 from tidemark.llm.suffix_dedup import op1_suffix_dedup
 from tidemark.llm.url_filter import OP9_SQL, op9_url_filter
@@ -12,6 +13,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_warc": op7_warc,
     "op9_url_filter": op9_url_filter,
 }
