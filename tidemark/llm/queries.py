@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from tidemark.llm.jaccard import op6_ngram_jaccard
+from tidemark.llm.ngram_lm import op10_lm_scoring
 from tidemark.llm.quality import op4_quality_rules
 from tidemark.llm.suffix_dedup import op1_suffix_dedup
 from tidemark.llm.url_filter import OP9_SQL, op9_url_filter
@@ -16,5 +17,6 @@ QUERIES = {
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_warc": op7_warc,
     "op9_url_filter": op9_url_filter,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 SQL = {"op2_exact_dedup": OP2_SQL, "op7_warc": OP7_SQL, "op9_url_filter": OP9_SQL}
