@@ -5,6 +5,8 @@ from __future__ import annotations
 from tidemark.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from tidemark.llm.jaccard import op6_ngram_jaccard
 from tidemark.llm.ngram_lm import op10_lm_scoring
+from tidemark.llm.pieces_codec import op3_sentencepiece
+from tidemark.llm.pii import op8_pii
 from tidemark.llm.quality import op4_quality_rules
 from tidemark.llm.suffix_dedup import op1_suffix_dedup
 from tidemark.llm.url_filter import OP9_SQL, op9_url_filter
@@ -13,9 +15,11 @@ from tidemark.llm.warc import OP7_SQL, op7_warc
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_quality_rules": op4_quality_rules,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_warc": op7_warc,
+    "op8_pii": op8_pii,
     "op9_url_filter": op9_url_filter,
     "op10_lm_scoring": op10_lm_scoring,
 }
