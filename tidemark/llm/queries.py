@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tidemark.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from tidemark.llm.jaccard import op6_ngram_jaccard
+from tidemark.llm.mixing import op5_source_mixing
 from tidemark.llm.ngram_lm import op10_lm_scoring
 from tidemark.llm.pieces_codec import op3_sentencepiece
 from tidemark.llm.pii import op8_pii
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_quality_rules": op4_quality_rules,
+    "op5_source_mixing": op5_source_mixing,
     "op6_ngram_jaccard": op6_ngram_jaccard,
     "op7_warc": op7_warc,
     "op8_pii": op8_pii,
