@@ -1 +1,166 @@
-"""Queries over labels, splits and backtests."""
+"""Queries over labels, splits and metrics."""
+
+from __future__ import annotations
+
+from itertools import combinations
+
+from pyspark.sql import functions as F
+
+from tidemark.functions.windows import pct_change
+from tidemark.operators import features as X
+from tidemark.operators import labels as L
+from tidemark.operators import metrics as M
+from tidemark.operators import splits as V
+from tidemark.plans.bar_queries import KEYS, O, full, on_bars
+from tidemark.plans.registry import BARS, H1, register
+from tidemark.sources import bars as B
+
+RN = f"numbered AS MATERIALIZED (SELECT *, row_number() OVER ({O}) AS rn, close / lag(close) OVER ({O}) - 1 AS r FROM bars)"
+VOL = f"vols AS MATERIALIZED (SELECT *, {full('stddev_samp(r)', 'r', 48)} AS v FROM numbered)"
+HORIZONS, MULTIPLES = (12, 48), (1.0, 2.0)
+
+
+def touched(df):
+    """Barriers in price units: volatility of returns times the close."""
+    vol = F.col("close") * L.std(F.col("_r"), 48) / 10
+    return L.first_touch(L.barrier_events(df, HORIZONS, vol=vol), HORIZONS, MULTIPLES, 0.01)
+
+
+register("barrier_events", on_bars(L.barrier_events, horizons=HORIZONS, vol_window=48), (*KEYS, "t1"), ("pt_dist", "sl_dist"), f"SELECT symbol, time, lead(time, 48) OVER ({O}) AS t1, 2 * v AS pt_dist, 2 * v AS sl_dist FROM vols", (BARS, RN, VOL))
+_HITS = [(s, m, h) for m in MULTIPLES for h in HORIZONS for s in ("long", "short")]
+
+
+def _touch(side: str, m: float, h: int) -> str:
+    target, stop = (f"b.high >= a.close + {m} * d + 0.01", "b.low <= a.close - d") if side == "long" else (f"b.low <= a.close - ({m} * d + 0.01)", "b.high >= a.close + d")
+    tie = "<=" if side == "long" else "<"
+    pt, sl = (f"min(b.rn) FILTER (b.rn <= a.rn + {h} AND {x})" for x in (target, stop))
+    return f"coalesce((count(*) FILTER (b.rn <= a.rn + {h}) = {h} AND {pt} IS NOT NULL AND ({sl} IS NULL OR {pt} {tie} {sl}))::INT, 0)::TINYINT AS {side}_hit_{m:g}R_h{h}"
+
+
+register("first_touch_labels", on_bars(touched), (*KEYS, *(f"{s}_hit_{m:g}R_h{h}" for s, m, h in _HITS)), (), f"SELECT a.symbol, a.time, {', '.join(_touch(*x) for x in _HITS)} FROM (SELECT *, 2 * (close * v / 10) AS d FROM vols) a LEFT JOIN vols b ON a.symbol = b.symbol AND b.rn > a.rn AND b.rn <= a.rn + 48 GROUP BY a.symbol, a.time", (BARS, RN, VOL))
+SCAN = """scans AS MATERIALIZED (
+  SELECT symbol, time, arg_max(struct_pack(e := et, n := n, t := t, r := last / first - 1), (abs(t), -n)) AS b FROM (
+    SELECT e.symbol, e.time, e.close AS first, p.time AS et, p.close AS last, p.rn - e.rn + 1 AS n,
+      (p2.sky - (p2.sy * (p.rn - e.rn) / 2)) / p2.skk / (sqrt(greatest(p2.vyy - pow((p2.sky - (p2.sy * (p.rn - e.rn) / 2)), 2) / p2.skk, 0) / (p.rn - e.rn - 1) / p2.skk) + 1e-8) AS t
+    FROM numbered e JOIN numbered p ON p.symbol = e.symbol AND p.rn BETWEEN e.rn + 4 AND e.rn + 38 JOIN LATERAL (
+      SELECT sum((q.rn - e.rn) * (q.close - e.close)) AS sky, sum(q.close - e.close) AS sy, sum(pow(q.rn - e.rn - (p.rn - e.rn) / 2, 2)) AS skk, count(*) * var_pop(q.close) AS vyy
+      FROM numbered q WHERE q.symbol = e.symbol AND q.rn BETWEEN e.rn AND p.rn) p2 ON true
+    WHERE (e.rn - 1) % 24 = 0 AND e.rn + 39 <= (SELECT max(rn) FROM numbered z WHERE z.symbol = e.symbol)) GROUP BY ALL)"""
+register("trend_scan", on_bars(L.trend_scan, window=40, every=24), (*KEYS, "t1", "length", "bin"), ("t_value", "ret"), "SELECT symbol, time, b.e AS t1, b.n::INT AS length, sign(b.t)::INT AS bin, b.t AS t_value, b.r AS ret FROM scans", (BARS, RN, SCAN), digits=5)
+register("strong_trends", on_bars(lambda df: L.strong_trends(L.trend_scan(df, window=40, every=24))), (*KEYS, "side"), ("t_value",), "SELECT symbol, time, sign(b.t)::INT AS side, b.t AS t_value FROM scans QUALIFY abs(b.t) >= quantile_cont(abs(b.t), 0.8) OVER (PARTITION BY symbol)", (BARS, RN, SCAN), digits=5)
+register("vertical_barrier", on_bars(lambda df: L.vertical_barrier(df.select(*KEYS), df)), (*KEYS, "vertical"), (), "SELECT a.symbol, a.time, b.time AS vertical FROM (SELECT symbol, time, time + INTERVAL 5 DAY AS due FROM bars) a ASOF LEFT JOIN bars b ON a.symbol = b.symbol AND a.due <= b.time")
+register("daily_change", on_bars(L.daily_change), KEYS, ("day_ret",), "SELECT a.symbol, a.time, a.close / b.close - 1 AS day_ret FROM (SELECT *, time - INTERVAL 1 DAY AS due FROM bars) a ASOF LEFT JOIN bars b ON a.symbol = b.symbol AND a.due >= b.time", (BARS,))
+
+
+def events_with_side(df):
+    scored = X.returns(df).withColumn("trgt", L.std(F.col("ret"), 48)).withColumn("side", F.when(F.col("close") > F.col("open"), 1).otherwise(-1))
+    return L.barrier_labels(scored.filter("trgt IS NOT NULL"), 24, 1.5, 1.0)
+
+
+_MOVE = "(b.close / a.close - 1) * a.side"
+EVENTS = f"""events_with_side AS MATERIALIZED (SELECT symbol, time, close, rn, v AS trgt, CASE WHEN close > open THEN 1 ELSE -1 END AS side FROM vols WHERE v IS NOT NULL),
+paths AS MATERIALIZED (SELECT a.symbol, a.time, a.side, b.rn, b.time AS bt, {_MOVE} AS m, CASE WHEN {_MOVE} >= 1.5 * a.trgt THEN 1 WHEN {_MOVE} <= -a.trgt THEN -1 ELSE 0 END AS k
+  FROM events_with_side a JOIN events_with_side b ON a.symbol = b.symbol AND b.rn BETWEEN a.rn + 1 AND a.rn + 24),
+barrier_rows AS MATERIALIZED (SELECT symbol, time, side, coalesce(arg_min(bt, rn) FILTER (k <> 0), max(bt)) AS t1, coalesce(arg_min(k, rn) FILTER (k <> 0), 0) AS bin, coalesce(arg_min(m, rn) FILTER (k <> 0), arg_max(m, rn)) AS ret FROM paths GROUP BY ALL)"""
+register("barrier_labels", on_bars(events_with_side), (*KEYS, "side", "t1", "bin"), ("ret",), "SELECT symbol, time, side, t1, bin, ret FROM barrier_rows", (BARS, RN, VOL, EVENTS))
+register("short_recode", on_bars(lambda df: L.short_recode(events_with_side(df))), (*KEYS, "bin"), (), "SELECT symbol, time, CASE WHEN side < 0 THEN -sign(ret)::INT ELSE bin END AS bin FROM barrier_rows", (BARS, RN, VOL, EVENTS))
+register("binary_meta_label", on_bars(lambda df: events_with_side(df).withColumn("prediction", (F.minute("time") % 10 == 0).cast("int")).withColumn("meta", L.binary_meta_label(F.col("prediction"), F.col("bin")))), (*KEYS, "meta"), (), "SELECT symbol, time, (minute(time) % 10 = 0 AND bin > 0)::INT AS meta FROM barrier_rows", (BARS, RN, VOL, EVENTS))
+register("sample_weights", on_bars(L.sample_weights), KEYS, ("weight",), "SELECT symbol, time, 1.0 AS weight FROM bars")
+P = ("p0", "p1", "p2")
+_PROB = "SELECT symbol, time, volume, close, open, (7 + volume % 13) / (30 + volume % 13 + high % 1 + low % 1) AS p0, (8 + high % 1) / (30 + volume % 13 + high % 1 + low % 1) AS p1, (15 + low % 1) / (30 + volume % 13 + high % 1 + low % 1) AS p2 FROM bars"
+
+
+def probabilities(df):
+    """Deterministic pseudo-probabilities of three classes from the bars' own numbers."""
+    a, b, c = F.col("volume") % 13, F.col("high") % 1, F.col("low") % 1
+    total = 30 + a + b + c
+    return df.withColumn("p0", (7 + a) / total).withColumn("p1", (8 + b) / total).withColumn("p2", (15 + c) / total)
+
+
+register("agreement_features", on_bars(lambda df: L.agreement(probabilities(df), P)), KEYS, ("p_mean", "p_max", "p_min", "p_var", "p_std"), f"SELECT symbol, time, (p0 + p1 + p2) / 3 AS p_mean, greatest(p0, p1, p2) AS p_max, least(p0, p1, p2) AS p_min, list_var_samp([p0, p1, p2]) AS p_var, list_stddev_samp([p0, p1, p2]) AS p_std FROM ({_PROB})")
+register("confidence_features", on_bars(lambda df: L.confidence(probabilities(df), P)), KEYS, ("top1", "top2", "spread", "entropy"), f"SELECT symbol, time, s[1] AS top1, s[2] AS top2, s[1] - s[2] AS spread, -list_sum(list_transform(s, lambda p: p / list_sum(s) * ln(p / list_sum(s) + 1e-12))) / ln(3) AS entropy FROM (SELECT *, list_reverse_sort([p0, p1, p2]) AS s FROM ({_PROB}))")
+register("meta_rules", on_bars(lambda df: L.meta_rules(L.confidence(probabilities(df), P).withColumn("top1", F.col("top1") + 0.25).withColumn("volatility_regime", (F.col("volume") % 4).cast("int")))), (*KEYS, "trade_quality", "entry_timing", "risk"), ("position_size",), f"""
+SELECT symbol, time, q AS trade_quality, CASE WHEN g >= 0.25 THEN 2 WHEN g < 0.10 THEN 0 ELSE 1 END AS entry_timing, least(2, (volume % 4)::INT) AS risk, [0.0, 1.0, 1.5, 2.5][q + 1] AS position_size
+FROM (SELECT *, CASE WHEN t >= 0.80 AND g >= 0.25 THEN 3 WHEN t >= 0.65 AND g >= 0.15 THEN 2 WHEN t >= 0.55 THEN 1 ELSE 0 END AS q FROM (SELECT *, s[1] + 0.25 AS t, s[1] - s[2] AS g FROM (SELECT *, list_reverse_sort([p0, p1, p2]) AS s FROM ({_PROB}))))""")
+register("sequence_windows", on_bars(lambda df: L.sequence_windows(df, ["open", "close"], 10, 8).select(*KEYS, "batch", F.size("sequence").alias("steps"), F.element_at(F.element_at("sequence", 1), 1).alias("first_open"), F.element_at(F.element_at("sequence", -1), 2).alias("last_close"))), (*KEYS, "batch", "steps"), ("first_open", "last_close"), f"SELECT symbol, time, (rn - 10) // 8 AS batch, 10 AS steps, lag(open, 9) OVER ({O}) AS first_open, close AS last_close FROM numbered QUALIFY rn >= 10", (BARS, RN))
+
+# splits -------------------------------------------------------------------------------------------------------------
+SPLIT = ("symbol", "split", "role", "row")
+BASE = "base AS MATERIALIZED (SELECT *, rn - 1 AS row, count(*) OVER (PARTITION BY symbol) AS n, coalesce(lead(time, 12) OVER (PARTITION BY symbol ORDER BY time), time) AS t1, sign(close - open)::INT AS label FROM numbered)"
+
+
+def sampled(df):
+    """Bars with t1, twelve bars on, and a class."""
+    t1 = F.coalesce(F.lead("time", 12).over(L.order()), F.col("time"))
+    return df.withColumn("t1", t1).withColumn("label", F.signum(F.col("close") - F.col("open")).cast("int"))
+
+
+register("split_walk_forward", on_bars(V.walk_forward, train=480, embargo=48, test=120, step=96), SPLIT, (), """
+SELECT symbol, k AS split, role, row FROM (SELECT *, unnest(generate_series(0, (n - 648) // 96)) AS k FROM base WHERE n >= 648) JOIN (VALUES ('train', 0, 480), ('test', 528, 648)) v(role, a, b) ON row >= k * 96 + a AND row < k * 96 + b""", (BARS, RN, BASE))
+register("split_expanding", on_bars(V.expanding, splits=5), SPLIT, (), "SELECT symbol, k::INT AS split, CASE WHEN row < n - (5 - k) * (n // 6) THEN 'train' ELSE 'test' END AS role, row FROM (SELECT *, unnest(generate_series(0, 4)) AS k FROM base) WHERE row < n - (4 - k) * (n // 6)", (BARS, RN, BASE))
+register("split_tail", on_bars(V.tail_split), SPLIT, (), "SELECT symbol, 0 AS split, CASE WHEN row < floor(n * 0.8) THEN 'train' ELSE 'test' END AS role, row FROM base", (BARS, RN, BASE))
+_CLEAR = "(b.t1 < s.lo OR (b.time > s.hi AND b.time >= s.hi + INTERVAL 24 HOUR))"
+
+
+def _kfold(fold: str, gate: bool = False) -> str:
+    out = f"""SELECT symbol, split, role, row FROM (
+  SELECT b.symbol, s.f AS split, CASE WHEN b.f = s.f THEN 'test' WHEN {_CLEAR} THEN 'train' END AS role, b.row, b.label FROM ({fold}) b
+  JOIN (SELECT symbol, f, min(time) AS lo, max(t1) AS hi FROM ({fold}) GROUP BY ALL) s ON b.symbol = s.symbol) x WHERE role IS NOT NULL"""
+    if gate:
+        out = f"WITH all_rows AS (SELECT x.*, b.label FROM ({out}) x JOIN base b USING (symbol, row)) SELECT symbol, split, role, row FROM all_rows a WHERE NOT EXISTS (SELECT 1 FROM all_rows t WHERE t.symbol = a.symbol AND t.split = a.split AND t.role = 'test' AND NOT EXISTS (SELECT 1 FROM all_rows u WHERE u.symbol = t.symbol AND u.split = t.split AND u.role = 'train' AND u.label = t.label))"
+    return out
+
+
+_FOLD = "SELECT *, (ntile(5) OVER (PARTITION BY symbol ORDER BY time) - 1)::INT AS f FROM base"
+_CLASSES = "SELECT *, (ntile(5) OVER (PARTITION BY symbol, label ORDER BY time) - 1)::INT AS f FROM base"
+register("split_purged_kfold", on_bars(lambda df: V.purged_kfold(sampled(df), 5)), SPLIT, (), _kfold(_FOLD), (BARS, RN, BASE))
+register("split_purged_stratified", on_bars(lambda df: V.purged_kfold(sampled(df), 5, label="label")), SPLIT, (), _kfold(_CLASSES, True), (BARS, RN, BASE))
+_CHOICES = ", ".join(f"({i}, {f})" for i, c in enumerate(combinations(range(5), 2)) for f in c)
+register("split_combinatorial", on_bars(lambda df: V.combinatorial_purged(sampled(df), 5, 2)), SPLIT, (), f"""
+WITH choices(k, f) AS (VALUES {_CHOICES}), fb AS ({_FOLD}), spans AS (SELECT symbol, k, min(time) AS lo, max(time) AS hi FROM fb JOIN choices USING (f) GROUP BY ALL)
+SELECT symbol, split, role, row FROM (SELECT b.symbol, s.k AS split, CASE WHEN (s.k, b.f) IN (SELECT (k, f) FROM choices) THEN 'test' WHEN {_CLEAR} THEN 'train' END AS role, b.row FROM fb b JOIN spans s ON b.symbol = s.symbol) WHERE role IS NOT NULL""", (BARS, RN, BASE))
+
+# metrics ------------------------------------------------------------------------------------------------------------
+EQ = f"curve AS MATERIALIZED (SELECT symbol, time, 1000 + sum(sign(close - open)) OVER ({O}) AS equity FROM bars_h1)"
+
+
+def curve(s, d):
+    move = F.sum(F.signum(F.col("close") - F.col("open"))).over(L.order())
+    return B.bars(s, d, "1 hour").select("symbol", "time", (1000 + move).alias("equity"))
+
+
+register("equity_metrics", lambda s, d: M.equity_metrics(curve(s, d)), ("symbol",), ("total_return", "sharpe", "sortino", "max_drawdown", "calmar"), f"""
+SELECT symbol, arg_max(equity, time) / arg_min(equity, time) - 1 AS total_return, sqrt(252) * avg(r) / stddev_samp(r) AS sharpe, sqrt(252) * avg(r) / stddev_samp(r) FILTER (r < 0) AS sortino, min(d) AS max_drawdown, avg(r) * 252 / abs(min(d)) AS calmar
+FROM (SELECT *, equity / lag(equity) OVER ({O}) - 1 AS r, equity / max(equity) OVER ({O}) - 1 AS d FROM curve) GROUP BY symbol""", (BARS, H1, EQ))
+
+
+def trades(s, d):
+    return B.bars(s, d, "1 hour").filter("hour(time) % 6 = 0").select("symbol", "time", (F.col("close") - F.col("open")).alias("pnl"))
+
+
+register("trade_metrics", lambda s, d: M.trade_metrics(trades(s, d)), ("symbol", "trades"), ("hit_rate", "avg_profit", "profit_factor"), "SELECT symbol, count(*) AS trades, avg((p > 0)::INT) AS hit_rate, avg(p) AS avg_profit, sum(p) FILTER (p > 0) / abs(sum(p) FILTER (p < 0)) AS profit_factor FROM (SELECT symbol, close - open AS p FROM bars_h1 WHERE hour(time) % 6 = 0) GROUP BY symbol", (BARS, H1))
+register("objective_score", lambda s, d: M.objective(M.trade_metrics(trades(s, d)).join(M.equity_metrics(curve(s, d)).select("symbol", "sharpe", "max_drawdown"), "symbol").join(trades(s, d).groupBy("symbol").agg((F.avg("pnl") / 1000).alias("avg_return"), (-F.stddev_pop("pnl") / 1000).alias("stability")), "symbol")), ("symbol", "trades"), ("score",), f"""
+SELECT symbol, trades, CASE WHEN trades < 20 THEN -10 WHEN dd > 0.08 THEN -10 - 100 * dd ELSE 0.35 * sharpe + 25 * ar + 0.2 * st + 0.15 * (1 - dd) + 0.05 * hit END AS score FROM
+(SELECT symbol, count(*) AS trades, avg((p > 0)::INT) AS hit, avg(p) / 1000 AS ar, -stddev_pop(p) / 1000 AS st FROM (SELECT symbol, close - open AS p FROM bars_h1 WHERE hour(time) % 6 = 0) GROUP BY symbol)
+JOIN (SELECT symbol, sqrt(252) * avg(r) / stddev_samp(r) AS sharpe, abs(min(d)) AS dd FROM (SELECT *, equity / lag(equity) OVER ({O}) - 1 AS r, equity / max(equity) OVER ({O}) - 1 AS d FROM curve) GROUP BY symbol) USING (symbol)""", (BARS, H1, EQ))
+CROSS = "crossed AS MATERIALIZED (SELECT symbol, time, close / lag(close) OVER (PARTITION BY symbol ORDER BY time) - 1 AS r, CASE WHEN close > open THEN 1 ELSE -1 END AS side FROM bars_h1)"
+
+
+def crossed(s, d):
+    """Hourly returns in thousandths with a side."""
+    df = B.bars(s, d, "1 hour")
+    return df.withColumn("ret", pct_change("close") / 1000).withColumn("side", F.when(F.col("close") > F.col("open"), 1).otherwise(-1))
+
+
+register("signal_backtest", lambda s, d: M.signal_backtest(crossed(s, d)), (*KEYS, "position"), ("strategy_ret", "equity"), f"SELECT symbol, time, position, sr AS strategy_ret, exp(sum(CASE WHEN 1 + sr > 0 THEN ln(1 + sr) END) OVER ({O})) AS equity FROM (SELECT *, position * coalesce(r / 1000, 0) AS sr FROM (SELECT *, coalesce(lag(side) OVER ({O}), 0) AS position FROM crossed))", (BARS, H1, CROSS), digits=5)
+register("sharpe_scores", lambda s, d: M.sharpe_score(crossed(s, d).withColumn("x", F.col("side") * F.col("ret")).filter("x IS NOT NULL"), "symbol", "x"), ("symbol",), ("hit_ratio", "sharpe", "sortino", "sharpe_clipped", "sharpe_squashed"), """
+SELECT symbol, hit_ratio, s AS sharpe, so AS sortino, greatest(0, least(1, (s + 1) / 4)) AS sharpe_clipped, (tanh(s / 2) + 1) / 2 AS sharpe_squashed FROM (SELECT symbol, avg((x > 0)::INT) AS hit_ratio, sqrt(252) * avg(x) / stddev_pop(x) AS s, sqrt(252) * avg(x) / stddev_pop(x) FILTER (x < 0) AS so FROM (SELECT symbol, side * r / 1000 AS x FROM crossed WHERE r IS NOT NULL) GROUP BY symbol)""", (BARS, H1, CROSS), digits=5)
+register("threshold_search", lambda s, d: M.threshold_search(crossed(s, d).filter("ret IS NOT NULL").withColumn("p", (F.col("volume") % 100) / 100), "symbol", "p", "ret"), ("symbol", "threshold", "n"), ("score",), """
+SELECT symbol, b.t AS threshold, b.n AS n, b.s AS score FROM (SELECT symbol, arg_max(struct_pack(t := t, n := n, s := s), (round(s, 9), -t)) AS b FROM (
+  SELECT symbol, t, count(*) AS n, coalesce(avg(r) / nullif(stddev_pop(r), 0), 0) AS s FROM (SELECT c.symbol, c.r / 1000 AS r, (volume % 100) / 100 AS p FROM crossed c JOIN bars_h1 USING (symbol, time) WHERE r IS NOT NULL) JOIN (SELECT round(0.05 + i * 0.05, 10) AS t FROM range(18) q(i)) ON t <= p GROUP BY ALL) GROUP BY symbol)""", (BARS, H1, CROSS), digits=5)
+register("classification_metrics", on_bars(lambda df: M.classification(df.withColumn("truth", F.signum(F.col("close") - F.col("open")).cast("int")).withColumn("guess", (F.col("volume") % 3).cast("int") - 1), "symbol", "truth", "guess")), ("symbol", "n"), ("accuracy", "precision", "recall", "f1_weighted"), """
+SELECT symbol, sum(su)::BIGINT AS n, sum(tp) / sum(su) AS accuracy, sum(p * su) / sum(su) AS precision, sum(r * su) / sum(su) AS recall, sum(coalesce(2 * p * r / nullif(p + r, 0), 0) * su) / sum(su) AS f1_weighted FROM (
+  SELECT symbol, c, su, tp, coalesce(tp / nullif(cl, 0), 0) AS p, tp / su AS r FROM (SELECT symbol, c, count_if(t = c) AS su, count_if(t = c AND g = c) AS tp, count_if(g = c) AS cl
+    FROM (SELECT symbol, sign(close - open)::INT AS t, (volume % 3)::INT - 1 AS g FROM bars) JOIN (VALUES (-1), (0), (1)) v(c) ON true GROUP BY ALL) WHERE su > 0) GROUP BY symbol""")
+register("ensemble_vote", on_bars(lambda df: M.ensemble_vote(probabilities(df).withColumn("day", F.to_date("time")), ["symbol", "day"], list(P))), ("symbol", "day", "vote"), P, f"SELECT symbol, day, p0, p1, p2, (list_position([p0, p1, p2], greatest(p0, p1, p2)) - 1)::INT AS vote FROM (SELECT symbol, time::DATE AS day, avg(p0) AS p0, avg(p1) AS p1, avg(p2) AS p2 FROM ({_PROB}) GROUP BY ALL)")
+register("fold_statistics", on_bars(lambda df: V.folds(df, 5).groupBy("symbol", "fold").agg(F.avg("close").alias("m")).groupBy("symbol").agg(F.count("m").alias("folds"), F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"))), ("symbol", "folds"), ("mean", "std"), "SELECT symbol, count(*) AS folds, avg(m) AS mean, stddev_pop(m) AS std FROM (SELECT symbol, f, avg(close) AS m FROM (SELECT *, ntile(5) OVER (PARTITION BY symbol ORDER BY time) AS f FROM bars) GROUP BY ALL) GROUP BY symbol")
