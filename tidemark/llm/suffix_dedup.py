@@ -69,6 +69,33 @@ def anchored_runs(piece: Piece, length: int = LENGTH, anchor: int = ANCHOR) -> t
     return docs[heads], starts[heads] - piece.bounds[docs[heads]], counts, at[heads] - starts[heads], hashes[at[heads]]
 
 
+def _encoded(rows: np.ndarray) -> bytes:
+    """Segments by document: each document once, with the number of its rows; six bytes of each hash."""
+    rows = rows[np.lexsort((rows["sig"], rows["id"]))]
+    heads = np.flatnonzero(np.append(True, (rows["id"][1:] != rows["id"][:-1]) | (rows["sig"][1:] != rows["sig"][:-1])))
+    counts = np.diff(np.append(heads, len(rows))).astype("<u4")
+    hashes = np.ascontiguousarray(rows["hash"]).view(np.uint8).reshape(-1, 8)[:, :6]
+    flags = rows["shift"] | (rows["known"] << 7)
+    return np.array([len(heads), len(rows)], "<u8").tobytes() + b"".join(np.ascontiguousarray(x).tobytes() for x in (rows["id"][heads], rows["sig"][heads], counts, hashes, rows["start"], rows["count"], flags))
+
+
+def _decoded(data: bytes) -> np.ndarray:
+    k, n = (int(x) for x in np.frombuffer(data, "<u8", 2))
+    rows, at = np.zeros(n, _SEGMENT), 16
+    ids, sigs, counts = np.frombuffer(data, "<i8", k, at), np.frombuffer(data, "<i8", k, at + 8 * k), np.frombuffer(data, "<u4", k, at + 16 * k)
+    rows["id"], rows["sig"] = np.repeat(ids, counts), np.repeat(sigs, counts)
+    at += 20 * k
+    hashes = np.zeros((n, 8), np.uint8)
+    hashes[:, :6] = np.frombuffer(data, np.uint8, 6 * n, at).reshape(-1, 6)
+    rows["hash"] = hashes.view("<u8").reshape(-1)
+    at += 6 * n
+    rows["start"] = np.frombuffer(data, "<u4", n, at)
+    rows["count"] = np.frombuffer(data, np.uint8, n, at + 4 * n)
+    flags = np.frombuffer(data, np.uint8, n, at + 5 * n)
+    rows["shift"], rows["known"] = flags & 127, flags >> 7
+    return rows
+
+
 def _dealt(keys: np.ndarray, rows: np.ndarray, kind: int) -> Iterator[tuple[int, int, bytes]]:
     if not len(keys):
         return
@@ -76,7 +103,7 @@ def _dealt(keys: np.ndarray, rows: np.ndarray, kind: int) -> Iterator[tuple[int,
     keys, rows = keys[order], rows[order]
     cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     for a, b in zip(cuts, [*cuts[1:], len(keys)], strict=True):
-        yield int(keys[a]), kind, rows[a:b].tobytes()
+        yield int(keys[a]), kind, _encoded(rows[a:b]) if rows.dtype == _SEGMENT else rows[a:b].tobytes()
 
 
 def _packed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
@@ -129,10 +156,10 @@ def _by_doc(ids: np.ndarray, sigs: np.ndarray, rows: np.ndarray) -> pa.Table:
 def _repeated_anchors(table: pa.Table) -> pa.Table:
     """Keeps the segments whose anchor occurs more than once."""
     kinds, data = table["kind"].to_pylist(), table["data"].to_pylist()
-    once = np.concatenate([np.zeros(0, _SEGMENT), *(np.frombuffer(x, _SEGMENT) for x, k in zip(data, kinds, strict=True) if k == 0)])
+    once = np.concatenate([np.zeros(0, _SEGMENT), *(_decoded(x) for x, k in zip(data, kinds, strict=True) if k == 0)])
     hashes, back, counts = np.unique(once["hash"], return_inverse=True, return_counts=True)
     known = np.bincount(back, once["known"], minlength=len(hashes)) > 0
-    kept = np.concatenate([once[(counts[back] > 1) | known[back]], *(np.frombuffer(x, _SEGMENT) for x, k in zip(data, kinds, strict=True) if k == 1)])
+    kept = np.concatenate([once[(counts[back] > 1) | known[back]], *(_decoded(x) for x, k in zip(data, kinds, strict=True) if k == 1)])
     runs = np.zeros(len(kept), _RUN)
     for k in _RUN.names:
         runs[k] = kept[k]
@@ -374,13 +401,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Null text counts as empty. Texts under `length` bytes lose nothing. Null ids come before all others. Rows that
     repeat an id with the same text are one document (each gives the same result); with another text they are ordered
     by a hash of the text. Ids must be integers. Other columns are ignored; an empty table gives an empty result.
-    length must be over ANCHOR and under 256 + ANCHOR; cutting bytes may split a character, hence kept is binary.
+    length must be over ANCHOR and at most 127 + ANCHOR; cutting bytes may split a character, hence kept is binary.
     """
     spark = docs.sparkSession
-    n = buckets(spark) * 2
     parts = buckets(spark)
+    n, ranges = parts * 2, max(8, parts // 2)
     rows = docs.select(*_doc_key(id_col, text_col))
-    dealt = rows.mapInArrow(_anchor_rows(n, length), "bucket int, kind int, data binary")
+    dealt = rows.mapInArrow(_anchor_rows(ranges, length), "bucket int, kind int, data binary")
     runs = dealt.groupBy("bucket").applyInArrow(_repeated_anchors, "id long, sig long, data binary")
     runs = runs.groupBy("id", "sig").agg(F.collect_list("data").alias("data"))
     least = F.lit(np.iinfo(np.int64).min)
