@@ -183,7 +183,8 @@ def one_sided_deviation(df: DataFrame, n: int = 288, part: Part = PART) -> DataF
     scale = rolling(F.stddev_pop, F.col("_r"), n, least, part) * F.lit(n**0.5)
     z = F.try_divide(F.sum("_d").over(last_rows(n, part)), F.nullif(scale, F.lit(0.0)))
     out = out.withColumn(f"one_sided_dev_z_w{n}", z)
-    out = out.withColumn(f"sub_martingale_z_w{n}", F.greatest(F.col(f"one_sided_dev_z_w{n}"), F.lit(0.0))).withColumn(f"super_martingale_z_w{n}", F.greatest(-F.col(f"one_sided_dev_z_w{n}"), F.lit(0.0)))
+    side = F.col(f"one_sided_dev_z_w{n}")
+    out = out.withColumn(f"sub_martingale_z_w{n}", F.when(side > 0, side).when(side <= 0, 0.0)).withColumn(f"super_martingale_z_w{n}", F.when(side < 0, -side).when(side >= 0, 0.0))
     return out.drop("_r", "_d")
 
 

@@ -149,7 +149,7 @@ SELECT symbol, time, ({_PLOGP([f"p{k}" for k in (0, 2, 3, 4, 5, 7)])}) / log2(6)
 register("encode_returns", on_bars(X.encode_returns), (*KEYS, "sign_code", "quantile_code"), (), f"SELECT symbol, time, (sign(r) + 1)::INT AS sign_code, (ntile(4) OVER (PARTITION BY symbol ORDER BY r, time) - 1)::INT AS quantile_code FROM {_RET} WHERE r IS NOT NULL")
 register("excursions", on_bars(lambda df: win.in_chunks(df, lambda x, part: X.excursions(x, 288, part=part), halo=287, rows=1000)), KEYS, ("max_drawup_w288", "max_drawdown_w288"), f"SELECT symbol, time, close / ({full('min(close)', 'close', 288)}) - 1 AS max_drawup_w288, close / ({full('max(close)', 'close', 288)}) - 1 AS max_drawdown_w288 FROM bars")
 register("one_sided_deviation", on_bars(X.one_sided_deviation), KEYS, ("one_sided_dev_z_w288", "sub_martingale_z_w288", "super_martingale_z_w288"), f"""
-SELECT *, greatest(one_sided_dev_z_w288, 0) AS sub_martingale_z_w288, greatest(-one_sided_dev_z_w288, 0) AS super_martingale_z_w288 FROM (
+SELECT *, CASE WHEN one_sided_dev_z_w288 IS NOT NULL THEN greatest(one_sided_dev_z_w288, 0) END AS sub_martingale_z_w288, CASE WHEN one_sided_dev_z_w288 IS NOT NULL THEN greatest(-one_sided_dev_z_w288, 0) END AS super_martingale_z_w288 FROM (
   SELECT symbol, time, sum(d) OVER {rows(288)} / nullif(({full("stddev_pop(r)", "r", 288, 72)}) * sqrt(288), 0) AS one_sided_dev_z_w288
   FROM (SELECT *, r - ({full("avg(r)", "r", 288, 72)}) AS d FROM {_RET}))""", digits=5)
 register("z_score_event", on_bars(X.z_score_event, n=100), (*KEYS, "z_score_event"), (), f"SELECT symbol, time, coalesce((close >= ({full('avg(close)', 'close', 100)}) + 3 * ({full('stddev_samp(close)', 'close', 100)}))::INT, 0) AS z_score_event FROM bars")

@@ -1 +1,117 @@
-"""Queries over recursions, models and streams."""
+"""Queries over recursions, simulators, streams, models and the whole pipeline."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tidemark.operators import backtest as T
+from tidemark.operators import features as X
+from tidemark.operators import labels as L
+from tidemark.operators import models as ML
+from tidemark.operators import recursive as R
+from tidemark.operators import splits as V
+from tidemark.plans import master
+from tidemark.plans.bar_queries import KEYS, OHLCV, O, full, on_bars, rows
+from tidemark.plans.label_queries import RN, probabilities, sampled
+from tidemark.plans.registry import BARS, H1, register
+from tidemark.sources import bars as B
+from tidemark.streaming import streams as ST
+
+
+def hourly(feature, **options):
+    return lambda s, d: feature(B.bars(s, d, "1 hour"), **options)
+
+
+H1N = f"h AS MATERIALIZED (SELECT *, row_number() OVER ({O}) AS rn, close - lag(close) OVER ({O}) AS ch, close / lag(close) OVER ({O}) - 1 AS r, CASE WHEN lag(close) OVER ({O}) IS NOT NULL THEN greatest(high - low, abs(high - lag(close) OVER ({O})), abs(low - lag(close) OVER ({O}))) END AS tr, high - lag(high) OVER ({O}) AS up, lag(low) OVER ({O}) - low AS dn FROM bars_h1)"
+
+
+def sql_ema(x: str, n: int) -> str:
+    a = 2 / (n + 1)
+    return f"CASE WHEN a.rn >= {n} THEN sum(CASE WHEN b.rn > {n} THEN {a} * pow({1 - a}, a.rn - b.rn) * b.{x} ELSE pow({1 - a}, a.rn - {n}) * b.{x} / {n} END) END"
+
+
+def sql_rma(x: str, n: int) -> str:
+    w = f"pow({1 - 1 / n}, a.rn - b.rn)"
+    return f"CASE WHEN count({x}) >= {n} THEN sum({w} * ({x})) / sum(CASE WHEN ({x}) IS NOT NULL THEN {w} END) END"
+
+
+_PAIRS = "FROM h a JOIN h b ON a.symbol = b.symbol AND b.rn <= a.rn GROUP BY a.symbol, a.time, a.rn"
+EMAS = f"emas AS MATERIALIZED (SELECT a.symbol, a.time, a.rn, {', '.join(f'{sql_ema("close", n)} AS ema_{n}' for n in (20, 50, 200))} {_PAIRS})"
+register("trend_features", hourly(R.trend), (*KEYS, "ema_algnment"), ("ema_20", "ema_50", "ema_200", "ema_slope_acceleration"), f"""
+SELECT symbol, time, coalesce((ema_20 > ema_50 AND ema_50 > ema_200)::INT, 0) - coalesce((ema_20 < ema_50 AND ema_50 < ema_200)::INT, 0) AS ema_algnment, ema_20, ema_50, ema_200, {full("avg(acc)", "acc", 10)} AS ema_slope_acceleration
+FROM (SELECT *, ema_20 - 2 * lag(ema_20) OVER ({O}) + lag(ema_20, 2) OVER ({O}) AS acc FROM emas)""", (BARS, H1, H1N, EMAS), digits=5)
+for legacy in (False, True):
+    shift = "" if legacy else " + INTERVAL 1 HOUR"
+    register("higher_trend" + "_legacy" * legacy, on_bars(lambda df, legacy=legacy: R.higher_trend(df, legacy)), (*KEYS, "ema_alignment_h1"), ("ema20_h1", "ema50_h1", "ema200_h1"), f"""
+SELECT b.symbol, b.time, coalesce((ema_20 > ema_50 AND ema_50 > ema_200)::INT, 0) - coalesce((ema_20 < ema_50 AND ema_50 < ema_200)::INT, 0) AS ema_alignment_h1, ema_20 AS ema20_h1, ema_50 AS ema50_h1, ema_200 AS ema200_h1
+FROM bars b ASOF LEFT JOIN (SELECT symbol, time{shift} AS known, ema_20, ema_50, ema_200 FROM emas) e ON b.symbol = e.symbol AND b.time >= e.known""", (BARS, H1, H1N, EMAS), digits=5)
+OSC = f"""osc AS MATERIALIZED (SELECT a.symbol, a.time, a.rn, {sql_rma("b.tr", 14)} AS atr_14, {sql_rma("CASE WHEN b.ch > 0 THEN b.ch WHEN b.ch <= 0 THEN 0 END", 14)} AS ups, {sql_rma("CASE WHEN b.ch < 0 THEN b.ch WHEN b.ch >= 0 THEN 0 END", 14)} AS downs,
+  {sql_rma("CASE WHEN b.up > b.dn AND b.up > 0 THEN b.up ELSE 0 END", 14)} AS p, {sql_rma("CASE WHEN b.dn > b.up AND b.dn > 0 THEN b.dn ELSE 0 END", 14)} AS m {_PAIRS}),
+dxs AS MATERIALIZED (SELECT *, 100 * ups / (ups + abs(downs)) AS rsi_14, CASE WHEN atr_14 IS NOT NULL THEN 100 * abs(p - m) / nullif(p + m, 0) END AS dx FROM osc)"""
+register("oscillators", hourly(R.oscillators), (*KEYS, "momentum_regime"), ("atr_14", "rsi_14", "adx_14", "vol_expansion_rate"), f"""
+SELECT o.symbol, o.time, atr_14, rsi_14, adx_14, vol_expansion_rate, CASE WHEN rm > 0.5 THEN 1 WHEN rm < -0.5 THEN -1 ELSE 0 END AS momentum_regime
+FROM (SELECT *, {full("avg(da)", "da", 10)} AS vol_expansion_rate, {full("avg(dr)", "dr", 10)} AS rm FROM (SELECT *, atr_14 - lag(atr_14) OVER ({O}) AS da, rsi_14 - lag(rsi_14) OVER ({O}) AS dr FROM dxs)) o
+JOIN (SELECT a.symbol, a.time, {sql_rma("b.dx", 14)} AS adx_14 FROM dxs a JOIN dxs b ON a.symbol = b.symbol AND b.rn <= a.rn GROUP BY a.symbol, a.time) x ON o.symbol = x.symbol AND o.time = x.time""", (BARS, H1, H1N, OSC), digits=5)
+register("target_volatility", hourly(R.target_volatility), KEYS, ("target_vol",), "SELECT a.symbol, a.time, sum(CASE WHEN b.rn = 1 THEN pow(0.99, a.rn - 1) ELSE 0.01 * pow(0.99, a.rn - b.rn) END * coalesce(b.tr, b.high - b.low)) AS target_vol " + _PAIRS, (BARS, H1, H1N), digits=5)
+register("daily_volatility", lambda s, d: R.daily_volatility(L.daily_change(B.bars(s, d))), KEYS, ("daily_vol",))
+Z = f"z AS MATERIALIZED (SELECT symbol, time, row_number() OVER ({O}) AS rn, q / nullif(CASE WHEN count(q) OVER {rows(96)} >= 24 THEN stddev_pop(q) OVER {rows(96)} END, 0) AS z FROM (SELECT *, coalesce(r, 0) AS q FROM h))"
+CUSUM = """steps(symbol, rn, up, dn, hit) AS (
+  SELECT DISTINCT symbol, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0 FROM z
+  UNION ALL SELECT symbol, rn, CASE WHEN hit THEN 0 ELSE up END, CASE WHEN hit THEN 0 ELSE dn END, hit::INT FROM (
+    SELECT symbol, rn, up, dn, up > 3 OR dn < -3 AS hit FROM (SELECT z.symbol, z.rn, CASE WHEN z.z IS NULL THEN 0 ELSE greatest(0, s.up + z.z) END AS up, CASE WHEN z.z IS NULL THEN 0 ELSE least(0, s.dn + z.z) END AS dn FROM steps s JOIN z ON z.symbol = s.symbol AND z.rn = s.rn + 1)))"""
+register("cusum_events", lambda s, d: R.cusum_events(B.bars(s, d, "1 hour"), 3.0, 96), (*KEYS, "cusum_event"), (), "SELECT z.symbol, z.time, s.hit::TINYINT AS cusum_event FROM z JOIN steps s USING (symbol, rn)", (BARS, H1, H1N, Z, CUSUM))
+register("filter_events", on_bars(R.filter_events, n=96), (*KEYS, "filter_event"))
+register("filter_events_legacy", on_bars(R.filter_events, n=96, legacy=True), (*KEYS, "filter_event"))
+_BINS = lambda n: f"list_transform(range({n}), lambda i: len(list_filter(xs, lambda x: CASE WHEN mx > mn THEN least(floor((x - mn) / (mx - mn) * {n}), {n - 1}) ELSE {n // 2} END = i)) / len(xs))"
+_LISTS = f"(SELECT *, list_min(xs) AS mn, list_max(xs) AS mx FROM (SELECT symbol, time, list(r) FILTER (r IS NOT NULL) OVER {rows(48)} AS xs FROM h))"
+register("range_entropy", hourly(R.range_entropy, n=48), KEYS, ("price_range_entropy_w48",), f"SELECT symbol, time, CASE WHEN len(xs) >= 12 THEN -list_sum(list_transform(list_filter({_BINS(9)}, lambda p: p > 0), lambda p: p * log2(p))) END AS price_range_entropy_w48 FROM {_LISTS}", (BARS, H1, H1N))
+register("renyi_entropies", lambda s, d: R.renyi_entropies(B.bars(s, d, "1 hour"), 48).withColumnsRenamed({"renyi_entropy_q0.5": "half", "renyi_entropy_q2.0": "two"}), KEYS, ("half", "two"), f"SELECT symbol, time, CASE WHEN len(xs) >= 48 THEN ln(list_sum(list_transform(ps, lambda p: sqrt(p)))) / 0.5 END AS half, CASE WHEN len(xs) >= 48 THEN -ln(list_sum(list_transform(ps, lambda p: p * p))) END AS two FROM (SELECT *, {_BINS(10)} AS ps FROM {_LISTS})", (BARS, H1, H1N))
+register("complexity", hourly(R.complexity, n=60, every=12), KEYS, ("apen_w60", "sampen_w60", "lz76_w60"))
+register("sadf_events", on_bars(R.sadf_events, every=48, window=24, least=10), (*KEYS, "sadf_log_break"), ("sadf_log_tstat", "sadf_log_crit"))
+register("sadf_sequence", hourly(R.sadf_sequence, window=40, least=12), KEYS, ("sadf",), """
+SELECT e.symbol, e.time, max(t) AS sadf FROM (SELECT symbol, time, rn FROM h) e LEFT JOIN (
+  SELECT symbol, rn, s, (sxy / sxx) / sqrt((syy - sxy * sxy / sxx) / (n - 1) / sxx) AS t FROM (
+    SELECT e.symbol, e.rn, s.k AS s, count(*) AS n, sum(q.x * q.d) AS sxy, sum(q.x * q.x) AS sxx, sum(q.d * q.d) AS syy FROM h e JOIN range(0, 29) s(k) ON e.rn >= 40
+      JOIN (SELECT symbol, rn, close - ch AS x, ch AS d FROM h WHERE ch IS NOT NULL) q ON q.symbol = e.symbol AND q.rn > e.rn - 39 + s.k AND q.rn <= e.rn GROUP BY ALL)) x ON x.symbol = e.symbol AND x.rn = e.rn GROUP BY ALL""", (BARS, H1, H1N), digits=5)
+
+# simulators ---------------------------------------------------------------------------------------------------------
+SIM = ("symbol", "time", "side")
+SIM_D = ("equity", "position", "pnl")
+register("backtest_crossover", hourly(lambda df: T.event_backtest(T.crossover_signals(R.emas(df, (10, 30)), "ema_10", "ema_30"))), SIM, SIM_D, digits=4)
+register("backtest_precomputed", on_bars(lambda df: T.event_backtest(T.hold_signals(probabilities(df).withColumnsRenamed({"p0": "long_label", "p1": "short_label"}), 0.42, 0.265, 12))), SIM, SIM_D, digits=4)
+register("backtest_model_signal", on_bars(lambda df: T.event_backtest(T.hold_signals(probabilities(df).withColumnRenamed("p0", "long_label"), 0.42, None, 12))), SIM, SIM_D, digits=4)
+register("backtest_atr", on_bars(lambda df: T.atr_backtest(probabilities(R.target_volatility(df)).withColumnRenamed("target_vol", "atr").withColumn("win_prob", F.col("p0")).withColumn("side", F.when(F.col("close") > F.col("open"), 1).otherwise(-1)), 0.4, 2.0, 4.0, 0.05)), SIM, SIM_D, digits=4)
+register("backtest_fixed_hold", on_bars(lambda df: T.fixed_hold_backtest(probabilities(df).withColumn("win_prob", F.col("p0")), 0.4)), SIM, SIM_D, digits=4)
+
+# streams ------------------------------------------------------------------------------------------------------------
+register("stream_bars", lambda s, d: ST.run_to_table(ST.bar_stream(ST.tick_stream(s, d)), "bars", KEYS), KEYS, OHLCV, "SELECT * FROM bars")
+register("stream_distinct", lambda s, d: ST.run_to_table(ST.distinct_ticks(ST.tick_stream(s, d).unionAll(ST.tick_stream(s, d))), "ticks", ("event_id",), "append"), ("symbol", "event_id"), ("value",), "SELECT symbol, event_id, value FROM ticks")
+register("stream_ema", lambda s, d: ST.run_to_table(ST.running_ema(ST.tick_stream(s, d)), "ema", ("event_id",), "append"), ("symbol", "event_id"), ("ema",))
+register("stream_cusum", lambda s, d: ST.run_to_table(ST.running_cusum(ST.tick_stream(s, d), 300.0, 50.0), "cusum", ("event_id",), "append"), ("symbol", "event_id", "event"))
+
+# models -------------------------------------------------------------------------------------------------------------
+FEATURES = ("log_ret", "spread_proxy", "volume", "hour_of_day")
+
+
+def model_rows(s, d):
+    df = X.returns(X.sessions(X.microstructure(B.bars(s, d))))
+    rows = sampled(df).withColumn("up", (F.lead("close").over(L.order()) > F.col("close")).cast("double")).withColumn("code", F.col("label") + 1.0)
+    return V.folds(rows.dropna("any", subset=[*FEATURES, "up"]), 3)
+
+
+register("model_out_of_fold", lambda s, d: ML.positive_probability(ML.out_of_fold(model_rows(s, d), V.expanding(model_rows(s, d), 2), ML.binary_model(FEATURES, "up", "fast"))).withColumn("split", F.col("split").cast("int")), (*KEYS, "split"), ("win_prob",))
+register("model_multiclass", lambda s, d: ML.multiclass_model(FEATURES, "code", 5, 4).fit(model_rows(s, d)).transform(model_rows(s, d)), KEYS, ("prediction",))
+register("model_importances", lambda s, d: ML.mean_importance(s.createDataFrame([(k, f, v) for k in ("fast", "balanced") for f, v in ML.importances(ML.binary_model(FEATURES, "up", k).fit(model_rows(s, d)), FEATURES)], "model string, feature string, importance double")), ("feature",), ("importance",))
+register("model_search", lambda s, d: ML.search(model_rows(s, d), V.expanding(model_rows(s, d), 2), FEATURES, "code", 2), ("trial", "trees", "depth", "split"), ("accuracy",))
+
+# whole pipeline -----------------------------------------------------------------------------------------------------
+
+
+def master_features(s, d):
+    bars = B.bars(s, d, "1 hour")
+    df = master.all_features(bars, windows=(48, 96), breaks=(96, 288))
+    return df.select(*KEYS, *(F.col(f"`{c}`").cast("double").alias(c.replace(".", "_").replace("-", "m")) for c in master.feature_names(df, bars)))
+
+
+register("master_features", master_features, KEYS, ("ema_20", "atr_14", "fractal_dim_30", "power_mean_p2_0", "renyi_entropy_q2_0", "cusum_event_rate_w96", "max_drawdown_w288", "sadf_log_tstat"))
+register("data_set", lambda s, d: master.data_set(B.bars(s, d), window=40, every=24, horizon=96, pt=1.5, sl=1.0), (*KEYS, "t1", "side", "bin"), ("trgt", "ret", "log_ret"))
