@@ -61,7 +61,9 @@ def fill_forward(x: Column, part: Sequence[str] = PART) -> Column:
 
 def row_numbers(df: DataFrame, part: Sequence[str] = PART, name: str = "rn") -> DataFrame:
     """Numbers the rows of each series from 1 in the order of time, by counts of days and then within each day, so that
-    no task needs a whole series."""
+    no task needs a whole series. A column of that name is taken to be the numbers already."""
+    if name in df.columns:
+        return df
     day = F.to_date("time")
     keyed = df.withColumn("_day", day)
     counts = keyed.groupBy(*part, "_day").agg(F.count(F.lit(1)).alias("_n"))
@@ -79,9 +81,10 @@ def in_chunks(df: DataFrame, feature: Callable[[DataFrame, Sequence[str]], DataF
     """
     if halo >= rows:
         raise ValueError("a chunk must be longer than its halo")
+    given = "rn" in df.columns
     numbered = row_numbers(df)
     own = F.floor((F.col("rn") - 1) / rows)
     also = F.when((F.col("rn") - 1) % rows >= rows - halo, F.array(own, own + 1)).otherwise(F.array(own))
     spread = numbered.withColumn("_own", own).withColumn("_chunk", F.explode(also))
     out = feature(spread, ("symbol", "_chunk"))
-    return out.filter("_own = _chunk").drop("_own", "_chunk", "rn")
+    return out.filter("_own = _chunk").drop("_own", "_chunk", *([] if given else ["rn"]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.windows import row_numbers
 from tidemark.operators import align
 from tidemark.operators import features as X
 from tidemark.operators import labels as L
@@ -18,19 +19,21 @@ WINDOWS, BREAKS = (144, 288), (288, 1440)
 def all_features(bars: DataFrame, windows=WINDOWS, breaks=BREAKS, legacy: bool = False, complete: bool = False) -> DataFrame:
     """Bars with every feature family. complete: only rows where all features that bars can fill are known (optional
     columns such as spread do not count)."""
-    df = X.microstructure(X.sessions(bars))
-    df = R.oscillators(R.higher_trend(R.trend(df), legacy))
+    # What reads the bars twice comes first, so that no long plan is repeated; rows are numbered once for all kernels.
+    df = R.sadf_events(R.higher_trend(row_numbers(bars), legacy))
+    df = R.oscillators(R.trend(X.microstructure(X.sessions(df))))
     df = X.distribution(df).withColumns({k: F.lit(v) for k, v in CONSTANTS.items()})
     for n in windows:
         df = R.range_entropy(X.sign_entropy(df, n), n)
     df = X.volatility_stress(X.volatility_regime(X.fractal_dimension(df)))
-    df = R.sadf_events(X.z_score_event(R.filter_events(df, windows[-1], legacy=legacy), windows[-1]))
+    df = X.z_score_event(R.filter_events(df, windows[-1], legacy=legacy), windows[-1])
     df = R.cusum_events(df)
     for n in breaks:
         df = X.excursions(X.one_sided_deviation(df, n), n, max(8, n // 4)).drop(f"sub_martingale_z_w{n}", f"super_martingale_z_w{n}")
         df = df.withColumn(f"cusum_event_rate_w{n}", X.mean(F.col("cusum_event"), n, max(8, n // 4)))
         df = X.run_length_since(df, "cusum_event", f"time_since_last_event_w{n}")
     df = X.power_means(R.renyi_entropies(df, windows[0]), windows[0])  # last, as grouped operators take no names with dots
+    df = df.drop("rn")
     return df.dropna("any", subset=[f"`{c}`" for c in feature_names(df, bars)]) if complete else df
 
 
