@@ -203,13 +203,14 @@ def _continuations(folder: str):
 
 
 def discounts(n: list[int]) -> np.ndarray:
-    """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more from how many counts are 1, 2, 3, 4; where some
-    number is 0, three quarters."""
+    """Modified Kneser-Ney discounts of counts 0, 1, 2 and 3 or more from how many counts are 1, 2, 3, 4. A discount that
+    these do not place between 0 and its count, as in small corpora, is three quarters."""
     out = np.array([0, 0.75, 0.75, 0.75])
     if all(n):
         y = n[0] / (n[0] + 2 * n[1])
         for k in (1, 2, 3):
-            out[k] = min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.0), k)
+            found = k - (k + 1) * y * n[k] / n[k - 1]
+            out[k] = found if 0 < found < k else 0.75
     return out
 
 

@@ -119,6 +119,8 @@ def _anchor_rows(n: int, length: int):
 
         def pack() -> pa.RecordBatch:
             rows = np.concatenate(held)
+            if not len(rows):
+                return _packed([])
             rows = rows[np.argsort(rows["hash"], kind="stable")]
             same = rows["hash"][1:] == rows["hash"][:-1]
             rows["known"] = np.append(same, False) | np.append(False, same)
@@ -149,7 +151,7 @@ def _by_doc(ids: np.ndarray, sigs: np.ndarray, rows: np.ndarray) -> pa.Table:
     order = np.lexsort((rows["start"], sigs, ids))
     ids, sigs, rows = ids[order], sigs[order], rows[order]
     cuts = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (sigs[1:] != sigs[:-1]))) if len(ids) else np.zeros(0, np.int64)
-    ends = np.append(cuts[1:], len(ids)).astype(np.int64)
+    ends = np.append(cuts[1:], len(ids)).astype(np.int64)[: len(cuts)]
     return pa.table({"id": pa.array(ids[cuts], pa.int64()), "sig": pa.array(sigs[cuts], pa.int64()), "data": pa.array([rows[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())})
 
 
