@@ -208,8 +208,10 @@ def macro_columns(df: DataFrame, n: int = 288, part: Part = PART) -> DataFrame:
 
     def corr(a: str, b: str) -> Column:
         frame = last_rows(n, part)
-        both = F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).over(frame)
-        return F.when(both >= least, F.corr(a, b).over(frame))
+        both = F.col(a).isNotNull() & F.col(b).isNotNull()
+        x, y = F.when(both, F.col(a)), F.when(both, F.col(b))
+        scale = F.nullif(F.stddev_samp(x).over(frame) * F.stddev_samp(y).over(frame), F.lit(0.0))  # corr fails on constants
+        return F.when(F.count(x).over(frame) >= least, F.try_divide(F.covar_samp(x, y).over(frame), scale))
 
     out = out.withColumn("equity_bond_corr", corr("_equity", "_bond")).withColumn("risk_on_off", F.col("equity_bond_corr"))
     for k in ("equity", "bond", "commodity", "crypto"):

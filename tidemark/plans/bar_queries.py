@@ -157,7 +157,7 @@ register("drawdown", on_bars(X.drawdown), KEYS, ("running_max", "drawdown"), f"S
 register("time_since_event", on_bars(lambda df: X.run_length_since(X.z_score_event(df, 100), "z_score_event", "since")), (*KEYS, "since"), (), f"SELECT symbol, time, (row_number() OVER (PARTITION BY symbol, g ORDER BY time) - 1)::INT AS since FROM (SELECT *, sum(e) OVER ({O}) AS g FROM (SELECT *, coalesce((close >= ({full('avg(close)', 'close', 100)}) + 3 * ({full('stddev_samp(close)', 'close', 100)}))::INT, 0) AS e FROM bars))")
 register("portfolio_concentration", lambda s, d: X.concentration(B.bars(s, d, "1 hour").select("time", F.col("symbol").alias("asset"), F.col("volume").alias("weight"))), ("time",), ("hhi", "shannon_entropy_w", "effective_n", "normalized_concentration"), """
 SELECT time, hhi, h AS shannon_entropy_w, exp(h) AS effective_n, (hhi - 1.0 / n) / nullif(1 - 1.0 / n, 0) AS normalized_concentration FROM (
-  SELECT time, sum(w * w) AS hhi, -sum(w * ln(greatest(w, 1e-12))) AS h, count_if(w > 0) AS n FROM (SELECT time, volume / sum(volume) OVER (PARTITION BY time) AS w FROM bars_h1) GROUP BY time)""", (BARS, H1))
+  SELECT time, sum(w * w) AS hhi, -sum(w * ln(greatest(w, 1e-12))) AS h, count_if(w > 0) AS n FROM (SELECT time, volume / nullif(sum(volume) OVER (PARTITION BY time), 0) AS w FROM bars_h1) GROUP BY time)""", (BARS, H1))
 register("adf_tstat", on_bars(X.adf_tstat), ("symbol", "n"), ("rho", "t_stat"), f"""
 SELECT symbol, n, rho, rho / sqrt((yy - rho * xy) / ((n - 1) * xx)) AS t_stat FROM (SELECT symbol, sum(x * d) / sum(x * x) AS rho, sum(x * d) AS xy, sum(x * x) AS xx, sum(d * d) AS yy, count(*) AS n
   FROM (SELECT symbol, x, close - x AS d FROM (SELECT *, lag(close) OVER ({O}) AS x FROM bars) WHERE x IS NOT NULL) GROUP BY symbol)""")
@@ -185,7 +185,7 @@ def macro(s, d, n=96):
 _MJ = " ".join(f"LEFT JOIN bars_h1 {n} ON {n}.symbol = '{k}' AND {n}.time = v.time" for k, n in MACRO.items())
 _MF = ", ".join(f"last_value({n}.close IGNORE NULLS) OVER (ORDER BY v.time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {n}" for n in MACRO.values())
 _PLAIN = lambda n: f"(ORDER BY time ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-_CORR = lambda a, b: f"CASE WHEN count({a} + {b}) OVER {_PLAIN(96)} >= 24 THEN corr({a}, {b}) OVER {_PLAIN(96)} END"
+_CORR = lambda a, b: f"CASE WHEN count({a} + {b}) OVER {_PLAIN(96)} >= 24 THEN covar_samp({a}, {b}) OVER {_PLAIN(96)} / nullif(stddev_samp(CASE WHEN {b} IS NOT NULL THEN {a} END) OVER {_PLAIN(96)} * stddev_samp(CASE WHEN {a} IS NOT NULL THEN {b} END) OVER {_PLAIN(96)}, 0) END"
 register("macro_features", macro, KEYS, ("yield_curve_slope", "credit_spreads", "dxy_momentum", "equity_bond_corr", "risk_on_off", "equity_correlation", "bond_correlation", "crypto_correlation", "systemic_risk"), f"""
 SELECT symbol, time, yield_10y - yield_2y AS yield_curve_slope, bond AS credit_spreads, CASE WHEN count(dx) OVER {_PLAIN(96)} >= 24 THEN (dx - avg(dx) OVER {_PLAIN(96)}) / nullif(stddev_samp(dx) OVER {_PLAIN(96)}, 0) END AS dxy_momentum,
   {_CORR("eq", "bd")} AS equity_bond_corr, {_CORR("eq", "bd")} AS risk_on_off, {_CORR("c", "eq")} AS equity_correlation, {_CORR("c", "bd")} AS bond_correlation, NULL::DOUBLE AS crypto_correlation, NULL::DOUBLE AS systemic_risk

@@ -138,7 +138,7 @@ def trades(s, d):
     return B.bars(s, d, "1 hour").filter("hour(time) % 6 = 0").select("symbol", "time", (F.col("close") - F.col("open")).alias("pnl"))
 
 
-register("trade_metrics", lambda s, d: M.trade_metrics(trades(s, d)), ("symbol", "trades"), ("hit_rate", "avg_profit", "profit_factor"), "SELECT symbol, count(*) AS trades, avg((p > 0)::INT) AS hit_rate, avg(p) AS avg_profit, sum(p) FILTER (p > 0) / abs(sum(p) FILTER (p < 0)) AS profit_factor FROM (SELECT symbol, close - open AS p FROM bars_h1 WHERE hour(time) % 6 = 0) GROUP BY symbol", (BARS, H1))
+register("trade_metrics", lambda s, d: M.trade_metrics(trades(s, d)), ("symbol", "trades"), ("hit_rate", "avg_profit", "profit_factor"), "SELECT symbol, count(*) AS trades, avg((p > 0)::INT) AS hit_rate, avg(p) AS avg_profit, CASE WHEN count(*) FILTER (p < 0) = 0 THEN 'Infinity'::DOUBLE ELSE coalesce(sum(p) FILTER (p > 0), 0) / abs(sum(p) FILTER (p < 0)) END AS profit_factor FROM (SELECT symbol, close - open AS p FROM bars_h1 WHERE hour(time) % 6 = 0) GROUP BY symbol", (BARS, H1))
 register("objective_score", lambda s, d: M.objective(M.trade_metrics(trades(s, d)).join(M.equity_metrics(curve(s, d)).select("symbol", "sharpe", "max_drawdown"), "symbol").join(trades(s, d).groupBy("symbol").agg((F.avg("pnl") / 1000).alias("avg_return"), (-F.stddev_pop("pnl") / 1000).alias("stability")), "symbol")), ("symbol", "trades"), ("score",), f"""
 SELECT symbol, trades, CASE WHEN trades < 20 THEN -10 WHEN dd > 0.08 THEN -10 - 100 * dd ELSE 0.35 * sharpe + 25 * ar + 0.2 * st + 0.15 * (1 - dd) + 0.05 * hit END AS score FROM
 (SELECT symbol, count(*) AS trades, avg((p > 0)::INT) AS hit, avg(p) / 1000 AS ar, -stddev_pop(p) / 1000 AS st FROM (SELECT symbol, close - open AS p FROM bars_h1 WHERE hour(time) % 6 = 0) GROUP BY symbol)
@@ -157,7 +157,7 @@ register("sharpe_scores", lambda s, d: M.sharpe_score(crossed(s, d).withColumn("
 SELECT symbol, hit_ratio, s AS sharpe, so AS sortino, greatest(0, least(1, (s + 1) / 4)) AS sharpe_clipped, (tanh(s / 2) + 1) / 2 AS sharpe_squashed FROM (SELECT symbol, avg((x > 0)::INT) AS hit_ratio, sqrt(252) * avg(x) / stddev_pop(x) AS s, sqrt(252) * avg(x) / stddev_pop(x) FILTER (x < 0) AS so FROM (SELECT symbol, side * r / 1000 AS x FROM crossed WHERE r IS NOT NULL) GROUP BY symbol)""", (BARS, H1, CROSS), digits=5)
 register("threshold_search", lambda s, d: M.threshold_search(crossed(s, d).filter("ret IS NOT NULL").withColumn("p", (F.col("volume") % 100) / 100), "symbol", "p", "ret"), ("symbol", "threshold", "n"), ("score",), """
 SELECT symbol, b.t AS threshold, b.n AS n, b.s AS score FROM (SELECT symbol, arg_max(struct_pack(t := t, n := n, s := s), (round(s, 9), -t)) AS b FROM (
-  SELECT symbol, t, count(*) AS n, coalesce(avg(r) / nullif(stddev_pop(r), 0), 0) AS s FROM (SELECT c.symbol, c.r / 1000 AS r, (volume % 100) / 100 AS p FROM crossed c JOIN bars_h1 USING (symbol, time) WHERE r IS NOT NULL) JOIN (SELECT round(0.05 + i * 0.05, 10) AS t FROM range(18) q(i)) ON t <= p GROUP BY ALL) GROUP BY symbol)""", (BARS, H1, CROSS), digits=5)
+  SELECT symbol, t, count(*) AS n, coalesce(avg(r) / nullif(stddev_pop(r), 0), 0) AS s FROM (SELECT c.symbol, c.r / 1000 AS r, (volume % 100) / 100 AS p FROM crossed c JOIN bars_h1 USING (symbol, time) WHERE r IS NOT NULL) JOIN (SELECT round(0.05 + i * 0.05, 10)::DOUBLE AS t FROM range(18) q(i)) ON t <= p GROUP BY ALL) GROUP BY symbol)""", (BARS, H1, CROSS), digits=5)
 register("classification_metrics", on_bars(lambda df: M.classification(df.withColumn("truth", F.signum(F.col("close") - F.col("open")).cast("int")).withColumn("guess", (F.col("volume") % 3).cast("int") - 1), "symbol", "truth", "guess")), ("symbol", "n"), ("accuracy", "precision", "recall", "f1_weighted"), """
 SELECT symbol, sum(su)::BIGINT AS n, sum(tp) / sum(su) AS accuracy, sum(p * su) / sum(su) AS precision, sum(r * su) / sum(su) AS recall, sum(coalesce(2 * p * r / nullif(p + r, 0), 0) * su) / sum(su) AS f1_weighted FROM (
   SELECT symbol, c, su, tp, coalesce(tp / nullif(cl, 0), 0) AS p, tp / su AS r FROM (SELECT symbol, c, count_if(t = c) AS su, count_if(t = c AND g = c) AS tp, count_if(g = c) AS cl

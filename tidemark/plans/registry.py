@@ -47,7 +47,7 @@ def register(name: str, build: Callable[[SparkSession, str], DataFrame], keys: S
 
     QUERIES[name] = query
     if sql is not None:
-        columns = ", ".join([*keys, *(f"round({c}, {digits}) + 0.0 AS {c}" for c in doubles)])
+        columns = ", ".join([*keys, *(f"round({c}::DOUBLE, {digits}) + 0.0::DOUBLE AS {c}" for c in doubles)])
         ctes = ", ".join(v.strip() for v in views)
         SQL[name] = f"WITH RECURSIVE {ctes + ', ' if ctes else ''}result_rows AS ({sql}) SELECT {columns} FROM result_rows"
 
