@@ -96,13 +96,19 @@ FEATURES = ("log_ret", "spread_proxy", "volume", "hour_of_day")
 def model_rows(s, d):
     df = X.returns(X.sessions(X.microstructure(B.bars(s, d))))
     rows = sampled(df).withColumn("up", (F.lead("close").over(L.order()) > F.col("close")).cast("double")).withColumn("code", F.col("label") + 1.0)
-    return V.folds(rows.dropna("any", subset=[*FEATURES, "up"]), 3)
+    path = ST.work_folder(s, "model-rows")  # written once, as every fit reads it many times
+    V.folds(rows.dropna("any", subset=[*FEATURES, "up"]), 3).write.parquet(path)
+    return s.read.parquet(path)
 
 
-register("model_out_of_fold", lambda s, d: ML.positive_probability(ML.out_of_fold(model_rows(s, d), V.expanding(model_rows(s, d), 2), ML.binary_model(FEATURES, "up", "fast"))).withColumn("split", F.col("split").cast("int")), (*KEYS, "split"), ("win_prob",))
-register("model_multiclass", lambda s, d: ML.multiclass_model(FEATURES, "code", 5, 4).fit(model_rows(s, d)).transform(model_rows(s, d)), KEYS, ("prediction",))
-register("model_importances", lambda s, d: ML.mean_importance(s.createDataFrame([(k, f, v) for k in ("fast", "balanced") for f, v in ML.importances(ML.binary_model(FEATURES, "up", k).fit(model_rows(s, d)), FEATURES)], "model string, feature string, importance double")), ("feature",), ("importance",))
-register("model_search", lambda s, d: ML.search(model_rows(s, d), V.expanding(model_rows(s, d), 2), FEATURES, "code", 2), ("trial", "trees", "depth", "split"), ("accuracy",))
+def on_models(use):
+    return lambda s, d: use(model_rows(s, d))
+
+
+register("model_out_of_fold", on_models(lambda df: ML.positive_probability(ML.out_of_fold(df, V.expanding(df, 2), ML.binary_model(FEATURES, "up", "fast"))).withColumn("split", F.col("split").cast("int"))), (*KEYS, "split"), ("win_prob",))
+register("model_multiclass", on_models(lambda df: ML.multiclass_model(FEATURES, "code", 5, 4).fit(df).transform(df)), KEYS, ("prediction",))
+register("model_importances", on_models(lambda df: ML.mean_importance(df.sparkSession.createDataFrame([(k, f, v) for k in ("fast", "balanced") for f, v in ML.importances(ML.binary_model(FEATURES, "up", k).fit(df), FEATURES)], "model string, feature string, importance double"))), ("feature",), ("importance",))
+register("model_search", on_models(lambda df: ML.search(df, V.expanding(df, 2), FEATURES, "code", 2)), ("trial", "trees", "depth", "split"), ("accuracy",))
 
 # whole pipeline -----------------------------------------------------------------------------------------------------
 
