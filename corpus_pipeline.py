@@ -15,22 +15,23 @@ from tidemark.llm.exact_dedup import exact_dedup
 from tidemark.llm.jaccard import jaccard_join
 from tidemark.llm.mixing import WEIGHTS, mix_sources
 from tidemark.llm.pieces_codec import piece_encode
-from tidemark.llm.quality import quality_rules
+from tidemark.llm.quality import quality_filter
 
 #: Tokens that the mixture takes, as a share of those that reach it; no row is taken twice.
 SHARE = 0.9
 
 
 def _keep(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows of docs whose id is in chosen (null ids compare as equal)."""
-    ids = chosen.select(F.col("doc_id").alias("_chosen")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_chosen")), "left_semi")
+    """Rows of docs whose id is in chosen; those without an id are there if chosen has one such row."""
+    known = docs.join(chosen.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    any_null = F.broadcast(chosen.filter("doc_id IS NULL").limit(1).select(F.lit(1)))  # at most one row
+    return known.unionAll(docs.filter("doc_id IS NULL").crossJoin(any_null).select(*docs.columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality rules reject. Rows that repeat an id stay if any of them is fine."""
+    """Drops documents that the quality rules reject."""
     arrow_rows(spark)
-    return _keep(docs, quality_rules(docs).filter("kept"))
+    return quality_filter(docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
