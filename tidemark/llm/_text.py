@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+# Workers are reused for many tasks: arrays of a megabyte and more go back to the system as soon as they are freed.
+with contextlib.suppress(OSError, AttributeError):
+    for _option in (-1, -3):  # trim and mmap thresholds of glibc
+        ctypes.CDLL("libc.so.6").mallopt(_option, 1 << 20)
+
 #: Word separators: space and the control characters 9 to 13.
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 IS_SEPARATOR = np.zeros(256, bool)
@@ -25,7 +32,7 @@ _powers: dict[int, np.ndarray] = {}
 def powers(base: int, n: int) -> np.ndarray:
     """base ** 0 ... base ** (n - 1) modulo 2 ** 64."""
     if base not in _powers or len(_powers[base]) < n:
-        steps = np.full(max(n, 2 * PIECE), base, np.uint64)
+        steps = np.full(max(n, PIECE + PIECE // 4), base, np.uint64)
         steps[0] = 1
         _powers[base] = np.multiply.accumulate(steps)
     return _powers[base][:n]

@@ -26,7 +26,7 @@ from tidemark.llm._text import Piece, mix, pieces, windows
 from tidemark.llm.components import connected_components
 
 WORDS, PERCENT = 5, 80
-CHUNK = 32 << 20
+CHUNK = 16 << 20
 #: Members of a cluster that one task joins; larger clusters are joined by pairs of blocks of this size.
 BLOCK = 1024
 
