@@ -187,3 +187,95 @@ def sadf(y: np.ndarray, least: int, lags: int = 0, constant: bool = False, trend
     scores = [adf_t(y[s:], lags, constant, trend) for s in range(0, len(y) - least + 1)]
     scores = [s for s in scores if s == s]
     return max(scores) if scores else math.nan
+
+
+# kernels over all earlier values of a series: results at rows first.. of y ------------------------------------------
+
+
+def csw(y: np.ndarray, first: int = 0, block: int = 256, ends: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Chu-Stinchcombe-White statistic over every earlier row, and the distance to the row that gives it (the farthest
+    of equals). Blocks of rows are skipped only where their extremes at their nearest distance cannot reach the best."""
+    n = len(y)
+    change = np.diff(y, prepend=np.nan) ** 2
+    known = ~np.isnan(change)
+    with np.errstate(all="ignore"):
+        mean_square = np.where(known, change, 0).cumsum() / known.cumsum()
+    stat, distance = np.full(n - first, np.nan), np.full(n - first, np.nan)
+    for a in range(first, n, ends):
+        b = min(a + ends, n)
+        t, at = y[a:b], np.arange(a, b)
+        best, far = np.full(b - a, -1.0), np.zeros(b - a)
+
+        def take(rows: np.ndarray, lo: int, hi: int) -> None:
+            back = at[rows, None] - np.arange(lo, hi)
+            with np.errstate(all="ignore"):
+                score = np.where(back > 0, np.abs(t[rows, None] - y[lo:hi]) / np.sqrt(back), np.nan)
+            score = np.where(np.isnan(score), -1.0, score)
+            j = score.argmax(1)
+            top = score[np.arange(len(rows)), j]
+            better = (top > best[rows]) | ((top == best[rows]) & (top >= 0))  # blocks come from near to far
+            best[rows[better]], far[rows[better]] = top[better], back[np.arange(len(rows)), j][better]
+
+        whole = a // block
+        take(np.arange(b - a), whole * block, b)
+        if whole:
+            past = y[: whole * block].reshape(whole, block)
+            empty = np.isnan(past).all(1)
+            low, high = np.where(np.isnan(past), np.inf, past).min(1), np.where(np.isnan(past), -np.inf, past).max(1)
+            low, high = np.where(empty, np.nan, low), np.where(empty, np.nan, high)
+            nearest = np.sqrt(at[:, None] - (np.arange(whole) * block + block - 1))
+            bound = np.maximum(np.abs(t[:, None] - low), np.abs(t[:, None] - high)) / nearest
+            for k in range(whole - 1, -1, -1):
+                rows = np.flatnonzero(bound[:, k] >= best)
+                if len(rows):
+                    take(rows, k * block, (k + 1) * block)
+        s = mean_square[a:b]
+        ready = (best >= 0) & (s > 0)
+        stat[a - first : b - first][ready] = best[ready] / s[ready]
+        distance[a - first : b - first][ready] = far[ready]
+    return stat, distance
+
+
+def sadf_ends(y: np.ndarray, first: int, least: int, lags: int = 0, constant: bool = False, trend: bool = False) -> np.ndarray:
+    """sadf over all starts from the beginning of y, for each end; missing values are left out.
+
+    The products of a window's rows are sums that grow from its end to its start; regressors are swept out in turn.
+    Windows whose products are close to singular are fitted one by one.
+    """
+    if trend and not constant:
+        raise ValueError("a trend needs a constant")
+    known = ~np.isnan(y)
+    place, y, out = np.flatnonzero(known), y[known], np.full(len(known) - first, np.nan)
+    d = np.diff(y)
+    for e in np.flatnonzero(place >= first):
+        if e + 1 < least or e - lags < 1:
+            continue
+        i = np.arange(e - 1, lags - 1, -1)  # rows of d from the end back
+        level = y[e] if constant else 0.0  # a shift that the constant takes up
+        columns = [np.ones(len(i))] if constant else []
+        columns += [(i - e) / len(d)] if trend else []
+        columns += [d[i - j] for j in range(1, lags + 1)]
+        columns += [y[i] - level, d[i]]
+        k = len(columns) - 1
+        m = {(p, q): (columns[p] * columns[q]).cumsum()[max(0, least - lags - 2) :] for p in range(k + 1) for q in range(p, k + 1)}
+        size = np.arange(len(i))[max(0, least - lags - 2) :] + 1
+        whole = {p: m[p, p] for p in range(k + 1)}
+        weak = np.zeros(len(size), bool)
+        with np.errstate(all="ignore"):
+            for p in range(k):
+                weak |= ~(m[p, p] > 1e-9 * whole[p])
+                if p < k - 1:
+                    for q in range(p + 1, k + 1):
+                        share = m[p, q] / m[p, p]
+                        for r in range(q, k + 1):
+                            m[q, r] = m[q, r] - share * m[p, r]
+            rho = m[k - 1, k] / m[k - 1, k - 1]
+            rest = m[k, k] - rho * m[k - 1, k]
+            weak |= ~(rest > 1e-9 * whole[k])
+            t = rho / np.sqrt(rest / (size - k) / m[k - 1, k - 1])
+        t[size <= k] = np.nan
+        for w in np.flatnonzero(weak & (size > k)):
+            t[w] = adf_t(y[e - lags - size[w] : e + 1], lags, constant, trend)
+        if not np.isnan(t).all():
+            out[place[e] - first] = np.nanmax(t)
+    return out

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -88,3 +90,26 @@ def in_chunks(df: DataFrame, feature: Callable[[DataFrame, Sequence[str]], DataF
     spread = numbered.withColumn("_own", own).withColumn("_chunk", F.explode(also))
     out = feature(spread, ("symbol", "_chunk"))
     return out.filter("_own = _chunk").drop("_own", "_chunk", *([] if given else ["rn"]))
+
+
+def over_past(df: DataFrame, value: Column, columns: Sequence[str], kernel: Callable[[np.ndarray, int], Sequence[np.ndarray]], part: Sequence[str] = PART, rows: int = 4096) -> DataFrame:
+    """Adds columns that depend on all rows of a series up to each one: kernel(y, first) gives them at rows first.. of y.
+
+    A series is cut into chunks; each chunk's task gets the values of its own and all earlier chunks (8 bytes a row), so
+    the tasks of one series run side by side. Missing values are NaN in y.
+    """
+    given = df.columns
+    numbered = row_numbers(df.withColumn("_v", value.cast("double")), part).withColumn("_chunk", F.floor((F.col("rn") - 1) / rows))
+    packed = F.sort_array(F.collect_list(F.struct("rn", F.coalesce("_v", F.lit(float("nan"))).alias("v"))))
+    blocks = numbered.groupBy(*part, "_chunk").agg(F.transform(packed, lambda x: x["v"]).alias("_y"))
+    past = blocks.withColumnRenamed("_chunk", "_block").withColumn("_last", F.max("_block").over(W.partitionBy(*part)))
+    past = past.select(*(F.col(c).alias(f"_of_{c}") for c in part), "_block", "_y", F.explode(F.sequence("_block", "_last")).alias("_of_chunk"))
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), *(f"`{c}` double" for c in columns)])
+
+    def run(own: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("rn")
+        y = np.concatenate([np.asarray(x, float) for x in before.sort_values("_block")["_y"]])
+        return own[given].assign(**dict(zip(columns, kernel(y, len(y) - len(own)), strict=True)))
+
+    out = numbered.groupBy(*part, "_chunk").cogroup(past.groupBy(*(f"_of_{c}" for c in part), "_of_chunk")).applyInPandas(run, schema)
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions import kernels as K
 from tidemark.functions.scalars import session_columns
-from tidemark.functions.windows import PART, diff, fill_forward, flag, lag, last_rows, mean, order, pct_change, rolling, std
+from tidemark.functions.windows import PART, diff, fill_forward, flag, lag, last_rows, mean, order, over_past, pct_change, rolling, std
 
 Part = Sequence[str]
 
@@ -262,9 +263,13 @@ def bde_cusum(df: DataFrame, part: Part = PART) -> DataFrame:
     return out.withColumn("bde_cusum", total).drop("_e")
 
 
-def csw_statistic(df: DataFrame, bound: int = 64, part: Part = PART) -> DataFrame:
+def csw_statistic(df: DataFrame, bound: int | None = None, part: Part = PART) -> DataFrame:
     """Chu-Stinchcombe-White: largest departure from an earlier log price, over the mean squared change so far times the root
-    of the distance, with its critical value root(4.6 + ln distance); references up to `bound` rows back."""
+    of the distance, with its critical value root(4.6 + ln distance); references are all earlier rows, or with `bound`
+    only those up to so many rows back."""
+    if bound is None:
+        out = over_past(df, F.ln("close"), ["csw_stat", "_far"], K.csw, part)
+        return out.withColumn("csw_crit", F.sqrt(4.6 + F.ln("_far"))).drop("_far")
     out = df.withColumn("_y", F.ln("close"))
     out = out.withColumn("_d2", F.pow(F.col("_y") - lag("_y", 1, part), 2))
     out = out.withColumn("_s", F.avg("_d2").over(order(part).rowsBetween(W.unboundedPreceding, 0)))

@@ -165,6 +165,7 @@ register("bde_cusum", on_bars(X.bde_cusum), KEYS, ("bde_cusum",), f"SELECT symbo
 register("csw_statistic", lambda s, d: X.csw_statistic(B.bars(s, d, "1 hour"), 32), KEYS, ("csw_stat",), f"""
 SELECT a.symbol, a.time, max(abs(a.y - b.y) / (a.s * sqrt(a.rn - b.rn))) AS csw_stat FROM
  (SELECT *, avg(d2) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM (SELECT *, pow(y - lag(y) OVER ({O}), 2) AS d2 FROM ys)) a LEFT JOIN ys b ON a.symbol = b.symbol AND b.rn BETWEEN a.rn - 32 AND a.rn - 1 GROUP BY ALL""", (BARS, H1, f"ys AS MATERIALIZED (SELECT symbol, time, ln(close) AS y, row_number() OVER ({O}) AS rn FROM bars_h1)"), digits=4)
+register("csw_statistic_whole", on_bars(X.csw_statistic), KEYS, ("csw_stat", "csw_crit"), digits=4)
 
 # alignment ----------------------------------------------------------------------------------------------------------
 _HOUR = "(SELECT symbol, time, close AS hour_close FROM bars_h1)"
