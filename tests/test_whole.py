@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import kernels as K
 from tidemark.functions import windows as win
 from tidemark.operators import features as X
+from tidemark.operators import recursive as R
 
 
 def series(spark, values):
@@ -57,3 +58,30 @@ def test_csw_kernel_with_gaps_and_chunks():
     square = np.nanmean(np.diff(y) ** 2)
     assert whole[0][899] == pytest.approx(np.nanmax(np.abs(y[899] - y[:899]) / np.sqrt(899 - np.arange(899))) / square)
     assert np.isnan(whole[0][300])
+
+
+@pytest.mark.parametrize(("lags", "constant", "trend"), [(0, False, False), (0, True, False), (2, True, False), (3, True, True)])
+def test_sadf_ends_are_the_largest_over_all_starts(lags, constant, trend):
+    y = np.log(np.random.default_rng(4).normal(size=130).cumsum() + 60)
+    y[20:45] = y[20]  # windows of equal values have singular products
+    y[7] = np.nan
+    least, whole = lags + 9, K.sadf_ends(y, 0, lags + 9, lags, constant, trend)
+    np.testing.assert_array_equal(K.sadf_ends(y, 77, least, lags, constant, trend), whole[77:])
+    assert np.isnan(whole[7])
+    for e in (least, 60, 100, 129):
+        past = y[: e + 1][~np.isnan(y[: e + 1])]
+        assert whole[e] == pytest.approx(K.sadf(past, least, lags, constant, trend), rel=1e-6)
+
+
+def test_sadf_starts_from_the_beginning(spark):
+    r = np.random.default_rng(6)
+    values = {"boom": 1.02 ** np.arange(150) + r.normal(0, 0.01, 150), "walk": r.normal(size=150).cumsum() + 90}
+    df = series(spark, values)
+    plain, cut, events = by_row(R.sadf_sequence(df), "sadf"), by_row(R.sadf_sequence(df, 60), "sadf"), by_row(R.sadf_events(df, every=2), "sadf_log_tstat", "sadf_log_break")
+    for s, close in values.items():
+        for t in (11, 70, 149):
+            assert plain[s, t][0] == pytest.approx(K.sadf(close[: t + 1], 12), rel=1e-6)
+        for t in (66, 100, 149):
+            want = K.sadf(np.log(close[: t + 1 : 2]), 34, 3, constant=True, trend=True)
+            assert events[s, t] == [pytest.approx(want, rel=1e-6), int(want > -2.86)]
+    assert plain["boom", 10] == [None] and plain["boom", 149][0] > cut["boom", 149][0]

@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import kernels as K
-from tidemark.functions.windows import PART, flag, lag, last_rows, mean, order, pct_change, row_numbers, std
+from tidemark.functions.windows import PART, flag, lag, last_rows, mean, order, over_past, pct_change, row_numbers, std
 from tidemark.operators.align import as_of
 
 
@@ -150,16 +150,23 @@ def complexity(df: DataFrame, n: int = 100, every: int = 1) -> DataFrame:
     return sliding(df.withColumn("_x", pct_change("close")), F.col("_x"), n, kernels, None, every).drop("_x")
 
 
-def sadf_events(df: DataFrame, every: int = 48, window: int = 100, least: int = 20, critical: float = -2.86, lags: int = 0) -> DataFrame:
-    """Supremum ADF (constant, log prices) of the last `window` of every `every`-th close, carried to the bars between:
-    sadf_log_tstat, sadf_log_crit and sadf_log_break."""
+def sadf_events(df: DataFrame, every: int = 48, window: int | None = None, least: int = 34, critical: float = -2.86, lags: int = 3, constant: bool = True, trend: bool = True) -> DataFrame:
+    """Supremum ADF (log prices) of every `every`-th close over all starts from the beginning of the series, or with
+    `window` from that many closes back, carried to the bars between: sadf_log_tstat, sadf_log_crit and sadf_log_break.
+    The least window of 34 closes leaves 30 rows to a fit with three lags."""
     picked = row_numbers(df).filter((F.col("rn") - 1) % every == 0).select("symbol", "time", F.ln("close").alias("y"))
-    scored = sliding(picked, F.col("y"), window, {"sadf_log_tstat": lambda w: np.array([K.sadf(x, least, lags, constant=True) for x in w])}).drop("y")
-    out = as_of(df, scored, ["sadf_log_tstat"])
+    out = as_of(df, _sadf(picked, F.col("y"), "sadf_log_tstat", window, least, lags, constant, trend).drop("y"), ["sadf_log_tstat"])
     out = out.withColumn("sadf_log_tstat", F.coalesce("sadf_log_tstat", F.lit(0.0))).withColumn("sadf_log_crit", F.lit(critical))
     return out.withColumn("sadf_log_break", flag((F.col("sadf_log_tstat") != 0) & (F.col("sadf_log_tstat") > F.col("sadf_log_crit"))))
 
 
-def sadf_sequence(df: DataFrame, window: int = 60, least: int = 12) -> DataFrame:
-    """Supremum ADF without constant or lags at each bar over the last `window` closes."""
-    return sliding(df, F.col("close"), window, {"sadf": lambda w: np.array([K.sadf(x, least) for x in w])})
+def sadf_sequence(df: DataFrame, window: int | None = None, least: int = 12) -> DataFrame:
+    """Supremum ADF without constant or lags at each bar over all starts from the beginning, or with `window` over the
+    last closes only."""
+    return _sadf(df, F.col("close"), "sadf", window, least)
+
+
+def _sadf(df: DataFrame, value: Column, name: str, window: int | None, least: int, lags: int = 0, constant: bool = False, trend: bool = False) -> DataFrame:
+    if window is not None:
+        return sliding(df, value, window, {name: lambda w: np.array([K.sadf(x, least, lags, constant, trend) for x in w])})
+    return over_past(df, value, [name], lambda y, first: [K.sadf_ends(y, first, least, lags, constant, trend)], rows=512)

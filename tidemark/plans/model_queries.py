@@ -67,12 +67,13 @@ _LISTS = f"(SELECT *, list_min(xs) AS mn, list_max(xs) AS mx FROM (SELECT symbol
 register("range_entropy", hourly(R.range_entropy, n=48), KEYS, ("price_range_entropy_w48",), f"SELECT symbol, time, CASE WHEN len(xs) >= 12 THEN -list_sum(list_transform(list_filter({_BINS(9)}, lambda p: p > 0), lambda p: p * log2(p))) END AS price_range_entropy_w48 FROM {_LISTS}", (BARS, H1, H1N))
 register("renyi_entropies", lambda s, d: R.renyi_entropies(B.bars(s, d, "1 hour"), 48).withColumnsRenamed({"renyi_entropy_q0.5": "half", "renyi_entropy_q2.0": "two"}), KEYS, ("half", "two"), f"SELECT symbol, time, CASE WHEN len(xs) >= 48 THEN ln(list_sum(list_transform(ps, lambda p: sqrt(p)))) / 0.5 END AS half, CASE WHEN len(xs) >= 48 THEN -ln(list_sum(list_transform(ps, lambda p: p * p))) END AS two FROM (SELECT *, {_BINS(10)} AS ps FROM {_LISTS})", (BARS, H1, H1N))
 register("complexity", hourly(R.complexity, n=60, every=12), KEYS, ("apen_w60", "sampen_w60", "lz76_w60"))
-register("sadf_events", on_bars(R.sadf_events, every=48, window=24, least=10), (*KEYS, "sadf_log_break"), ("sadf_log_tstat", "sadf_log_crit"))
+register("sadf_events", on_bars(R.sadf_events), (*KEYS, "sadf_log_break"), ("sadf_log_tstat", "sadf_log_crit"))
 register("sadf_sequence", hourly(R.sadf_sequence, window=40, least=12), KEYS, ("sadf",), """
 SELECT e.symbol, e.time, max(t) AS sadf FROM (SELECT symbol, time, rn FROM h) e LEFT JOIN (
   SELECT symbol, rn, s, (sxy / sxx) / sqrt((syy - sxy * sxy / sxx) / (n - 1) / sxx) AS t FROM (
     SELECT e.symbol, e.rn, s.k AS s, count(*) AS n, sum(q.x * q.d) AS sxy, sum(q.x * q.x) AS sxx, sum(q.d * q.d) AS syy FROM h e JOIN range(0, 29) s(k) ON e.rn >= 40
       JOIN (SELECT symbol, rn, close - ch AS x, ch AS d FROM h WHERE ch IS NOT NULL) q ON q.symbol = e.symbol AND q.rn > e.rn - 39 + s.k AND q.rn <= e.rn GROUP BY ALL)) x ON x.symbol = e.symbol AND x.rn = e.rn GROUP BY ALL""", (BARS, H1, H1N), digits=5)
+register("sadf_sequence_whole", on_bars(R.sadf_sequence), KEYS, ("sadf",), digits=5)
 
 # simulators ---------------------------------------------------------------------------------------------------------
 SIM = ("symbol", "time", "side")
