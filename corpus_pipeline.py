@@ -7,12 +7,12 @@ stages with brute force.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import arrow_rows, read, written
-from tidemark.llm.exact_dedup import exact_dedup
-from tidemark.llm.jaccard import jaccard_join
+from tidemark.llm.exact_dedup import exact_dedup, text_sha256
+from tidemark.llm.jaccard import jaccard_join, text_key
 from tidemark.llm.mixing import WEIGHTS, mix_sources
 from tidemark.llm.pieces_codec import piece_encode
 from tidemark.llm.quality import quality_filter
@@ -21,11 +21,11 @@ from tidemark.llm.quality import quality_filter
 SHARE = 0.9
 
 
-def _keep(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Rows of docs whose id is in chosen; those without an id are there if chosen has one such row."""
-    known = docs.join(chosen.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    any_null = F.broadcast(chosen.filter("doc_id IS NULL").limit(1).select(F.lit(1)))  # at most one row
-    return known.unionAll(docs.filter("doc_id IS NULL").crossJoin(any_null).select(*docs.columns))
+def _keep(docs: DataFrame, key: Column, chosen: DataFrame, chosen_key: str) -> DataFrame:
+    """Rows of docs whose id and text (by its key) are in chosen; a missing id is a value like others."""
+    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col(chosen_key).alias("_of"))
+    keyed = docs.withColumn("_key", key)
+    return keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of")), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,16 +35,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z folded) the smallest doc_id stays; of rows that repeat it with equal text, one."""
+    """Of equal texts (A-Z folded) the smallest doc_id stays; of rows that repeat it with equal text, or that have no id
+    anywhere, one."""
     arrow_rows(spark)
-    kept = exact_dedup(docs, keep="smallest").filter("kept").select("doc_id")
-    return _keep(docs, kept).dropDuplicates(["doc_id"])
+    kept = exact_dedup(docs, keep="smallest").filter("kept")
+    return _keep(docs, text_sha256(F.col("text")), kept, "text_sha256").dropDuplicates(["_key"]).drop("_key")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the smallest doc_id stays."""
+    """Of each component of linked documents the smallest doc_id stays, with all texts that it has there; documents without
+    an id stay where no linked one has an id."""
     arrow_rows(spark)
-    return _keep(docs, jaccard_join(docs).filter("doc_id <=> component_id"))
+    return _keep(docs, text_key(F.col("text")), jaccard_join(docs, keyed=True).filter("doc_id <=> component_id"), "text_key").drop("_key")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

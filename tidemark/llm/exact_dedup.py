@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import string
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import arrow_rows, read
@@ -23,6 +24,11 @@ def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(texts, pa.binary()), pa.array(hashes, pa.binary()), pa.array(sha, pa.string())], names=["id", "body", "hash", "sha"])
 
 
+def text_sha256(text: Column) -> Column:
+    """The text_sha256 of exact_dedup."""
+    return F.sha2(F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase), 256)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
     """One row per row of docs: its id, keep_id, group_size, kept, text_sha256.
 

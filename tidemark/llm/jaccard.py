@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import arrow_rows, buckets, read, written
@@ -80,7 +80,8 @@ def _sizes(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             grams, bounds = shingle_sets(piece, n)
-            yield pa.RecordBatch.from_arrays([piece.rows.column(0), pa.array(np.diff(bounds), pa.int64()), pa.array(class_keys(grams, bounds), pa.int64())], names=["id", "n_shingles", "class"])
+            key = piece.rows.column(piece.rows.schema.get_field_index("text_key"))
+            yield pa.RecordBatch.from_arrays([piece.rows.column(0), key, pa.array(np.diff(bounds), pa.int64()), pa.array(class_keys(grams, bounds), pa.int64())], names=["id", "text_key", "n_shingles", "class"])
 
     return run
 
@@ -316,8 +317,13 @@ def _cluster_links(table: pa.Table, percent: int) -> pa.Table:
     return pa.table({k: pa.array([x[i] for x in out], pa.int64()) for i, k in enumerate(("class", "root", "links"))})
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """One row per row of docs: id, n_shingles, component_id, n_links.
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text where ids are missing or repeated."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, block: int = BLOCK, keyed: bool = False) -> DataFrame:
+    """One row per row of docs: id, n_shingles, component_id, n_links; keyed: also text_key, which with the id names the text.
 
     Texts are lower-cased (A-Z) and cut into words; a text's set is its distinct n-grams of `words` words (a shorter
     text: all its words as one). Rows link when 100 * intersection >= percent * union; component_id is the smallest id
@@ -330,8 +336,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     n = buckets(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    sizes = written(rows.mapInArrow(_sizes(words), "id long, n_shingles long, class long"), "sizes")
-    classes = sizes.filter("n_shingles > 0").groupBy("class", "n_shingles").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("weight"))
+    whose = rows.withColumn("text_key", text_key(F.col("text")))
+    sizes = written(whose.mapInArrow(_sizes(words), "id long, text_key binary, n_shingles long, class long"), "sizes")
+    first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "text_key"))  # the row whose text stands for a class
+    classes = sizes.filter("n_shingles > 0").groupBy("class", "n_shingles").agg(first.alias("first"), F.count(F.lit(1)).alias("weight"))
+    classes = classes.select("class", "n_shingles", F.col("first.id").alias("head"), F.col("first.text_key").alias("head_key"), "weight")
     prefixes = rows.mapInArrow(_prefix_rows(n, words, percent), "bucket int, data binary")
     shared = prefixes.groupBy("bucket").applyInArrow(_shared_grams, "class long, data binary")
     shared = shared.groupBy("class").agg(F.collect_list("data").alias("data")).join(classes.select("class", "n_shingles"), "class")
@@ -340,13 +349,13 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members = connected_components(edges).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
     counts = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
     members = members.join(counts, "cluster").join(classes, "class")
-    members = written(members.select("class", "cluster", "parts", "head", "weight"), "members")
+    members = written(members.select("class", "cluster", "parts", "head", "head_key", "weight"), "members")
     part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("class"), F.col("parts"))).otherwise(0).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     placed = members.withColumn("part", part).withColumn("other", other)
     pair = F.concat_ws(":", F.least("part", "other"), F.greatest("part", "other"))
     place = F.when(F.col("parts") > 1, F.concat_ws(":", "cluster", pair)).otherwise(F.concat_ws(":", F.pmod(F.xxhash64("cluster"), F.lit(4 * n)), F.lit("0:0")))
-    found = members.select("head", "class").join(rows.hint("merge"), F.col("head") == F.col("id")).dropDuplicates(["class"]).select("class", "text")
+    found = members.select("head", "head_key", "class").join(whose.hint("merge"), F.col("head").eqNullSafe(F.col("id")) & (F.col("head_key") == F.col("text_key"))).dropDuplicates(["class"]).select("class", "text")
     full = placed.select("class", "cluster", "weight", "part", place.alias("place")).join(found.hint("merge"), "class")
     sets = full.select("place", "part", "cluster", "class", "weight", "text").mapInArrow(_full_sets(words), "place string, part int, cluster long, class long, weight long, grams binary")
     links = written(sets.groupBy("place").applyInArrow(lambda t: _cluster_links(t, percent), "class long, root long, links long"), "links")
@@ -357,7 +366,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = heads.join(least, "component").join(degrees, "class", "left").select("class", "component_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = sizes.join(known, "class", "left")
     empty = F.col("n_shingles") == 0
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(empty, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, 0).otherwise(F.col("n_links")).cast("bigint").alias("n_links"))
+    return out.select(F.col("id").alias(id_col), *(["text_key"] if keyed else []), "n_shingles", F.when(empty, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, 0).otherwise(F.col("n_links")).cast("bigint").alias("n_links"))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
