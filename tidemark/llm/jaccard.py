@@ -7,8 +7,8 @@
    one are candidates, and their connected components are the clusters.
 4. In each cluster the sets, ordered from the rarest n-gram to the commonest, form a trie. All members walk it at once:
    a node holds the overlap of its path with every member, which its children share, and a subtree is left when no
-   member can reach the threshold with what remains. A cluster that is too large for one task is joined by pairs of
-   blocks.
+   member can reach the threshold with what remains. In a cluster that is too large for one task, sets are dealt by
+   size: linked ones are of the same or of neighbouring size levels, so only blocks of those are joined in pairs.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm._common import arrow_rows, buckets, read, written
@@ -27,8 +28,8 @@ from tidemark.llm.components import connected_components
 
 WORDS, PERCENT = 5, 80
 CHUNK = 16 << 20
-#: Members of a cluster that one task joins; larger clusters are joined by pairs of blocks of this size.
-BLOCK = 1024
+#: Sets, and n-grams in them, that one task takes of a cluster; larger clusters are joined by pairs of such blocks.
+BLOCK, BLOCK_GRAMS = 1024, 4 << 20
 
 
 def spare(n: np.ndarray) -> np.ndarray:
@@ -206,16 +207,54 @@ def _stars(table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
 
+_SET = ("cluster", "class", "weight", "cells")
+_SET_DDL = "cluster long, class long, weight long, cells array<struct<place:string,part:string>>"
+
+
 def _full_sets(words: int):
+    """The set of each text, once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces(batches):
             grams, bounds = shingle_sets(piece, words)
             sets = [grams[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*(piece.rows.column(piece.rows.schema.get_field_index(k)) for k in ("place", "part", "cluster", "class", "weight")), pa.array(sets, pa.binary())], names=["place", "part", "cluster", "class", "weight", "grams"])
+            yield pa.RecordBatch.from_arrays([*(piece.rows.column(piece.rows.schema.get_field_index(k)) for k in _SET), pa.array(sets, pa.binary())], names=[*_SET, "grams"])
 
     return run
 
 
+def _with_cells(members: DataFrame, n: int, percent: int, block: int) -> DataFrame:
+    """members (class, cluster, n_shingles, ...) with cells: the places where each is joined, and its part there.
+
+    A size level spans a factor of 100 / percent (a little more, so that rounding cannot part linked sets): linked sets
+    are at most one level apart. Levels are cut into parts, and a part meets the parts of its own and both neighbouring
+    levels. Clusters that fit one task are packed together.
+    """
+    level = F.floor(F.log(100 / percent * 1.001, F.col("n_shingles"))).cast("int")
+    members = members.withColumn("level", level)
+    by, all_ = W.partitionBy("cluster").orderBy("level"), W.partitionBy("cluster")
+    sizes = members.groupBy("cluster", "level").agg(F.count(F.lit(1)).alias("count"), F.sum("n_shingles").alias("grams"))
+    sizes = sizes.withColumn("parts", F.ceil(F.greatest(F.col("count") / block, F.col("grams") / BLOCK_GRAMS)).cast("int"))
+    beside = lambda f: F.coalesce(F.when(F.abs(f("level").over(by) - F.col("level")) == 1, f("parts").over(by)), F.lit(0))
+    large = (F.sum("count").over(all_) > block) | (F.sum("grams").over(all_) > BLOCK_GRAMS)
+    sizes = sizes.select("cluster", "level", "parts", beside(F.lag).alias("below"), beside(F.lead).alias("above"), large.alias("large"))
+    part = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
+    name = lambda level, part: F.concat_ws(".", level, part)
+    own = name(F.col("level"), F.col("part"))
+
+    def cells(parts: Column, first, second) -> Column:
+        numbers = F.when(parts > 0, F.sequence(F.lit(0), parts - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda q: F.struct(F.concat_ws(":", "cluster", first(q), second(q)).alias("place"), own.alias("part")))
+
+    here = F.col("level")
+    same = cells(F.col("parts"), lambda q: name(here, F.least("part", q)), lambda q: name(here, F.greatest("part", q)))
+    above = cells(F.col("above"), lambda q: own, lambda q: name(here + 1, q))
+    below = cells(F.col("below"), lambda q: name(here - 1, q), lambda q: own)
+    packed = F.array(F.struct(F.concat_ws(":", F.pmod(F.xxhash64("cluster"), F.lit(4 * n)), F.lit("0:0")).alias("place"), F.lit("0").alias("part")))
+    joined = members.join(sizes, ["cluster", "level"]).withColumn("part", part)
+    return joined.withColumn("cells", F.when(F.col("large"), F.concat(same, above, below)).otherwise(packed)).drop("level", "parts", "below", "above", "large", "part")
+
+
 class PrefixTree:
     """A trie over sets (each in the order of rare n-grams first) that all probes walk together."""
 
@@ -278,7 +317,7 @@ class PrefixTree:
                 lo = after
 
 
-def join_sets(keys: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], parts: np.ndarray, pair: tuple[int, int], percent: int) -> list[tuple[int, int, int]]:
+def join_sets(keys: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], parts: np.ndarray, pair: tuple[str, str], percent: int) -> list[tuple[int, int, int]]:
     """(class, smallest class of its component here, weight of its links) over the members of one cluster.
 
     pair: the two blocks whose members are joined; members of one block are joined with each other where both are equal.
@@ -304,7 +343,7 @@ def join_sets(keys: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], par
 
 def _cluster_links(table: pa.Table, percent: int) -> pa.Table:
     clusters = table["cluster"].to_numpy()
-    keys, weights, parts = table["class"].to_numpy(), table["weight"].to_numpy(), table["part"].to_numpy()
+    keys, weights, parts = table["class"].to_numpy(), table["weight"].to_numpy(), np.array(table["part"].to_pylist())
     pairs = table["place"].to_pylist()[0].split(":")
     sets = [np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist()]
     order = np.lexsort((keys, clusters))
@@ -313,7 +352,7 @@ def _cluster_links(table: pa.Table, percent: int) -> pa.Table:
     for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
         mine = order[a:b]
         if b - a > 1:
-            out += join_sets(keys[mine], weights[mine], [sets[i] for i in mine], parts[mine], (int(pairs[-2]), int(pairs[-1])), percent)
+            out += join_sets(keys[mine], weights[mine], [sets[i] for i in mine], parts[mine], (pairs[-2], pairs[-1]), percent)
     return pa.table({k: pa.array([x[i] for x in out], pa.int64()) for i, k in enumerate(("class", "root", "links"))})
 
 
@@ -333,9 +372,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     and rows that repeat an id link with each other. Null ids are left out of component_id's minimum. Ids must be
     integers; other columns are ignored; an empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    n = buckets(spark)
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    n = buckets(rows)
     whose = rows.withColumn("text_key", text_key(F.col("text")))
     sizes = written(whose.mapInArrow(_sizes(words), "id long, text_key binary, n_shingles long, class long"), "sizes")
     first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "text_key"))  # the row whose text stands for a class
@@ -347,17 +385,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept = shared.select("class", "n_shingles", "data").mapInArrow(_kept_grams(n, percent), "bucket int, data binary")
     edges = kept.groupBy("bucket").applyInArrow(_stars, "a long, b long")
     members = connected_components(edges).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
-    counts = members.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("parts"))
-    members = members.join(counts, "cluster").join(classes, "class")
-    members = written(members.select("class", "cluster", "parts", "head", "head_key", "weight"), "members")
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("class"), F.col("parts"))).otherwise(0).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    placed = members.withColumn("part", part).withColumn("other", other)
-    pair = F.concat_ws(":", F.least("part", "other"), F.greatest("part", "other"))
-    place = F.when(F.col("parts") > 1, F.concat_ws(":", "cluster", pair)).otherwise(F.concat_ws(":", F.pmod(F.xxhash64("cluster"), F.lit(4 * n)), F.lit("0:0")))
-    found = members.select("head", "head_key", "class").join(whose.hint("merge"), F.col("head").eqNullSafe(F.col("id")) & (F.col("head_key") == F.col("text_key"))).dropDuplicates(["class"]).select("class", "text")
-    full = placed.select("class", "cluster", "weight", "part", place.alias("place")).join(found.hint("merge"), "class")
-    sets = full.select("place", "part", "cluster", "class", "weight", "text").mapInArrow(_full_sets(words), "place string, part int, cluster long, class long, weight long, grams binary")
+    members = written(members.join(classes, "class"), "members")
+    placed = _with_cells(members, n, percent, block)
+    found = placed.join(whose.hint("merge"), F.col("head").eqNullSafe(F.col("id")) & (F.col("head_key") == F.col("text_key"))).dropDuplicates(["class"])
+    sets = found.select(*_SET, "text").mapInArrow(_full_sets(words), f"{_SET_DDL}, grams binary")
+    sets = sets.select("*", F.explode("cells").alias("cell")).select("cell.*", "cluster", "class", "weight", "grams")
     links = written(sets.groupBy("place").applyInArrow(lambda t: _cluster_links(t, percent), "class long, root long, links long"), "links")
     degrees = links.groupBy("class").agg(F.sum("links").alias("links"))
     joined = connected_components(links.select(F.col("class").alias("a"), F.col("root").alias("b")))

@@ -240,7 +240,7 @@ class Model:
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
     """Counts pairs over all rows of docs and writes the model's arrays to the shared folder."""
     spark = docs.sparkSession
-    n, folder = min(buckets(spark), 1 << 16), fresh(spark, "bigrams")
+    n, folder = min(buckets(docs, text_col), 1 << 16), fresh(spark, "bigrams")
     rows = docs.select(F.col(text_col).alias("text"))
     counted = rows.mapInArrow(_pair_counts(n), "bucket int, data binary")
     merged = counted.groupBy("bucket").applyInArrow(_histories(n, folder), _ROW_DDL)

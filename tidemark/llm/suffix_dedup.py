@@ -406,7 +406,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     length must be over ANCHOR and at most 127 + ANCHOR; cutting bytes may split a character, hence kept is binary.
     """
     spark = docs.sparkSession
-    parts = buckets(spark)
+    parts = buckets(docs, text_col)
     n, ranges = parts * 2, max(8, parts // 2)
     rows = docs.select(*_doc_key(id_col, text_col))
     dealt = rows.mapInArrow(_anchor_rows(ranges, length), "bucket int, kind int, data binary")
