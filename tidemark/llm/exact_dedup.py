@@ -2,31 +2,22 @@
 
 from __future__ import annotations
 
-import hashlib
 import string
-from collections.abc import Iterator
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm._common import arrow_rows, read
+from tidemark.llm._common import read
 
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
-
-def _normalised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the lower-cased (A-Z only) bytes, their 128-bit hash and their SHA-256."""
-    for rows in batches:
-        texts = [(x or "").encode().translate(_LOWER) for x in rows.column(1).to_pylist()]
-        hashes = [hashlib.blake2b(x, digest_size=16).digest() for x in texts]
-        sha = [hashlib.sha256(x).hexdigest() for x in texts]
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(texts, pa.binary()), pa.array(hashes, pa.binary()), pa.array(sha, pa.string())], names=["id", "body", "hash", "sha"])
+def normalised(text: Column) -> Column:
+    """The text with A-Z lower-cased; null counts as empty."""
+    return F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
 
 
 def text_sha256(text: Column) -> Column:
     """The text_sha256 of exact_dedup."""
-    return F.sha2(F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase), 256)
+    return F.sha2(normalised(text), 256)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
@@ -40,9 +31,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     only, keep_id is null and all are kept. Rows that repeat an id with equal text share its verdict. Other columns
     are ignored. An empty table gives an empty result.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("body"))
-    rows = rows.mapInArrow(_normalised, f"id {kind}, body binary, hash binary, sha string")
+    rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("body"))
+    rows = rows.select("id", "body", F.unhex(F.md5("body")).alias("hash"), F.sha2("body", 256).alias("sha"))
     best = F.min("id") if keep == "smallest" else F.max("id")
     groups = rows.groupBy("hash", "sha", "body").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.select(F.col("hash").alias("of_hash"), F.col("sha").alias("of_sha"), "keep_id", "group_size")
@@ -51,7 +41,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    arrow_rows(spark)
     return exact_dedup(read(spark, sf_dir, "documents"), keep="largest")
 
 
