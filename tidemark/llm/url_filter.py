@@ -13,7 +13,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules up to this number travel to all executors; more are joined by a shuffle.
 BROADCAST_RULES = 100_000
 #: Query parameters that do not choose another page.
-TRACKING = r"(utm_[a-z]+|ref|fbclid|gclid)=[^&#]*"
+TRACKING = "^(utm_[a-z]+|ref|fbclid|gclid)="
 
 
 def host_of(url: Column) -> Column:
@@ -25,10 +25,11 @@ def path_of(url: Column) -> Column:
 
 
 def canonical(url: Column) -> Column:
-    """The URL without its fragment and tracking parameters, which name the same page."""
-    bare = F.regexp_replace(url, "#.*$", "")
-    bare = F.regexp_replace(bare, rf"([?&]){TRACKING}(?=&|$)", "$1")
-    return F.regexp_replace(bare, r"[?&]+$", "")
+    """The URL without its fragment, tracking and empty parameters, which name the same page."""
+    bare = F.substring_index(url, "#", 1)
+    page = F.substring_index(bare, "?", 1)
+    query = F.filter(F.split(F.substr(bare, F.char_length(page) + 2), "&"), lambda p: (p != "") & ~p.rlike(TRACKING))
+    return F.concat(page, F.when(F.size(query) > 0, F.concat(F.lit("?"), F.array_join(query, "&"))).otherwise(""))
 
 
 def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -64,8 +65,9 @@ def url_filter(pages: DataFrame, rules: list[tuple[str, str, str]], extra_edges:
     of its component over canonical-link, refresh, tracking-free and extra (a, b) redirect edges; else default holds.
     So an explicit allow always wins over a propagated block.
 
-    Null, empty or scheme-less URLs have empty host and path, fit no rule and get default. Repeated URLs and rows share
-    one verdict. Rules of equal length: the longer host wins. Other columns are ignored.
+    Null, empty or scheme-less URLs have empty host and path, fit no rule and get default. Null html declares nothing.
+    Repeated URLs and rows share one verdict; null and repeated ids are kept as they are. Rules of equal length: the
+    longer host wins. Other columns are ignored. An empty table gives an empty result.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
@@ -90,9 +92,14 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RULE_ROWS = ", ".join(f"('{v}', '{h}', '{p}', '{h}{p}')" for v, h, p in RULES)
 OP9_SQL = rf"""
 WITH RECURSIVE rules(v, rh, rp, rule) AS (VALUES {_RULE_ROWS}),
-bare AS (SELECT url, html, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''),
-           '([?&])((utm_[a-z]+|ref|fbclid|gclid)=[^&#]*)', '\1', 'g'), '[?&]+$', '') AS c FROM pages),
-edges AS (SELECT DISTINCT url AS a, c AS b FROM bare WHERE url <> c AND c LIKE '%://%'),
+cut AS (SELECT DISTINCT url, split_part(split_part(url, '#', 1), '?', 1) AS page,
+          list_filter(string_split(substr(split_part(url, '#', 1), length(split_part(split_part(url, '#', 1), '?', 1)) + 2), '&'),
+            lambda p: p <> '' AND NOT regexp_matches(p, '{TRACKING}')) AS params FROM pages WHERE url IS NOT NULL),
+declared AS (SELECT url, regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical["'']?[^>]*>') AS tag,
+          regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh["'']?[^>]*\burl\s*=\s*[''"]?([^"''>\s]*)', 1) AS refresh FROM pages),
+targets AS (SELECT url AS a, page || CASE WHEN len(params) > 0 THEN '?' || array_to_string(params, '&') ELSE '' END AS b FROM cut
+          UNION SELECT url, regexp_extract(tag, '(?i)\bhref\s*=\s*["'']([^"''>]*)["'']', 1) FROM declared UNION SELECT url, refresh FROM declared),
+edges AS (SELECT a, b FROM targets WHERE a <> b AND b LIKE '%://%'),
 both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
 urls AS (SELECT DISTINCT url FROM pages UNION SELECT b FROM edges),
 parts AS (SELECT url, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
