@@ -208,28 +208,9 @@ def test_viterbi_finds_the_best_sum():
             assert sum(model.pieces[int(x)].score for x in i[f]) == pytest.approx(best(s), rel=1e-5)
 
 
-def test_mixing(spark):
-    r = random.Random(9)
-    docs = table(spark, [(i, "w " * r.randint(0, 30)) for i in range(400)] + [(1, "w w"), (None, "w")])
-    for share, epochs in ((0.5, 1), (1.6, 3), (0.9, 2)):
-        rows = mixing.mixed(docs, share, weights=mixing.WEIGHTS, max_epochs=epochs).select("doc_id", "domain", "lang", "source", "leaf_budget", "copies", mixing.word_count(mixing.F.col("text")).alias("n")).collect()
-        leaves = {}
-        for x in rows:
-            leaves.setdefault((x["domain"], x["lang"], x["source"]), []).append(x)
-        budgets = mixing.allocate(mixing.tree_of([(k, sum(x["n"] for x in v)) for k, v in leaves.items()]), share * sum(x["n"] for x in rows), mixing.WEIGHTS, epochs)
-        for k, v in leaves.items():
-            total, budget = sum(x["n"] for x in v), v[0]["leaf_budget"]
-            assert budget == int(budgets[k] + 1e-6)
-            whole, rest = divmod(budget, total) if total else (0, 0)
-            order = dict(spark.createDataFrame([(x["doc_id"],) for x in v], "id long").distinct().select("id", mixing._order(mixing.F.col("id"), mixing.SEED, mixing.F.lit(whole))).collect())
-            for x in v:
-                upto = sum(y["n"] for y in v if order[y["doc_id"]] <= order[x["doc_id"]])
-                assert x["copies"] == whole + (rest > 0 and upto <= rest)
-
-
 def test_fill_shares_out_shortages():
     assert mixing.fill([1, 1, 2], [10, 100, 100], 60) == pytest.approx([10, 50 / 3, 100 / 3])
-    assert mixing.fill([1, 0], [10, 100], 30) == pytest.approx([10, 20])
+    assert mixing.fill([1, 0], [10, 100], 30) == pytest.approx([10, 0])  # a weight of 0 leaves a part out
     leaves = [(("a", "x"), 10), (("a", "y"), 100), (("b", "x"), 100)]
     budget = mixing.allocate(mixing.tree_of(leaves), 120, {}, 1)
     assert budget == pytest.approx({("a", "x"): 10, ("a", "y"): 50, ("b", "x"): 60})
