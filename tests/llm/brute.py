@@ -84,34 +84,37 @@ def pii(text):
     return [sum(s[0] == k for s in spans) for k in PII] + [hashlib.sha256(",".join("%s:%d:%d" % s for s in spans).encode()).hexdigest()]
 
 
-def lm(rows, discounts):
+def lm(rows, discounts, order=2):
     tokens = {i: [*words(t), "</s>"] for i, t in rows}
     train = [i for i in tokens if zlib.crc32(str(i).encode()) % 7 != 2]
-    uni, pairs = Counter(), Counter()
+    uni = Counter(w for i in train for w in tokens[i])
+    grams = {order: Counter()}
     for i in train:
-        uni.update(tokens[i])
-        pairs.update(zip(["<s>"] + tokens[i][:-1], tokens[i]))
+        padded = ["<s>"] * (order - 1) + tokens[i]
+        grams[order].update(tuple(padded[k : k + order]) for k in range(len(tokens[i])))
+    for n in range(order - 1, 0, -1):
+        grams[n] = Counter(g[1:] for g in grams[n + 1])
     total, types = sum(uni.values()), len(uni)
-    past, kinds, follow = Counter(), defaultdict(lambda: [0, 0, 0]), Counter()
-    for (h, w), c in pairs.items():
-        past[h] += c
-        kinds[h][min(c, 3) - 1] += 1
-        follow[w] += 1
-    of = lambda cs: [sum(c == k for c in cs) for k in (1, 2, 3, 4)]
-    d, u = discounts(of(list(pairs.values()))), discounts(of(list(follow.values())))
-    k = [sum(c == 1 for c in follow.values()), sum(c == 2 for c in follow.values()), sum(c > 2 for c in follow.values())]
-    rest = sum(u[j + 1] * k[j] for j in range(3)) / len(pairs)
+    d = {n: discounts([sum(c == k for c in g.values()) for k in (1, 2, 3, 4)]) for n, g in grams.items()}
+    after = {n: defaultdict(list) for n in grams}
+    for n, g in grams.items():
+        for x, c in g.items():
+            after[n][x[:-1]].append(c)
+
+    def probability(n, history, w):
+        if n == 0:
+            return 1 / (types + 1)
+        counts = after[n].get(history)
+        if not counts:
+            return probability(n - 1, history[1:], w)
+        c = grams[n][(*history, w)]
+        rest = sum(d[n][min(x, 3)] for x in counts) / sum(counts)
+        return max(c - d[n][min(c, 3)], 0) / sum(counts) + rest * probability(n - 1, history[1:], w)
+
     out = {}
     for i, ts in tokens.items():
-        base = score = 0.0
-        before = "<s>"
-        for w in ts:
-            base += math.log10((uni[w] + 1) / (total + types + 1))
-            p = max(follow[w] - u[min(follow[w], 3)], 0) / len(pairs) + rest / (types + 1)
-            if past[before]:
-                c = pairs[before, w]
-                p = max(c - d[min(c, 3)], 0) / past[before] + sum(d[j + 1] * kinds[before][j] for j in range(3)) / past[before] * p
-            score += math.log10(p)
-            before = w
+        padded = ["<s>"] * (order - 1) + ts
+        base = sum(math.log10((uni[w] + 1) / (total + types + 1)) for w in ts)
+        score = sum(math.log10(probability(order, tuple(padded[k : k + order - 1]), w)) for k, w in enumerate(ts))
         out[i] = (i not in train, len(ts), sum(uni[w] > 0 for w in ts), total, base, score)
     return out

@@ -1,14 +1,16 @@
-"""Interpolated modified Kneser-Ney bigram model: counted in Spark, kept as sorted hash arrays, memory-mapped to score.
+"""Interpolated modified Kneser-Ney n-gram model: counted in Spark, kept as sorted hash arrays, memory-mapped to score.
 
-Words and word pairs are known by 64-bit hashes. A pair's hash starts with the first 16 bits of its history's, so one
-hash range holds a history with all that follows it, and each range is a file of its own in the shared folder. Workers
-map the files and look up sorted batches of distinct words and pairs, so only the pages they need are read.
+Words and n-grams are known by 64-bit hashes. The hash of an n-gram or history starts with the first bits of its last
+history word, so one hash range holds all n-grams of all orders around that word: one shuffle is enough for all levels.
+Each range is a file in the shared folder. Workers map a file when they first need it and look up sorted batches of
+distinct n-grams, so only the pages they need are read.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,37 +22,56 @@ from pyspark.sql import functions as F
 from tidemark.llm._common import arrow_rows, buckets, fresh, read, written
 from tidemark.llm._text import Piece, mix, pieces
 
+#: Order of the model of the registered query.
+ORDER = 2
 CHUNK = 32 << 20
+#: Files that a task keeps mapped; each takes one map and one descriptor.
+MAPS = 256
+#: Bits of a history word that choose its range, so the most ranges there can be; the manifest has two rows for each.
+BITS = 18
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0xE6546B64C2B2AE35)
 _LOW48 = np.uint64((1 << 48) - 1)
-_HEAD = np.uint64(0xFFFF << 48)
+_HEAD = np.uint64(((1 << BITS) - 1) << (64 - BITS))
 
 
-def tokens(piece: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the tokens (words in lower case, then END) of each document, of what precedes each, and documents."""
+def tokens(piece: Piece, order: int = ORDER) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """Hashes of the tokens (words in lower case, then END) of each document, of the order - 1 tokens before each (the nearest
+    first, BEGIN before the document), and documents."""
     starts, stops, docs = piece.words()
     words = Piece.spans(piece.sums(lower=True), starts, stops)
     counts = np.bincount(docs, minlength=len(piece)) + 1
     ends = np.cumsum(counts)
     out = np.full(ends[-1], END)
     out[np.arange(len(words)) + docs] = words
-    before = np.empty_like(out)
-    before[1:] = out[:-1]
-    before[ends - counts] = BEGIN
-    return out, before, np.repeat(np.arange(len(piece)), counts)
+    place = np.arange(len(out)) - np.repeat(ends - counts, counts)
+    past = []
+    for k in range(1, order):
+        before = np.full_like(out, BEGIN)
+        before[k:][place[k:] >= k] = out[:-k][place[k:] >= k]
+        past.append(before)
+    return out, past, np.repeat(np.arange(len(piece)), counts)
 
 
-def pair_keys(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return (before & _HEAD) | (mix(mix(before) + (words & _LOW48)) & _LOW48)
+def gram_keys(history: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Of each history with the word after it; of a history with the word before it, too."""
+    return (history & _HEAD) | (mix(mix(history) + (words & _LOW48)) & ~_HEAD)
+
+
+def history_keys(past: list[np.ndarray]) -> list[np.ndarray]:
+    """Keys of the histories of one, two, ... words."""
+    out = [past[0]]
+    for older in past[1:]:
+        out.append(gram_keys(out[-1], older))
+    return out
 
 
 def _range(keys: np.ndarray, n: int) -> np.ndarray:
-    return (((keys >> np.uint64(48)) * np.uint64(n)) >> np.uint64(16)).astype(np.int64)
+    return (((keys >> np.uint64(64 - BITS)) * np.uint64(n)) >> np.uint64(BITS)).astype(np.int64)
 
 
 def _word_range(words: np.ndarray, n: int) -> np.ndarray:
-    """Range of a word by the low 48 bits, which pairs keep of it."""
-    return (((words & _LOW48) >> np.uint64(32)) * np.uint64(n) >> np.uint64(16)).astype(np.int64)
+    """Range of a word by the low 48 bits, which n-grams keep of it."""
+    return (((words & _LOW48) >> np.uint64(48 - BITS)) * np.uint64(n) >> np.uint64(BITS)).astype(np.int64)
 
 
 def _six(x: np.ndarray) -> bytes:
@@ -75,47 +96,67 @@ def _from_small(data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _encode(before: np.ndarray, words: np.ndarray, counts: np.ndarray) -> bytes:
-    """Rows in the order of before: runs of it, then words and counts."""
-    heads = np.flatnonzero(np.append(True, before[1:] != before[:-1]))
-    runs = _small(np.diff(np.append(heads, len(before))))
-    return np.array([len(heads), len(words), len(runs)], "<u8").tobytes() + before[heads].tobytes() + runs + _six(words) + _small(counts)
+def _heads(*columns: np.ndarray) -> np.ndarray:
+    """Where any of the columns changes, from the first row on."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
 
+def _encode(past: list[np.ndarray], words: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rows in the order of their histories: runs of the nearest word, in them runs of the older ones (six bytes each), then
+    words and counts."""
+    inner = _heads(*past)
+    outer = _heads(past[0][inner])
+    sizes = [_small(np.diff(np.append(outer, len(inner)))), _small(np.diff(np.append(inner, len(words))))]
+    numbers = np.array([len(outer), len(inner), len(words), *map(len, sizes)], "<u8")
+    return b"".join([numbers.tobytes(), past[0][inner][outer].tobytes(), *sizes, *(_six(x[inner]) for x in past[1:]), _six(words), _small(counts)])
 
-def _decode(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    k, n, size = (int(x) for x in np.frombuffer(data, "<u8", 3))
-    heads = np.frombuffer(data, "<u8", k, 24)
-    at = 24 + 8 * k
-    runs = _from_small(data[at : at + size], k)
-    at += size
-    return np.repeat(heads, runs), _from_six(data[at : at + 6 * n]), _from_small(data[at + 6 * n :], n)
 
+def _decode(data: bytes, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    j, k, n, a, b = (int(x) for x in np.frombuffer(data, "<u8", 5))
+    nearest, at = np.frombuffer(data, "<u8", j, 40), 40 + 8 * j
+    outer, inner = _from_small(data[at : at + a], j), _from_small(data[at + a : at + a + b], k)
+    at += a + b
+    past = [np.repeat(np.repeat(nearest, outer), inner)]
+    for _ in range(order - 2):
+        past.append(np.repeat(_from_six(data[at : at + 6 * k]), inner))
+        at += 6 * k
+    return past, _from_six(data[at : at + 6 * n]), _from_small(data[at + 6 * n :], n)
 
-def _pair_counts(n: int):
-    """Pairs of each task with their counts, packed by the range of the first word."""
+
+def _unique(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order, a place of each, and the sums of their counts."""
+    order = np.argsort(keys)
+    heads = _heads(keys[order])
+    return keys[order][heads], order[heads], np.add.reduceat(counts[order], heads) if len(heads) else counts
+
+
+def _gram_counts(n: int, order: int):
+    """N-grams of each task with their counts, packed by the range of the last history word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, list[np.ndarray]]] = []
 
         def pack() -> pa.RecordBatch:
-            words, before = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-            keys = pair_keys(before, words)
-            order = np.argsort(keys)
-            heads = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
-            counts = np.diff(np.append(heads, len(order)))
-            at = order[heads]
-            words, before = words[at], before[at]
-            turn = np.argsort(before, kind="stable")
-            words, before, counts = words[turn], before[turn], counts[turn]
-            ranges = _range(before, n)
-            cuts = np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1]))
+            words = np.concatenate([x for x, _ in held])
+            past = [np.concatenate([x[k] for _, x in held]) for k in range(order - 1)]
+            histories = history_keys(past)
+            _, at, counts = _unique(gram_keys(histories[-1], words), np.ones(len(words), np.int64))
+            turn = np.lexsort((histories[-1][at], past[0][at]))
+            at, counts = at[turn], counts[turn]
+            words, past = words[at], [x[at] for x in past]
+            ranges = _range(past[0], n)
+            cuts = _heads(ranges)
             ends = np.append(cuts[1:], len(ranges))
-            return pa.RecordBatch.from_arrays([pa.array(ranges[cuts], pa.int32()), pa.array([_encode(before[a:b], words[a:b], counts[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary())], names=["bucket", "data"])
+            return pa.RecordBatch.from_arrays([pa.array(ranges[cuts], pa.int32()), pa.array([_encode([x[a:b] for x in past], words[a:b], counts[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary())], names=["bucket", "data"])
 
         size = 0
         for piece in pieces(batches):
-            words, before, _ = tokens(piece)
-            held.append((words, before))
+            words, past, _ = tokens(piece, order)
+            held.append((words, past))
             size += len(piece.data) + 100 * len(piece)
             if size >= CHUNK:
                 yield pack()
@@ -134,69 +175,85 @@ def _local(uri: str) -> str:
     return uri
 
 
-def _save(folder: str, **arrays: np.ndarray) -> str:
-    """Writes arrays under a new name; a retried task writes another, and only names in the manifest are read."""
-    path = f"{_local(folder)}/{uuid.uuid4().hex}"
-    os.makedirs(path, exist_ok=True)
-    for k, v in arrays.items():
-        np.save(f"{path}/{k}.npy", v)
-    return path
+def _save(folder: str, arrays: list[np.ndarray]) -> tuple[str, list[int]]:
+    """Writes arrays of 64-bit numbers one after the other under a new name, and how long each is; a retried task writes
+    another file, and only names in the manifest are read."""
+    name = uuid.uuid4().hex
+    os.makedirs(_local(folder), exist_ok=True)
+    np.save(f"{_local(folder)}/{name}.npy", np.concatenate([x.astype(np.uint64).reshape(-1) for x in arrays]))
+    return name, [x.size for x in arrays]
 
 
-_ROW = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("data", pa.binary()), ("path", pa.string()), ("stats", pa.list_(pa.int64()))])
-_ROW_DDL = "bucket int, kind string, data binary, path string, stats array<long>"
+_ROW = pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("data", pa.binary()), ("name", pa.string()), ("sizes", pa.list_(pa.int64())), ("stats", pa.list_(pa.int64()))])
+_ROW_DDL = "bucket int, kind string, data binary, name string, sizes array<long>, stats array<long>"
 
 
 def _of_counts(counts: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist()
 
 
-def _histories(n: int, folder: str):
-    """Merges one range of pairs; writes its arrays, and passes on how many histories each word follows there."""
+def _level(keys: np.ndarray, histories: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """The arrays of one level: n-grams with counts over one, those counts, n-grams that occur once; histories with their
+    totals and how many words follow them once, twice, more often; histories whose total is one."""
+    history, back = np.unique(histories, return_inverse=True)
+    stats = np.zeros((len(history), 4), np.uint64)
+    stats[:, 0] = np.bincount(back, counts, len(history))
+    for i in range(3):
+        stats[:, i + 1] = np.bincount(back, (counts == i + 1) if i < 2 else (counts > 2), len(history))
+    once, lone = counts == 1, stats[:, 0] == 1
+    return [keys[~once], counts[~once], keys[once], history[~lone], stats[~lone], history[lone]]
+
+
+def _histories(n: int, order: int, folder: str):
+    """Merges one range of n-grams; writes the arrays of all levels, and passes on how many histories each word follows there
+    and how often it occurs."""
 
     def run(table: pa.Table) -> pa.Table:
-        parts = [_decode(x) for x in table["data"].to_pylist()]
-        before, words, counts = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        keys = pair_keys(before, words)
-        order = np.argsort(keys)
-        keys, before, words, counts = keys[order], before[order], words[order], counts[order]
-        heads = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        keys, before, words, counts = keys[heads], before[heads], words[heads], np.add.reduceat(counts, heads)
-        history, back = np.unique(before, return_inverse=True)
-        stats = np.zeros((len(history), 4), np.uint64)
-        stats[:, 0] = np.bincount(back, counts)
-        for i in range(3):
-            stats[:, i + 1] = np.bincount(back, (counts == i + 1) if i < 2 else (counts > 2))
-        once, lone = counts == 1, stats[:, 0] == 1
-        path = _save(folder, pairs=keys[~once], counts=counts[~once].astype(np.uint32), singles=keys[once], histories=history[~lone], stats=stats[~lone], lone=history[lone])
-        real = history != BEGIN
-        follows, times = np.unique(words, return_counts=True)
+        parts = [_decode(x, order) for x in table["data"].to_pylist()]
+        past = [np.concatenate([p[0][k] for p in parts]) for k in range(order - 1)]
+        words, counts = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
+        histories = history_keys(past)
+        follows, back = np.unique(words, return_inverse=True)
+        occurs = np.bincount(back, counts).astype(np.int64)
+        total, arrays, of_counts = int(counts.sum()), [], []
+        for k in range(order - 2, -1, -1):
+            keys, at, counts = _unique(gram_keys(histories[k], words), counts)
+            words, histories = words[at], [x[at] for x in histories]
+            arrays = _level(keys, histories[k], counts) + arrays
+            of_counts = _of_counts(counts) + of_counts
+            counts = np.ones(len(words), np.int64)  # lower levels count the different n-grams that end in each
+        times = np.bincount(np.searchsorted(follows, words), minlength=len(follows))
+        name, sizes = _save(folder, arrays)
         ranges = _word_range(follows, n)
-        cuts = np.flatnonzero(np.append(True, ranges[1:] != ranges[:-1]))
+        cuts = _heads(ranges)
         ends = np.append(cuts[1:], len(ranges))
-        rows = [{"bucket": int(table["bucket"][0].as_py()), "kind": "pairs", "path": path, "stats": [int(counts.sum()), int(real.sum()), int(stats[~real, 0].sum()), *_of_counts(counts)]}]
-        rows += [{"bucket": int(ranges[a]), "kind": "follows", "data": np.uint64(b - a).tobytes() + _six(follows[a:b]) + _small(times[a:b])} for a, b in zip(cuts, ends, strict=True)]
+        rows = [{"bucket": int(table["bucket"][0].as_py()), "kind": "grams", "name": name, "sizes": sizes, "stats": [total, *of_counts]}]
+        rows += [{"bucket": int(ranges[a]), "kind": "words", "data": np.uint64(b - a).tobytes() + _six(follows[a:b]) + np.uint64(len(x := _small(times[a:b]))).tobytes() + x + _small(occurs[a:b])} for a, b in zip(cuts, ends, strict=True)]
         return pa.Table.from_pylist(rows, _ROW)
 
     return run
 
 
-def _continuations(folder: str):
+def _word_rows(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    k = int(np.frombuffer(data, "<u8", 1)[0])
+    at = 16 + 6 * k
+    size = int(np.frombuffer(data, "<u8", 1, at - 8)[0])
+    return _from_six(data[8 : at - 8]), _from_small(data[at : at + size], k), _from_small(data[at + size :], k)
+
+
+def _words(folder: str):
     """Adds up one range of words; rows of the step before that name files pass through."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        out = [r | {"data": None} for r in rows if r["kind"] == "pairs"]
-        parts = [r["data"] for r in rows if r["kind"] == "follows"]
+        out = [r for r in rows if r["kind"] == "grams"]
+        parts = [_word_rows(r["data"]) for r in rows if r["kind"] == "words"]
         if parts:
-            sizes = [int(np.frombuffer(x, "<u8", 1)[0]) for x in parts]
-            words = np.concatenate([_from_six(x[8 : 8 + 6 * k]) for x, k in zip(parts, sizes, strict=True)])
-            times = np.concatenate([_from_small(x[8 + 6 * k :], k) for x, k in zip(parts, sizes, strict=True)])
-            words, back = np.unique(words, return_inverse=True)
-            times = np.bincount(back, times).astype(np.int64)
-            several = times > 1
-            path = _save(folder, words=words[several], times=times[several].astype(np.uint32))
-            out.append({"bucket": rows[0]["bucket"], "kind": "words", "data": None, "path": path, "stats": [int(times.sum()), len(words), 0, *_of_counts(times)]})
+            words, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            times, occurs = (np.bincount(back, np.concatenate([p[i] for p in parts])).astype(np.int64) for i in (1, 2))
+            several = occurs > 1
+            name, sizes = _save(folder, [words[several], times[several], occurs[several], words[~several]])
+            out.append({"bucket": rows[0]["bucket"], "kind": "words", "data": None, "name": name, "sizes": sizes, "stats": [int(times.sum()), len(words), *_of_counts(times)]})
         return pa.Table.from_pylist(out, _ROW)
 
     return run
@@ -218,13 +275,14 @@ def discounts(n: list[int]) -> np.ndarray:
 class Model:
     """Where the arrays are and the few numbers about the whole corpus; small enough to go with each task."""
 
+    order: int
     ranges: int
-    pairs: dict[int, str]
-    words: dict[int, str]
+    folder: str
+    files: dict[tuple[str, int], tuple[str, list[int]]]
     train_tokens: int
     types: int
-    documents: int
-    pair_discounts: np.ndarray
+    #: Of each level from two words on, and of the lowest.
+    discounts: list[np.ndarray]
     word_discounts: np.ndarray
     word_counts: list[int]
     pair_types: int
@@ -232,35 +290,50 @@ class Model:
     def spread(self) -> float:
         """Share of the lowest level's mass that goes to all words alike."""
         d, n = self.word_discounts, self.word_counts
-        return float(d[1] * n[0] + d[2] * n[1] + d[3] * (self.word_total - n[0] - n[1])) / max(1, self.pair_types)
+        return float(d[1] * n[0] + d[2] * n[1] + d[3] * (self.types - n[0] - n[1])) / max(1, self.pair_types)
 
-    word_total: int = 0
 
+def fit(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
+    """Counts n-grams over all rows of docs and writes the model's arrays to the shared folder.
 
-def fit(docs: DataFrame, text_col: str = "text") -> Model:
-    """Counts pairs over all rows of docs and writes the model's arrays to the shared folder."""
+    The highest level takes counts, lower ones how many different words come before each n-gram; histories at the start
+    of a text are filled up with BEGIN.
+    """
+    if order < 2:
+        raise ValueError("the model needs an order of two at least")
     spark = docs.sparkSession
-    n, folder = min(buckets(docs, text_col), 1 << 16), fresh(spark, "bigrams")
+    n, folder = min(buckets(docs, text_col), 1 << BITS), fresh(spark, "grams")
     rows = docs.select(F.col(text_col).alias("text"))
-    counted = rows.mapInArrow(_pair_counts(n), "bucket int, data binary")
-    merged = counted.groupBy("bucket").applyInArrow(_histories(n, folder), _ROW_DDL)
-    manifest = written(merged.groupBy("bucket").applyInArrow(_continuations(folder), _ROW_DDL).drop("data"), "manifest").collect()
-    pairs = [r for r in manifest if r["kind"] == "pairs"]
+    counted = rows.mapInArrow(_gram_counts(n, order), "bucket int, data binary")
+    merged = counted.groupBy("bucket").applyInArrow(_histories(n, order, folder), _ROW_DDL)
+    manifest = written(merged.groupBy("bucket").applyInArrow(_words(folder), _ROW_DDL).drop("data"), "manifest").collect()
+    grams = [r for r in manifest if r["kind"] == "grams"]
     words = [r for r in manifest if r["kind"] == "words"]
     add = lambda rows, i: sum(r["stats"][i] for r in rows)
-    documents = add(pairs, 2)
-    word_counts = [add(words, i) for i in range(3, 7)]
-    return Model(n, {r["bucket"]: r["path"] for r in pairs}, {r["bucket"]: r["path"] for r in words}, add(pairs, 0), add(pairs, 1) + (documents > 0), documents, discounts([add(pairs, i) for i in range(3, 7)]), discounts(word_counts), word_counts, add(words, 0), add(words, 1))
+    levels = [discounts([add(grams, 1 + 4 * k + i) for i in range(4)]) for k in range(order - 1)]
+    word_counts = [add(words, i) for i in range(2, 6)]
+    files = {(r["kind"], r["bucket"]): (r["name"], r["sizes"]) for r in manifest}
+    return Model(order, n, folder, files, add(grams, 0), add(words, 1), levels, discounts(word_counts), word_counts, add(words, 0))
 
 
 class Lookup:
-    """Memory-mapped arrays of a model."""
+    """Memory-mapped arrays of a model, each file mapped when first asked for."""
 
     def __init__(self, model: Model):
         self.model = model
-        load = lambda p, k: np.load(f"{p}/{k}.npy", mmap_mode="r")
-        self.pairs = {b: {k: load(p, k) for k in ("pairs", "counts", "singles", "histories", "stats", "lone")} for b, p in model.pairs.items()}
-        self.words = {b: {k: load(p, k) for k in ("words", "times")} for b, p in model.words.items()}
+        self.maps: OrderedDict[tuple[str, int], list[np.ndarray]] = OrderedDict()
+
+    def arrays(self, kind: str, bucket: int) -> list[np.ndarray] | None:
+        key = (kind, bucket)
+        if key not in self.model.files:
+            return None
+        if key not in self.maps:
+            name, sizes = self.model.files[key]
+            self.maps[key] = np.split(np.load(f"{_local(self.model.folder)}/{name}.npy", mmap_mode="r"), np.cumsum(sizes)[:-1])
+            if len(self.maps) > MAPS:
+                self.maps.popitem(last=False)
+        self.maps.move_to_end(key)
+        return self.maps[key]
 
     @staticmethod
     def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,68 +344,64 @@ class Lookup:
         hit = np.flatnonzero(keys[at] == wanted)
         return hit, at[hit]
 
-    def _by_range(self, ranges: np.ndarray) -> Iterator[tuple[int, slice]]:
+    def _by_range(self, kind: str, ranges: np.ndarray) -> Iterator[tuple[list[np.ndarray], slice]]:
         edges = np.searchsorted(ranges, np.arange(self.model.ranges + 1))
         for b in np.unique(ranges).tolist():
-            yield b, slice(int(edges[b]), int(edges[b + 1]))
+            if (arrays := self.arrays(kind, b)) is not None:
+                yield arrays, slice(int(edges[b]), int(edges[b + 1]))
 
-    def history(self, wanted: np.ndarray) -> np.ndarray:
-        """Count of each (sorted) word as a history, and how many words follow it once, twice, more often."""
+    def history(self, level: int, wanted: np.ndarray) -> np.ndarray:
+        """Total of each (sorted) history of level + 1 words, and how many words follow it once, twice, more often."""
         out = np.zeros((len(wanted), 4))
-        for b, s in self._by_range(_range(wanted, self.model.ranges)):
-            if b in self.pairs:
-                part, mine = self.pairs[b], out[s]
-                hit, at = self._find(part["histories"], wanted[s])
-                mine[hit] = part["stats"][at]
-                hit, _ = self._find(part["lone"], wanted[s])
-                mine[hit, :2] = 1
-        return out
-
-    def pair(self, wanted: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(wanted))
-        for b, s in self._by_range(_range(wanted, self.model.ranges)):
-            if b in self.pairs:
-                part, mine = self.pairs[b], out[s]
-                hit, at = self._find(part["pairs"], wanted[s])
-                mine[hit] = part["counts"][at]
-                hit, _ = self._find(part["singles"], wanted[s])
-                mine[hit] = 1
+        for arrays, s in self._by_range("grams", _range(wanted, self.model.ranges)):
+            histories, stats, lone = arrays[6 * level + 3 : 6 * level + 6]
+            mine = out[s]
+            hit, at = self._find(histories, wanted[s])
+            mine[hit] = stats.reshape(-1, 4)[at]
+            hit, _ = self._find(lone, wanted[s])
+            mine[hit, :2] = 1
         return out
 
-    def follows(self, wanted: np.ndarray) -> np.ndarray:
-        """How many histories each word (sorted by its low 48 bits) follows, where over one; else 0."""
+    def gram(self, level: int, wanted: np.ndarray) -> np.ndarray:
         out = np.zeros(len(wanted))
-        for b, s in self._by_range(_word_range(wanted, self.model.ranges)):
-            if b in self.words:
-                hit, at = self._find(self.words[b]["words"], wanted[s])
-                out[s][hit] = self.words[b]["times"][at]
+        for arrays, s in self._by_range("grams", _range(wanted, self.model.ranges)):
+            keys, counts, singles = arrays[6 * level : 6 * level + 3]
+            mine = out[s]
+            hit, at = self._find(keys, wanted[s])
+            mine[hit] = counts[at]
+            hit, _ = self._find(singles, wanted[s])
+            mine[hit] = 1
         return out
 
-    def score(self, words: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Count, base score and model score (log10 of the probability) of each token after the one before it."""
+    def words(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many histories each word (sorted low 48 bits) follows, and how often it occurs."""
+        times, occurs = np.zeros(len(wanted)), np.zeros(len(wanted))
+        for (words, follows, counts, lone), s in self._by_range("words", _word_range(wanted, self.model.ranges)):
+            hit, at = self._find(words, wanted[s])
+            times[s][hit], occurs[s][hit] = follows[at], counts[at]
+            hit, _ = self._find(lone, wanted[s])
+            times[s][hit] = occurs[s][hit] = 1
+        return times, occurs
+
+    def score(self, words: np.ndarray, past: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Count, base score and model score (log10 of the probability) of each token after those before it."""
         m = self.model
-        types, back = np.unique(words, return_inverse=True)
-        stats = self.history(types)
-        count = np.where(types == END, m.documents, stats[:, 0])
-        low = types & _LOW48
-        order = np.argsort(low)
-        times = np.empty(len(types))
-        times[order] = self.follows(low[order])
-        times = np.where((times == 0) & (count > 0), 1, times)
-        unigram = np.maximum(times - m.word_discounts[np.minimum(times, 3).astype(int)], 0) / max(1, m.pair_types)
-        unigram += (m.spread() if m.pair_types else 1.0) / (m.types + 1)
+        types, back = np.unique(words & _LOW48, return_inverse=True)
+        times, count = self.words(types)
+        p = np.maximum(times - m.word_discounts[np.minimum(times, 3).astype(int)], 0) / max(1, m.pair_types)
+        p = (p + (m.spread() if m.pair_types else 1.0) / (m.types + 1))[back]
         base = np.log10((count + 1) / (m.train_tokens + m.types + 1))
-        held, place = np.unique(before, return_inverse=True)
-        past = self.history(held)
-        keys, again = np.unique(pair_keys(before, words), return_inverse=True)
-        joint = self.pair(keys)[again]
-        d = m.pair_discounts
-        total = past[:, 0][place]
-        rest = (past[:, 1:] @ d[1:])[place]
-        seen = total > 0
-        safe = np.where(seen, total, 1)
-        direct = np.where(seen, np.maximum(joint - d[np.minimum(joint, 3).astype(int)], 0) / safe, 0)
-        p = direct + np.where(seen, rest / safe, 1) * unigram[back]
+        for level, history in enumerate(history_keys(past)):
+            held, place = np.unique(history, return_inverse=True)
+            known = self.history(level, held)
+            keys, again = np.unique(gram_keys(history, words), return_inverse=True)
+            joint = self.gram(level, keys)[again]
+            d = m.discounts[level]
+            total, rest = known[:, 0][place], (known[:, 1:] @ d[1:])[place]
+            seen = total > 0
+            safe = np.where(seen, total, 1)
+            direct = np.where(seen, np.maximum(joint - d[np.minimum(joint, 3).astype(int)], 0) / safe, 0)
+            p = direct + np.where(seen, rest / safe, 1) * p
         return count[back], base[back], np.log10(p)
 
 
@@ -343,8 +412,8 @@ def lm_scores(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(model)
         for piece in pieces(batches, limit=4 << 20):
-            words, before, of = tokens(piece)
-            count, base, score = lookup.score(words, before)
+            words, past, of = tokens(piece, model.order)
+            count, base, score = lookup.score(words, past)
             add = lambda x: np.bincount(of, x, minlength=len(piece))  # noqa: B023, E731
             n, total = add(np.ones(len(of))), add(score)
             yield pa.RecordBatch.from_arrays([piece.rows.column(0), pa.array(n.astype(np.int64)), pa.array(add(count > 0).astype(np.int64)), pa.array(add(base)), pa.array(total), pa.array(10 ** (-total / n))], names=["id", "n_tokens", "n_known", "base_score", "score", "perplexity"])
@@ -357,8 +426,8 @@ def held_out(id_col: str, folds: int, fold: int):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 
 
-def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2) -> DataFrame:
-    """Fits on the rows outside one fold (crc32 of the id as text) and scores all rows: id, held_out, n_tokens, n_known,
+def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, fold: int = 2, order: int = ORDER) -> DataFrame:
+    """Fits a model of `order` words on the rows outside one fold (crc32 of the id as text) and scores all rows: id, held_out, n_tokens, n_known,
     train_tokens, base_score, score, perplexity.
 
     Tokens are words in lower case (A-Z), then one end. Null and empty texts are the end alone. Rows with a null id are
@@ -366,7 +435,7 @@ def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     an unknown word, 1. Other columns are ignored; an empty table gives an empty result.
     """
     out_of = held_out(id_col, folds, fold)
-    model = fit(docs.filter(~out_of), text_col)
+    model = fit(docs.filter(~out_of), text_col, order)
     scores = lm_scores(docs, model, id_col, text_col)
     return scores.withColumns({"held_out": held_out(id_col, folds, fold), "train_tokens": F.lit(model.train_tokens).cast("bigint")})
 
