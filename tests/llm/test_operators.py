@@ -147,6 +147,17 @@ def test_pii(spark):
     assert got == {i: tuple(brute.pii(t)) for i, t in rows}
 
 
+def test_counts_beyond_32_bits(tmp_path):
+    past, words = [np.array([5, 5, 7], np.uint64)], np.array([1, 2, 3], np.uint64)
+    counts = np.array([1 << 33, 3, 1])
+    back = ngram_lm._decode(ngram_lm._encode(past, words, counts), 2)
+    assert back[0][0].tolist() == [5, 5, 7] and back[1].tolist() == [1, 2, 3] and back[2].tolist() == counts.tolist()
+    table = pa.table({"bucket": pa.array([0], pa.int32()), "data": pa.array([ngram_lm._encode(past, words, counts)], pa.binary())})
+    grams = ngram_lm._histories(1, 2, str(tmp_path))(table).to_pylist()[0]
+    arrays = np.split(np.load(tmp_path / f"{grams['name']}.npy"), np.cumsum(grams["sizes"])[:-1])
+    assert grams["stats"][0] == counts.sum() and sorted(arrays[1].tolist()) == [3, 1 << 33] and (1 << 33) + 3 in arrays[4].tolist()
+
+
 def test_pii_learns_contexts(spark):
     rows = [(i, f"hello contact: user{i}@mail.example.com bye") for i in range(12)]
     rows += [(100, "x contact: bob-4711-xyz y"), (101, "version: bob-4711-zzz y"), (102, "plain bob-9999-abc")]
@@ -155,9 +166,52 @@ def test_pii_learns_contexts(spark):
     assert got[101] == (0, "") and got[102] == (0, "")
 
 
-def test_language_model(docs):
-    got = found(ngram_lm.lm_scoring(docs), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
-    expected = brute.lm(texts(), ngram_lm.discounts)
+def test_pii_learns_words_on_both_sides(spark):
+    rows = [(i, f"please call +1 (132) 555-13{i:02} at once and write to user{i}@mail.example.com if you like") for i in range(20)]
+    rows += [(50 + i, f'set token = "{i}a7{i}b93c{i}d55" now') for i in range(8)]
+    rows += [(100, "you may call (132) 555-1353 later"), (101, "or write to john@localhost if so"), (102, "the call 5551 of the house 1234567"), (103, 'then token = "s3" or token = "none" ends'), (104, "we call it a 2nd day"), (105, f"call {'9' * 3000} now"), (106, f"token = \"{'x' * 500}7\" now")]
+    got = found(pii.find_pii(table(spark, rows)), "n_secret", "n_found", "spans")
+    assert got[100] == (0, 1, "found:13:27") and got[101] == (0, 1, "found:12:26")
+    assert got[102] == got[103] == got[104] == (0, 0, "")
+    assert got[105] == (0, 1, "found:5:3005") and got[106] == (1, 0, "secret:9:510")  # whatever their length
+    assert [got[50 + i][0] for i in range(8)] == [1] * 8
+
+
+def test_pii_scores_follow_the_graph(spark):
+    r = random.Random(11)
+    for _ in range(3):
+        seed = {f"v{i}": int(r.random() < 0.5) for i in range(40)}
+        edges = {(f"p{r.randrange(8)}", f"v{r.randrange(40)}"): r.randint(1, 4) for _ in range(120)}
+        total = {p: sum(n for (q, _), n in edges.items() if q == p) * r.choice([1, 1, 2]) for p in {p for p, _ in edges}}
+        score = {v: float(s) for v, s in seed.items() if any(v == w for _, w in edges)}
+
+        def patterns():
+            out = {}
+            for p in total:
+                mine = {v: n for (q, v), n in edges.items() if q == p}
+                if sum(score[v] >= 0.6 for v in mine) >= 3:
+                    out[p] = sum(n * score[v] for v, n in mine.items()) / max(total[p], sum(mine.values()))
+            return out
+
+        for _ in range(2):
+            strength = patterns()
+            for v in score:
+                miss = np.prod([1 - min(strength[p], 0.999) for p, w in edges if w == v and p in strength])
+                score[v] = 1.0 if seed[v] else 1 - miss
+        strength = patterns()
+        want = {(p, v) for p, v in edges if strength.get(p, 0) >= 0.6 and not seed[v] and score[v] >= 0.6}
+        df = spark.createDataFrame([(p, v, seed[v], n, total[p]) for (p, v), n in edges.items()], "pattern string, value string, seed int, n long, total long")
+        assert {tuple(x) for x in pii.bootstrap(df, 2, 0.6, 3).collect()} == want
+        occurrences = spark.createDataFrame([(p, v, k) for (p, v), n in edges.items() for k in range(n)], "pattern string, value string, k int")
+        chosen = pii._chosen(occurrences, df, pii.bootstrap(df, 2, 0.6, 3))
+        assert sorted((x["pattern"], x["value"], x["k"]) for x in chosen.collect()) == sorted((p, v, k) for p, v in want for k in range(edges[p, v]))
+
+
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model(docs, order, monkeypatch):
+    monkeypatch.setattr(ngram_lm, "MAPS", 2)  # files are mapped anew when more are needed
+    got = found(ngram_lm.lm_scoring(docs, order=order), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    expected = brute.lm(texts(), ngram_lm.discounts, order)
     assert got.keys() == expected.keys()
     for i, e in expected.items():
         assert got[i][:4] == e[:4]
