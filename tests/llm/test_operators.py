@@ -80,6 +80,18 @@ def test_deep_shallow_order():
     assert equal.tolist() == [False] + [a == b for a, b in zip(keys, keys[1:])]
 
 
+@pytest.mark.parametrize(("length", "shallow"), [(40, 8), (40, 16), (33, 32), (100, 32), (37, 64), (9, 16)])
+def test_deep_shallow_order_of_many(length, shallow):
+    r = np.random.default_rng(length)
+    words = [bytes(r.integers(97, 100, 60, np.uint8)) for _ in range(6)]
+    data = np.frombuffer(b"".join(words[i] for i in r.integers(0, 6, 40)) + bytes(length), np.uint8)
+    starts = r.permutation(len(data) - length)
+    order, equal = suffix_dedup.deep_shallow_sort(data, starts, length, shallow)
+    keys = [data[s : s + length].tobytes() for s in starts[order]]
+    assert sorted(order.tolist()) == list(range(len(starts))) and keys == sorted(keys)
+    assert equal.tolist() == [False] + [a == b for a, b in zip(keys, keys[1:])]
+
+
 def test_exact_dedup(docs):
     rows = texts()
     groups = {}
@@ -120,6 +132,15 @@ def test_jaccard(docs, block):
     assert found(jaccard.jaccard_join(docs, block=block), "n_shingles", "component_id", "n_links") == brute.jaccard(texts())
 
 
+def test_jaccard_in_a_cluster_of_many_sizes(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{j}" for j in range(8 + 3 * i))) for i in range(60)] + [(100 + i, " ".join(f"w{j}" for j in range(40 + i % 7)) + f" x{i}") for i in range(40)]
+    df = table(spark, rows)
+    want = brute.jaccard(rows)
+    assert found(jaccard.jaccard_join(df, block=4), "n_shingles", "component_id", "n_links") == want
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 300)  # blocks are bounded by n-grams, too
+    assert found(jaccard.jaccard_join(df), "n_shingles", "component_id", "n_links") == want
+
+
 def test_components(spark):
     r = random.Random(4)
     pairs = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(500, 500), (None, 3)] + [(900 + i, 901 + i) for i in range(40)]
@@ -139,6 +160,13 @@ def test_components(spark):
     assert got == {x: find(x) for x in root}
 
 
+def test_components_with_hot_nodes(spark, monkeypatch):
+    monkeypatch.setattr("tidemark.llm.components.HOT", 20)
+    pairs = [(5000 + i, 7) for i in range(300)] + [(i + 1, i) for i in range(300, 360)] + [(355, 5100), (9000, 9001), (7, 5003)]
+    got = dict(connected_components(spark.createDataFrame(pairs, "a long, b long").repartition(4)).collect())
+    assert got == {**{x: 7 for p in pairs[:360] + [pairs[360]] for x in p}, 9000: 9000, 9001: 9000}
+
+
 def test_pii(spark):
     rows = [(1, None), (2, ""), (3, "a@b.c_d@e.f é😀 x@y.z a@b"), (4, "1.2.3.4.5.6.7.8 256.1.1.1 00001.2.3.4"), (5, "4111 1111 1111 1111 4111-1111-1111-1112 4111111111111111"), (6, "+1 (258) 555-9170 ++1 2 +123456789012345678"), (7, "1" * 5000 + " " + "a" * 5000), (8, "a@" * 300)]
     r = random.Random(5)

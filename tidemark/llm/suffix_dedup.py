@@ -240,62 +240,80 @@ def deep_shallow_sort(data: np.ndarray, starts: np.ndarray, length: int, shallow
     """Order of the suffixes of data at starts by their first `length` bytes, and for each in that order whether it
     agrees with the one before it in all of them. data must reach `length` bytes past each start.
 
-    Multikey quicksort partitions the suffixes by eight bytes at a time down to the shallow depth; each group that is
-    still together is then ordered by a blind trie.
+    Multikey quicksort, on eight bytes at a time, goes down to the shallow depth; each group that is still together is
+    then ordered by a blind trie.
     """
     words = _words_at(data)
     order, m = np.arange(len(starts)), len(starts)
-    heads = np.zeros(m, bool)
+    heads, equal = np.zeros(m, bool), np.zeros(m, bool)
     heads[:1] = True
-    for depth in range(0, min(shallow, length), 8):
-        open_ = _together(heads)
-        if not len(open_):
-            break
-        group = np.cumsum(heads)[open_]
-        keys = words[starts[order[open_]] + depth]
-        if length - depth < 8:
-            keys = keys >> np.uint64(8 * (8 - length + depth))
-        turn = np.lexsort((keys, group))
-        order[open_] = order[open_][turn]
-        keys, group = keys[turn], group[turn]
-        heads[open_[1:]] |= (keys[1:] != keys[:-1]) & (group[1:] == group[:-1])
-    equal = np.zeros(m, bool)
+    multikey_quicksort(words, starts, length, min(shallow, length), order, heads)
     if shallow >= length:
         return order, ~heads
-    open_ = _together(heads)
+    open_ = np.flatnonzero(~(heads & np.append(heads[1:], True)))
+    known = np.full(len(open_), shallow)
     while len(open_):
-        open_ = _grow_tries(data, words, starts, length, order, heads, equal, open_)
+        open_, known = _grow_tries(data, words, starts, length, order, heads, equal, open_, known)
     return order, equal
 
 
-def _together(heads: np.ndarray) -> np.ndarray:
-    """Places in groups of two and more."""
-    last = np.append(heads[1:], True)
-    return np.flatnonzero(~(heads & last))
+def multikey_quicksort(words: np.ndarray, starts: np.ndarray, length: int, limit: int, order: np.ndarray, heads: np.ndarray) -> None:
+    """Orders the suffixes at starts by their first `limit` bytes, of which `length` count; heads marks where those change.
 
-
-def _grow_tries(data, words, starts, length, order, heads, equal, open_) -> np.ndarray:
-    """One level of all blind tries at once. The first suffix of each group is its trie's path; each other one is
-    compared with it once, and hangs where it leaves the path, under (common prefix, next byte). Those that hang
-    together form the groups of the next level; those that follow the path to the end are equal to it."""
+    All groups that are open are parted at once, each in three by a pivot, the median of its first, middle and last key:
+    smaller and larger keys are parted again at the same depth, equal ones eight bytes further on.
+    """
+    at, first, depth = np.arange(len(order)), np.zeros(1, np.int64), np.zeros(1, np.int64)
+    while len(at) > 1:
+        sizes = np.diff(np.append(first, len(at)))
+        of = np.repeat(np.arange(len(first)), sizes)
+        beyond = (8 * np.clip(depth + 8 - length, 0, 7)).astype(np.uint64)
+        keys = words[starts[order[at]] + depth[of]] >> beyond[of]
+        a, b, c = keys[first], keys[first + sizes // 2], keys[first + sizes - 1]
+        pivot = np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))[of]
+        side = 1 + (keys > pivot).astype(np.int64) - (keys < pivot)
+        counts = np.bincount(3 * of + side, minlength=3 * len(first))
+        begin = np.cumsum(counts) - counts
+        to = np.empty(len(at), np.int64)
+        for k in range(3):
+            mine = np.flatnonzero(side == k)
+            before = np.cumsum(counts[k::3]) - counts[k::3]
+            to[mine] = begin[k::3][of[mine]] + np.arange(len(mine)) - before[of[mine]]
+        moved = np.empty_like(at)
+        moved[to] = order[at]
+        order[at] = moved
+        heads[at[begin[counts > 0]]] = True
+        deeper = (depth[:, None] + np.array([0, 8, 0])).reshape(-1)
+        kept = (counts > 1) & (deeper < limit)
+        at = at[np.repeat(kept, counts)]
+        depth, sizes = deeper[kept], counts[kept]
+        first = np.cumsum(sizes) - sizes
+
+
+def _grow_tries(data, words, starts, length, order, heads, equal, open_, known) -> tuple[np.ndarray, np.ndarray]:
+    """One level of all blind tries at once. The first suffix of each group is its trie's path; each other one is compared
+    with it once, from the depth that the group is known to share, and hangs where it leaves the path, placed by branch
+    depth and branching byte alone. Those that hang together form the groups of the next level, known to share one byte
+    more than that depth; those that follow the path to the end are equal to it."""
     group = np.cumsum(heads)[open_]
     first = np.append(True, group[1:] != group[:-1])
     mine = starts[order[open_]]
     path = mine[np.maximum.accumulate(np.where(first, np.arange(len(open_)), 0))]
     common = np.full(len(open_), length, np.int64)
-    going = np.arange(len(open_))
-    for depth in range(0, length, 8):
-        differ = words[mine[going] + depth] ^ words[path[going] + depth]
+    depth, going = known.copy(), np.flatnonzero(~first & (known < length))
+    while len(going):
+        differ = words[mine[going] + depth[going]] ^ words[path[going] + depth[going]]
         apart = differ != 0
-        at = going[apart]
-        x = differ[apart]
+        at, x = going[apart], differ[apart]
         lead = np.zeros(len(at), np.int64)
         for step in (32, 16, 8):
             clear = x >> np.uint64(64 - step) == 0
             lead += np.where(clear, step // 8, 0)
             x = np.where(clear, x << np.uint64(step), x)
-        common[at] = np.minimum(depth + lead, length)
+        common[at] = np.minimum(depth[at] + lead, length)
         going = going[~apart]
+        depth[going] += 8
+        going = going[depth[going] < length]
     off = common < length
     byte = np.where(off, data[mine + np.minimum(common, length - 1)], 0).astype(np.int64)
     own = np.where(off, data[path + np.minimum(common, length - 1)], 0).astype(np.int64)
@@ -309,56 +327,8 @@ def _grow_tries(data, words, starts, length, order, heads, equal, open_) -> np.n
     on_path = side == 0
     equal[open_[on_path & ~new]] = True
     hanging = np.append(new[1:], True)
-    return open_[~on_path & ~(new & hanging)]
-
-
-def _marked(table: pa.Table, length: int, shallow: int) -> pa.Table:
-    """Spans of strings that start earlier elsewhere, by document."""
-    held = _Segments()
-    copies = [np.zeros(0, _COPY)]
-    for count, data in zip(table["kind"].to_pylist(), table["data"].to_pylist(), strict=True):
-        if count < 0:
-            copies.append(np.frombuffer(data, _COPY))
-            continue
-        places, at = np.frombuffer(data, _PLACE, count), count * _PLACE.itemsize
-        for place in places.tolist():
-            size = place[3] - 1 + length
-            held.add(data[at : at + size], place)
-            at += size
-    copies.append(np.array(held.copies, _COPY))
-    by: dict[bytes, list] = {}
-    for body, place in held.first.items():
-        by.setdefault(body[place[4] : place[4] + ANCHOR], []).append((body, place))
-    mixed = [x for items in by.values() if len(items) > 1 for x in items]
-    if mixed:
-        data = np.frombuffer(b"".join(b for b, _ in mixed) + bytes(length), np.uint8)
-        places = np.array([p for _, p in mixed], _PLACE)
-        sizes = places["count"].astype(np.int64) - 1 + length
-        begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        of = np.repeat(np.arange(len(places)), places["count"])
-        within = np.arange(len(of)) - np.repeat(np.cumsum(places["count"].astype(np.int64)) - places["count"], places["count"])
-        order, equal = deep_shallow_sort(data, begins[of] + within, length, shallow)
-        group = np.cumsum(~equal)
-        shared = np.append(equal[1:], False) | equal
-        order, group = order[shared], group[shared]
-        ids, sigs, at = places["id"][of[order]], places["sig"][of[order]], places["start"][of[order]] + within[order]
-        turn = np.lexsort((at, sigs, ids, group))
-        late = np.append(False, group[turn][1:] == group[turn][:-1]) if len(turn) else np.zeros(0, bool)
-        found = np.zeros(int(late.sum()), _COPY)
-        found["id"], found["sig"], found["start"], found["count"] = ids[turn][late], sigs[turn][late], at[turn][late], 1
-        copies.append(found)
-    rows = np.concatenate(copies)
-    rows = rows[np.lexsort((rows["start"], rows["sig"], rows["id"]))]
-    if len(rows):
-        ends = rows["start"].astype(np.int64) + rows["count"]
-        new = np.append(True, (rows["id"][1:] != rows["id"][:-1]) | (rows["sig"][1:] != rows["sig"][:-1]) | (rows["start"][1:] > ends[:-1]))
-        heads = np.flatnonzero(new)
-        tops = np.maximum.reduceat(ends, heads)
-        rows = rows[heads]
-        rows["count"] = tops - rows["start"]
-    spans = np.zeros(len(rows), _SPAN)
-    spans["start"], spans["count"] = rows["start"], rows["count"]
-    return _by_doc(rows["id"], rows["sig"], spans)
+    more = ~on_path & ~(new & hanging)
+    return open_[more], common[more] + 1
 
 
 def removed_spans(text: bytes, data: list[bytes] | None, length: int) -> list[tuple[int, int]]:
