@@ -3,6 +3,9 @@
 The last stage returns (doc_id, ids, n_pieces, round_trip); all others return the columns of documents. SQL cannot
 express the suffix array, the mixture's seeded hash order or the tokenizer, so ORACLE_SQL is None and tests compare the
 stages with brute force.
+
+All stages take tables with further columns, which they keep (encode leaves only its own), whatever their names; an empty
+table gives an empty result. Rows that repeat are rows of their own, but for what a stage says of copies.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ def _keep(docs: DataFrame, key: Column, chosen: DataFrame, chosen_key: str) -> D
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the quality rules reject."""
+    """Drops documents that the quality rules reject: null and empty texts, which have no words, among them. Ids play no
+    part."""
     arrow_rows(spark)
     return quality_filter(docs)
 
@@ -50,12 +54,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each leaf's token budget in seeded order."""
+    """Takes each leaf's token budget in seeded order, no row more than once. Null lang and source count as 'none', null ids as
+    one id; rows that repeat an id are taken or left together; texts without words are taken with what precedes them."""
     return mix_sources(docs, SHARE, weights=WEIGHTS, max_epochs=1)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document that is left."""
+    """Token ids of each document that is left, one row a row; null ids stay null, null texts have no ids."""
     arrow_rows(spark)
     return piece_encode(docs)
 
