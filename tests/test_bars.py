@@ -184,5 +184,5 @@ def test_catalog_helpers(spark, bars):
     found = {r["name"]: r for r in files.inspect(spark).collect()}
     assert found["m5_bars"]["rows"] == bars.count() and files.bar_tables(spark) == ["m5_bars"]
     assert files.sample(bars, 10).count() == 10 and rows(files.sample(bars, 10)) == rows(files.sample(bars, 10))
-    source = spark.createDataFrame(files.dry_run_bars("eur", 4).collect())
-    assert source.count() == 4
+    source = files.broker_bars(spark, "eur", 12_000)
+    assert source.count() == source.distinct().count() == 12_000 and source.rdd.getNumPartitions() == 3

@@ -8,6 +8,15 @@ import numpy as np
 import pandas as pd
 
 
+def recurrence(x: np.ndarray, keep: float) -> np.ndarray:
+    """s[t] = keep * s[t - 1] + x[t]."""
+    if keep == 1 or len(x) < 2:
+        return np.cumsum(x)
+    scaled = x / (1 - keep)
+    scaled[0] = x[0]
+    return pd.Series(scaled).ewm(alpha=1 - keep, adjust=False).mean().to_numpy()
+
+
 def ema(x: np.ndarray, n: int) -> np.ndarray:
     """Exponential mean with alpha 2 / (n + 1), started by the plain mean of the first n values; null before."""
     s = pd.Series(x, dtype=float)
@@ -124,6 +133,8 @@ def approximate_entropy(windows: np.ndarray, m: int = 2, share: float = 0.2) ->
         if np.isnan(x).any():
             return math.nan
         r = share * x.std(ddof=1)
+        if r == 0:
+            return math.nan
         phi = [np.log(_matches(x, k, r).mean(1)).mean() for k in (m, m + 1)]
         return phi[0] - phi[1]
 
@@ -137,6 +148,8 @@ def sample_entropy(windows: np.ndarray, m: int = 2, share: float = 0.2) -> np.nd
         if np.isnan(x).any():
             return math.nan
         r = share * x.std(ddof=1)
+        if r == 0:
+            return math.nan
         n = len(x) - m
         b = _matches(x, m, r)[:n, :n].sum() - n
         a = _matches(x, m + 1, r).sum() - n
@@ -182,6 +195,22 @@ def adf_t(y: np.ndarray, lags: int = 0, constant: bool = False, trend: bool = Fa
     return beta[0] / error if error > 0 else math.nan
 
 
+def t_of_products(upper: np.ndarray, k: int, n: int) -> float:
+    """t value of the first regressor from the products of all k columns (the last is what is explained) over n rows, given
+    as the upper triangle by rows."""
+    m = np.zeros((k, k))
+    m[np.triu_indices(k)] = upper
+    m = m + np.triu(m, 1).T
+    x, xy = m[:-1, :-1], m[:-1, -1]
+    if n <= k - 1:
+        return math.nan
+    inverse = np.linalg.pinv(x, hermitian=True)
+    beta = inverse @ xy
+    rest = max(m[-1, -1] - beta @ xy, 0.0)
+    error = math.sqrt(max(rest / (n - k + 1) * inverse[0, 0], 0.0))
+    return float(beta[0] / error) if error > 0 else math.nan
+
+
 def sadf(y: np.ndarray, least: int, lags: int = 0, constant: bool = False, trend: bool = False) -> float:
     """The largest ADF t value over all starts that leave `least` values to the end."""
     scores = [adf_t(y[s:], lags, constant, trend) for s in range(0, len(y) - least + 1)]

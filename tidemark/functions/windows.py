@@ -23,6 +23,7 @@ def last_rows(n: int, part: Sequence[str] = PART):
 
 
 def next_rows(n: int, part: Sequence[str] = PART):
+    """The n rows after the row."""
     return order(part).rowsBetween(1, n)
 
 
@@ -75,19 +76,19 @@ def row_numbers(df: DataFrame, part: Sequence[str] = PART, name: str = "rn") ->
     return keyed.join(starts, [*part, "_day"]).withColumn(name, (F.col("_before") + within).cast("bigint")).drop("_day", "_before")
 
 
-def in_chunks(df: DataFrame, feature: Callable[[DataFrame, Sequence[str]], DataFrame], halo: int, rows: int = 100_000) -> DataFrame:
+def in_chunks(df: DataFrame, feature: Callable[[DataFrame, Sequence[str]], DataFrame], halo: int = 0, ahead: int = 0, rows: int = 100_000) -> DataFrame:
     """Applies a feature over fixed row frames to chunks of each series instead of whole series.
 
-    Every chunk gets the `halo` rows before it, so frames up to halo + 1 rows (nested frames: their sum) see what they
-    would see in the whole series; the feature is called with the columns that name a chunk.
+    Every chunk gets the `halo` rows before it and the `ahead` rows after it, so frames that reach so far (nested frames:
+    their sum) see what they would see in the whole series; the feature is called with the columns that name a chunk.
     """
-    if halo >= rows:
+    if max(halo, ahead) >= rows:
         raise ValueError("a chunk must be longer than its halo")
     given = "rn" in df.columns
     numbered = row_numbers(df)
-    own = F.floor((F.col("rn") - 1) / rows)
-    also = F.when((F.col("rn") - 1) % rows >= rows - halo, F.array(own, own + 1)).otherwise(F.array(own))
-    spread = numbered.withColumn("_own", own).withColumn("_chunk", F.explode(also))
+    own, place = F.floor((F.col("rn") - 1) / rows), (F.col("rn") - 1) % rows
+    chunks = F.array(own, F.when(place >= rows - halo, own + 1), F.when((place < ahead) & (own > 0), own - 1))
+    spread = numbered.withColumn("_own", own).withColumn("_chunk", F.explode(F.array_compact(chunks)))
     out = feature(spread, ("symbol", "_chunk"))
     return out.filter("_own = _chunk").drop("_own", "_chunk", *([] if given else ["rn"]))
 

@@ -9,19 +9,30 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def as_of(left: DataFrame, right: DataFrame, columns: Sequence[str], on: Sequence[str] = ("symbol",), left_time: str = "time", right_time: str = "time", forward: bool = False) -> DataFrame:
+def as_of(left: DataFrame, right: DataFrame, columns: Sequence[str], on: Sequence[str] = ("symbol",), left_time: str = "time", right_time: str = "time", forward: bool = False, days: int | None = None) -> DataFrame:
     """left with the columns of the newest row of right that is not later (forward: the oldest that is not earlier).
 
     Both sides are dealt by `on` once, and one sorted pass carries the row of right over, nulls in it included; no rows
-    are paired.
+    are paired. With `days` they are dealt by spans of so many days too, so that a series is not one task: each span then
+    starts from the last row of right before it (forward: the first after it), one small row a span; both sides are read
+    twice, so it is meant for stored tables whose series are long.
     """
     value = F.struct(*(F.col(c) for c in columns))
     kind = value_type(right, columns)
-    mine = left.select(F.struct("*").alias("_row"), *on, F.col(left_time).alias("_at"), F.lit(None).cast(kind).alias("_value"), F.lit(0 if forward else 1).alias("_turn"))
-    theirs = right.select(F.lit(None).cast(left.schema.simpleString()).alias("_row"), *on, F.col(right_time).alias("_at"), value.cast(kind).alias("_value"), F.lit(1 if forward else 0).alias("_turn"))
-    w = W.partitionBy(*on).orderBy("_at", "_turn")
-    carried = F.first("_value", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing)) if forward else F.last("_value", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    out = mine.union(theirs).withColumn("_value", carried).filter(F.col("_row").isNotNull())
+    span = lambda at: F.floor(F.unix_seconds(at) / (86400 * days)) if days else F.lit(0).cast("bigint")
+    mine = left.select(F.struct("*").alias("_row"), *on, F.col(left_time).alias("_at"), F.lit(None).cast(kind).alias("_value"), F.lit(1).alias("_turn"))
+    theirs = right.select(F.lit(None).cast(left.schema.simpleString()).alias("_row"), *on, F.col(right_time).alias("_at"), value.cast(kind).alias("_value"), F.lit(0).alias("_turn"))
+    both = mine.union(theirs).withColumn("_span", span(F.col("_at")))
+    # Forward, the order is turned round: a frame up to the row grows by one row at a time, one from it on does not.
+    near, past = F.last("_value", ignorenulls=True), W.unboundedPreceding
+    w = W.partitionBy(*on, "_span").orderBy(F.desc("_at") if forward else F.asc("_at"), "_turn")
+    out = both.withColumn("_value", near.over(w.rowsBetween(past, 0))).filter(F.col("_row").isNotNull())
+    if days:
+        pick = F.min_by if forward else F.max_by
+        ends = both.groupBy(*on, "_span").agg(pick("_value", F.when(F.col("_value").isNotNull(), F.col("_at"))).alias("_value"))
+        spans = W.partitionBy(*on).orderBy(F.desc("_span") if forward else F.asc("_span"))
+        ends = ends.select(*on, "_span", near.over(spans.rowsBetween(past, -1)).alias("_carried")).filter("_carried IS NOT NULL")
+        out = out.join(ends, [*on, "_span"], "left").withColumn("_value", F.coalesce("_value", "_carried"))
     return out.select("_row.*", *(F.col(f"_value.{c}").alias(c) for c in columns))
 
 

@@ -130,3 +130,13 @@ def latest(df: DataFrame, n: int) -> DataFrame:
 def scan_range(df: DataFrame, symbol: str, start: str, end: str) -> DataFrame:
     """Bars of a symbol with start <= time < end; the filter reaches the scan where df is a table of bars."""
     return df.filter((F.col("symbol") == symbol) & (F.col("time") >= F.lit(start).cast("timestamp")) & (F.col("time") < F.lit(end).cast("timestamp")))
+
+
+def known_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per symbol: rows, and rows where each column is known."""
+    return df.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), *(F.count(c).alias(f"known_{c}") for c in columns))
+
+
+def columns_like(df: DataFrame, word: str) -> list[str]:
+    """Columns whose name holds a word."""
+    return [c for c in df.columns if word in c]

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import kernels as K
 from tidemark.functions.scalars import session_columns
-from tidemark.functions.windows import PART, diff, fill_forward, flag, lag, last_rows, mean, order, over_past, pct_change, rolling, std
+from tidemark.functions.windows import PART, diff, fill_forward, flag, lag, last_rows, mean, order, over_past, pct_change, rolling, row_numbers, std
+from tidemark.operators.align import as_of
 
 Part = Sequence[str]
 
@@ -246,6 +249,12 @@ def concentration(weights: DataFrame) -> DataFrame:
     return out.withColumn("normalized_concentration", F.try_divide(F.col("hhi") - floor, F.nullif(1 - floor, F.lit(0.0)))).drop("n")
 
 
+def concentration_on(df: DataFrame, weights: DataFrame, days: int = 7) -> DataFrame:
+    """df with the concentration of the newest weights that are not later than each row; null before the first."""
+    known = ["hhi", "shannon_entropy_w", "effective_n", "normalized_concentration"]
+    return as_of(df, concentration(weights), known, on=(), days=days)
+
+
 def adf_tstat(df: DataFrame, part: Part = PART) -> DataFrame:
     """Per series: t value of rho in dy = rho y(-1), no constant, no lags (the Chow and Dickey-Fuller form)."""
     rows = df.withColumn("_x", lag("close", 1, part)).withColumn("_d", F.col("close") - F.col("_x")).filter("_x IS NOT NULL")
@@ -255,6 +264,33 @@ def adf_tstat(df: DataFrame, part: Part = PART) -> DataFrame:
     return sums.select(*part, rho.alias("rho"), F.try_divide(rho, F.nullif(error, F.lit(0.0))).alias("t_stat"), "n")
 
 
+def adf(df: DataFrame, lags: int = 0, constant: bool = False, trend: bool = False, value: str = "close", part: Part = PART) -> DataFrame:
+    """Per series: t value of rho in dy = rho y(-1) [+ constant] [+ trend] [+ lags of dy], and the number of rows.
+
+    One pass adds up the products of the regressors, so a series of any length comes down to one small matrix, which is
+    solved where it is. y is taken from its first value on, and the trend as a share of the series, for precision.
+    """
+    w = order(part)
+    first = F.first(value).over(w.rowsBetween(W.unboundedPreceding, 0))
+    rows = row_numbers(df, part).withColumn("_y", F.col(value) - (first if constant else F.lit(0.0)))
+    rows = rows.withColumn("_d", F.col("_y") - F.lag("_y").over(w)).withColumn("_x0", F.lag("_y").over(w))
+    rows = rows.withColumns({f"_x{j}": F.lag("_d", j).over(w) for j in range(1, lags + 1)})
+    more = ([("_one", F.lit(1.0))] if constant else []) + ([("_time", F.col("rn") / 1e6)] if trend else [])
+    rows = rows.withColumns(dict(more)) if more else rows
+    names = [*(f"_x{j}" for j in range(lags + 1)), *(k for k, _ in more), "_d"]
+    rows = rows.dropna("any", subset=names)
+    products = [F.sum(F.col(a) * F.col(b)) for i, a in enumerate(names) for b in names[i:]]
+    sums = rows.groupBy(*part).agg(F.array(*products).alias("_m"), F.count(F.lit(1)).alias("n"))
+    k = len(names)
+
+    @F.pandas_udf("double")
+    def solve(m: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([K.t_of_products(np.asarray(x, float), k, int(c)) for x, c in zip(m, n, strict=True)], dtype=float)
+
+    t = solve("_m", "n")
+    return sums.withColumn("t_stat", t).select(*part, F.when(~F.isnan("t_stat"), F.col("t_stat")).alias("t_stat"), "n")
+
+
 def bde_cusum(df: DataFrame, part: Part = PART) -> DataFrame:
     """Cumulative one-step errors against the expanding mean, over the deviation of the whole series."""
     before = F.avg("close").over(order(part).rowsBetween(W.unboundedPreceding, -1))

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import PART, lag, next_rows, order, pct_change, std
+from tidemark.functions.scalars import pip_value
+from tidemark.functions.windows import PART, fill_forward, in_chunks, next_rows, order, pct_change, row_numbers, std
 from tidemark.operators.align import as_of
 
 
@@ -20,15 +21,16 @@ def barrier_events(df: DataFrame, horizons: Sequence[int], vol_window: int = 288
     return out.withColumn("pt_dist", distance).withColumn("sl_dist", distance).withColumn("t1", F.lead("time", max(horizons)).over(order())).drop("_r")
 
 
-def first_touch(df: DataFrame, horizons: Sequence[int], multiples: Sequence[float], spread: Column | float = 0.0, tie_long: str = "target", tie_short: str = "stop") -> DataFrame:
+def first_touch(df: DataFrame, horizons: Sequence[int], multiples: Sequence[float], spread: Column | float = 0.0, tie_long: str = "target", tie_short: str = "stop", part: Sequence[str] = PART) -> DataFrame:
     """long_hit_{m}R_h{h} and short_hit_{m}R_h{h}: 1 where the target is touched within h bars and the stop not before it.
 
     df needs pt_dist and sl_dist. A bar that touches both counts as the tie argument says: target or stop. Rows with fewer
-    than h later bars are 0. One forward frame of the longest horizon serves all pairs.
+    than h later bars are 0. One forward frame of the longest horizon serves all pairs; `part` names the series or, with
+    windows.in_chunks, its chunks.
     """
     spread = F.lit(spread) if isinstance(spread, float) else spread
     most = max(horizons)
-    out = df.withColumn("_path", F.collect_list(F.struct("high", "low")).over(next_rows(most)))
+    out = df.withColumn("_path", F.collect_list(F.struct("high", "low")).over(next_rows(most, part)))
     above = lambda level: F.array_position(F.transform("_path", lambda b: b["high"] >= level), True)
     below = lambda level: F.array_position(F.transform("_path", lambda b: b["low"] <= level), True)
     out = out.withColumn("_stop_l", below(F.col("close") - F.col("sl_dist"))).withColumn("_stop_s", above(F.col("close") + F.col("sl_dist")))
@@ -57,7 +59,7 @@ def trend_scan(df: DataFrame, window: int = 60, least: int = 5, step: int = 1, e
     shortest of equals), its end t1, t_value, ret over it and bin, the sign.
 
     Each event carries its own window of closes, so nothing is joined; running sums of the centred closes give every
-    length's slope and error.
+    length's slope and error. A first close of 0 leaves ret unknown.
     """
     frame = order().rowsBetween(0, window - 1)
     rows = df.withColumn("_i", F.row_number().over(order()) - 1)
@@ -74,7 +76,7 @@ def trend_scan(df: DataFrame, window: int = 60, least: int = 5, step: int = 1, e
     chosen = sums.filter((F.col("k") + 1 >= least) & (F.col("k") + 1 < window) & ((F.col("k") + 1 - least) % step == 0))
     scored = chosen.withColumn("t", slope / (error + epsilon))
     best = scored.groupBy("symbol", "time").agg(F.max_by(F.struct("end", "t", "last", "first", "k"), F.struct(F.abs("t").alias("a"), (-F.col("k")).alias("n"))).alias("b"))
-    return best.select("symbol", "time", F.col("b.end").alias("t1"), (F.col("b.k") + 1).alias("length"), F.col("b.t").alias("t_value"), (F.col("b.last") / F.col("b.first") - 1).alias("ret"), F.signum("b.t").cast("int").alias("bin"))
+    return best.select("symbol", "time", F.col("b.end").alias("t1"), (F.col("b.k") + 1).alias("length"), F.col("b.t").alias("t_value"), (F.try_divide("b.last", "b.first") - 1).alias("ret"), F.signum("b.t").cast("int").alias("bin"))
 
 
 def strong_trends(scans: DataFrame, quantile: float = 0.8) -> DataFrame:
@@ -83,11 +85,11 @@ def strong_trends(scans: DataFrame, quantile: float = 0.8) -> DataFrame:
     return scans.join(level, "symbol").filter(F.abs("t_value") >= F.col("_level")).withColumn("side", F.signum("t_value").cast("int")).drop("_level")
 
 
-def vertical_barrier(df: DataFrame, bars: DataFrame, wait: str = "INTERVAL 5 DAYS") -> DataFrame:
+def vertical_barrier(df: DataFrame, bars: DataFrame, wait: str = "INTERVAL 5 DAYS", days: int | None = None) -> DataFrame:
     """vertical: the first bar at or after time + wait; null where the series ends before."""
     due = df.withColumn("_due", F.col("time") + F.expr(wait))
     times = bars.select("symbol", F.col("time").alias("_bar"), F.col("time").alias("vertical"))
-    return as_of(due, times, ["vertical"], left_time="_due", right_time="_bar", forward=True).drop("_due")
+    return as_of(due, times, ["vertical"], left_time="_due", right_time="_bar", forward=True, days=days).drop("_due")
 
 
 def daily_change(df: DataFrame) -> DataFrame:
@@ -98,18 +100,29 @@ def daily_change(df: DataFrame) -> DataFrame:
     return out.withColumn("day_ret", F.try_divide("close", "_old") - 1).drop("_old", "_before")
 
 
-def barrier_labels(df: DataFrame, horizon: int, pt: float, sl: float) -> DataFrame:
+def barrier_labels(df: DataFrame, horizon: int, pt: float, sl: float, event: Column | None = None, rows: int = 10_000) -> DataFrame:
     """Labels of events (side, trgt) by the path of closes over the next `horizon` bars: the side-signed return first reaches
     pt times trgt (bin 1), falls to -sl times trgt (bin -1), or neither (bin 0, at the last bar). t1 and ret are those of
-    the touch. Rows without a later bar are dropped.
+    the touch. `event` chooses the rows of df that are events (all if not given); the others are path only. Rows without
+    a later bar are dropped. A close of 0 has no returns: its event is neither, with an unknown ret. Columns t1, ret and bin
+    of df are replaced.
+
+    Series are cut into chunks of `rows` bars, and each event meets the bars of its chunk and those that follow it, so
+    that no row carries its path, and a long series is many tasks.
     """
-    out = df.withColumn("_path", F.collect_list(F.struct("time", "close")).over(next_rows(horizon))).filter(F.size("_path") > 0)
-    move = lambda b: (b["close"] / F.col("close") - 1) * F.col("side")
-    moves = F.transform("_path", lambda b: F.struct(b["time"].alias("time"), move(b).alias("ret"), F.when(move(b) >= pt * F.col("trgt"), 1).when(move(b) <= -sl * F.col("trgt"), -1).otherwise(0).alias("bin")))
-    out = out.withColumn("_moves", moves).withColumn("_hit", F.get(F.filter("_moves", lambda m: m["bin"] != 0), F.lit(0)))
-    last = F.element_at("_moves", -1)
-    pick = F.coalesce("_hit", last)
-    return out.withColumn("t1", pick["time"]).withColumn("ret", pick["ret"]).withColumn("bin", pick["bin"]).drop("_path", "_moves", "_hit")
+    numbered = row_numbers(df)
+    chunk, place, rows = F.floor((F.col("rn") - 1) / max(rows, horizon)), (F.col("rn") - 1) % max(rows, horizon), max(rows, horizon)
+    chosen = numbered.filter(F.lit(True) if event is None else event).withColumn("_chunk", chunk)
+    events = chosen.select("symbol", "_chunk", F.col("rn").alias("_from"), F.col("close").alias("_first"), "side", "trgt")
+    also = F.array_compact(F.array(chunk, F.when((place < horizon) & (chunk > 0), chunk - 1)))
+    path = numbered.select("symbol", F.explode(also).alias("_chunk"), F.col("rn").alias("_at"), F.col("time").alias("t1"), F.col("close").alias("_close"))
+    met = events.join(path, ["symbol", "_chunk"]).filter((F.col("_at") > F.col("_from")) & (F.col("_at") <= F.col("_from") + horizon))
+    met = met.withColumn("ret", (F.try_divide("_close", "_first") - 1) * F.col("side"))
+    met = met.withColumn("bin", F.when(F.col("ret") >= pt * F.col("trgt"), 1).when(F.col("ret") <= -sl * F.col("trgt"), -1).otherwise(0))
+    end = F.struct("t1", "ret", "bin")
+    first = F.min_by(end, F.when(F.col("bin") != 0, F.col("_at")))
+    found = met.groupBy("symbol", "_chunk", F.col("_from").alias("rn")).agg(F.coalesce(first, F.max_by(end, "_at")).alias("_end"))
+    return chosen.drop("t1", "ret", "bin").join(found, ["symbol", "_chunk", "rn"]).select(*(c for c in df.columns if c not in ("t1", "ret", "bin")), "_end.*")
 
 
 def short_recode(df: DataFrame) -> DataFrame:
@@ -117,6 +130,60 @@ def short_recode(df: DataFrame) -> DataFrame:
     return df.withColumn("bin", F.when(F.col("side") < 0, -F.signum("ret").cast("int")).otherwise(F.col("bin")))
 
 
+def dynamic_labels(df: DataFrame, horizons: Sequence[int], ratios: Sequence[float], atr: str = "atr", scale: float = 2.0, pips: float = 2.0, rows: int = 100_000) -> DataFrame:
+    """first_touch with stops of `scale` times the column `atr`, targets at ratios of the stop plus `pips`, and targets looked
+    at first on both sides; rows without atr are dropped first. t1: the time of the longest horizon, and at the end of a
+    series the last one known."""
+    distance = scale * F.col(atr)
+    out = df.filter(F.col(atr).isNotNull()).withColumn("pt_dist", distance).withColumn("sl_dist", distance)
+    cost = pips * pip_value(F.col("symbol"))
+    most = max(horizons)
+    touched = in_chunks(out, lambda x, part: first_touch(x, horizons, ratios, cost, "target", "target", part), ahead=most, rows=max(rows, 2 * most)).drop("pt_dist", "sl_dist")
+    t1 = touched.withColumn("_t1", F.lead("time", most).over(order()))
+    return t1.withColumn("t1", fill_forward(F.col("_t1"))).drop("_t1")
+
+
+def plain(multiple: float) -> str:
+    """A multiple as part of a column's name: 1_5 for 1.5."""
+    return f"{multiple:g}".replace(".", "_")
+
+
+def barrier_hits(df: DataFrame, horizon: int, multiples: Sequence[float], stop: float, sides: Sequence[int] = (1, -1)) -> DataFrame:
+    """df (trgt) with long_hit_rr{m} and short_hit_rr{m} (m as 1_5 for 1.5): 1 where barrier_labels of a trade on that side wins; t1 is that of the
+    last multiple's long trade. Rows without a later bar or trgt are 0."""
+    out = df
+    for m in multiples:
+        for side in sides:
+            name = f"{'long' if side > 0 else 'short'}_hit_rr{plain(m)}"
+            found = barrier_labels(df.withColumn("side", F.lit(side)), horizon, m, stop, F.col("trgt").isNotNull())
+            ends = [F.col("t1")] if (m, side) == (multiples[-1], sides[0]) else []
+            found = found.select("symbol", "time", (F.col("bin") == 1).cast("int").alias(name), *ends)
+            out = out.join(found, ["symbol", "time"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
+
+
+def trend_meta_labels(df: DataFrame, horizon: int, multiples: Sequence[float], stop: float, window: int = 20, limit: float = 2.0) -> DataFrame:
+    """df (trgt) with side, the sign of trends whose |t| is over the limit (else null), and meta_rr{m}: 1 where barrier_labels
+    of that side wins, else 0."""
+    sides = trend_scan(df, window, every=1).filter(F.abs("t_value") > limit).select("symbol", "time", F.signum("t_value").cast("int").alias("side"))
+    out = df.join(sides, ["symbol", "time"], "left")
+    marked = out
+    for m in multiples:
+        found = barrier_labels(marked, horizon, m, stop, F.col("side").isNotNull() & F.col("trgt").isNotNull())
+        name = f"meta_rr{plain(m)}"
+        found = found.select("symbol", "time", (F.col("bin") == 1).cast("int").alias(name))
+        out = out.join(found, ["symbol", "time"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
+    return out
+
+
+def meta_features(df: DataFrame, probabilities: Sequence[str], more: Sequence[str] = (), key: Sequence[str] = ("symbol", "time")) -> DataFrame:
+    """The features of a second model: agreement and confidence of the first models' probabilities and further columns of df,
+    0 where unknown."""
+    out = confidence(agreement(df, probabilities), probabilities)
+    names = ["p_mean", "p_max", "p_min", "p_var", "p_std", "top1", "top2", "spread", "entropy", *more]
+    return out.select(*key, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in names))
+
+
 def binary_meta_label(prediction: Column, label: Column) -> Column:
     return F.coalesce((prediction == 1) & (label > 0), F.lit(False)).cast("int")
 

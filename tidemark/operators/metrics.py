@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -85,3 +87,49 @@ def ensemble_vote(df: DataFrame, key: list[str], probabilities: list[str]) -> Da
     """Mean of each class's probability over models, and the class (from 0) with the highest (the first of equals)."""
     out = df.groupBy(*key).agg(*(F.avg(c).alias(c) for c in probabilities))
     return out.withColumn("vote", (F.array_position(F.array(*probabilities), F.greatest(*probabilities)) - 1).cast("int"))
+
+
+def evaluate_predictions(df: DataFrame, by: str, truth: str, guess: str, ret: str | None = None, periods: int = 252, squash: bool = False) -> DataFrame:
+    """Per group of classes -1, 0, 1: accuracy, f1_weighted, sharpe, sortino, hit_ratio of the guessed positions, and combined.
+
+    Returns are those of the column `ret` (unknown ones 0), or a thousandth in the direction of the truth. Ratios are mean
+    over population deviation times the root of periods, 0 where there is none; the downside needs two losses. hit_ratio
+    is null without trades. combined: with a proxy 0.3 accuracy and 0.7 of the clipped (sharpe + 1) / 4; with `ret` 0.2
+    accuracy and 0.8 of the clipped (sharpe + 2) / 5, or, squashed, of (tanh(sharpe / 2) + 1) / 2.
+    """
+    market = 0.001 * F.col(truth) if ret is None else F.col(ret)
+    rows = df.withColumn("_x", F.coalesce(F.col(guess) * market, F.lit(0.0)))
+    down = F.when(F.col("_x") < 0, F.col("_x"))
+    stats = rows.groupBy(by).agg(F.avg("_x").alias("m"), F.stddev_pop("_x").alias("s"), F.when(F.count(down) > 1, F.stddev_pop(down)).alias("d"), F.try_divide(F.count_if(F.col("_x") > 0), F.count_if(F.col("_x") != 0)).alias("hit_ratio"))
+    root = F.lit(periods**0.5)
+    ratio = lambda b: F.coalesce(root * F.try_divide("m", F.nullif(F.col(b), F.lit(0.0))), F.lit(0.0))
+    out = classification(df, by, truth, guess).join(stats.select(by, ratio("s").alias("sharpe"), ratio("d").alias("sortino"), "hit_ratio"), by)
+    clipped = lambda offset, scale: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("sharpe") + offset) / scale))
+    if ret is None:
+        score = 0.3 * F.col("accuracy") + 0.7 * clipped(1, 4)
+    else:
+        score = 0.2 * F.col("accuracy") + 0.8 * ((F.tanh(F.col("sharpe") / 2) + 1) / 2 if squash else clipped(2, 5))
+    return out.withColumn("combined", score)
+
+
+def log_loss(df: DataFrame, by: str, label: str, probability: str, least: float = 1e-15) -> DataFrame:
+    """Mean of -ln of the probability given to the class that came true, for 0/1 labels and the probability of 1."""
+    p = F.greatest(F.lit(least), F.least(F.lit(1 - least), F.col(probability)))
+    return df.groupBy(by).agg((-F.avg(F.when(F.col(label) == 1, F.ln(p)).otherwise(F.ln(1 - p)))).alias("log_loss"))
+
+
+def fold_info(splits: DataFrame, labels: DataFrame, label: str, key: Sequence[str] = ("symbol", "row")) -> DataFrame:
+    """Rows and share of each class by split and role."""
+    counts = splits.join(labels.select(*key, label), list(key)).groupBy("split", "role", label).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy("split", "role")))
+
+
+def mean_absolute(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Mean size of each column (contributions of features, say) over all rows, the largest first."""
+    rows = df.select(*(F.abs(F.col(c).cast("double")).alias(c) for c in columns)).unpivot([], list(columns), "feature", "value")
+    return rows.groupBy("feature").agg(F.avg("value").alias("mean_abs")).orderBy(F.desc("mean_abs"), "feature")
+
+
+def with_attributes(trials: DataFrame, attributes: DataFrame, on: str = "trial") -> DataFrame:
+    """Trials with what else is known of them; those without attributes stay."""
+    return trials.join(attributes, on, "left")

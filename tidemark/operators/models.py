@@ -14,28 +14,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Three tree ensembles for one label: quick, deep, and between.
-BINARY = {"fast": {"maxDepth": 3, "maxIter": 4}, "deep": {"maxDepth": 6, "maxIter": 10}, "balanced": {"maxDepth": 4, "maxIter": 6}}
+BINARY = {
+    "fast": {"maxIter": 100, "maxDepth": 4, "stepSize": 0.1, "subsamplingRate": 0.8},
+    "deep": {"maxIter": 500, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.7},
+    "balanced": {"maxIter": 300, "maxDepth": 6, "stepSize": 0.075, "subsamplingRate": 0.75},
+}
+#: Ensembles of the second models: for classes, and for a size.
+CLASSES = {"numTrees": 200, "maxDepth": 5, "subsamplingRate": 0.8}
+SIZES = {"maxIter": 300, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8}
 
 
 def assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
 
 
-def binary_model(features: Sequence[str], label: str, kind: str = "fast", seed: int = 42) -> Pipeline:
-    return Pipeline(stages=[assembler(features), GBTClassifier(labelCol=label, seed=seed, **BINARY[kind])])
+def binary_model(features: Sequence[str], label: str, kind: str = "fast", seed: int = 42, **changes) -> Pipeline:
+    """One of BINARY's ensembles; changes replace its settings."""
+    return Pipeline(stages=[assembler(features), GBTClassifier(labelCol=label, seed=seed, **(BINARY[kind] | changes))])
 
 
-def multiclass_model(features: Sequence[str], label: str, trees: int = 20, depth: int = 5, seed: int = 42) -> Pipeline:
-    """label holds codes from 0."""
-    return Pipeline(stages=[assembler(features), RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)])
+def multiclass_model(features: Sequence[str], label: str, seed: int = 42, **changes) -> Pipeline:
+    """label holds codes from 0; changes replace settings of CLASSES."""
+    return Pipeline(stages=[assembler(features), RandomForestClassifier(labelCol=label, seed=seed, **(CLASSES | changes))])
 
 
 def one_vs_rest_model(features: Sequence[str], label: str) -> Pipeline:
     return Pipeline(stages=[assembler(features), OneVsRest(classifier=LogisticRegression(maxIter=20), labelCol=label)])
 
 
-def size_model(features: Sequence[str], label: str, seed: int = 42) -> Pipeline:
-    return Pipeline(stages=[assembler(features), GBTRegressor(labelCol=label, maxIter=10, seed=seed)])
+def size_model(features: Sequence[str], label: str, seed: int = 42, **changes) -> Pipeline:
+    """A regression; changes replace settings of SIZES."""
+    return Pipeline(stages=[assembler(features), GBTRegressor(labelCol=label, seed=seed, **(SIZES | changes))])
+
+
+def saved(model: PipelineModel, path: str) -> PipelineModel:
+    """The model as it is read back from where it is kept."""
+    model.write().overwrite().save(path)
+    return PipelineModel.load(path)
 
 
 def scaled(features: Sequence[str], categories: Sequence[str] = ()) -> Pipeline:
@@ -46,10 +61,10 @@ def scaled(features: Sequence[str], categories: Sequence[str] = ()) -> Pipeline:
     return Pipeline(stages=stages)
 
 
-def fit_labels(df: DataFrame, features: Sequence[str], labels: Sequence[str], kind: str = "fast") -> dict[str, PipelineModel]:
+def fit_labels(df: DataFrame, features: Sequence[str], labels: Sequence[str], kind: str = "fast", **changes) -> dict[str, PipelineModel]:
     """One model per 0/1 label; labels with a single class are skipped. One pass finds the classes."""
     seen = df.agg(*(F.countDistinct(c).alias(c) for c in labels)).first()
-    return {c: binary_model(features, c, kind).fit(df) for c in labels if seen[c] > 1}
+    return {c: binary_model(features, c, kind, **changes).fit(df) for c in labels if seen[c] > 1}
 
 
 def positive_probability(scored: DataFrame, name: str = "win_prob") -> DataFrame:
@@ -67,15 +82,15 @@ def out_of_fold(df: DataFrame, splits: DataFrame, model: Pipeline, key: Sequence
     return out
 
 
-def search(df: DataFrame, splits: DataFrame, features: Sequence[str], label: str, trials: int = 3, seed: int = 42, patience: int = 20, tolerance: float = 1e-3) -> DataFrame:
+def search(df: DataFrame, splits: DataFrame, features: Sequence[str], label: str, trials: int = 100, seed: int = 42, patience: int = 20, tolerance: float = 1e-3, trees: Sequence[int] = (100, 200, 300, 500), depths: Sequence[int] = (3, 4, 5, 6, 7, 8)) -> DataFrame:
     """Seeded random search over forests: one row per trial and split with its accuracy. Stops when the best of the last
     `patience` trials moves less than `tolerance`."""
     draw, rows, best = random.Random(seed), [], []
     for trial in range(trials):
-        trees, depth = draw.choice([3, 5, 10]), draw.randint(2, 5)
-        scored = out_of_fold(df, splits, multiclass_model(features, label, trees, depth, seed))
+        size, depth = draw.choice(list(trees)), draw.choice(list(depths))
+        scored = out_of_fold(df, splits, multiclass_model(features, label, seed, numTrees=size, maxDepth=depth))
         found = scored.groupBy("split").agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy")).collect()
-        rows += [(trial, trees, depth, int(r["split"]), float(r["accuracy"])) for r in found]
+        rows += [(trial, size, depth, int(r["split"]), float(r["accuracy"])) for r in found]
         best.append(max(sum(r["accuracy"] for r in found) / len(found), best[-1] if best else 0))
         if len(best) >= patience and max(best[-patience:]) - min(best[-patience:]) < tolerance:
             break

@@ -1,7 +1,9 @@
 """Operators whose state runs along a series: exponential means, oscillators, cumulative-sum events, sliding kernels.
 
-Each series is one group, dealt and sorted once; its length is that of one symbol's bars. Sliding kernels only need the
-last rows, so they run on chunks with a halo.
+Exponential means are linear recurrences, which compose: chunks of a series are summed up side by side, and each gets
+what the chunks before it carry over. Sliding kernels only need the last rows, so they run on chunks with a halo. Only
+cumulative-sum events, which start anew where they fire, take each series as one group, dealt and sorted once; its
+length is that of one symbol's bars.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import kernels as K
-from tidemark.functions.windows import PART, flag, lag, last_rows, mean, order, over_past, pct_change, row_numbers, std
+from tidemark.functions.windows import PART, fill_forward, flag, lag, last_rows, mean, order, over_past, pct_change, row_numbers, std
 from tidemark.operators.align import as_of
 
 
@@ -35,8 +37,68 @@ def unknown_to_null(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")) for c in columns})
 
 
-def emas(df: DataFrame, lengths: Sequence[int] = (20, 50, 200), value: str = "close", prefix: str = "ema_", suffix: str = "") -> DataFrame:
-    return along(df, {f"{prefix}{n}{suffix}": (lambda r, n=n: K.ema(r[value].to_numpy(), n)) for n in lengths})
+#: Rows of a series that one task sums up.
+ROWS = 500_000
+
+
+def recurrences(df: DataFrame, columns: dict[str, tuple[Column, float]], rows: int | None = ROWS) -> DataFrame:
+    """Adds columns s with s[t] = keep * s[t - 1] + input[t] along each series, from (input, keep); unknown inputs count as 0.
+
+    Each chunk of `rows` rows of a series is summed from 0, and gets keep ** place times what the chunks before it add up
+    to: one row a chunk is carried on, so that a series of any length is many tasks. The rows are read twice for that,
+    so with long plans before it, where series are short, rows=None takes each series as one chunk.
+    """
+    if rows is None:
+        inputs = {f"_in{i}": F.coalesce(x.cast("double"), F.lit(0.0)) for i, (x, _) in enumerate(columns.values())}
+        whole = {c: (lambda r, i=i, k=k: K.recurrence(r[f"_in{i}"].to_numpy(), k)) for i, (c, (_, k)) in enumerate(columns.items())}
+        return along(df.withColumns(inputs), whole).drop(*inputs)
+    given, names = "rn" in df.columns, list(columns)
+    inputs = {f"_in{i}": F.coalesce(x.cast("double"), F.lit(0.0)) for i, (x, _) in enumerate(columns.values())}
+    keep, read = [k for _, k in columns.values()], list(inputs)
+    numbered = row_numbers(df.withColumns(inputs)).withColumn("_chunk", F.floor((F.col("rn") - 1) / rows))
+    kept = [c for c in numbered.columns if c not in inputs]
+    kinds = dict(numbered.dtypes)
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *(f"`{c}` double" for c in names)])
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("rn")
+        return part[kept].assign(**{c: K.recurrence(part[x].to_numpy(), k) for c, x, k in zip(names, read, keep, strict=True)})
+
+    local = numbered.groupBy("symbol", "_chunk").applyInPandas(run, schema)
+    ends = local.groupBy("symbol", "_chunk").agg(F.max_by(F.struct("rn", *names), "rn").alias("_end"))
+    before = F.collect_list(F.struct("_chunk", "_end")).over(W.partitionBy("symbol").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1))
+    size = lambda e: (e["_end"]["rn"] - e["_chunk"] * rows).cast("double")
+    carry = lambda c, k: F.aggregate("_before", F.lit(0.0), lambda total, e: total * F.pow(F.lit(k), size(e)) + e["_end"][c])
+    carried = ends.withColumn("_before", before).select("symbol", "_chunk", *(carry(c, k).alias(f"_carry{i}") for i, (c, k) in enumerate(zip(names, keep, strict=True))))
+    place = (F.col("rn") - F.col("_chunk") * rows).cast("double")
+    whole = {c: F.col(c) + F.col(f"_carry{i}") * F.pow(F.lit(k), place) for i, (c, k) in enumerate(zip(names, keep, strict=True))}
+    out = local.join(carried, ["symbol", "_chunk"]).withColumns(whole)
+    return out.drop("_chunk", *(f"_carry{i}" for i in range(len(names))), *([] if given else ["rn"]))
+
+
+def weighted(df: DataFrame, columns: dict[str, Column], n: int, rows: int | None = ROWS) -> DataFrame:
+    """Adds exponential means with alpha 1 / n over all values so far (weights add up to 1), null before n values."""
+    keep = 1 - 1 / n
+    parts = {}
+    for c, x in columns.items():
+        known = x.isNotNull().cast("double")
+        parts |= {f"_{c}_sum": (x, keep), f"_{c}_weight": (known, keep), f"_{c}_count": (known, 1.0)}
+    out = recurrences(df, parts, rows)
+    means = {c: F.when(F.col(f"_{c}_count") > n - 0.5, F.try_divide(f"_{c}_sum", f"_{c}_weight")) for c in columns}
+    return out.withColumns(means).drop(*parts)
+
+
+def emas(df: DataFrame, lengths: Sequence[int] = (20, 50, 200), value: str = "close", prefix: str = "ema_", suffix: str = "", rows: int | None = ROWS) -> DataFrame:
+    """Exponential means with alpha 2 / (n + 1), started by the plain mean of the first n values; null before."""
+    given = "rn" in df.columns
+    out = row_numbers(df)
+    parts = {}
+    for n in lengths:
+        alpha = 2 / (n + 1)
+        first = F.avg(value).over(last_rows(n))
+        parts[f"{prefix}{n}{suffix}"] = (F.when(F.col("rn") == n, first).when(F.col("rn") > n, alpha * F.col(value)), 1 - alpha)
+    out = recurrences(out, parts, rows)
+    return out.withColumns({c: F.when(F.col("rn") >= n, F.col(c)) for c, n in zip(parts, lengths, strict=True)}).drop(*([] if given else ["rn"]))
 
 
 def ordered_sign(a: Column, b: Column, c: Column | None = None) -> Column:
@@ -47,9 +109,9 @@ def ordered_sign(a: Column, b: Column, c: Column | None = None) -> Column:
     return flag(up) - flag(down)
 
 
-def trend(df: DataFrame) -> DataFrame:
+def trend(df: DataFrame, rows: int | None = ROWS) -> DataFrame:
     """EMAs, their alignment and the acceleration of the fast one."""
-    out = emas(df)
+    out = emas(df, rows=rows)
     out = out.withColumn("ema_algnment", ordered_sign(F.col("ema_20"), F.col("ema_50"), F.col("ema_200")))
     out = out.withColumn("_s", F.col("ema_20") - lag("ema_20")).withColumn("_a", F.col("_s") - lag("_s"))
     return out.withColumn("ema_slope_acceleration", mean(F.col("_a"), 10)).drop("_s", "_a")
@@ -68,10 +130,26 @@ def higher_trend(df: DataFrame, legacy: bool = False) -> DataFrame:
     return df.withColumn("ema_alignment_h4", ordered_sign(F.col("ema20_h4"), F.col("ema50_h4")))
 
 
-def oscillators(df: DataFrame) -> DataFrame:
+def true_range(first: Column | None = None) -> Column:
+    """The largest of high - low and the distances of both to the close before; `first` (unknown if not given) at the first
+    bar."""
+    before = lag("close")
+    return F.when(before.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))).otherwise(F.lit(None).cast("double") if first is None else first)
+
+
+def oscillators(df: DataFrame, rows: int | None = ROWS) -> DataFrame:
     """ATR and its expansion, RSI and its momentum regime, ADX (under two names)."""
-    hlc = lambda r: (r["high"].to_numpy(), r["low"].to_numpy(), r["close"].to_numpy())
-    out = along(df, {"atr_14": lambda r: K.atr(*hlc(r)), "rsi_14": lambda r: K.rsi(r["close"].to_numpy()), "adx_14": lambda r: K.adx(*hlc(r))})
+    n, given = 14, "rn" in df.columns
+    out = row_numbers(df).withColumn("_tr", true_range()).withColumn("_c", F.col("close") - lag("close"))
+    up, down = F.col("high") - lag("high"), lag("low") - F.col("low")
+    out = out.withColumn("_p", F.when((up > down) & (up > 0), up).otherwise(0.0)).withColumn("_m", F.when((down > up) & (down > 0), down).otherwise(0.0))
+    zero = F.lit(0.0)
+    ups, downs = F.when(F.col("_c").isNotNull(), F.greatest("_c", zero)), F.when(F.col("_c").isNotNull(), F.least("_c", zero))
+    out = weighted(out, {"atr_14": F.col("_tr"), "_up": ups, "_down": downs, "_plus": F.col("_p"), "_minus": F.col("_m")}, n, rows)
+    out = out.withColumn("rsi_14", F.try_divide(100 * F.col("_up"), F.nullif(F.col("_up") + F.abs("_down"), zero)))
+    way = F.try_divide(100 * F.abs(F.col("_plus") - F.col("_minus")), F.nullif(F.col("_plus") + F.col("_minus"), zero))
+    out = weighted(out.withColumn("_dx", F.when(F.col("atr_14") > 0, way)), {"adx_14": F.col("_dx")}, n, rows)
+    out = out.drop("_tr", "_c", "_p", "_m", "_up", "_down", "_plus", "_minus", "_dx", *([] if given else ["rn"]))
     out = out.withColumn("_a", F.col("atr_14") - lag("atr_14")).withColumn("_r", F.col("rsi_14") - lag("rsi_14"))
     out = out.withColumn("vol_expansion_rate", mean(F.col("_a"), 10)).withColumn("_m", mean(F.col("_r"), 10))
     regime = F.when(F.col("_m") > 0.5, 1).when(F.col("_m") < -0.5, -1).otherwise(0)
@@ -80,13 +158,24 @@ def oscillators(df: DataFrame) -> DataFrame:
 
 def target_volatility(df: DataFrame, n: int = 100) -> DataFrame:
     """Exponential mean of the true range with alpha 1 / n from the first bar on."""
-    alpha = 1 / n
-    return along(df, {"target_vol": lambda r: pd.Series(K.true_range(r["high"].to_numpy(), r["low"].to_numpy(), r["close"].to_numpy(), 0.0)).ewm(alpha=alpha, adjust=False).mean().to_numpy()})
+    given, out = "rn" in df.columns, row_numbers(df)
+    out = out.withColumn("_t", true_range(F.col("high") - F.col("low")))
+    part = F.when(F.col("rn") == 1, F.col("_t")).otherwise(F.col("_t") / n)
+    return recurrences(out.withColumn("_t", part), {"target_vol": (F.col("_t"), 1 - 1 / n)}).drop("_t", *([] if given else ["rn"]))
 
 
 def daily_volatility(df: DataFrame, span: int = 100) -> DataFrame:
     """Exponential deviation (bias-corrected) of day_ret, carried forward, then backward to the start."""
-    return along(df, {"daily_vol": lambda r: r["day_ret"].astype(float).ewm(span=span).std().ffill().bfill().to_numpy()})
+    keep = 1 - 2 / (span + 1)
+    x, known = F.coalesce("day_ret", F.lit(0.0)), F.col("day_ret").isNotNull().cast("double")
+    out = recurrences(df, {"_s": (x, keep), "_q": (x * x, keep), "_w": (known, keep), "_w2": (known, keep * keep)})
+    mean = F.try_divide("_s", F.nullif(F.col("_w"), F.lit(0.0)))
+    spread = F.greatest(F.try_divide("_q", F.nullif(F.col("_w"), F.lit(0.0))) - mean * mean, F.lit(0.0))
+    more = F.col("_w") * F.col("_w") - F.col("_w2")  # 0 for a single value, but for rounding
+    vol = F.when(more > 1e-9 * F.col("_w2"), F.sqrt(spread * F.try_divide(F.col("_w") * F.col("_w"), more)))
+    out = out.withColumn("_v", vol).withColumn("daily_vol", fill_forward(F.col("_v")))
+    first = F.min_by("_v", F.when(F.col("_v").isNotNull(), F.col("time"))).over(W.partitionBy("symbol"))
+    return out.withColumn("daily_vol", F.coalesce("daily_vol", first)).drop("_s", "_q", "_w", "_w2", "_v")
 
 
 def cusum_events(df: DataFrame, k: float = 5.0, n: int = 288) -> DataFrame:
@@ -160,6 +249,20 @@ def sadf_events(df: DataFrame, every: int = 48, window: int | None = None, least
     return out.withColumn("sadf_log_break", flag((F.col("sadf_log_tstat") != 0) & (F.col("sadf_log_tstat") > F.col("sadf_log_crit"))))
 
 
+def sadf_advanced(df: DataFrame, every: int = 48, least: int = 20, lags: int = 2, n: int = 10) -> DataFrame:
+    """sadf_events with a critical value by the number of closes taken (-3.75 up to 50, -3.45 up to 100, -3.15 up to 250, else
+    -2.86) and sadf_normalized: the score's distance from its mean over the last n in their deviations, 0 where unknown."""
+    picked = row_numbers(df).filter((F.col("rn") - 1) % every == 0).select("symbol", "time", F.ln("close").alias("y"))
+    taken = F.count("y").over(W.partitionBy("symbol"))
+    critical = F.when(taken <= 50, -3.75).when(taken <= 100, -3.45).when(taken <= 250, -3.15).otherwise(-2.86)
+    scored = _sadf(picked, F.col("y"), "sadf_log_tstat", None, least, lags, True, True).withColumn("sadf_log_crit", critical)
+    t = F.col("sadf_log_tstat")
+    scored = scored.withColumn("sadf_normalized", F.try_divide(t - mean(t, n), F.nullif(std(t, n), F.lit(0.0)))).drop("y")
+    out = as_of(df, scored, ["sadf_log_tstat", "sadf_log_crit", "sadf_normalized"])
+    out = out.withColumn("sadf_log_break", flag(F.col("sadf_log_tstat") > F.col("sadf_log_crit")))
+    return out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("sadf_log_tstat", "sadf_normalized")})
+
+
 def sadf_sequence(df: DataFrame, window: int | None = None, least: int = 12) -> DataFrame:
     """Supremum ADF without constant or lags at each bar over all starts from the beginning, or with `window` over the
     last closes only."""

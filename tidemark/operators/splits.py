@@ -71,9 +71,9 @@ def stratified_folds(df: DataFrame, k: int, label: str) -> DataFrame:
 
 def _purged(rows: DataFrame, tests: DataFrame, spans: DataFrame, embargo: str) -> DataFrame:
     """Training rows of each split: those whose [time, t1] overlaps no span of it and that do not start within the embargo
-    after one. spans: symbol, split, start, end; a few rows a symbol, hence the broadcast."""
+    after one. spans: symbol, split, start, end; one row a symbol and split, so the join multiplies rows by the splits."""
     clear = (F.col("r.t1") < F.col("s.start")) | (F.col("r.time") >= F.col("s.end") + F.expr(embargo)) & (F.col("r.time") > F.col("s.end"))
-    pairs = rows.alias("r").join(F.broadcast(spans).alias("s"), F.col("r.symbol") == F.col("s.symbol"))
+    pairs = rows.alias("r").join(spans.alias("s"), F.col("r.symbol") == F.col("s.symbol"))
     train = pairs.groupBy("r.symbol", "s.split", "r.row").agg(F.min(F.coalesce(clear, F.lit(False)).cast("int")).alias("ok")).filter("ok = 1")
     return train.select("symbol", "split", F.lit("train").alias("role"), "row").join(tests.select("symbol", "split", "row"), ["symbol", "split", "row"], "left_anti")
 
@@ -94,6 +94,15 @@ def purged_kfold(df: DataFrame, k: int, embargo: str = "INTERVAL 24 HOURS", labe
     return out
 
 
+def purged_past(df: DataFrame, k: int) -> DataFrame:
+    """k folds of df (time, t1), each tested after the rows of other folds whose t1 is not later than its first time."""
+    rows = folds(df, k)
+    tests = rows.select("symbol", F.col("fold").alias("split"), F.lit("test").alias("role"), "row")
+    starts = rows.groupBy("symbol", "fold").agg(F.min("time").alias("_start")).withColumnRenamed("fold", "split")
+    before = rows.join(starts, "symbol").filter((F.col("t1") <= F.col("_start")) & (F.col("fold") != F.col("split")))  # k rows a symbol
+    return before.select("symbol", "split", F.lit("train").alias("role"), "row").unionByName(tests)
+
+
 def combinatorial_purged(df: DataFrame, k: int, tested: int, embargo: str = "INTERVAL 24 HOURS") -> DataFrame:
     """One split for each choice of `tested` folds. Training rows are purged against one span over all of them, gaps
     included, and the embargo after it."""

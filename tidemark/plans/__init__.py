@@ -1 +1,5 @@
-"""Spark-first analytics on market bars."""
+"""Registered queries; importing any of them registers all."""
+
+from tidemark.plans import registry
+
+__all__ = ["registry"]

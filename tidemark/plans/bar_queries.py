@@ -10,6 +10,8 @@ from tidemark.operators import align, cleaning
 from tidemark.operators import features as X
 from tidemark.plans.registry import BARS, DAILY, DIRTY, H1, register
 from tidemark.sources import bars as B
+from tidemark.sources import files
+from tidemark.streaming.streams import work_folder
 
 KEYS = ("symbol", "time")
 OHLCV = ("open", "high", "low", "close", "volume")
@@ -73,6 +75,22 @@ register("duplicate_days_top", on_dirty(cleaning.top_duplicate_days), ("day", "s
 register("count_per_symbol", on_bars(lambda df: df.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("first"), F.max("time").alias("last"), F.count(F.nullif(F.col("volume"), F.lit(0.0))).alias("with_volume"))), ("symbol", "n", "first", "last", "with_volume"), (), "SELECT symbol, count(*) AS n, min(time) AS first, max(time) AS last, count(nullif(volume, 0)) AS with_volume FROM bars GROUP BY symbol")
 register("count_by_day", on_bars(lambda df: df.filter("time >= timestamp'2024-01-03' AND time < timestamp'2024-01-04'").groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("time").alias("first"), F.max("time").alias("last"))), ("symbol", "n", "first", "last"), (), "SELECT symbol, count(*) AS n, min(time) AS first, max(time) AS last FROM bars WHERE time >= '2024-01-03' AND time < '2024-01-04' GROUP BY symbol")
 
+register("non_null_counts", on_bars(lambda df: cleaning.known_counts(X.returns(df).withColumn("spread", F.when(F.minute("time") < 30, F.col("high") - F.col("low"))), ["spread", "ret"])), ("symbol", "rows", "known_spread", "known_ret"), (), f"SELECT symbol, count(*) AS rows, count_if(minute(time) < 30) AS known_spread, count(r) AS known_ret FROM (SELECT *, close / nullif(lag(close) OVER ({O}), 0) - 1 AS r FROM bars) GROUP BY symbol")
+register("schema_projection", on_bars(lambda df: cleaning.project_to(cleaning.with_column_if_absent(cleaning.with_column_if_absent(df.withColumn("more", F.lit(1)), "spread"), "volume"), ["symbol", "time", "close", "volume", "spread", "absent"])), KEYS, ("close", "volume", "spread"), "SELECT symbol, time, close, volume, NULL::DOUBLE AS spread FROM bars")
+
+
+def merged_store(s, d):
+    """A store of half of the bars, into which others are merged."""
+    old, new = old_and_new(s, d)
+    path = work_folder(s, "store")
+    files.replace_partitions(old, f"{path}/bars")
+    files.merge_partitions(s, new.filter("symbol <> 'view'").withColumn("more", F.lit(1)), f"{path}/bars", f"{path}/work")
+    return files.stored(s, f"{path}/bars")
+
+
+register("merge_overwrite", merged_store, KEYS, OHLCV, f"SELECT * FROM (SELECT *, 0 AS turn FROM ({_OLD}) UNION ALL SELECT *, 1 FROM ({_NEW}) WHERE symbol <> 'view') QUALIFY row_number() OVER (PARTITION BY symbol, time ORDER BY turn DESC) = 1")
+register("broker_dry_run", lambda s, d: files.broker_bars(s, "eur", 600), KEYS, ("open", "high", "low", "close", "tick_volume"), "SELECT 'eur' AS symbol, TIMESTAMP '2024-01-01' - INTERVAL 5 MINUTE * i AS time, 1.0 AS open, 1.1 AS high, 0.9 AS low, 1.05 AS close, 100 AS tick_volume FROM range(600) q(i)", ())
+
 # scalars ------------------------------------------------------------------------------------------------------------
 
 
@@ -158,19 +176,25 @@ register("time_since_event", on_bars(lambda df: X.run_length_since(X.z_score_eve
 register("portfolio_concentration", lambda s, d: X.concentration(B.bars(s, d, "1 hour").select("time", F.col("symbol").alias("asset"), F.col("volume").alias("weight"))), ("time",), ("hhi", "shannon_entropy_w", "effective_n", "normalized_concentration"), """
 SELECT time, hhi, h AS shannon_entropy_w, exp(h) AS effective_n, (hhi - 1.0 / n) / nullif(1 - 1.0 / n, 0) AS normalized_concentration FROM (
   SELECT time, sum(w * w) AS hhi, -sum(w * ln(greatest(w, 1e-12))) AS h, count_if(w > 0) AS n FROM (SELECT time, volume / nullif(sum(volume) OVER (PARTITION BY time), 0) AS w FROM bars_h1) GROUP BY time)""", (BARS, H1))
+register("concentration_on_bars", lambda s, d: X.concentration_on(B.bars(s, d), B.bars(s, d, "1 hour").filter("hour(time) % 4 = 1").select("time", F.col("symbol").alias("asset"), F.col("volume").alias("weight"))), KEYS, ("hhi", "effective_n"), """
+SELECT b.symbol, b.time, c.hhi, exp(c.h) AS effective_n FROM bars b ASOF LEFT JOIN (SELECT time, sum(w * w) AS hhi, -sum(w * ln(greatest(w, 1e-12))) AS h FROM (SELECT time, volume / nullif(sum(volume) OVER (PARTITION BY time), 0) AS w FROM bars_h1 WHERE hour(time) % 4 = 1) GROUP BY time) c ON b.time >= c.time""", (BARS, H1))
 register("adf_tstat", on_bars(X.adf_tstat), ("symbol", "n"), ("rho", "t_stat"), f"""
 SELECT symbol, n, rho, rho / sqrt((yy - rho * xy) / ((n - 1) * xx)) AS t_stat FROM (SELECT symbol, sum(x * d) / sum(x * x) AS rho, sum(x * d) AS xy, sum(x * x) AS xx, sum(d * d) AS yy, count(*) AS n
   FROM (SELECT symbol, x, close - x AS d FROM (SELECT *, lag(close) OVER ({O}) AS x FROM bars) WHERE x IS NOT NULL) GROUP BY symbol)""")
+register("adf_lags", on_bars(lambda df: X.adf(df, 3, True, True)), ("symbol", "n"), ("t_stat",))
+register("adf_constant", on_bars(lambda df: X.adf(df, 0, True)), ("symbol", "n"), ("t_stat",), f"""
+SELECT symbol, n, b / sqrt((syy - b * sxy) / (n - 2) / sxx) AS t_stat FROM (SELECT symbol, regr_count(d, x) AS n, regr_slope(d, x) AS b, regr_sxx(d, x) AS sxx, regr_sxy(d, x) AS sxy, regr_syy(d, x) AS syy
+  FROM (SELECT symbol, x, close - x AS d FROM (SELECT *, lag(close) OVER ({O}) AS x FROM bars) WHERE x IS NOT NULL) GROUP BY symbol)""", digits=5)
 register("bde_cusum", on_bars(X.bde_cusum), KEYS, ("bde_cusum",), f"SELECT symbol, time, sum(e) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bde_cusum FROM (SELECT *, (close - avg(close) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) / stddev_samp(close) OVER (PARTITION BY symbol) AS e FROM bars)", digits=4)
-register("csw_statistic", lambda s, d: X.csw_statistic(B.bars(s, d, "1 hour"), 32), KEYS, ("csw_stat",), f"""
-SELECT a.symbol, a.time, max(abs(a.y - b.y) / (a.s * sqrt(a.rn - b.rn))) AS csw_stat FROM
- (SELECT *, avg(d2) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM (SELECT *, pow(y - lag(y) OVER ({O}), 2) AS d2 FROM ys)) a LEFT JOIN ys b ON a.symbol = b.symbol AND b.rn BETWEEN a.rn - 32 AND a.rn - 1 GROUP BY ALL""", (BARS, H1, f"ys AS MATERIALIZED (SELECT symbol, time, ln(close) AS y, row_number() OVER ({O}) AS rn FROM bars_h1)"), digits=4)
-register("csw_statistic_whole", on_bars(X.csw_statistic), KEYS, ("csw_stat", "csw_crit"), digits=4)
+register("csw_statistic", on_bars(X.csw_statistic), KEYS, ("csw_stat", "csw_crit"), f"""
+SELECT symbol, time, b.s AS csw_stat, sqrt(4.6 + ln(b.d)) AS csw_crit FROM (
+  SELECT a.symbol, a.time, max(CASE WHEN a.s > 0 THEN struct_pack(s := abs(a.y - b.y) / (a.s * sqrt(a.rn - b.rn)), d := a.rn - b.rn) END) AS b FROM
+    (SELECT *, avg(d2) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM (SELECT *, pow(y - lag(y) OVER ({O}), 2) AS d2 FROM ys)) a LEFT JOIN ys b ON a.symbol = b.symbol AND b.rn < a.rn GROUP BY ALL)""", (BARS, f"ys AS MATERIALIZED (SELECT symbol, time, ln(nullif(close, 0)) AS y, row_number() OVER ({O}) AS rn FROM bars)"), digits=4)
 
 # alignment ----------------------------------------------------------------------------------------------------------
 _HOUR = "(SELECT symbol, time, close AS hour_close FROM bars_h1)"
-register("as_of_backward", lambda s, d: align.as_of(B.bars(s, d), B.bars(s, d, "1 hour").filter("symbol <> 'view' OR hour(time) % 3 = 0").withColumnRenamed("close", "hour_close"), ["hour_close"]), KEYS, ("close", "hour_close"), f"SELECT b.symbol, b.time, b.close, h.hour_close FROM bars b ASOF LEFT JOIN (SELECT * FROM {_HOUR} WHERE symbol <> 'view' OR hour(time) % 3 = 0) h ON b.symbol = h.symbol AND b.time >= h.time", (BARS, H1))
-register("as_of_forward", lambda s, d: align.as_of(B.bars(s, d), B.bars(s, d, "1 hour").withColumnRenamed("close", "hour_close"), ["hour_close"], forward=True), KEYS, ("close", "hour_close"), f"SELECT b.symbol, b.time, b.close, h.hour_close FROM bars b ASOF LEFT JOIN {_HOUR} h ON b.symbol = h.symbol AND b.time <= h.time", (BARS, H1))
+register("as_of_backward", lambda s, d: align.as_of(B.bars(s, d), B.bars(s, d, "1 hour").filter("symbol <> 'view' OR hour(time) % 3 = 0").withColumnRenamed("close", "hour_close"), ["hour_close"], days=7), KEYS, ("close", "hour_close"), f"SELECT b.symbol, b.time, b.close, h.hour_close FROM bars b ASOF LEFT JOIN (SELECT * FROM {_HOUR} WHERE symbol <> 'view' OR hour(time) % 3 = 0) h ON b.symbol = h.symbol AND b.time >= h.time", (BARS, H1))
+register("as_of_forward", lambda s, d: align.as_of(B.bars(s, d), B.bars(s, d, "1 hour").withColumnRenamed("close", "hour_close"), ["hour_close"], forward=True, days=7), KEYS, ("close", "hour_close"), f"SELECT b.symbol, b.time, b.close, h.hour_close FROM bars b ASOF LEFT JOIN {_HOUR} h ON b.symbol = h.symbol AND b.time <= h.time", (BARS, H1))
 register("reindex_forward", lambda s, d: align.reindex_forward(B.bars(s, d).filter("symbol <> 'view'"), B.bars(s, d).filter("symbol = 'view'").withColumnRenamed("close", "dxy"), "dxy"), KEYS, ("dxy",), f"SELECT b.symbol, b.time, last_value(v.close IGNORE NULLS) OVER (PARTITION BY b.symbol ORDER BY b.time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS dxy FROM bars b LEFT JOIN bars v ON v.symbol = 'view' AND v.time = b.time WHERE b.symbol <> 'view'")
 MACRO = {"click": "yield_10y", "error": "yield_2y", "purchase": "equity", "signup": "bond"}
 

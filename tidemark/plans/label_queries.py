@@ -6,16 +6,18 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from tidemark.functions import windows as win
 from tidemark.functions.windows import pct_change
 from tidemark.operators import features as X
 from tidemark.operators import labels as L
 from tidemark.operators import metrics as M
+from tidemark.operators import recursive as R
 from tidemark.operators import splits as V
 from tidemark.plans.bar_queries import KEYS, O, full, on_bars
 from tidemark.plans.registry import BARS, H1, register
 from tidemark.sources import bars as B
 
-RN = f"numbered AS MATERIALIZED (SELECT *, row_number() OVER ({O}) AS rn, close / lag(close) OVER ({O}) - 1 AS r FROM bars)"
+RN = f"numbered AS MATERIALIZED (SELECT *, row_number() OVER ({O}) AS rn, close / nullif(lag(close) OVER ({O}), 0) - 1 AS r FROM bars)"
 VOL = f"vols AS MATERIALIZED (SELECT *, {full('stddev_samp(r)', 'r', 48)} AS v FROM numbered)"
 HORIZONS, MULTIPLES = (12, 48), (1.0, 2.0)
 
@@ -23,7 +25,7 @@ HORIZONS, MULTIPLES = (12, 48), (1.0, 2.0)
 def touched(df):
     """Barriers in price units: volatility of returns times the close."""
     vol = F.col("close") * L.std(F.col("_r"), 48) / 10
-    return L.first_touch(L.barrier_events(df, HORIZONS, vol=vol), HORIZONS, MULTIPLES, 0.01)
+    return win.in_chunks(L.barrier_events(df, HORIZONS, vol=vol), lambda x, part: L.first_touch(x, HORIZONS, MULTIPLES, 0.01, part=part), ahead=max(HORIZONS), rows=1000)
 
 
 register("barrier_events", on_bars(L.barrier_events, horizons=HORIZONS, vol_window=48), (*KEYS, "t1"), ("pt_dist", "sl_dist"), f"SELECT symbol, time, lead(time, 48) OVER ({O}) AS t1, 2 * v AS pt_dist, 2 * v AS sl_dist FROM vols", (BARS, RN, VOL))
@@ -39,16 +41,16 @@ def _touch(side: str, m: float, h: int) -> str:
 
 register("first_touch_labels", on_bars(touched), (*KEYS, *(f"{s}_hit_{m:g}R_h{h}" for s, m, h in _HITS)), (), f"SELECT a.symbol, a.time, {', '.join(_touch(*x) for x in _HITS)} FROM (SELECT *, 2 * (close * v / 10) AS d FROM vols) a LEFT JOIN vols b ON a.symbol = b.symbol AND b.rn > a.rn AND b.rn <= a.rn + 48 GROUP BY a.symbol, a.time", (BARS, RN, VOL))
 SCAN = """scans AS MATERIALIZED (
-  SELECT symbol, time, arg_max(struct_pack(e := et, n := n, t := t, r := last / first - 1), (abs(t), -n)) AS b FROM (
+  SELECT symbol, time, arg_max(struct_pack(e := et, n := n, t := t, r := last / nullif(first, 0) - 1), (abs(t), -n)) AS b FROM (
     SELECT e.symbol, e.time, e.close AS first, p.time AS et, p.close AS last, p.rn - e.rn + 1 AS n,
       (p2.sky - (p2.sy * (p.rn - e.rn) / 2)) / p2.skk / (sqrt(greatest(p2.vyy - pow((p2.sky - (p2.sy * (p.rn - e.rn) / 2)), 2) / p2.skk, 0) / (p.rn - e.rn - 1) / p2.skk) + 1e-8) AS t
-    FROM numbered e JOIN numbered p ON p.symbol = e.symbol AND p.rn BETWEEN e.rn + 4 AND e.rn + 38 JOIN LATERAL (
+    FROM numbered e JOIN numbered p ON p.symbol = e.symbol AND p.rn BETWEEN e.rn + 4 AND e.rn + 286 JOIN LATERAL (
       SELECT sum((q.rn - e.rn) * (q.close - e.close)) AS sky, sum(q.close - e.close) AS sy, sum(pow(q.rn - e.rn - (p.rn - e.rn) / 2, 2)) AS skk, count(*) * var_pop(q.close) AS vyy
       FROM numbered q WHERE q.symbol = e.symbol AND q.rn BETWEEN e.rn AND p.rn) p2 ON true
-    WHERE (e.rn - 1) % 24 = 0 AND e.rn + 39 <= (SELECT max(rn) FROM numbered z WHERE z.symbol = e.symbol)) GROUP BY ALL)"""
-register("trend_scan", on_bars(L.trend_scan, window=40, every=24), (*KEYS, "t1", "length", "bin"), ("t_value", "ret"), "SELECT symbol, time, b.e AS t1, b.n::INT AS length, sign(b.t)::INT AS bin, b.t AS t_value, b.r AS ret FROM scans", (BARS, RN, SCAN), digits=5)
-register("strong_trends", on_bars(lambda df: L.strong_trends(L.trend_scan(df, window=40, every=24))), (*KEYS, "side"), ("t_value",), "SELECT symbol, time, sign(b.t)::INT AS side, b.t AS t_value FROM scans QUALIFY abs(b.t) >= quantile_cont(abs(b.t), 0.8) OVER (PARTITION BY symbol)", (BARS, RN, SCAN), digits=5)
-register("vertical_barrier", on_bars(lambda df: L.vertical_barrier(df.select(*KEYS), df)), (*KEYS, "vertical"), (), "SELECT a.symbol, a.time, b.time AS vertical FROM (SELECT symbol, time, time + INTERVAL 5 DAY AS due FROM bars) a ASOF LEFT JOIN bars b ON a.symbol = b.symbol AND a.due <= b.time")
+    WHERE (e.rn - 1) % 12 = 0 AND e.rn + 287 <= (SELECT max(rn) FROM numbered z WHERE z.symbol = e.symbol)) GROUP BY ALL)"""
+register("trend_scan", on_bars(L.trend_scan, window=288, every=12), (*KEYS, "t1", "length", "bin"), ("t_value", "ret"), "SELECT symbol, time, b.e AS t1, b.n::INT AS length, sign(b.t)::INT AS bin, b.t AS t_value, b.r AS ret FROM scans", (BARS, RN, SCAN), digits=5)
+register("strong_trends", on_bars(lambda df: L.strong_trends(L.trend_scan(df, window=288, every=12))), (*KEYS, "side"), ("t_value",), "SELECT symbol, time, sign(b.t)::INT AS side, b.t AS t_value FROM scans QUALIFY abs(b.t) >= quantile_cont(abs(b.t), 0.8) OVER (PARTITION BY symbol)", (BARS, RN, SCAN), digits=5)
+register("vertical_barrier", on_bars(lambda df: L.vertical_barrier(df.select(*KEYS), df, days=7)), (*KEYS, "vertical"), (), "SELECT a.symbol, a.time, b.time AS vertical FROM (SELECT symbol, time, time + INTERVAL 5 DAY AS due FROM bars) a ASOF LEFT JOIN bars b ON a.symbol = b.symbol AND a.due <= b.time")
 register("daily_change", on_bars(L.daily_change), KEYS, ("day_ret",), "SELECT a.symbol, a.time, a.close / b.close - 1 AS day_ret FROM (SELECT *, time - INTERVAL 1 DAY AS due FROM bars) a ASOF LEFT JOIN bars b ON a.symbol = b.symbol AND a.due >= b.time", (BARS,))
 
 
@@ -57,7 +59,7 @@ def events_with_side(df):
     return L.barrier_labels(scored.filter("trgt IS NOT NULL"), 24, 1.5, 1.0)
 
 
-_MOVE = "(b.close / a.close - 1) * a.side"
+_MOVE = "(b.close / nullif(a.close, 0) - 1) * a.side"
 EVENTS = f"""events_with_side AS MATERIALIZED (SELECT symbol, time, close, rn, v AS trgt, CASE WHEN close > open THEN 1 ELSE -1 END AS side FROM vols WHERE v IS NOT NULL),
 paths AS MATERIALIZED (SELECT a.symbol, a.time, a.side, b.rn, b.time AS bt, {_MOVE} AS m, CASE WHEN {_MOVE} >= 1.5 * a.trgt THEN 1 WHEN {_MOVE} <= -a.trgt THEN -1 ELSE 0 END AS k
   FROM events_with_side a JOIN events_with_side b ON a.symbol = b.symbol AND b.rn BETWEEN a.rn + 1 AND a.rn + 24),
@@ -65,6 +67,31 @@ barrier_rows AS MATERIALIZED (SELECT symbol, time, side, coalesce(arg_min(bt, rn
 register("barrier_labels", on_bars(events_with_side), (*KEYS, "side", "t1", "bin"), ("ret",), "SELECT symbol, time, side, t1, bin, ret FROM barrier_rows", (BARS, RN, VOL, EVENTS))
 register("short_recode", on_bars(lambda df: L.short_recode(events_with_side(df))), (*KEYS, "bin"), (), "SELECT symbol, time, CASE WHEN side < 0 THEN -sign(ret)::INT ELSE bin END AS bin FROM barrier_rows", (BARS, RN, VOL, EVENTS))
 register("binary_meta_label", on_bars(lambda df: events_with_side(df).withColumn("prediction", (F.minute("time") % 10 == 0).cast("int")).withColumn("meta", L.binary_meta_label(F.col("prediction"), F.col("bin")))), (*KEYS, "meta"), (), "SELECT symbol, time, (minute(time) % 10 = 0 AND bin > 0)::INT AS meta FROM barrier_rows", (BARS, RN, VOL, EVENTS))
+
+
+def volatile(df):
+    """Bars with the rolling deviation of returns as trgt."""
+    return X.returns(df).withColumn("trgt", L.std(F.col("ret"), 48)).select(*KEYS, "close", "trgt")
+
+
+def _wins(side: str, up: float) -> str:
+    """Whether the path of the next 24 closes reaches `up` deviations before it falls by one, on a side."""
+    move = f"(b.close / nullif(a.close, 0) - 1) * {side}"
+    return f"coalesce(min(b.rn) FILTER ({move} >= {up} * a.v) < coalesce(min(b.rn) FILTER ({move} <= -a.v), 1000000000000), false)::INT"
+
+
+register("dynamic_labels", on_bars(lambda df: L.dynamic_labels(R.target_volatility(df).withColumnRenamed("target_vol", "atr"), (12, 24), (1.0, 2.0), rows=1000)), (*KEYS, "t1", *(f"{s}_hit_{m}R_h{h}" for m in (1, 2) for h in (12, 24) for s in ("long", "short"))), (), f"""
+SELECT a.symbol, a.time, last_value(a.t IGNORE NULLS) OVER (PARTITION BY a.symbol ORDER BY a.time) AS t1, {", ".join(f"l{m}_{h} AS long_hit_{m}R_h{h}, s{m}_{h} AS short_hit_{m}R_h{h}" for m in (1, 2) for h in (12, 24))} FROM (
+  SELECT a.symbol, a.time, a.t, {", ".join(f"coalesce(count(*) FILTER (b.rn <= a.rn + {h}) = {h} AND min(b.rn) FILTER (b.rn <= a.rn + {h} AND {hit}) <= coalesce(min(b.rn) FILTER (b.rn <= a.rn + {h} AND {miss}), 1000000000000), false)::TINYINT AS {s}{m}_{h}" for m in (1, 2) for h in (12, 24) for s, hit, miss in (("l", f"b.high >= a.close + ({m} * a.d + 0.02)", "b.low <= a.close - a.d"), ("s", f"b.low <= a.close - ({m} * a.d + 0.02)", "b.high >= a.close + a.d")))}
+  FROM (SELECT n.symbol, n.time, n.rn, n.close, 2 * target_vol AS d, lead(n.time, 24) OVER (PARTITION BY n.symbol ORDER BY n.time) AS t FROM numbered n JOIN vol_rows USING (symbol, time)) a LEFT JOIN numbered b ON a.symbol = b.symbol AND b.rn > a.rn AND b.rn <= a.rn + 24 GROUP BY ALL) a""", (BARS, RN, "ranges AS MATERIALIZED (SELECT *, CASE WHEN rn = 1 THEN high - low ELSE greatest(high - low, abs(high - before), abs(low - before)) END AS tr FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY time) AS before FROM numbered))", "vol_rows AS MATERIALIZED (SELECT a.symbol, a.time, sum(CASE WHEN b.rn = 1 THEN pow(0.99, a.rn - 1) ELSE 0.01 * pow(0.99, a.rn - b.rn) END * b.tr) AS target_vol FROM ranges a JOIN ranges b ON a.symbol = b.symbol AND b.rn <= a.rn GROUP BY ALL)"))
+register("barrier_hits", on_bars(lambda df: L.barrier_hits(volatile(df), 24, (1.5, 3.0), 1.0)), (*KEYS, "long_hit_rr1_5", "short_hit_rr1_5", "long_hit_rr3", "short_hit_rr3", "t1"), (), f"""
+SELECT a.symbol, a.time, {_wins("1", 1.5)} AS long_hit_rr1_5, {_wins("-1", 1.5)} AS short_hit_rr1_5, {_wins("1", 3)} AS long_hit_rr3, {_wins("-1", 3)} AS short_hit_rr3,
+  CASE WHEN any_value(a.v) IS NOT NULL THEN coalesce(arg_min(b.time, b.rn) FILTER (b.close / nullif(a.close, 0) - 1 >= 3 * a.v OR b.close / nullif(a.close, 0) - 1 <= -a.v), max(b.time)) END AS t1
+FROM vols a LEFT JOIN vols b ON a.symbol = b.symbol AND b.rn BETWEEN a.rn + 1 AND a.rn + 24 GROUP BY a.symbol, a.time""", (BARS, RN, VOL))
+_SCAN20 = "(SELECT symbol, time, b.t AS t FROM scans)"
+register("trend_meta_labels", on_bars(lambda df: L.trend_meta_labels(volatile(df), 24, (1.5,), 1.0)), (*KEYS, "side", "meta_rr1_5"), (), f"""
+SELECT a.symbol, a.time, a.side, {_wins("a.side", 1.5)} AS meta_rr1_5 FROM (SELECT v.*, s.side FROM vols v LEFT JOIN (SELECT symbol, time, sign(t)::INT AS side FROM {_SCAN20} WHERE abs(t) > 2) s ON v.symbol = s.symbol AND v.time = s.time) a
+LEFT JOIN vols b ON a.symbol = b.symbol AND b.rn BETWEEN a.rn + 1 AND a.rn + 24 GROUP BY a.symbol, a.time, a.side""", (BARS, RN, VOL, SCAN.replace("e.rn + 286", "e.rn + 18").replace("(e.rn - 1) % 12 = 0 AND e.rn + 287", "e.rn + 19")))
 register("sample_weights", on_bars(L.sample_weights), KEYS, ("weight",), "SELECT symbol, time, 1.0 AS weight FROM bars")
 P = ("p0", "p1", "p2")
 _PROB = "SELECT symbol, time, volume, close, open, (7 + volume % 13) / (30 + volume % 13 + high % 1 + low % 1) AS p0, (8 + high % 1) / (30 + volume % 13 + high % 1 + low % 1) AS p1, (15 + low % 1) / (30 + volume % 13 + high % 1 + low % 1) AS p2 FROM bars"
@@ -79,6 +106,10 @@ def probabilities(df):
 
 register("agreement_features", on_bars(lambda df: L.agreement(probabilities(df), P)), KEYS, ("p_mean", "p_max", "p_min", "p_var", "p_std"), f"SELECT symbol, time, (p0 + p1 + p2) / 3 AS p_mean, greatest(p0, p1, p2) AS p_max, least(p0, p1, p2) AS p_min, list_var_samp([p0, p1, p2]) AS p_var, list_stddev_samp([p0, p1, p2]) AS p_std FROM ({_PROB})")
 register("confidence_features", on_bars(lambda df: L.confidence(probabilities(df), P)), KEYS, ("top1", "top2", "spread", "entropy"), f"SELECT symbol, time, s[1] AS top1, s[2] AS top2, s[1] - s[2] AS spread, -list_sum(list_transform(s, lambda p: p / list_sum(s) * ln(p / list_sum(s) + 1e-12))) / ln(3) AS entropy FROM (SELECT *, list_reverse_sort([p0, p1, p2]) AS s FROM ({_PROB}))")
+register("meta_features", on_bars(lambda df: L.meta_features(X.returns(probabilities(df)), P, ["ret", "volume"])), KEYS, ("p_mean", "p_max", "p_min", "p_var", "p_std", "top1", "top2", "spread", "entropy", "ret", "volume"), f"""
+SELECT p.symbol, p.time, (p0 + p1 + p2) / 3 AS p_mean, greatest(p0, p1, p2) AS p_max, least(p0, p1, p2) AS p_min, list_var_samp([p0, p1, p2]) AS p_var, list_stddev_samp([p0, p1, p2]) AS p_std,
+  s[1] AS top1, s[2] AS top2, s[1] - s[2] AS spread, -list_sum(list_transform(s, lambda p: p / list_sum(s) * ln(p / list_sum(s) + 1e-12))) / ln(3) AS entropy, coalesce(n.r, 0) AS ret, p.volume
+FROM (SELECT *, list_reverse_sort([p0, p1, p2]) AS s FROM ({_PROB})) p JOIN numbered n ON p.symbol = n.symbol AND p.time = n.time""", (BARS, RN))
 register("meta_rules", on_bars(lambda df: L.meta_rules(L.confidence(probabilities(df), P).withColumn("top1", F.col("top1") + 0.25).withColumn("volatility_regime", (F.col("volume") % 4).cast("int")))), (*KEYS, "trade_quality", "entry_timing", "risk"), ("position_size",), f"""
 SELECT symbol, time, q AS trade_quality, CASE WHEN g >= 0.25 THEN 2 WHEN g < 0.10 THEN 0 ELSE 1 END AS entry_timing, least(2, (volume % 4)::INT) AS risk, [0.0, 1.0, 1.5, 2.5][q + 1] AS position_size
 FROM (SELECT *, CASE WHEN t >= 0.80 AND g >= 0.25 THEN 3 WHEN t >= 0.65 AND g >= 0.15 THEN 2 WHEN t >= 0.55 THEN 1 ELSE 0 END AS q FROM (SELECT *, s[1] + 0.25 AS t, s[1] - s[2] AS g FROM (SELECT *, list_reverse_sort([p0, p1, p2]) AS s FROM ({_PROB}))))""")
@@ -120,6 +151,8 @@ register("split_combinatorial", on_bars(lambda df: V.combinatorial_purged(sample
 WITH choices(k, f) AS (VALUES {_CHOICES}), fb AS ({_FOLD}), spans AS (SELECT symbol, k, min(time) AS lo, max(time) AS hi FROM fb JOIN choices USING (f) GROUP BY ALL)
 SELECT symbol, split, role, row FROM (SELECT b.symbol, s.k AS split, CASE WHEN (s.k, b.f) IN (SELECT (k, f) FROM choices) THEN 'test' WHEN {_CLEAR} THEN 'train' END AS role, b.row FROM fb b JOIN spans s ON b.symbol = s.symbol) WHERE role IS NOT NULL""", (BARS, RN, BASE))
 
+register("split_purged_past", on_bars(lambda df: V.purged_past(sampled(df), 5)), SPLIT, (), f"SELECT b.symbol, s.f AS split, CASE WHEN b.f = s.f THEN 'test' ELSE 'train' END AS role, b.row FROM ({_FOLD}) b JOIN (SELECT symbol, f, min(time) AS lo FROM ({_FOLD}) GROUP BY ALL) s ON b.symbol = s.symbol WHERE b.f = s.f OR b.t1 <= s.lo", (BARS, RN, BASE))
+
 # metrics ------------------------------------------------------------------------------------------------------------
 EQ = f"curve AS MATERIALIZED (SELECT symbol, time, 1000 + sum(sign(close - open)) OVER ({O}) AS equity FROM bars_h1)"
 
@@ -164,3 +197,30 @@ SELECT symbol, sum(su)::BIGINT AS n, sum(tp) / sum(su) AS accuracy, sum(p * su)
     FROM (SELECT symbol, sign(close - open)::INT AS t, (volume % 3)::INT - 1 AS g FROM bars) JOIN (VALUES (-1), (0), (1)) v(c) ON true GROUP BY ALL) WHERE su > 0) GROUP BY symbol""")
 register("ensemble_vote", on_bars(lambda df: M.ensemble_vote(probabilities(df).withColumn("day", F.to_date("time")), ["symbol", "day"], list(P))), ("symbol", "day", "vote"), P, f"SELECT symbol, day, p0, p1, p2, (list_position([p0, p1, p2], greatest(p0, p1, p2)) - 1)::INT AS vote FROM (SELECT symbol, time::DATE AS day, avg(p0) AS p0, avg(p1) AS p1, avg(p2) AS p2 FROM ({_PROB}) GROUP BY ALL)")
 register("fold_statistics", on_bars(lambda df: V.folds(df, 5).groupBy("symbol", "fold").agg(F.avg("close").alias("m")).groupBy("symbol").agg(F.count("m").alias("folds"), F.avg("m").alias("mean"), F.stddev_pop("m").alias("std"))), ("symbol", "folds"), ("mean", "std"), "SELECT symbol, count(*) AS folds, avg(m) AS mean, stddev_pop(m) AS std FROM (SELECT symbol, f, avg(close) AS m FROM (SELECT *, ntile(5) OVER (PARTITION BY symbol ORDER BY time) AS f FROM bars) GROUP BY ALL) GROUP BY symbol")
+
+
+def guessed(df):
+    """Classes of bars, guesses of them and returns in thousandths."""
+    out = X.returns(df).withColumn("truth", F.signum(F.col("close") - F.col("open")).cast("int")).withColumn("guess", (F.col("volume") % 3).cast("int") - 1)
+    return out.withColumn("ret", F.col("ret") / 1000)
+
+
+_GUESS = "SELECT n.symbol, n.time, sign(close - open)::INT AS t, (volume % 3)::INT - 1 AS g, r / 1000 AS r, volume FROM numbered n"
+
+
+def _evaluate(market: str, combined: str, periods: int) -> str:
+    ratio = lambda b: f"coalesce(sqrt({periods}) * avg(x) / nullif({b}, 0), 0)"
+    return f"""SELECT c.symbol, accuracy, f1_weighted, sharpe, sortino, hit_ratio, {combined} AS combined FROM (
+  SELECT symbol, sum(tp) / sum(su) AS accuracy, sum(coalesce(2 * p * q / nullif(p + q, 0), 0) * su) / sum(su) AS f1_weighted FROM (
+    SELECT symbol, c, su, tp, coalesce(tp / nullif(cl, 0), 0) AS p, tp / su AS q FROM (SELECT symbol, c, count_if(t = c) AS su, count_if(t = c AND g = c) AS tp, count_if(g = c) AS cl FROM ({_GUESS}) JOIN (VALUES (-1), (0), (1)) v(c) ON true GROUP BY ALL) WHERE su > 0) GROUP BY symbol) c
+JOIN (SELECT symbol, {ratio("stddev_pop(x)")} AS sharpe, CASE WHEN count_if(x < 0) > 1 THEN {ratio("stddev_pop(x) FILTER (x < 0)")} ELSE 0 END AS sortino, count_if(x > 0) / nullif(count_if(x <> 0), 0) AS hit_ratio FROM (SELECT symbol, coalesce(g * {market}, 0) AS x FROM ({_GUESS})) GROUP BY symbol) s USING (symbol)"""
+
+
+_SCORES = ("accuracy", "f1_weighted", "sharpe", "sortino", "hit_ratio", "combined")
+register("evaluate_proxy", on_bars(lambda df: M.evaluate_predictions(guessed(df), "symbol", "truth", "guess")), ("symbol",), _SCORES, _evaluate("0.001 * t", "0.3 * accuracy + 0.7 * greatest(0, least(1, (sharpe + 1) / 4))", 252), (BARS, RN), digits=5)
+register("evaluate_returns", on_bars(lambda df: M.evaluate_predictions(guessed(df), "symbol", "truth", "guess", "ret", 252 * 288)), ("symbol",), _SCORES, _evaluate("r", "0.2 * accuracy + 0.8 * greatest(0, least(1, (sharpe + 2) / 5))", 252 * 288), (BARS, RN), digits=5)
+register("evaluate_returns_squashed", on_bars(lambda df: M.evaluate_predictions(guessed(df), "symbol", "truth", "guess", "ret", 252 * 288, True)), ("symbol",), _SCORES, _evaluate("r", "0.2 * accuracy + 0.8 * (tanh(sharpe / 2) + 1) / 2", 252 * 288), (BARS, RN), digits=5)
+register("log_loss", on_bars(lambda df: M.log_loss(probabilities(df).withColumn("up", (F.col("close") > F.col("open")).cast("int")), "symbol", "up", "p0")), ("symbol",), ("log_loss",), f"SELECT symbol, -avg(CASE WHEN close > open THEN ln(p0) ELSE ln(1 - p0) END) AS log_loss FROM ({_PROB}) GROUP BY symbol")
+register("fold_info", on_bars(lambda df: M.fold_info(V.expanding(df, 3), V.folds(sampled(df), 3), "label")), ("split", "role", "label", "n"), ("share",), "SELECT split, role, label, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY split, role) AS share FROM (SELECT symbol, k::INT AS split, label, CASE WHEN row < n - (3 - k) * (n // 4) THEN 'train' ELSE 'test' END AS role, row FROM (SELECT *, unnest(generate_series(0, 2)) AS k FROM base) WHERE row < n - (2 - k) * (n // 4)) GROUP BY split, role, label", (BARS, RN, BASE))
+register("mean_absolute", on_bars(lambda df: M.mean_absolute(X.returns(df), ["ret", "log_ret", "ret_sign"])), ("feature",), ("mean_abs",), "SELECT 'ret' AS feature, avg(abs(r)) AS mean_abs FROM numbered UNION ALL SELECT 'log_ret', avg(abs(ln(close) - ln(c))) FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY time) AS c FROM numbered) UNION ALL SELECT 'ret_sign', avg(abs(sign(r))) FROM numbered", (BARS, RN))
+register("with_attributes", lambda s, d: M.with_attributes(B.bars(s, d, "1 hour").groupBy(F.hour("time").alias("trial")).agg(F.count(F.lit(1)).alias("n")), B.bars(s, d, "1 hour").filter("hour(time) % 3 = 0").groupBy(F.hour("time").alias("trial")).agg(F.max("volume").alias("most"))), ("trial", "n"), ("most",), "SELECT hour(time)::INT AS trial, count(*) AS n, max(CASE WHEN hour(time) % 3 = 0 THEN volume END) AS most FROM bars_h1 GROUP BY ALL", (BARS, H1))

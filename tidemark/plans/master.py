@@ -21,7 +21,7 @@ def all_features(bars: DataFrame, windows=WINDOWS, breaks=BREAKS, legacy: bool =
     columns such as spread do not count)."""
     # What reads the bars twice comes first, so that no long plan is repeated; rows are numbered once for all kernels.
     df = R.sadf_events(R.higher_trend(row_numbers(bars), legacy))
-    df = R.oscillators(R.trend(X.microstructure(X.sessions(df))))
+    df = R.oscillators(R.trend(X.microstructure(X.sessions(df)), None), None)
     df = X.distribution(df).withColumns({k: F.lit(v) for k, v in CONSTANTS.items()})
     for n in windows:
         df = R.range_entropy(X.sign_entropy(df, n), n)
@@ -46,7 +46,7 @@ def labelled(bars: DataFrame, window: int = 288, every: int = 12, quantile: floa
     events = L.strong_trends(L.trend_scan(bars, window, every=every), quantile).select("symbol", "time", "side")
     vol = R.daily_volatility(L.daily_change(bars).select("symbol", "time", "day_ret")).select("symbol", "time", F.col("daily_vol").alias("trgt"))
     rows = bars.join(vol, ["symbol", "time"]).join(events, ["symbol", "time"], "left")
-    marked = L.barrier_labels(rows.withColumn("_event", F.col("side").isNotNull()), horizon, pt, sl).filter("_event")
+    marked = L.barrier_labels(rows, horizon, pt, sl, F.col("side").isNotNull())
     return L.short_recode(marked).select("symbol", "time", "t1", "side", "trgt", "ret", "bin")
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from datetime import UTC, datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tidemark.functions import scalars as S
+from tidemark.operators import cleaning
 from tidemark.operators.cleaning import keep_one
 
 DELIMITERS = ",;\t|"
@@ -51,6 +56,22 @@ def replace_partitions(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(path)
 
 
+def merge_partitions(spark: SparkSession, new: DataFrame, path: str, work: str) -> None:
+    """Adds new rows to a store of bars by symbol: where both have a (symbol, time), the new row stays. Columns are those of
+    the store. Only the symbols in new are read and written, by way of the folder `work`, as a store cannot be read
+    while it is replaced."""
+    old = spark.read.parquet(path)
+    touched = old.join(new.select("symbol").distinct(), "symbol", "left_semi")
+    cleaning.upsert(touched, cleaning.project_to(new, old.columns)).write.mode("overwrite").parquet(work)
+    replace_partitions(spark.read.parquet(work), path)
+
+
+def stored(spark: SparkSession, path: str, symbol: str | None = None) -> DataFrame:
+    """A store's bars, or those of one symbol: its partition alone is read."""
+    rows = spark.read.parquet(path)
+    return rows if symbol is None else rows.filter(F.col("symbol") == symbol)
+
+
 def snapshot(spark: SparkSession, path: str, to: str) -> None:
     """A copy of a store before it is changed."""
     spark.read.parquet(path).write.parquet(to)
@@ -95,8 +116,36 @@ def sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(F.xxhash64(F.lit(seed), F.col("symbol"), F.col("time").cast("string")), "symbol", "time").limit(n)
 
 
-def dry_run_bars(symbol: str, count: int, end: str = "2024-01-01 00:00:00") -> DataFrame:
-    """Constant bars on the five-minute grid up to a time, as a broker would send them."""
-    spark = SparkSession.active()
-    time = F.to_timestamp(F.lit(end)) - F.make_dt_interval(mins=(F.lit(count - 1) - F.col("id")).cast("int") * 5)
-    return spark.range(count).select(F.lit(symbol).alias("symbol"), time.alias("time"), *(F.lit(v).alias(c) for c, v in (("open", 1.0), ("high", 1.1), ("low", 0.9), ("close", 1.05), ("tick_volume", 100.0))))
+class BrokerReader(DataSourceReader):
+    """Reads a dry run's bars, some thousand a partition."""
+
+    def __init__(self, options: dict[str, str]):
+        self.symbol, self.count, self.end = options["symbol"], int(options["count"]), options.get("end", "2024-01-01 00:00:00")
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition((a, min(a + 5000, self.count))) for a in range(0, self.count, 5000)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        end = datetime.fromisoformat(self.end).replace(tzinfo=UTC)
+        for i in range(*partition.value):
+            yield (self.symbol, end - timedelta(minutes=5 * (self.count - 1 - i)), 1.0, 1.1, 0.9, 1.05, 100.0)
+
+
+class Broker(DataSource):
+    """Bars of a broker as a data source: spark.read.format("broker").option("symbol", ...).option("count", ...). Only dry runs
+    are here: constant bars on the five-minute grid up to a time; a connection takes the place of the reader."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "broker"
+
+    def schema(self) -> str:
+        return "symbol string, time timestamp, open double, high double, low double, close double, tick_volume double"
+
+    def reader(self, schema) -> DataSourceReader:
+        return BrokerReader(self.options)
+
+
+def broker_bars(spark: SparkSession, symbol: str, count: int) -> DataFrame:
+    spark.dataSource.register(Broker)
+    return spark.read.format("broker").option("symbol", symbol).option("count", count).load()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -17,20 +18,28 @@ DEFAULT_SHARED = "file:///tmp/checkpoints/tidemark"
 
 
 def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED
+    """A new folder below spark.checkpoint.dir, which driver and executors share. Without it a local session takes
+    DEFAULT_SHARED and says so, and a cluster's session is refused."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        warnings.warn(f"spark.checkpoint.dir is not set: work folders are below {DEFAULT_SHARED}", stacklevel=2)
+        base = DEFAULT_SHARED
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def watch(spark: SparkSession, folder: str, schema, pattern: str = "*.parquet", per_trigger: int = 1000) -> DataFrame:
-    """Files that arrive in a folder, as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", per_trigger).parquet(folder)
+def watch(spark: SparkSession, path: str, schema, per_trigger: int = 256 << 20) -> DataFrame:
+    """The files that are at a path (a folder, or a pattern of folders and files) or arrive there, as a stream; a micro-batch takes about so
+    many bytes of them, which bounds the rows that a group's state is given at once."""
+    return spark.readStream.schema(schema).option("maxBytesPerTrigger", per_trigger).parquet(path)
 
 
-def tick_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream of ticks; event times become timestamps, as watermarks need."""
+def tick_stream(spark: SparkSession, sf_dir: str, per_trigger: int = 256 << 20) -> DataFrame:
+    """The events table, one file or a folder of them, as a stream of ticks; event times become timestamps, as watermarks
+    need."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = watch(spark, sf_dir, schema, "events.parquet")
+    raw = watch(spark, f"{sf_dir}/events.parque[t]", schema, per_trigger)
     return raw.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "event_id", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
 
 
@@ -71,7 +80,7 @@ def distinct_ticks(ticks: DataFrame, late: str = "1 hour") -> DataFrame:
 
 def running(ticks: DataFrame, columns: dict[str, str], start: tuple, step: Callable[[tuple, float], tuple[tuple, tuple]]) -> DataFrame:
     """Arbitrary state per symbol: step(state, value) gives the next state and the row's new columns. Within a micro-batch
-    rows go in the order of (ts, event_id)."""
+    rows go in the order of (ts, event_id), for which a task holds a symbol's rows of that batch (see watch)."""
     kinds = ", ".join(f"s{i} double" for i in range(len(start)))
     out = "symbol string, ts timestamp, event_id long, " + ", ".join(f"{c} {t}" for c, t in columns.items())
 
