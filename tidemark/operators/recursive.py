@@ -91,7 +91,7 @@ def weighted(df: DataFrame, columns: dict[str, Column], n: int, rows: int | None
 def emas(df: DataFrame, lengths: Sequence[int] = (20, 50, 200), value: str = "close", prefix: str = "ema_", suffix: str = "", rows: int | None = ROWS) -> DataFrame:
     """Exponential means with alpha 2 / (n + 1), started by the plain mean of the first n values; null before."""
     given = "rn" in df.columns
-    out = row_numbers(df)
+    out = row_numbers(df) if given or rows is not None else df.withColumn("rn", F.row_number().over(order()))
     parts = {}
     for n in lengths:
         alpha = 2 / (n + 1)
@@ -117,17 +117,18 @@ def trend(df: DataFrame, rows: int | None = ROWS) -> DataFrame:
     return out.withColumn("ema_slope_acceleration", mean(F.col("_a"), 10)).drop("_s", "_a")
 
 
-def higher_trend(df: DataFrame, legacy: bool = False) -> DataFrame:
+def higher_trend(df: DataFrame, legacy: bool = False, rows: int | None = ROWS) -> DataFrame:
     """EMAs of hourly and four-hourly closes at each bar. A bucket counts once it is over (legacy: from its start, which
     looks ahead). Empty buckets are left out."""
+    out = df
     for width, hours, lengths in (("1 hour", 1, (20, 50, 200)), ("4 hours", 4, (20, 50))):
         tag = f"_h{hours}"
         buckets = df.groupBy("symbol", F.window("time", width).alias("w")).agg(F.max_by("close", "time").alias("close"))
         known = F.col("w.start") if legacy else F.col("w.end")
-        slow = emas(buckets.select("symbol", known.alias("time"), "close"), lengths, prefix="ema", suffix=tag).drop("close")
-        df = as_of(df, slow, [f"ema{n}{tag}" for n in lengths])
-    df = df.withColumn("ema_alignment_h1", ordered_sign(F.col("ema20_h1"), F.col("ema50_h1"), F.col("ema200_h1")))
-    return df.withColumn("ema_alignment_h4", ordered_sign(F.col("ema20_h4"), F.col("ema50_h4")))
+        slow = emas(buckets.select("symbol", known.alias("time"), "close"), lengths, prefix="ema", suffix=tag, rows=rows).drop("close")
+        out = as_of(out, slow, [f"ema{n}{tag}" for n in lengths])
+    out = out.withColumn("ema_alignment_h1", ordered_sign(F.col("ema20_h1"), F.col("ema50_h1"), F.col("ema200_h1")))
+    return out.withColumn("ema_alignment_h4", ordered_sign(F.col("ema20_h4"), F.col("ema50_h4")))
 
 
 def true_range(first: Column | None = None) -> Column:

@@ -145,7 +145,7 @@ register("scaled_features", on_models(lambda df: ML.scaled(FEATURES[:3], ("symbo
 
 def master_features(s, d):
     bars = B.bars(s, d)
-    df = master.all_features(bars)
+    df = master.all_features(bars, work=ST.work_folder(s, "features"))
     return df.select(*KEYS, *(F.col(f"`{c}`").cast("double").alias(c.replace(".", "_").replace("-", "m")) for c in master.feature_names(df, bars)))
 
 
