@@ -122,21 +122,26 @@ def renyi(shares: np.ndarray, q: float) -> np.ndarray:
         return np.log(np.where(shares > 0, shares**q, 0).sum(1)) / (1 - q)
 
 
-def _matches(window: np.ndarray, m: int, r: float) -> np.ndarray:
-    """Which templates of length m are within r of each other (largest difference)."""
-    t = np.lib.stride_tricks.sliding_window_view(window, m)
-    return np.abs(t[:, None, :] - t[None, :, :]).max(2) <= r
+def _matches(window: np.ndarray, m: int, share: float) -> list[np.ndarray]:
+    """Which templates of length m, and of m + 1, are within r (a share of the window's deviation) of each other by their
+    largest difference; nothing where r is 0 or a value is missing."""
+    r = share * window.std(ddof=1)
+    if not r > 0:
+        return []
+    near, out = np.abs(window[:, None] - window[None, :]) <= r, []
+    for size in (m, m + 1):
+        n = len(window) - size + 1
+        both = near[:n, :n].copy()
+        for k in range(1, size):
+            both &= near[k : k + n, k : k + n]
+        out.append(both)
+    return out
 
 
 def approximate_entropy(windows: np.ndarray, m: int = 2, share: float = 0.2) -> np.ndarray:
     def one(x: np.ndarray) -> float:
-        if np.isnan(x).any():
-            return math.nan
-        r = share * x.std(ddof=1)
-        if r == 0:
-            return math.nan
-        phi = [np.log(_matches(x, k, r).mean(1)).mean() for k in (m, m + 1)]
-        return phi[0] - phi[1]
+        phi = [np.log(near.mean(1)).mean() for near in _matches(x, m, share)]
+        return phi[0] - phi[1] if phi else math.nan
 
     return np.array([one(x) for x in windows])
 
@@ -145,14 +150,11 @@ def sample_entropy(windows: np.ndarray, m: int = 2, share: float = 0.2) -> np.nd
     """-ln(A / B) without self-matches; unknown where either is 0."""
 
     def one(x: np.ndarray) -> float:
-        if np.isnan(x).any():
-            return math.nan
-        r = share * x.std(ddof=1)
-        if r == 0:
+        found = _matches(x, m, share)
+        if not found:
             return math.nan
         n = len(x) - m
-        b = _matches(x, m, r)[:n, :n].sum() - n
-        a = _matches(x, m + 1, r).sum() - n
+        b, a = found[0][:n, :n].sum() - n, found[1].sum() - n
         return -math.log(a / b) if a > 0 and b > 0 else math.nan
 
     return np.array([one(x) for x in windows])
