@@ -32,7 +32,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     are ignored. An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("body"))
-    rows = rows.select("id", "body", F.unhex(F.md5("body")).alias("hash"), F.sha2("body", 256).alias("sha"))
+    # Neither hash can be missing: where Spark knows that, the joins below need no filter that would hash all texts again.
+    rows = rows.select("id", "body", F.md5("body").alias("hash"), F.coalesce(F.sha2("body", 256), F.lit("")).alias("sha"))
     best = F.min("id") if keep == "smallest" else F.max("id")
     groups = rows.groupBy("hash", "sha", "body").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.select(F.col("hash").alias("of_hash"), F.col("sha").alias("of_sha"), "keep_id", "group_size")
