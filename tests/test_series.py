@@ -191,6 +191,20 @@ def test_first_touch_in_chunks(bars):
         assert t.equals(parts[k]) and t.to_numpy().any()
 
 
+CHUNKED = [(X.volume_regime, 24, {"n": 25}), (X.distribution, 40, {"n": 15, "long": 25}), (X.volatility_regime, 30, {"n": 15}), (X.fractal_dimension, 30, {"windows": (14, 30)}), (X.liquidity, 16, {"n": 15}), (X.sign_entropy, 31, {"n": 30}), (X.permutation_entropy, 30, {"n": 30}), (X.power_means, 31, {"n": 30}), (X.one_sided_deviation, 40, {"n": 20}), (X.z_score_event, 19, {"n": 20}), (X.excursions, 19, {"n": 20})]
+
+
+@pytest.mark.parametrize(("feature", "halo", "options"), CHUNKED, ids=[x[0].__name__ for x in CHUNKED])
+def test_row_frames_in_chunks(bars, feature, halo, options):
+    whole = feature(bars, **options)
+    columns = [f"`{c}`" for c in whole.columns if c not in bars.columns]
+    parts = win.in_chunks(bars, lambda df, part: feature(df, part=part, **options), halo, rows=50)
+    row = lambda df: df.orderBy("symbol", "time").select(*(F.col(c).cast("double") for c in columns)).toPandas()
+    a, b = row(whole), row(parts)
+    assert a.notna().any().all() and (a.isna() == b.isna()).all().all()
+    np.testing.assert_allclose(a.fillna(0), b.fillna(0), rtol=1e-7, atol=1e-8)
+
+
 def test_adf_with_lags_against_least_squares(bars, table):
     for lags, constant, trend in ((0, False, False), (2, True, False), (3, True, True)):
         got = {r["symbol"]: (r["t_stat"], r["n"]) for r in X.adf(bars, lags, constant, trend).collect()}

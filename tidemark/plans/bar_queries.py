@@ -30,6 +30,11 @@ def on_bars(feature, **options):
     return lambda s, d: feature(B.bars(s, d), **options)
 
 
+def in_chunks(feature, halo: int, **options):
+    """A feature over fixed row frames, on chunks of each series."""
+    return lambda s, d: win.in_chunks(B.bars(s, d), lambda df, part: feature(df, part=part, **options), halo)
+
+
 def on_dirty(operator, **options):
     return lambda s, d: operator(B.dirty_bars(B.bars(s, d)), **options)
 
@@ -124,22 +129,22 @@ register("drop_incomplete", on_bars(lambda df: X.returns(df).dropna("any")), KEY
 # windows ------------------------------------------------------------------------------------------------------------
 _RET = f"(SELECT *, close / lag(close) OVER ({O}) - 1 AS r, ln(close) - ln(lag(close) OVER ({O})) AS lr FROM bars)"
 _VR = f"CASE WHEN count(volume) OVER {rows(100)} >= 100 THEN CASE WHEN volume > quantile_cont(volume, 0.75) OVER {rows(100)} THEN 1 WHEN volume < quantile_cont(volume, 0.25) OVER {rows(100)} THEN -1 ELSE 0 END ELSE 0 END"
-register("bars_volume_regime", on_bars(X.volume_regime), (*KEYS, "volume_regime"), OHLCV, f"SELECT *, {_VR} AS volume_regime FROM bars")
+register("bars_volume_regime", in_chunks(X.volume_regime, 99), (*KEYS, "volume_regime"), OHLCV, f"SELECT *, {_VR} AS volume_regime FROM bars")
 register("returns", on_bars(X.returns), KEYS, ("ret", "log_ret", "ret_sign", "ret_abs"), f"SELECT symbol, time, r AS ret, lr AS log_ret, sign(r)::DOUBLE AS ret_sign, abs(r) AS ret_abs FROM {_RET}")
 register("microstructure_features", on_bars(X.microstructure), (*KEYS, "volume_regime"), ("spread_proxy", "volume_roc", "volume_abnormality", "obv_slope", "tick_volume_ratio", "order_flow_imbalance"), f"""
 SELECT symbol, time, {_VR} AS volume_regime, high - low AS spread_proxy, 100 * (volume / nullif(lag(volume, 14) OVER ({O}), 0) - 1) AS volume_roc,
   volume / ({full("avg(volume)", "volume", 50, 10)}) AS volume_abnormality, {full("avg(step)", "step", 10)} AS obv_slope, 1.0 AS tick_volume_ratio, 0.0 AS order_flow_imbalance
 FROM (SELECT *, sign(close - lag(close) OVER ({O})) * volume AS step FROM bars)""")
-register("distribution_features", on_bars(X.distribution), (*KEYS, "var_breach"), ("returns_skew_rolling", "returns_kurt_rolling", "var_breach_frequency", "extreme_move_frequency", "garch_forecast"), f"""
+register("distribution_features", in_chunks(X.distribution, 300), (*KEYS, "var_breach"), ("returns_skew_rolling", "returns_kurt_rolling", "var_breach_frequency", "extreme_move_frequency", "garch_forecast"), f"""
 SELECT symbol, time, returns_skew_rolling, returns_kurt_rolling, vb AS var_breach, {full("avg(vb)", "vb", 200)} AS var_breach_frequency, {full("avg(xm)", "xm", 200)} AS extreme_move_frequency, 0.0 AS garch_forecast
 FROM (SELECT *, {full("skewness(r)", "r", 100)} AS returns_skew_rolling, {full("kurtosis(r)", "r", 100)} AS returns_kurt_rolling, coalesce((r < -1.65 * sd)::INT, 0) AS vb, coalesce((abs(r) > 3 * sd)::INT, 0) AS xm
   FROM (SELECT *, {full("stddev_samp(r)", "r", 100)} AS sd FROM {_RET}))""", digits=5)
-register("volatility_regime", on_bars(X.volatility_regime), (*KEYS, "volatility_regime"), (), f"""
+register("volatility_regime", in_chunks(X.volatility_regime, 200), (*KEYS, "volatility_regime"), (), f"""
 SELECT symbol, time, CASE WHEN count(v) OVER {rows(100)} < 100 THEN 1 WHEN v >= quantile_cont(v, 0.95) OVER {rows(100)} THEN 3 WHEN v >= quantile_cont(v, 0.75) OVER {rows(100)} THEN 2 WHEN v < quantile_cont(v, 0.25) OVER {rows(100)} THEN 0 ELSE 1 END AS volatility_regime
 FROM (SELECT *, {full("stddev_samp(lr)", "lr", 100)} AS v FROM {_RET})""")
-register("volatility_stress", on_bars(X.volatility_stress), KEYS, ("volatility_stress",), f"SELECT symbol, time, ({full('stddev_samp(close)', 'close', 20)}) / ({full('stddev_samp(close)', 'close', 100)}) - 1 AS volatility_stress FROM bars")
-register("fractal_dimension", on_bars(X.fractal_dimension, windows=(14, 30)), KEYS, ("fractal_dim_14", "fractal_dim_30"), "SELECT symbol, time, " + ", ".join(f"CASE WHEN count(r{n}) OVER {rows(2)} >= 2 THEN 1 + log2(r{n} / avg(r{n}) OVER {rows(2)}) END AS fractal_dim_{n}" for n in (14, 30)) + " FROM (SELECT *, " + ", ".join(f"CASE WHEN count(*) OVER {rows(n)} >= {n} THEN coalesce(nullif(max(high) OVER {rows(n)} - min(low) OVER {rows(n)}, 0), 0.0001) END AS r{n}" for n in (14, 30)) + " FROM bars)")
-register("liquidity_features", on_bars(X.liquidity), KEYS, ("kyle_lambda_w100", "amihud_illiq_w100", "roll_spread_w100"), f"""
+register("volatility_stress", in_chunks(X.volatility_stress, 99), KEYS, ("volatility_stress",), f"SELECT symbol, time, ({full('stddev_samp(close)', 'close', 20)}) / ({full('stddev_samp(close)', 'close', 100)}) - 1 AS volatility_stress FROM bars")
+register("fractal_dimension", in_chunks(X.fractal_dimension, 30, windows=(14, 30)), KEYS, ("fractal_dim_14", "fractal_dim_30"), "SELECT symbol, time, " + ", ".join(f"CASE WHEN count(r{n}) OVER {rows(2)} >= 2 THEN 1 + log2(r{n} / avg(r{n}) OVER {rows(2)}) END AS fractal_dim_{n}" for n in (14, 30)) + " FROM (SELECT *, " + ", ".join(f"CASE WHEN count(*) OVER {rows(n)} >= {n} THEN coalesce(nullif(max(high) OVER {rows(n)} - min(low) OVER {rows(n)}, 0), 0.0001) END AS r{n}" for n in (14, 30)) + " FROM bars)")
+register("liquidity_features", in_chunks(X.liquidity, 101), KEYS, ("kyle_lambda_w100", "amihud_illiq_w100", "roll_spread_w100"), f"""
 SELECT symbol, time, CASE WHEN count(f) OVER {rows(100)} >= 100 THEN covar_samp(r, f) OVER {rows(100)} / nullif(var_pop(f) OVER {rows(100)}, 0) END AS kyle_lambda_w100,
   {full("avg(i)", "i", 100)} AS amihud_illiq_w100, CASE WHEN count(l) OVER {rows(100)} >= 100 THEN 2 * sqrt(greatest(0, -covar_samp(r, l) OVER {rows(100)})) END AS roll_spread_w100
 FROM (SELECT *, sign(r) * volume AS f, abs(r) / nullif(volume, 0) AS i, lag(r) OVER ({O}) AS l FROM {_RET})""")
@@ -153,24 +158,24 @@ SELECT symbol, time, cs_spread_daily FROM bars LEFT JOIN (SELECT symbol, day, {v
     SELECT symbol, time::DATE AS day, pow(ln(max(high) / min(low)), 2) AS hl2 FROM bars GROUP BY ALL)))) q ON bars.symbol = q.symbol AND bars.time::DATE = q.day""".replace("SELECT symbol, time, cs_spread_daily FROM bars", "SELECT bars.symbol, bars.time, q.cs_spread_daily FROM bars"))
 register("sma_cross", on_bars(X.sma_cross), (*KEYS, "side"), (), f"SELECT symbol, time, side::INT AS side FROM (SELECT symbol, time, last_value(nullif(s, 0) IGNORE NULLS) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS side FROM (SELECT *, sign(({full('avg(close)', 'close', 12)}) - ({full('avg(close)', 'close', 72)})) AS s FROM bars)) WHERE side IS NOT NULL")
 _PLOGP = lambda names: " + ".join(f"CASE WHEN {p} > 0 THEN -{p} * log2({p}) WHEN {p} IS NOT NULL THEN 0 END" for p in names)
-register("sign_entropy", on_bars(X.sign_entropy), KEYS, ("shannon_entropy_sign_w144", "sign_change_rate_w144"), f"""
+register("sign_entropy", in_chunks(X.sign_entropy, 145), KEYS, ("shannon_entropy_sign_w144", "sign_change_rate_w144"), f"""
 SELECT symbol, time, {_PLOGP(("p0", "p1", "p2"))} AS shannon_entropy_sign_w144, {full("avg(f)", "f", 144, 36)} AS sign_change_rate_w144 FROM (
   SELECT *, {", ".join(f"CASE WHEN count(*) OVER {rows(144)} >= 36 THEN avg((s = {k})::INT) OVER {rows(144)} END AS p{i}" for i, k in enumerate((-1, 0, 1)))}, coalesce((s <> lag(s) OVER ({O}))::INT, 0) AS f
   FROM (SELECT *, coalesce(sign(r), 0) AS s FROM {_RET}))""")
 register("power_means", on_bars(lambda df: X.power_means(df, powers=(-1.0, 0, 1.0, 2.0)).withColumnsRenamed({"power_mean_p-1.0": "harmonic", "power_mean_p0": "geometric", "power_mean_p1.0": "arithmetic", "power_mean_p2.0": "quadratic"})), KEYS, ("harmonic", "geometric", "arithmetic", "quadratic"), f"""
 SELECT symbol, time, 1 / ({full("avg(i)", "i", 144)}) AS harmonic, exp({full("avg(l)", "l", 144)}) AS geometric, {full("avg(abs(r))", "r", 144)} AS arithmetic, sqrt({full("avg(r * r)", "r", 144)}) AS quadratic
 FROM (SELECT *, CASE WHEN r <> 0 THEN 1 / abs(r) END AS i, CASE WHEN r <> 0 THEN ln(abs(r)) END AS l FROM {_RET})""")
-register("permutation_entropy", on_bars(X.permutation_entropy), KEYS, ("perm_entropy_w144",), f"""
+register("permutation_entropy", in_chunks(X.permutation_entropy, 144), KEYS, ("perm_entropy_w144",), f"""
 SELECT symbol, time, ({_PLOGP([f"p{k}" for k in (0, 2, 3, 4, 5, 7)])}) / log2(6) AS perm_entropy_w144 FROM (
   SELECT *, {", ".join(f"CASE WHEN count(c) OVER {rows(142)} >= 142 THEN avg((c = {k})::INT) OVER {rows(142)} END AS p{k}" for k in (0, 2, 3, 4, 5, 7))}
   FROM (SELECT *, 4 * (x <= y)::INT + 2 * (y <= close)::INT + (x <= close)::INT AS c FROM (SELECT *, lag(close, 2) OVER ({O}) AS x, lag(close) OVER ({O}) AS y FROM bars)))""")
 register("encode_returns", on_bars(X.encode_returns), (*KEYS, "sign_code", "quantile_code"), (), f"SELECT symbol, time, (sign(r) + 1)::INT AS sign_code, (ntile(4) OVER (PARTITION BY symbol ORDER BY r, time) - 1)::INT AS quantile_code FROM {_RET} WHERE r IS NOT NULL")
-register("excursions", on_bars(lambda df: win.in_chunks(df, lambda x, part: X.excursions(x, 288, part=part), halo=287, rows=1000)), KEYS, ("max_drawup_w288", "max_drawdown_w288"), f"SELECT symbol, time, close / ({full('min(close)', 'close', 288)}) - 1 AS max_drawup_w288, close / ({full('max(close)', 'close', 288)}) - 1 AS max_drawdown_w288 FROM bars")
-register("one_sided_deviation", on_bars(X.one_sided_deviation), KEYS, ("one_sided_dev_z_w288", "sub_martingale_z_w288", "super_martingale_z_w288"), f"""
+register("excursions", in_chunks(X.excursions, 287), KEYS, ("max_drawup_w288", "max_drawdown_w288"), f"SELECT symbol, time, close / ({full('min(close)', 'close', 288)}) - 1 AS max_drawup_w288, close / ({full('max(close)', 'close', 288)}) - 1 AS max_drawdown_w288 FROM bars")
+register("one_sided_deviation", in_chunks(X.one_sided_deviation, 576), KEYS, ("one_sided_dev_z_w288", "sub_martingale_z_w288", "super_martingale_z_w288"), f"""
 SELECT *, CASE WHEN one_sided_dev_z_w288 IS NOT NULL THEN greatest(one_sided_dev_z_w288, 0) END AS sub_martingale_z_w288, CASE WHEN one_sided_dev_z_w288 IS NOT NULL THEN greatest(-one_sided_dev_z_w288, 0) END AS super_martingale_z_w288 FROM (
   SELECT symbol, time, sum(d) OVER {rows(288)} / nullif(({full("stddev_pop(r)", "r", 288, 72)}) * sqrt(288), 0) AS one_sided_dev_z_w288
   FROM (SELECT *, r - ({full("avg(r)", "r", 288, 72)}) AS d FROM {_RET}))""", digits=5)
-register("z_score_event", on_bars(X.z_score_event, n=100), (*KEYS, "z_score_event"), (), f"SELECT symbol, time, coalesce((close >= ({full('avg(close)', 'close', 100)}) + 3 * ({full('stddev_samp(close)', 'close', 100)}))::INT, 0) AS z_score_event FROM bars")
+register("z_score_event", in_chunks(X.z_score_event, 99, n=100), (*KEYS, "z_score_event"), (), f"SELECT symbol, time, coalesce((close >= ({full('avg(close)', 'close', 100)}) + 3 * ({full('stddev_samp(close)', 'close', 100)}))::INT, 0) AS z_score_event FROM bars")
 register("drawdown", on_bars(X.drawdown), KEYS, ("running_max", "drawdown"), f"SELECT symbol, time, m AS running_max, (close - m) / m AS drawdown FROM (SELECT *, max(close) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM bars)")
 register("time_since_event", on_bars(lambda df: X.run_length_since(X.z_score_event(df, 100), "z_score_event", "since")), (*KEYS, "since"), (), f"SELECT symbol, time, (row_number() OVER (PARTITION BY symbol, g ORDER BY time) - 1)::INT AS since FROM (SELECT *, sum(e) OVER ({O}) AS g FROM (SELECT *, coalesce((close >= ({full('avg(close)', 'close', 100)}) + 3 * ({full('stddev_samp(close)', 'close', 100)}))::INT, 0) AS e FROM bars))")
 register("portfolio_concentration", lambda s, d: X.concentration(B.bars(s, d, "1 hour").select("time", F.col("symbol").alias("asset"), F.col("volume").alias("weight"))), ("time",), ("hhi", "shannon_entropy_w", "effective_n", "normalized_concentration"), """
