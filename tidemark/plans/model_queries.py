@@ -109,9 +109,9 @@ register("stream_ema", lambda s, d: ST.run_to_table(ST.running_ema(ST.tick_strea
 register("stream_cusum", lambda s, d: ST.run_to_table(ST.running_cusum(ST.tick_stream(s, d), 300.0, 50.0), "cusum", ("event_id",), "append"), ("symbol", "event_id", "event"))
 
 # models -------------------------------------------------------------------------------------------------------------
-#: Features of the registered models. Their ensembles are smaller than the operators' own settings; see the README.
+#: Features of the registered models. Boosted ones take fewer rounds than the operators' own settings; see the README.
 FEATURES = ("log_ret", "spread_proxy", "volume", "volume_roc", "volume_abnormality", "obv_slope", "volume_regime", "hour_of_day", "day_of_week", "is_london_session", "is_ny_session", "session_transition", "ema_20", "ema_50", "ema_algnment", "ema_slope_acceleration", "atr_14", "rsi_14", "adx_14", "vol_expansion_rate", "momentum_regime", "returns_skew_rolling", "returns_kurt_rolling", "var_breach", "volatility_regime", "volatility_stress", "fractal_dim_14", "fractal_dim_30", "shannon_entropy_sign_w144", "sign_change_rate_w144", "max_drawdown_w288", "max_drawup_w288")
-FEW = {"maxIter": 8}
+FEW = {"maxIter": 20}
 
 
 def model_rows(s, d):
@@ -130,9 +130,9 @@ def on_models(use):
 
 
 register("model_out_of_fold", on_models(lambda df: ML.positive_probability(ML.out_of_fold(df, V.expanding(df, 2), ML.binary_model(FEATURES, "up", "fast", **FEW))).withColumn("split", F.col("split").cast("int"))), (*KEYS, "split"), ("win_prob",))
-register("model_multiclass", on_models(lambda df: ML.multiclass_model(FEATURES, "code", numTrees=20).fit(df).transform(df)), KEYS, ("prediction",))
+register("model_multiclass", on_models(lambda df: ML.multiclass_model(FEATURES, "code").fit(df).transform(df)), KEYS, ("prediction",))
 register("model_importances", on_models(lambda df: ML.mean_importance(df.sparkSession.createDataFrame([(k, f, v) for k in ("fast", "balanced") for f, v in ML.importances(ML.binary_model(FEATURES, "up", k, **FEW).fit(df), FEATURES)], "model string, feature string, importance double"))), ("feature",), ("importance",))
-register("model_search", on_models(lambda df: ML.search(df, V.expanding(df, 2), FEATURES, "code", 3, trees=(5, 10), depths=(3, 5))), ("trial", "trees", "depth", "split"), ("accuracy",))
+register("model_search", on_models(lambda df: ML.search(df, V.expanding(df, 2), FEATURES, "code", 3, trees=(50, 100), depths=(3, 5, 8))), ("trial", "trees", "depth", "split"), ("accuracy",))
 
 register("model_persisted", on_models(lambda df: ML.positive_probability(ML.saved(ML.binary_model(FEATURES, "up", "fast", **FEW).fit(df), ST.work_folder(df.sparkSession, "model")).transform(df))), KEYS, ("win_prob",))
 register("model_per_label", on_models(lambda df: ML.positive_probability(ML.fit_labels(df.withColumn("never", F.lit(0.0)), FEATURES, ("up", "never"), **FEW)["up"].transform(df))), KEYS, ("win_prob",))
