@@ -24,11 +24,14 @@ from tidemark.llm.quality import quality_filter
 SHARE = 0.9
 
 
-def _keep(docs: DataFrame, key: Column, chosen: DataFrame, chosen_key: str) -> DataFrame:
-    """Rows of docs whose id and text (by its key) are in chosen; a missing id is a value like others."""
-    chosen = chosen.select(F.col("doc_id").alias("_id"), F.col(chosen_key).alias("_of"))
-    keyed = docs.withColumn("_key", key)
-    return keyed.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of")), "left_semi")
+def _pair(key: Column) -> Column:
+    """One value for a row's id and its text's key; a missing id is a value like others."""
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), key)
+
+
+def _keep(docs: DataFrame, key: Column, chosen: DataFrame, chosen_key: Column) -> DataFrame:
+    """Rows of docs, with _pair, whose id and text (by its key) are in chosen."""
+    return docs.withColumn("_pair", _pair(key)).join(chosen.select(_pair(chosen_key).alias("_pair")), "_pair", "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,14 +46,16 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     anywhere, one."""
     arrow_rows(spark)
     kept = exact_dedup(docs, keep="smallest").filter("kept")
-    return _keep(docs, text_sha256(F.col("text")), kept, "text_sha256").dropDuplicates(["_key"]).drop("_key")
+    rows = _keep(docs, text_sha256(F.col("text")), kept, F.col("text_sha256"))
+    return rows.dropDuplicates(["_pair"]).select(*docs.columns)  # where the join has put them already
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of linked documents the smallest doc_id stays, with all texts that it has there; documents without
     an id stay where no linked one has an id."""
     arrow_rows(spark)
-    return _keep(docs, text_key(F.col("text")), jaccard_join(docs, keyed=True).filter("doc_id <=> component_id"), "text_key").drop("_key")
+    kept = jaccard_join(docs, keyed=True).filter("doc_id <=> component_id")
+    return _keep(docs, F.hex(text_key(F.col("text"))), kept, F.hex("text_key")).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
