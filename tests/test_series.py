@@ -57,8 +57,10 @@ def test_recurrences_compose_over_chunks(bars, table, rows):
             same(got[k][c], out)
 
 
-def test_means_and_oscillators_against_kernels(bars, table):
-    got = by_symbol(recursive.oscillators(recursive.emas(bars, (5, 20))), "ema_5", "ema_20", "atr_14", "rsi_14", "adx_14")
+@pytest.mark.parametrize("rows", [None, 50, 10_000])
+def test_means_and_oscillators_against_kernels(bars, table, rows):
+    assert recursive.chunk_rows(bars, 50) == 50 and recursive.chunk_rows(bars, 10_000) is None
+    got = by_symbol(recursive.oscillators(recursive.emas(bars, (5, 20), rows=rows), rows), "ema_5", "ema_20", "atr_14", "rsi_14", "adx_14")
     for k, t in table.items():
         h, lo, c = (t[x].to_numpy() for x in ("high", "low", "close"))
         for name, want in (("ema_5", K.ema(c, 5)), ("ema_20", K.ema(c, 20)), ("atr_14", K.atr(h, lo, c)), ("rsi_14", K.rsi(c)), ("adx_14", K.adx(h, lo, c))):

@@ -100,15 +100,16 @@ def daily_change(df: DataFrame) -> DataFrame:
     return out.withColumn("day_ret", F.try_divide("close", "_old") - 1).drop("_old", "_before")
 
 
-def barrier_labels(df: DataFrame, horizon: int, pt: float, sl: float, event: Column | None = None, rows: int = 10_000) -> DataFrame:
+def barrier_labels(df: DataFrame, horizon: int, pt: float, sl: float, event: Column | None = None, rows: int = 100) -> DataFrame:
     """Labels of events (side, trgt) by the path of closes over the next `horizon` bars: the side-signed return first reaches
     pt times trgt (bin 1), falls to -sl times trgt (bin -1), or neither (bin 0, at the last bar). t1 and ret are those of
     the touch. `event` chooses the rows of df that are events (all if not given); the others are path only. Rows without
     a later bar are dropped. A close of 0 has no returns: its event is neither, with an unknown ret. Columns t1, ret and bin
     of df are replaced.
 
-    Series are cut into chunks of `rows` bars, and each event meets the bars of its chunk and those that follow it, so
-    that no row carries its path, and a long series is many tasks.
+    Series are cut into chunks of `rows` bars (of the horizon, if that is more), and each event meets the bars of its chunk
+    and of the horizon after it: no row carries its path, an event meets twice the bars it needs at most, and a long
+    series is many tasks.
     """
     numbered = row_numbers(df)
     chunk, place, rows = F.floor((F.col("rn") - 1) / max(rows, horizon)), (F.col("rn") - 1) % max(rows, horizon), max(rows, horizon)

@@ -41,12 +41,18 @@ def unknown_to_null(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 ROWS = 500_000
 
 
+def chunk_rows(df: DataFrame, rows: int = ROWS) -> int | None:
+    """rows where a series of df is longer than that; None where one task a series will do. Counts the rows of each."""
+    longest = df.groupBy("symbol").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return rows if (longest or 0) > rows else None
+
+
 def recurrences(df: DataFrame, columns: dict[str, tuple[Column, float]], rows: int | None = ROWS) -> DataFrame:
     """Adds columns s with s[t] = keep * s[t - 1] + input[t] along each series, from (input, keep); unknown inputs count as 0.
 
-    Each chunk of `rows` rows of a series is summed from 0, and gets keep ** place times what the chunks before it add up
-    to: one row a chunk is carried on, so that a series of any length is many tasks. The rows are read twice for that,
-    so with long plans before it, where series are short, rows=None takes each series as one chunk.
+    Chunks of `rows` rows are summed up first; what those before a chunk add up to, one row a chunk, is where it starts
+    from, so that a series of any length is many tasks. The rows are read twice for that, so with long plans before it,
+    where series are short, rows=None takes each series as one chunk.
     """
     if rows is None:
         inputs = {f"_in{i}": F.coalesce(x.cast("double"), F.lit(0.0)) for i, (x, _) in enumerate(columns.values())}
@@ -56,24 +62,25 @@ def recurrences(df: DataFrame, columns: dict[str, tuple[Column, float]], rows: i
     inputs = {f"_in{i}": F.coalesce(x.cast("double"), F.lit(0.0)) for i, (x, _) in enumerate(columns.values())}
     keep, read = [k for _, k in columns.values()], list(inputs)
     numbered = row_numbers(df.withColumns(inputs)).withColumn("_chunk", F.floor((F.col("rn") - 1) / rows))
-    kept = [c for c in numbered.columns if c not in inputs]
+    left = (F.col("_chunk") + 1) * rows - F.col("rn")  # rows of a whole chunk after this one
+    ends = numbered.groupBy("symbol", "_chunk").agg(*(F.sum(F.col(x) * F.pow(F.lit(k), left)).alias(f"_end{i}") for i, (x, k) in enumerate(zip(read, keep, strict=True))))
+    before = F.collect_list(F.struct(*(f"_end{i}" for i in range(len(names))))).over(W.partitionBy("symbol").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1))
+    carry = lambda i, k: F.aggregate("_before", F.lit(0.0), lambda total, e: total * F.lit(k**rows) + e[f"_end{i}"])
+    carried = ends.withColumn("_before", before).select("symbol", "_chunk", *(carry(i, k).alias(f"_carry{i}") for i, k in enumerate(keep)))
+    given_columns = [*df.columns, *([] if given else ["rn"])]
     kinds = dict(numbered.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), *(f"`{c}` double" for c in names)])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in given_columns), *(f"`{c}` double" for c in names)])
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("rn")
-        return part[kept].assign(**{c: K.recurrence(part[x].to_numpy(), k) for c, x, k in zip(names, read, keep, strict=True)})
-
-    local = numbered.groupBy("symbol", "_chunk").applyInPandas(run, schema)
-    ends = local.groupBy("symbol", "_chunk").agg(F.max_by(F.struct("rn", *names), "rn").alias("_end"))
-    before = F.collect_list(F.struct("_chunk", "_end")).over(W.partitionBy("symbol").orderBy("_chunk").rowsBetween(W.unboundedPreceding, -1))
-    size = lambda e: (e["_end"]["rn"] - e["_chunk"] * rows).cast("double")
-    carry = lambda c, k: F.aggregate("_before", F.lit(0.0), lambda total, e: total * F.pow(F.lit(k), size(e)) + e["_end"][c])
-    carried = ends.withColumn("_before", before).select("symbol", "_chunk", *(carry(c, k).alias(f"_carry{i}") for i, (c, k) in enumerate(zip(names, keep, strict=True))))
-    place = (F.col("rn") - F.col("_chunk") * rows).cast("double")
-    whole = {c: F.col(c) + F.col(f"_carry{i}") * F.pow(F.lit(k), place) for i, (c, k) in enumerate(zip(names, keep, strict=True))}
-    out = local.join(carried, ["symbol", "_chunk"]).withColumns(whole)
-    return out.drop("_chunk", *(f"_carry{i}" for i in range(len(names))), *([] if given else ["rn"]))
+        part, found = part.sort_values("rn"), {}
+        for i, (c, x, k) in enumerate(zip(names, read, keep, strict=True)):
+            values = part[x].to_numpy(copy=True)
+            values[0] += k * part[f"_carry{i}"].iloc[0]
+            found[c] = K.recurrence(values, k)
+        return part[given_columns].assign(**found)
+
+    out = numbered.join(carried, ["symbol", "_chunk"]).groupBy("symbol", "_chunk").applyInPandas(run, schema)
+    return out if given else out.drop("rn")
 
 
 def weighted(df: DataFrame, columns: dict[str, Column], n: int, rows: int | None = ROWS) -> DataFrame:

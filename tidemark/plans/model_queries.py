@@ -23,6 +23,16 @@ def hourly(feature, **options):
     return lambda s, d: feature(B.bars(s, d, "1 hour"), **options)
 
 
+def by_length(feature, **options):
+    """A recursive feature on bars, in chunks where a series is long."""
+
+    def build(s, d):
+        df = B.bars(s, d)
+        return feature(df, rows=R.chunk_rows(df), **options)
+
+    return build
+
+
 def numbered(table: str, name: str = "h") -> str:
     before = f"lag(close) OVER ({O})"
     return f"{name} AS MATERIALIZED (SELECT *, row_number() OVER ({O}) AS rn, close - {before} AS ch, close / nullif({before}, 0) - 1 AS r, CASE WHEN {before} IS NOT NULL THEN greatest(high - low, abs(high - {before}), abs(low - {before})) END AS tr, high - lag(high) OVER ({O}) AS up, lag(low) OVER ({O}) - low AS dn FROM {table})"
@@ -53,20 +63,20 @@ def sql_emas(name: str, table: str, lengths: tuple[int, ...] = (20, 50, 200)) ->
 
 _PAIRS = pairs()
 EMAS = sql_emas("emas", "h")
-register("trend_features", on_bars(R.trend), (*KEYS, "ema_algnment"), ("ema_20", "ema_50", "ema_200", "ema_slope_acceleration"), f"""
+register("trend_features", by_length(R.trend), (*KEYS, "ema_algnment"), ("ema_20", "ema_50", "ema_200", "ema_slope_acceleration"), f"""
 SELECT symbol, time, coalesce((ema_20 > ema_50 AND ema_50 > ema_200)::INT, 0) - coalesce((ema_20 < ema_50 AND ema_50 < ema_200)::INT, 0) AS ema_algnment, ema_20, ema_50, ema_200, {full("avg(acc)", "acc", 10)} AS ema_slope_acceleration
 FROM (SELECT *, ema_20 - 2 * lag(ema_20) OVER ({O}) + lag(ema_20, 2) OVER ({O}) AS acc FROM emas)""", (BARS, HN, EMAS), digits=5)
 _HOURS = (BARS, H1, H4, numbered("bars_h1", "n1"), numbered("bars_h4", "n4"), sql_emas("emas1", "n1"), sql_emas("emas4", "n4", (20, 50)))
 for legacy in (False, True):
     known = lambda hours: "time" if legacy else f"time + INTERVAL {hours} HOUR"  # noqa: B023, E731
-    register("higher_trend" + "_legacy" * legacy, on_bars(lambda df, legacy=legacy: R.higher_trend(df, legacy)), (*KEYS, "ema_alignment_h1", "ema_alignment_h4"), ("ema20_h1", "ema50_h1", "ema200_h1", "ema20_h4", "ema50_h4"), f"""
+    register("higher_trend" + "_legacy" * legacy, by_length(R.higher_trend, legacy=legacy), (*KEYS, "ema_alignment_h1", "ema_alignment_h4"), ("ema20_h1", "ema50_h1", "ema200_h1", "ema20_h4", "ema50_h4"), f"""
 SELECT b.symbol, b.time, coalesce((e.ema_20 > e.ema_50 AND e.ema_50 > e.ema_200)::INT, 0) - coalesce((e.ema_20 < e.ema_50 AND e.ema_50 < e.ema_200)::INT, 0) AS ema_alignment_h1, coalesce((f.ema_20 > f.ema_50)::INT, 0) - coalesce((f.ema_20 < f.ema_50)::INT, 0) AS ema_alignment_h4,
   e.ema_20 AS ema20_h1, e.ema_50 AS ema50_h1, e.ema_200 AS ema200_h1, f.ema_20 AS ema20_h4, f.ema_50 AS ema50_h4
 FROM bars b ASOF LEFT JOIN (SELECT *, {known(1)} AS known FROM emas1) e ON b.symbol = e.symbol AND b.time >= e.known ASOF LEFT JOIN (SELECT *, {known(4)} AS known FROM emas4) f ON b.symbol = f.symbol AND b.time >= f.known""", _HOURS, digits=5)
 OSC = f"""osc AS MATERIALIZED (SELECT a.symbol, a.time, a.rn, {sql_rma("b.tr", 14)} AS atr_14, {sql_rma("CASE WHEN b.ch > 0 THEN b.ch WHEN b.ch <= 0 THEN 0 END", 14)} AS ups, {sql_rma("CASE WHEN b.ch < 0 THEN b.ch WHEN b.ch >= 0 THEN 0 END", 14)} AS downs,
   {sql_rma("CASE WHEN b.up > b.dn AND b.up > 0 THEN b.up ELSE 0 END", 14)} AS p, {sql_rma("CASE WHEN b.dn > b.up AND b.dn > 0 THEN b.dn ELSE 0 END", 14)} AS m {_PAIRS}),
 dxs AS MATERIALIZED (SELECT *, 100 * ups / (ups + abs(downs)) AS rsi_14, CASE WHEN atr_14 IS NOT NULL THEN 100 * abs(p - m) / nullif(p + m, 0) END AS dx FROM osc)"""
-register("oscillators", on_bars(R.oscillators), (*KEYS, "momentum_regime"), ("atr_14", "rsi_14", "adx_14", "vol_expansion_rate"), f"""
+register("oscillators", by_length(R.oscillators), (*KEYS, "momentum_regime"), ("atr_14", "rsi_14", "adx_14", "vol_expansion_rate"), f"""
 SELECT o.symbol, o.time, atr_14, rsi_14, adx_14, vol_expansion_rate, CASE WHEN rm > 0.5 THEN 1 WHEN rm < -0.5 THEN -1 ELSE 0 END AS momentum_regime
 FROM (SELECT *, {full("avg(da)", "da", 10)} AS vol_expansion_rate, {full("avg(dr)", "dr", 10)} AS rm FROM (SELECT *, atr_14 - lag(atr_14) OVER ({O}) AS da, rsi_14 - lag(rsi_14) OVER ({O}) AS dr FROM dxs)) o
 JOIN (SELECT a.symbol, a.time, {sql_rma("b.dx", 14)} AS adx_14 FROM dxs a JOIN dxs b ON a.symbol = b.symbol AND b.rn <= a.rn GROUP BY a.symbol, a.time) x ON o.symbol = x.symbol AND o.time = x.time""", (BARS, HN, OSC), digits=5)
