@@ -9,6 +9,7 @@ from tidemark.llm.ngram_lm import op10_lm_scoring
 from tidemark.llm.pieces_codec import op3_sentencepiece
 from tidemark.llm.pii import op8_pii
 from tidemark.llm.quality import op4_quality_rules
+from tidemark.llm.runs import op13_periodic_runs
 from tidemark.llm.suffix_dedup import op1_suffix_dedup
 from tidemark.llm.url_filter import OP9_SQL, op9_url_filter
 from tidemark.llm.warc import OP7_SQL, op7_warc
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_url_filter": op9_url_filter,
     "op10_lm_scoring": op10_lm_scoring,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 SQL = {"op2_exact_dedup": OP2_SQL, "op7_warc": OP7_SQL, "op9_url_filter": OP9_SQL}
