@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 def test_against_sql(spark, name):
     df = queries.QUERIES[name](spark, SF)
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     rows = db.execute(queries.SQL[name])
     names = [d[0] for d in rows.description]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tidemark.llm.conversation import OP11_SQL, op11_conversation_repair
 from tidemark.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from tidemark.llm.jaccard import op6_ngram_jaccard
 from tidemark.llm.mixing import op5_source_mixing
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_url_filter": op9_url_filter,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_periodic_runs": op13_periodic_runs,
 }
-SQL = {"op2_exact_dedup": OP2_SQL, "op7_warc": OP7_SQL, "op9_url_filter": OP9_SQL}
+SQL = {"op2_exact_dedup": OP2_SQL, "op7_warc": OP7_SQL, "op9_url_filter": OP9_SQL, "op11_conversation_repair": OP11_SQL}
