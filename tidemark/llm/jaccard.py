@@ -1,6 +1,6 @@
 """Exact n-gram Jaccard join: candidate filters on hashed prefixes, then a prefix-tree join inside each candidate cluster.
 
-1. Every text becomes a set of hashed word n-grams; equal sets form one class, known by a hash of the set.
+1. Every text becomes a set of hashed word n-grams; equal sets form one class, known by a 128-bit hash of the set.
 2. Linked sets x and y share at least ceil(T max(|x|, |y|)) n-grams, so of the smallest hashes of each, a prefix of
    |x| - ceil(T |x|) + c holds c common ones. A class with too few prefix n-grams that any other class has is out.
 3. Of those n-grams a class keeps all but its most frequent ones (as many as can be spared); classes that share a kept
@@ -69,12 +69,25 @@ def shingle_sets(piece: Piece, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     return grams[new], np.searchsorted(of[new], np.arange(len(piece) + 1))
 
 
+#: A class's 128 bits, as numpy holds them.
+KEY = np.dtype("S16")
+
+
 def class_keys(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A hash of each set; 0 for empty sets."""
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams ^ np.uint64(0x5851F42D4C957F2D)))])
-    sizes = np.diff(bounds)
-    keys = mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ sizes.astype(np.uint64)).view(np.int64)
-    return np.where(sizes > 0, keys, 0)
+    """Two 64-bit hashes of each set, as one key."""
+    sizes, out = np.diff(bounds), np.empty((len(bounds) - 1, 2), np.uint64)
+    for i, salt in enumerate((0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(grams ^ np.uint64(salt)))])
+        out[:, i] = mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ sizes.astype(np.uint64))
+    return out.view(KEY).reshape(-1)
+
+
+def keys_out(keys: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(16), len(keys), [None, pa.py_buffer(np.ascontiguousarray(keys))]).cast(pa.binary())
+
+
+def keys_in(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), KEY)
 
 
 def _sizes(n: int):
@@ -82,7 +95,7 @@ def _sizes(n: int):
         for piece in pieces(batches):
             grams, bounds = shingle_sets(piece, n)
             key = piece.rows.column(piece.rows.schema.get_field_index("text_key"))
-            yield pa.RecordBatch.from_arrays([piece.rows.column(0), key, pa.array(np.diff(bounds), pa.int64()), pa.array(class_keys(grams, bounds), pa.int64())], names=["id", "text_key", "n_shingles", "class"])
+            yield pa.RecordBatch.from_arrays([piece.rows.column(0), key, pa.array(np.diff(bounds), pa.int64()), keys_out(class_keys(grams, bounds))], names=["id", "text_key", "n_shingles", "class"])
 
     return run
 
@@ -104,10 +117,16 @@ def _encode(classes: np.ndarray, grams: np.ndarray) -> bytes:
     return np.uint32(len(heads)).tobytes() + classes[heads].tobytes() + counts.tobytes() + _low6(grams)
 
 
-def _decode(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    k = int(np.frombuffer(data, "<u4", 1)[0])
-    classes, counts = np.frombuffer(data, "<i8", k, 4), np.frombuffer(data, "<u4", k, 4 + 8 * k)
-    return np.repeat(classes, counts), _from6(data[4 + 12 * k :])
+def _decode(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct classes of several such tables in order, and of each n-gram its class's place among them."""
+    heads, counts, grams = [np.zeros(0, KEY)], [np.zeros(0, "<u4")], [np.zeros(0, np.uint64)]
+    for data in parts:
+        k = int(np.frombuffer(data, "<u4", 1)[0])
+        heads.append(np.frombuffer(data, KEY, k, 4))
+        counts.append(np.frombuffer(data, "<u4", k, 4 + 16 * k))
+        grams.append(_from6(data[4 + 20 * k :]))
+    names, place = np.unique(np.concatenate(heads), return_inverse=True)
+    return names, np.repeat(place, np.concatenate(counts)), np.concatenate(grams)
 
 
 def _deal(keys: np.ndarray, classes: np.ndarray, grams: np.ndarray) -> pa.RecordBatch:
@@ -123,10 +142,10 @@ def _prefix_rows(n: int, words: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        seen: set[int] = set()
+        seen: set[bytes] = set()
 
         def pack() -> pa.RecordBatch:
-            classes = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in held)])
+            classes = np.concatenate([np.zeros(0, KEY), *(x for x, _ in held)])
             grams = np.concatenate([np.zeros(0, np.uint64), *(x for _, x in held)])
             return _deal((grams % np.uint64(n)).astype(np.int32), classes, grams)
 
@@ -157,8 +176,7 @@ _SHARED = np.dtype([("docs", "<u4"), ("gram", "<u8")])
 
 def _shared_grams(table: pa.Table) -> pa.Table:
     """Of one range of n-grams, those that several classes have, with their number, by class."""
-    parts = [_decode(x) for x in table["data"].to_pylist()]
-    classes, grams = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+    names, classes, grams = _decode(table["data"].to_pylist())
     order = np.lexsort((classes, grams))
     classes, grams = classes[order], grams[order]
     new = np.ones(len(grams), bool)
@@ -173,7 +191,7 @@ def _shared_grams(table: pa.Table) -> pa.Table:
     classes, rows = classes[order], rows[order]
     cuts = np.flatnonzero(np.append(True, classes[1:] != classes[:-1])) if len(classes) else np.zeros(0, np.int64)
     ends = np.append(cuts[1:], len(classes)) if len(classes) else cuts
-    return pa.table({"class": pa.array(classes[cuts], pa.int64()), "data": pa.array([rows[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())})
+    return pa.table({"class": keys_out(names[classes[cuts]]), "data": pa.array([rows[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())})
 
 
 def _kept_grams(n: int, percent: int):
@@ -187,28 +205,27 @@ def _kept_grams(n: int, percent: int):
                 found = np.frombuffer(b"".join(data), _SHARED)
                 if len(found) >= least:
                     kept = found["gram"][np.lexsort((found["gram"], found["docs"]))][: len(found) - least + 1]
-                    classes.append(np.full(len(kept), key))
+                    classes.append(np.full(len(kept), key, KEY))
                     grams.append(kept)
             grams = np.concatenate([np.zeros(0, np.uint64), *grams])
-            yield _deal((grams % np.uint64(n)).astype(np.int32), np.concatenate([np.zeros(0, np.int64), *classes]), grams)
+            yield _deal((grams % np.uint64(n)).astype(np.int32), np.concatenate([np.zeros(0, KEY), *classes]), grams)
 
     return run
 
 
 def _stars(table: pa.Table) -> pa.Table:
     """Joins the classes of each kept n-gram to the smallest of them."""
-    parts = [_decode(x) for x in table["data"].to_pylist()]
-    classes, grams = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+    names, classes, grams = _decode(table["data"].to_pylist())
     order = np.lexsort((classes, grams))
     classes, grams = classes[order], grams[order]
     first = np.append(True, grams[1:] != grams[:-1]) if len(grams) else np.zeros(0, bool)
     root = classes[np.maximum.accumulate(np.where(first, np.arange(len(grams)), 0))] if len(grams) else classes
     pairs = np.unique(np.stack([classes, root], 1)[classes != root], axis=0).reshape(-1, 2)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+    return pa.table({"a": keys_out(names[pairs[:, 0]]), "b": keys_out(names[pairs[:, 1]])})
 
 
 _SET = ("cluster", "class", "weight", "cells")
-_SET_DDL = "cluster long, class long, weight long, cells array<struct<place:string,part:string>>"
+_SET_DDL = "cluster binary, class binary, weight long, cells array<struct<place:string,part:string>>"
 
 
 def _full_sets(words: int):
@@ -244,7 +261,7 @@ def _with_cells(members: DataFrame, n: int, percent: int, block: int) -> DataFra
 
     def cells(parts: Column, first, second) -> Column:
         numbers = F.when(parts > 0, F.sequence(F.lit(0), parts - 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(numbers, lambda q: F.struct(F.concat_ws(":", "cluster", first(q), second(q)).alias("place"), own.alias("part")))
+        return F.transform(numbers, lambda q: F.struct(F.concat_ws(":", F.hex("cluster"), first(q), second(q)).alias("place"), own.alias("part")))
 
     here = F.col("level")
     same = cells(F.col("parts"), lambda q: name(here, F.least("part", q)), lambda q: name(here, F.greatest("part", q)))
@@ -317,43 +334,45 @@ class PrefixTree:
                 lo = after
 
 
-def join_sets(keys: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], parts: np.ndarray, pair: tuple[str, str], percent: int) -> list[tuple[int, int, int]]:
-    """(class, smallest class of its component here, weight of its links) over the members of one cluster.
+def join_sets(keys: np.ndarray, weights: np.ndarray, sets: list[np.ndarray], parts: np.ndarray, pair: tuple[str, str], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members of one cluster with a link, the smallest member (keys: their order) of its component here, and the weight of its links.
 
     pair: the two blocks whose members are joined; members of one block are joined with each other where both are equal.
     """
     left, right = np.flatnonzero(parts == pair[0]), np.flatnonzero(parts == pair[1])
-    if not len(left) or not len(right):
-        return []
-    tree = PrefixTree([sets[i] for i in left], [sets[i] for i in right], percent)
     group, found = keys.copy(), np.zeros(len(keys), np.int64)
-    for x, near in tree.links():
-        me, others = left[x], right[near]
-        others = others[keys[others] != keys[me]]
-        if not len(others):
-            continue
-        found[me] += weights[others].sum()
-        if pair[0] != pair[1]:
-            found[others] += weights[me]
-        joined = np.unique(np.append(group[others], group[me]))
-        if len(joined) > 1:
-            group[np.isin(group, joined)] = joined[0]
-    return [(int(k), int(g), int(c)) for k, g, c in zip(keys, group, found, strict=True) if c]
+    if len(left) and len(right):
+        tree = PrefixTree([sets[i] for i in left], [sets[i] for i in right], percent)
+        for x, near in tree.links():
+            me, others = left[x], right[near]
+            others = others[keys[others] != keys[me]]
+            if not len(others):
+                continue
+            found[me] += weights[others].sum()
+            if pair[0] != pair[1]:
+                found[others] += weights[me]
+            joined = np.unique(np.append(group[others], group[me]))
+            if len(joined) > 1:
+                group[np.isin(group, joined)] = joined[0]
+    some = np.flatnonzero(found)
+    return keys[some], group[some], found[some]
 
 
 def _cluster_links(table: pa.Table, percent: int) -> pa.Table:
-    clusters = table["cluster"].to_numpy()
-    keys, weights, parts = table["class"].to_numpy(), table["weight"].to_numpy(), np.array(table["part"].to_pylist())
+    _, clusters = np.unique(keys_in(table["cluster"]), return_inverse=True)
+    names, keys = np.unique(keys_in(table["class"]), return_inverse=True)
+    weights, parts = table["weight"].to_numpy(), np.array(table["part"].to_pylist())
     pairs = table["place"].to_pylist()[0].split(":")
     sets = [np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist()]
     order = np.lexsort((keys, clusters))
     cuts = np.flatnonzero(np.append(True, clusters[order][1:] != clusters[order][:-1]))
-    out: list[tuple[int, int, int]] = []
+    out = [(np.zeros(0, np.int64),) * 3]
     for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
         mine = order[a:b]
         if b - a > 1:
-            out += join_sets(keys[mine], weights[mine], [sets[i] for i in mine], parts[mine], (pairs[-2], pairs[-1]), percent)
-    return pa.table({k: pa.array([x[i] for x in out], pa.int64()) for i, k in enumerate(("class", "root", "links"))})
+            out.append(join_sets(keys[mine], weights[mine], [sets[i] for i in mine], parts[mine], (pairs[-2], pairs[-1]), percent))
+    found, roots, links = (np.concatenate(x) for x in zip(*out, strict=True))
+    return pa.table({"class": keys_out(names[found]), "root": keys_out(names[roots]), "links": pa.array(links, pa.int64())})
 
 
 def text_key(text: Column) -> Column:
@@ -374,23 +393,37 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     n = buckets(rows)
-    whose = rows.withColumn("text_key", text_key(F.col("text")))
-    sizes = written(whose.mapInArrow(_sizes(words), "id long, text_key binary, n_shingles long, class long"), "sizes")
-    first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "text_key"))  # the row whose text stands for a class
-    classes = sizes.filter("n_shingles > 0").groupBy("class", "n_shingles").agg(first.alias("first"), F.count(F.lit(1)).alias("weight"))
-    classes = classes.select("class", "n_shingles", F.col("first.id").alias("head"), F.col("first.text_key").alias("head_key"), "weight")
+    sizes, classes = set_classes(rows, words)
     prefixes = rows.mapInArrow(_prefix_rows(n, words, percent), "bucket int, data binary")
-    shared = prefixes.groupBy("bucket").applyInArrow(_shared_grams, "class long, data binary")
+    shared = prefixes.groupBy("bucket").applyInArrow(_shared_grams, "class binary, data binary")
     shared = shared.groupBy("class").agg(F.collect_list("data").alias("data")).join(classes.select("class", "n_shingles"), "class")
     kept = shared.select("class", "n_shingles", "data").mapInArrow(_kept_grams(n, percent), "bucket int, data binary")
-    edges = kept.groupBy("bucket").applyInArrow(_stars, "a long, b long")
+    edges = kept.groupBy("bucket").applyInArrow(_stars, "a binary, b binary")
+    out = linked(rows, sizes, classes, edges, n, words, percent, block)
+    return out.select(F.col("id").alias(id_col), *(["text_key"] if keyed else []), "n_shingles", "component_id", "n_links")
+
+
+def set_classes(rows: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (id, text) each one's set size and class, and the classes of sets that are not empty, with their number of
+    rows and the row (head, head_key) whose text stands for them."""
+    whose = rows.withColumn("text_key", text_key(F.col("text")))
+    sizes = written(whose.mapInArrow(_sizes(words), "id long, text_key binary, n_shingles long, class binary"), "sizes")
+    first = F.min(F.struct(F.col("id").isNull().alias("unknown"), "id", "text_key"))
+    classes = sizes.filter("n_shingles > 0").groupBy("class", "n_shingles").agg(first.alias("first"), F.count(F.lit(1)).alias("weight"))
+    return sizes, classes.select("class", "n_shingles", F.col("first.id").alias("head"), F.col("first.text_key").alias("head_key"), "weight")
+
+
+def linked(rows: DataFrame, sizes: DataFrame, classes: DataFrame, edges: DataFrame, n: int, words: int, percent: int, block: int) -> DataFrame:
+    """id, text_key, n_shingles, component_id and n_links of each row, from candidate edges (a, b) between classes: the full
+    sets of each connected group of candidates are joined, so edges need not be links, but must connect all links."""
+    whose = rows.withColumn("text_key", text_key(F.col("text")))
     members = connected_components(edges).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
     members = written(members.join(classes, "class"), "members")
     placed = _with_cells(members, n, percent, block)
     found = placed.join(whose.hint("merge"), F.col("head").eqNullSafe(F.col("id")) & (F.col("head_key") == F.col("text_key"))).dropDuplicates(["class"])
     sets = found.select(*_SET, "text").mapInArrow(_full_sets(words), f"{_SET_DDL}, grams binary")
     sets = sets.select("*", F.explode("cells").alias("cell")).select("cell.*", "cluster", "class", "weight", "grams")
-    links = written(sets.groupBy("place").applyInArrow(lambda t: _cluster_links(t, percent), "class long, root long, links long"), "links")
+    links = written(sets.groupBy("place").applyInArrow(lambda t: _cluster_links(t, percent), "class binary, root binary, links long"), "links")
     degrees = links.groupBy("class").agg(F.sum("links").alias("links"))
     joined = connected_components(links.select(F.col("class").alias("a"), F.col("root").alias("b")))
     heads = classes.join(joined.withColumnRenamed("node", "class"), "class", "left").select("class", "head", "weight", F.coalesce("component", "class").alias("component"))
@@ -398,7 +431,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     known = heads.join(least, "component").join(degrees, "class", "left").select("class", "component_id", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = sizes.join(known, "class", "left")
     empty = F.col("n_shingles") == 0
-    return out.select(F.col("id").alias(id_col), *(["text_key"] if keyed else []), "n_shingles", F.when(empty, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, 0).otherwise(F.col("n_links")).cast("bigint").alias("n_links"))
+    return out.select("id", "text_key", "n_shingles", F.when(empty, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, 0).otherwise(F.col("n_links")).cast("bigint").alias("n_links"))
 
 
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

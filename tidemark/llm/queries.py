@@ -5,6 +5,7 @@ from __future__ import annotations
 from tidemark.llm.conversation import OP11_SQL, op11_conversation_repair
 from tidemark.llm.exact_dedup import OP2_SQL, op2_exact_dedup
 from tidemark.llm.jaccard import op6_ngram_jaccard
+from tidemark.llm.minhash import op12_minhash
 from tidemark.llm.mixing import op5_source_mixing
 from tidemark.llm.ngram_lm import op10_lm_scoring
 from tidemark.llm.pieces_codec import op3_sentencepiece
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_lm_scoring": op10_lm_scoring,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_minhash": op12_minhash,
     "op13_periodic_runs": op13_periodic_runs,
 }
 SQL = {"op2_exact_dedup": OP2_SQL, "op7_warc": OP7_SQL, "op9_url_filter": OP9_SQL, "op11_conversation_repair": OP11_SQL}
