@@ -140,13 +140,16 @@ def verdicts(found: dict[str, np.ndarray], max_fraction: float = MAX_FRACTION, m
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text", repeat_words: int = REPEAT_WORDS, max_fraction: float = MAX_FRACTION, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """The rows of docs that quality_rules() keeps, with all their columns: one pass without a shuffle."""
+    """The rows of docs that quality_rules() keeps, with all their columns, whatever their names: one pass without a shuffle."""
+    place = [f"c{i}" for i in range(len(docs.columns))]
+    text = place[docs.columns.index(text_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in pieces(batches, text_col):
+        for piece in pieces(batches, text):
             yield piece.rows.filter(pa.array(verdicts(measures(piece, repeat_words), max_fraction, max_repeat)[1]))
 
-    return docs.mapInArrow(run, docs.schema)
+    plain = docs.toDF(*place)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeat_words: int = REPEAT_WORDS, max_fraction: float = MAX_FRACTION, max_repeat: int = MAX_REPEAT) -> DataFrame:
