@@ -4,8 +4,8 @@ The last stage returns (doc_id, ids, n_pieces, round_trip); all others return th
 express the suffix array, the mixture's seeded hash order or the tokenizer, so ORACLE_SQL is None and tests compare the
 stages with brute force.
 
-All stages take tables with further columns, which they keep (encode leaves only its own), whatever their names; an empty
-table gives an empty result. Rows that repeat are rows of their own, but for what a stage says of copies.
+All stages take tables with further columns, which they keep (encode leaves only its own), whatever their names, dots and
+names of internal columns included; an empty table gives an empty result. Rows that repeat are rows of their own, but for what a stage says of copies.
 """
 
 from __future__ import annotations
@@ -24,14 +24,16 @@ from tidemark.llm.quality import quality_filter
 SHARE = 0.9
 
 
-def _pair(key: Column) -> Column:
-    """One value for a row's id and its text's key; a missing id is a value like others."""
-    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), key)
+def _keyed(docs: DataFrame, key: Column) -> DataFrame:
+    """Each row of docs as one struct, so that no name of its columns can clash, and a value for its id and its text's key; a
+    missing id is a value like others."""
+    pair = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), key)
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), pair.alias("pair"))
 
 
 def _keep(docs: DataFrame, key: Column, chosen: DataFrame, chosen_key: Column) -> DataFrame:
-    """Rows of docs, with _pair, whose id and text (by its key) are in chosen."""
-    return docs.withColumn("_pair", _pair(key)).join(chosen.select(_pair(chosen_key).alias("_pair")), "_pair", "left_semi")
+    """The keyed rows of docs whose id and text (by its key) are in chosen."""
+    return _keyed(docs, key).join(_keyed(chosen, chosen_key).select("pair"), "pair", "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +45,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z folded) the smallest doc_id stays; of rows that repeat it with equal text, or that have no id
-    anywhere, one."""
+    anywhere, the smallest by the values of their columns in turn (nulls first; by their JSON, where maps have no order)."""
     arrow_rows(spark)
     kept = exact_dedup(docs, keep="smallest").filter("kept")
     rows = _keep(docs, text_sha256(F.col("text")), kept, F.col("text_sha256"))
-    return rows.dropDuplicates(["_pair"]).select(*docs.columns)  # where the join has put them already
+    first = F.min("row") if "map<" not in docs.schema.simpleString() else F.min_by("row", F.to_json("row"))
+    return rows.groupBy("pair").agg(first.alias("row")).select("row.*")  # where the join has put them already
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,7 +58,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     an id stay where no linked one has an id."""
     arrow_rows(spark)
     kept = jaccard_join(docs, keyed=True).filter("doc_id <=> component_id")
-    return _keep(docs, F.hex(text_key(F.col("text"))), kept, F.hex("text_key")).select(*docs.columns)
+    return _keep(docs, F.hex(text_key(F.col("text"))), kept, F.hex("text_key")).select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
