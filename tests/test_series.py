@@ -246,9 +246,24 @@ def test_streams_read_a_file_and_a_folder(spark, tmp_path):
                     want.append(int(hit))
                     up, down = (0.0, 0.0) if hit else (up, down)
         same(one["ema" if run == 0 else "event"], want)
-    parts = ST.run_to_table(ST.bar_stream(ST.tick_stream(spark, str(tmp_path), 1)), "parts", ("symbol", "time"))
-    whole = ST.run_to_table(ST.bar_stream(ST.tick_stream(spark, str(tmp_path))), "whole", ("symbol", "time"))
-    assert whole.count() == B.bars(spark, SF).count() and 0 < parts.count() <= whole.count()
+
+
+def test_streams_take_shuffled_files_one_a_batch(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.repartition(5).write.parquet(str(tmp_path / "events.parquet"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    ticks = ST.tick_stream(spark, str(tmp_path), 1)
+    assert rows(ST.streamed_bars(ticks)) == rows(B.bars(spark, SF).select("symbol", "time", *B.OHLCV))
+    again = ticks.unionAll(ST.tick_stream(spark, SF))
+    found = ST.streamed_distinct(again)
+    assert rows(found.select("event_id", "symbol", "value")) == rows(B.ticks(spark, SF).select("event_id", "symbol", "value"))
+    late = ST.run_to_table(ST.bar_stream(ST.tick_stream(spark, str(tmp_path))), "whole", ("symbol", "time"))  # all at once: nothing is late
+    assert late.count() == B.bars(spark, SF).count()
+
+
+def test_stream_without_files(spark, tmp_path):
+    spark.read.parquet(f"{SF}/events.parquet").limit(0).write.parquet(str(tmp_path / "events.parquet"))
+    assert ST.streamed_bars(ST.tick_stream(spark, str(tmp_path))).count() == 0
 
 
 def test_stores(spark, bars, tmp_path):

@@ -21,11 +21,12 @@ def by_row(df, *columns):
     return {(r["symbol"], int(r["time"].timestamp()) // 300): [r[c] for c in columns] for r in df.collect()}
 
 
-def brute_csw(close):
-    y, out = np.log(close), [(None, None)]
-    for t in range(1, len(y)):
-        mean_square = (np.diff(y[: t + 1]) ** 2).mean()
-        score, back = max((abs(y[t] - y[s]) / (mean_square * math.sqrt(t - s)), t - s) for s in range(t))
+def brute_csw(close, two_sided):
+    y, out = np.log(close), [(None, None)] * 2
+    for t in range(2, len(y)):
+        variance = (np.diff(y[: t + 1]) ** 2).sum() / (t - 1)
+        rise = [abs(y[t] - y[s]) if two_sided else y[t] - y[s] for s in range(t)]
+        score, back = max((x / (variance * math.sqrt(t - s)), t - s) for s, x in enumerate(rise))
         out.append((score, math.sqrt(4.6 + math.log(back))))
     return out
 
@@ -33,13 +34,23 @@ def brute_csw(close):
 def test_csw_takes_all_earlier_rows(spark):
     r = np.random.default_rng(1)
     values = {"jump": np.exp(np.append(r.normal(0, 0.001, 100), 0.2 * np.arange(1, 5).repeat(60) + r.normal(0, 0.001, 240))), "walk": np.exp(r.normal(0, 0.01, 1300).cumsum())}
-    found = by_row(X.csw_statistic(series(spark, values)), "csw_stat", "csw_crit")
-    far = 0
-    for s, close in values.items():
-        for t, want in enumerate(brute_csw(close)):
-            assert found[s, t] == (pytest.approx(list(want), rel=1e-9) if t else [None, None])
-            far += bool(t) and want[1] > math.sqrt(4.6 + math.log(64))
-    assert far > 100  # references that a window of 64 rows would miss
+    for two_sided in (False, True):
+        found = by_row(X.csw_statistic(series(spark, values), two_sided=two_sided), "csw_stat", "csw_crit")
+        near = by_row(X.csw_statistic(series(spark, {"jump": values["jump"][:40]}), 64, two_sided), "csw_stat", "csw_crit")
+        far = 0
+        for s, close in values.items():
+            for t, want in enumerate(brute_csw(close, two_sided)):
+                assert found[s, t] == (pytest.approx(list(want), rel=1e-9) if t > 1 else [None, None])
+                assert s != "jump" or t > 39 or near[s, t] == (pytest.approx(list(want), rel=1e-9) if t > 1 else [None, None])
+                far += t > 1 and want[1] > math.sqrt(4.6 + math.log(64))
+        assert far > 100  # references that a window of 64 rows would miss
+
+
+def test_csw_by_hand(spark):
+    y = [0, 0.1, 0.05, 0.2, 0.1]
+    found = by_row(X.csw_statistic(series(spark, {"a": np.exp(y)})), "csw_stat")
+    assert found["a", 2] == [pytest.approx(0.05 / (0.0125 * 2**0.5))]
+    assert by_row(X.csw_statistic(series(spark, {"a": np.exp(y)}), two_sided=True), "csw_stat")["a", 2] == [pytest.approx(4.0)]
 
 
 def test_chunks_of_a_series_see_its_whole_past(spark):
@@ -52,11 +63,17 @@ def test_csw_kernel_with_gaps_and_chunks():
     y = np.random.default_rng(2).normal(size=900).cumsum()
     y[[0, 5, 300, 301]] = np.nan
     y[512:768] = np.nan
-    whole = K.csw(y)
-    for first in (1, 255, 600, 899):
-        np.testing.assert_array_equal(np.array(K.csw(y, first)), np.array(whole)[:, first:])
-    square = np.nanmean(np.diff(y) ** 2)
-    assert whole[0][899] == pytest.approx(np.nanmax(np.abs(y[899] - y[:899]) / np.sqrt(899 - np.arange(899))) / square)
+    for two_sided in (False, True):
+        whole = K.csw(y, two_sided=two_sided)
+        for first in (1, 255, 600, 899):
+            np.testing.assert_array_equal(np.array(K.csw(y, first, two_sided=two_sided)), np.array(whole)[:, first:])
+        square = np.diff(y) ** 2
+        square = np.nansum(square) / ((~np.isnan(square)).sum() - 1)
+        for t in (899, 800):
+            rise = (y[t] - y[:t]) / np.sqrt(t - np.arange(t))
+            before = np.diff(y[: t + 1]) ** 2
+            assert whole[0][t] == pytest.approx(np.nanmax(np.abs(rise) if two_sided else rise) / (np.nansum(before) / ((~np.isnan(before)).sum() - 1)), nan_ok=True)
+        assert whole[0][899] == pytest.approx(np.nanmax((np.abs(y[899] - y[:899]) if two_sided else y[899] - y[:899]) / np.sqrt(899 - np.arange(899))) / square)
     assert np.isnan(whole[0][300])
 
 

@@ -223,28 +223,29 @@ def sadf(y: np.ndarray, least: int, lags: int = 0, constant: bool = False, trend
 # kernels over all earlier values of a series: results at rows first.. of y ------------------------------------------
 
 
-def csw(y: np.ndarray, first: int = 0, block: int = 256, ends: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def csw(y: np.ndarray, first: int = 0, block: int = 256, ends: int = 256, two_sided: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Chu-Stinchcombe-White statistic over every earlier row, and the distance to the row that gives it (the farthest
     of equals). Blocks of rows are skipped only where their extremes at their nearest distance cannot reach the best."""
     n = len(y)
     change = np.diff(y, prepend=np.nan) ** 2
     known = ~np.isnan(change)
     with np.errstate(all="ignore"):
-        mean_square = np.where(known, change, 0).cumsum() / known.cumsum()
+        mean_square = np.where(known.cumsum() > 1, np.where(known, change, 0).cumsum() / (known.cumsum() - 1), np.nan)
     stat, distance = np.full(n - first, np.nan), np.full(n - first, np.nan)
     for a in range(first, n, ends):
         b = min(a + ends, n)
         t, at = y[a:b], np.arange(a, b)
-        best, far = np.full(b - a, -1.0), np.zeros(b - a)
+        best, far = np.full(b - a, -np.inf), np.zeros(b - a)
 
         def take(rows: np.ndarray, lo: int, hi: int) -> None:
             back = at[rows, None] - np.arange(lo, hi)
             with np.errstate(all="ignore"):
-                score = np.where(back > 0, np.abs(t[rows, None] - y[lo:hi]) / np.sqrt(back), np.nan)
-            score = np.where(np.isnan(score), -1.0, score)
+                departure = t[rows, None] - y[lo:hi]
+                score = np.where(back > 0, (np.abs(departure) if two_sided else departure) / np.sqrt(back), np.nan)
+            score = np.where(np.isnan(score), -np.inf, score)
             j = score.argmax(1)
             top = score[np.arange(len(rows)), j]
-            better = (top > best[rows]) | ((top == best[rows]) & (top >= 0))  # blocks come from near to far
+            better = (top > best[rows]) | ((top == best[rows]) & (top > -np.inf))  # blocks come from near to far
             best[rows[better]], far[rows[better]] = top[better], back[np.arange(len(rows)), j][better]
 
         whole = a // block
@@ -255,13 +256,14 @@ def csw(y: np.ndarray, first: int = 0, block: int = 256, ends: int = 256) -> tup
             low, high = np.where(np.isnan(past), np.inf, past).min(1), np.where(np.isnan(past), -np.inf, past).max(1)
             low, high = np.where(empty, np.nan, low), np.where(empty, np.nan, high)
             nearest = np.sqrt(at[:, None] - (np.arange(whole) * block + block - 1))
-            bound = np.maximum(np.abs(t[:, None] - low), np.abs(t[:, None] - high)) / nearest
+            rise = t[:, None] - low
+            bound = np.maximum(np.abs(rise), np.abs(t[:, None] - high)) / nearest if two_sided else rise / np.where(rise > 0, nearest, np.sqrt(at[:, None] - np.arange(whole) * block))
             for k in range(whole - 1, -1, -1):
                 rows = np.flatnonzero(bound[:, k] >= best)
                 if len(rows):
                     take(rows, k * block, (k + 1) * block)
         s = mean_square[a:b]
-        ready = (best >= 0) & (s > 0)
+        ready = (best > -np.inf) & (s > 0)
         stat[a - first : b - first][ready] = best[ready] / s[ready]
         distance[a - first : b - first][ready] = far[ready]
     return stat, distance

@@ -127,9 +127,13 @@ def latest(df: DataFrame, n: int) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(W.partitionBy("symbol").orderBy(F.desc("time")))).filter(F.col("_rank") <= n).drop("_rank")
 
 
-def scan_range(df: DataFrame, symbol: str, start: str, end: str) -> DataFrame:
-    """Bars of a symbol with start <= time < end; the filter reaches the scan where df is a table of bars."""
-    return df.filter((F.col("symbol") == symbol) & (F.col("time") >= F.lit(start).cast("timestamp")) & (F.col("time") < F.lit(end).cast("timestamp")))
+def scan_range(df: DataFrame, symbol: str, start: str, end: str, newest: str | None = None) -> DataFrame:
+    """Bars of a symbol with start <= time <= end; the filter reaches the scan where df is a table of bars. newest: a column
+    by which the last of the rows that repeat a time stays."""
+    found = df.filter((F.col("symbol") == symbol) & F.col("time").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")))
+    if newest is None:
+        return found
+    return found.groupBy("symbol", "time").agg(F.max_by(F.struct("*"), newest).alias("_row")).select("_row.*")
 
 
 def known_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -180,7 +180,8 @@ def excursions(df: DataFrame, n: int = 288, least: int | None = None, part: Part
 
 
 def one_sided_deviation(df: DataFrame, n: int = 288, part: Part = PART) -> DataFrame:
-    """Sum of returns less their rolling means, over the rolling deviation times root n; and its two one-sided forms."""
+    """Sum of returns less their rolling means, over the rolling deviation times root n; for the sub-martingale test with its
+    sign turned, for the super-martingale test as it is."""
     least = max(8, n // 4)
     out = df.withColumn("_r", pct_change("close", 1, part))
     out = out.withColumn("_d", F.col("_r") - mean(F.col("_r"), n, least, part))
@@ -188,7 +189,7 @@ def one_sided_deviation(df: DataFrame, n: int = 288, part: Part = PART) -> DataF
     z = F.try_divide(F.sum("_d").over(last_rows(n, part)), F.nullif(scale, F.lit(0.0)))
     out = out.withColumn(f"one_sided_dev_z_w{n}", z)
     side = F.col(f"one_sided_dev_z_w{n}")
-    out = out.withColumn(f"sub_martingale_z_w{n}", F.when(side > 0, side).when(side <= 0, 0.0)).withColumn(f"super_martingale_z_w{n}", F.when(side < 0, -side).when(side >= 0, 0.0))
+    out = out.withColumn(f"sub_martingale_z_w{n}", -side).withColumn(f"super_martingale_z_w{n}", side)
     return out.drop("_r", "_d")
 
 
@@ -292,26 +293,28 @@ def adf(df: DataFrame, lags: int = 0, constant: bool = False, trend: bool = Fals
 
 
 def bde_cusum(df: DataFrame, part: Part = PART) -> DataFrame:
-    """Cumulative one-step errors against the expanding mean, over the deviation of the whole series."""
+    """Cumulative one-step errors against the expanding mean (0 at the first row), over the deviation of the whole series."""
     before = F.avg("close").over(order(part).rowsBetween(W.unboundedPreceding, -1))
     out = df.withColumn("_e", F.try_divide(F.col("close") - before, F.nullif(F.stddev_samp("close").over(W.partitionBy(*part)), F.lit(0.0))))
-    total = F.sum("_e").over(order(part).rowsBetween(W.unboundedPreceding, 0))
+    total = F.sum(F.when(before.isNull() & F.col("close").isNotNull(), 0.0).otherwise(F.col("_e"))).over(order(part).rowsBetween(W.unboundedPreceding, 0))
     return out.withColumn("bde_cusum", total).drop("_e")
 
 
-def csw_statistic(df: DataFrame, bound: int | None = None, part: Part = PART) -> DataFrame:
-    """Chu-Stinchcombe-White: largest departure from an earlier log price, over the mean squared change so far times the root
-    of the distance, with its critical value root(4.6 + ln distance); references are all earlier rows, or with `bound`
-    only those up to so many rows back."""
+def csw_statistic(df: DataFrame, bound: int | None = None, two_sided: bool = False, part: Part = PART) -> DataFrame:
+    """Chu-Stinchcombe-White: largest rise (two_sided: departure) from an earlier log price, over the variance of changes so far
+    (squares over their number less one) times the root of the distance, with its critical value root(4.6 + ln distance);
+    from the third row on. References are all earlier rows, or with `bound` only those up to so many rows back; of equals
+    the farthest counts."""
     if bound is None:
-        out = over_past(df, F.ln("close"), ["csw_stat", "_far"], K.csw, part)
+        out = over_past(df, F.ln("close"), ["csw_stat", "_far"], lambda y, first: K.csw(y, first, two_sided=two_sided), part)
         return out.withColumn("csw_crit", F.sqrt(4.6 + F.ln("_far"))).drop("_far")
     out = df.withColumn("_y", F.ln("close"))
     out = out.withColumn("_d2", F.pow(F.col("_y") - lag("_y", 1, part), 2))
-    out = out.withColumn("_s", F.avg("_d2").over(order(part).rowsBetween(W.unboundedPreceding, 0)))
+    past = order(part).rowsBetween(W.unboundedPreceding, 0)
+    out = out.withColumn("_s", F.nullif(F.try_divide(F.sum("_d2").over(past), F.nullif(F.count("_d2").over(past) - 1, F.lit(0))), F.lit(0.0)))
     out = out.withColumn("_past", F.collect_list("_y").over(order(part).rowsBetween(-bound, -1)))
     n = F.size("_past")
-    scores = F.transform("_past", lambda y, i: F.struct(F.try_divide(F.abs(F.col("_y") - y), F.col("_s") * F.sqrt(n - i)).alias("s"), (n - i).alias("lag")))
+    scores = F.transform("_past", lambda y, i: F.struct(F.try_divide(F.abs(F.col("_y") - y) if two_sided else F.col("_y") - y, F.col("_s") * F.sqrt(n - i)).alias("s"), (n - i).alias("lag")))
     out = out.withColumn("_best", F.array_max(scores))
-    out = out.withColumn("csw_stat", F.col("_best.s")).withColumn("csw_crit", F.when(F.col("_best").isNotNull(), F.sqrt(4.6 + F.ln(F.col("_best.lag")))))
+    out = out.withColumn("csw_stat", F.col("_best.s")).withColumn("csw_crit", F.when(F.col("_best.s").isNotNull(), F.sqrt(4.6 + F.ln(F.col("_best.lag")))))
     return out.drop("_y", "_d2", "_s", "_past", "_best")

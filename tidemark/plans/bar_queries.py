@@ -50,7 +50,8 @@ register("bars_h1", lambda s, d: B.bars(s, d, "1 hour"), KEYS, OHLCV, "SELECT *
 register("bars_daily", B.daily_bars, KEYS, OHLCV, "SELECT * FROM daily", (DAILY,))
 register("bars_dirty", on_dirty(lambda df: df), ("symbol", "time", "batch"), OHLCV, "SELECT * FROM dirty", (BARS, DIRTY))
 register("scan_latest", lambda s, d: cleaning.latest(B.bars(s, d), 200), KEYS, OHLCV, f"SELECT * FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY time DESC) <= 200")
-register("scan_range", lambda s, d: cleaning.scan_range(B.bars(s, d), "click", "2024-01-05", "2024-01-12"), KEYS, OHLCV, "SELECT * FROM bars WHERE symbol = 'click' AND time >= '2024-01-05' AND time < '2024-01-12'")
+register("scan_range", lambda s, d: cleaning.scan_range(B.bars(s, d), "click", "2024-01-05", "2024-01-12"), KEYS, OHLCV, "SELECT * FROM bars WHERE symbol = 'click' AND time BETWEEN '2024-01-05' AND '2024-01-12'")
+register("scan_range_newest", lambda s, d: cleaning.scan_range(timed(B.dirty_bars(B.bars(s, d))), "click", "2024-01-05", "2024-01-05 20:00:00", "batch"), (*KEYS, "batch"), OHLCV, "SELECT symbol, time, batch, open, high, low, close, volume FROM (SELECT * REPLACE (strptime(replace(substr(time, 1, 19), 'T', ' '), '%Y-%m-%d %H:%M:%S') AS time) FROM dirty) WHERE symbol = 'click' AND time BETWEEN '2024-01-05' AND '2024-01-05 20:00:00' QUALIFY row_number() OVER (PARTITION BY time ORDER BY batch DESC) = 1", (BARS, DIRTY))
 
 # cleaning -----------------------------------------------------------------------------------------------------------
 _T = "strptime(replace(substr(time, 1, 19), 'T', ' '), '%Y-%m-%d %H:%M:%S')"
@@ -94,7 +95,6 @@ def merged_store(s, d):
 
 
 register("merge_overwrite", merged_store, KEYS, OHLCV, f"SELECT * FROM (SELECT *, 0 AS turn FROM ({_OLD}) UNION ALL SELECT *, 1 FROM ({_NEW}) WHERE symbol <> 'view') QUALIFY row_number() OVER (PARTITION BY symbol, time ORDER BY turn DESC) = 1")
-register("broker_dry_run", lambda s, d: files.broker_bars(s, "eur", 600), KEYS, ("open", "high", "low", "close", "tick_volume"), "SELECT 'eur' AS symbol, TIMESTAMP '2024-01-01' - INTERVAL 5 MINUTE * i AS time, 1.0 AS open, 1.1 AS high, 0.9 AS low, 1.05 AS close, 100 AS tick_volume FROM range(600) q(i)", ())
 
 # scalars ------------------------------------------------------------------------------------------------------------
 
@@ -172,7 +172,7 @@ SELECT symbol, time, ({_PLOGP([f"p{k}" for k in (0, 2, 3, 4, 5, 7)])}) / log2(6)
 register("encode_returns", on_bars(X.encode_returns), (*KEYS, "sign_code", "quantile_code"), (), f"SELECT symbol, time, (sign(r) + 1)::INT AS sign_code, (ntile(4) OVER (PARTITION BY symbol ORDER BY r, time) - 1)::INT AS quantile_code FROM {_RET} WHERE r IS NOT NULL")
 register("excursions", in_chunks(X.excursions, 287), KEYS, ("max_drawup_w288", "max_drawdown_w288"), f"SELECT symbol, time, close / ({full('min(close)', 'close', 288)}) - 1 AS max_drawup_w288, close / ({full('max(close)', 'close', 288)}) - 1 AS max_drawdown_w288 FROM bars")
 register("one_sided_deviation", in_chunks(X.one_sided_deviation, 576), KEYS, ("one_sided_dev_z_w288", "sub_martingale_z_w288", "super_martingale_z_w288"), f"""
-SELECT *, CASE WHEN one_sided_dev_z_w288 IS NOT NULL THEN greatest(one_sided_dev_z_w288, 0) END AS sub_martingale_z_w288, CASE WHEN one_sided_dev_z_w288 IS NOT NULL THEN greatest(-one_sided_dev_z_w288, 0) END AS super_martingale_z_w288 FROM (
+SELECT *, -one_sided_dev_z_w288 AS sub_martingale_z_w288, one_sided_dev_z_w288 AS super_martingale_z_w288 FROM (
   SELECT symbol, time, sum(d) OVER {rows(288)} / nullif(({full("stddev_pop(r)", "r", 288, 72)}) * sqrt(288), 0) AS one_sided_dev_z_w288
   FROM (SELECT *, r - ({full("avg(r)", "r", 288, 72)}) AS d FROM {_RET}))""", digits=5)
 register("z_score_event", in_chunks(X.z_score_event, 99, n=100), (*KEYS, "z_score_event"), (), f"SELECT symbol, time, coalesce((close >= ({full('avg(close)', 'close', 100)}) + 3 * ({full('stddev_samp(close)', 'close', 100)}))::INT, 0) AS z_score_event FROM bars")
@@ -190,11 +190,14 @@ register("adf_lags", on_bars(lambda df: X.adf(df, 3, True, True)), ("symbol", "n
 register("adf_constant", on_bars(lambda df: X.adf(df, 0, True)), ("symbol", "n"), ("t_stat",), f"""
 SELECT symbol, n, b / sqrt((syy - b * sxy) / (n - 2) / sxx) AS t_stat FROM (SELECT symbol, regr_count(d, x) AS n, regr_slope(d, x) AS b, regr_sxx(d, x) AS sxx, regr_sxy(d, x) AS sxy, regr_syy(d, x) AS syy
   FROM (SELECT symbol, x, close - x AS d FROM (SELECT *, lag(close) OVER ({O}) AS x FROM bars) WHERE x IS NOT NULL) GROUP BY symbol)""", digits=5)
-register("bde_cusum", on_bars(X.bde_cusum), KEYS, ("bde_cusum",), f"SELECT symbol, time, sum(e) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bde_cusum FROM (SELECT *, (close - avg(close) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) / stddev_samp(close) OVER (PARTITION BY symbol) AS e FROM bars)", digits=4)
-register("csw_statistic", on_bars(X.csw_statistic), KEYS, ("csw_stat", "csw_crit"), f"""
+register("bde_cusum", on_bars(X.bde_cusum), KEYS, ("bde_cusum",), f"SELECT symbol, time, sum(e) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bde_cusum FROM (SELECT *, coalesce(close - avg(close) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / stddev_samp(close) OVER (PARTITION BY symbol) AS e FROM bars)", digits=4)
+_YS = f"ys AS MATERIALIZED (SELECT symbol, time, ln(nullif(close, 0)) AS y, row_number() OVER ({O}) AS rn FROM bars)"
+for _name, _two in (("csw_statistic", False), ("csw_two_sided", True)):
+    _rise = "abs(a.y - b.y)" if _two else "(a.y - b.y)"
+    register(_name, on_bars(X.csw_statistic, two_sided=_two), KEYS, ("csw_stat", "csw_crit"), f"""
 SELECT symbol, time, b.s AS csw_stat, sqrt(4.6 + ln(b.d)) AS csw_crit FROM (
-  SELECT a.symbol, a.time, max(CASE WHEN a.s > 0 THEN struct_pack(s := abs(a.y - b.y) / (a.s * sqrt(a.rn - b.rn)), d := a.rn - b.rn) END) AS b FROM
-    (SELECT *, avg(d2) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM (SELECT *, pow(y - lag(y) OVER ({O}), 2) AS d2 FROM ys)) a LEFT JOIN ys b ON a.symbol = b.symbol AND b.rn < a.rn GROUP BY ALL)""", (BARS, f"ys AS MATERIALIZED (SELECT symbol, time, ln(nullif(close, 0)) AS y, row_number() OVER ({O}) AS rn FROM bars)"), digits=4)
+  SELECT a.symbol, a.time, max(CASE WHEN a.s > 0 THEN struct_pack(s := {_rise} / (a.s * sqrt(a.rn - b.rn)), d := a.rn - b.rn) END) AS b FROM
+    (SELECT *, sum(d2) OVER w / nullif(count(d2) OVER w - 1, 0) AS s FROM (SELECT *, pow(y - lag(y) OVER ({O}), 2) AS d2 FROM ys) WINDOW w AS ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) a LEFT JOIN ys b ON a.symbol = b.symbol AND b.rn < a.rn GROUP BY ALL)""", (BARS, _YS), digits=4)
 
 # alignment ----------------------------------------------------------------------------------------------------------
 _HOUR = "(SELECT symbol, time, close AS hour_close FROM bars_h1)"

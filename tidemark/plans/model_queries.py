@@ -113,8 +113,8 @@ register("backtest_atr", on_bars(lambda df: T.atr_backtest(probabilities(R.targe
 register("backtest_fixed_hold", on_bars(lambda df: T.fixed_hold_backtest(probabilities(df).withColumn("win_prob", F.col("p0")), 0.4)), SIM, SIM_D, digits=4)
 
 # streams ------------------------------------------------------------------------------------------------------------
-register("stream_bars", lambda s, d: ST.run_to_table(ST.bar_stream(ST.tick_stream(s, d)), "bars", KEYS), KEYS, OHLCV, "SELECT * FROM bars")
-register("stream_distinct", lambda s, d: ST.run_to_table(ST.distinct_ticks(ST.tick_stream(s, d).unionAll(ST.tick_stream(s, d))), "ticks", ("event_id",), "append"), ("symbol", "event_id"), ("value",), "SELECT symbol, event_id, value FROM ticks")
+register("stream_bars", lambda s, d: ST.streamed_bars(ST.tick_stream(s, d)), KEYS, OHLCV, "SELECT * FROM bars")
+register("stream_distinct", lambda s, d: ST.streamed_distinct(ST.tick_stream(s, d).unionAll(ST.tick_stream(s, d))), ("symbol", "event_id"), ("value",), "SELECT symbol, event_id, value FROM ticks")
 register("stream_ema", lambda s, d: ST.run_to_table(ST.running_ema(ST.tick_stream(s, d)), "ema", ("event_id",), "append"), ("symbol", "event_id"), ("ema",))
 register("stream_cusum", lambda s, d: ST.run_to_table(ST.running_cusum(ST.tick_stream(s, d), 300.0, 50.0), "cusum", ("event_id",), "append"), ("symbol", "event_id", "event"))
 

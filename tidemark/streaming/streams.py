@@ -1,4 +1,10 @@
-"""Structured Streaming twins: bars with late data, idempotent upserts, deduplication, stateful kernels."""
+"""Structured Streaming twins: bars and distinct ticks that merge, bars with late data, idempotent upserts, stateful kernels.
+
+Bars and distinct ticks need no order of arrival and no watermark: every micro-batch is summed up by itself, and the sums
+merge by functions that take them in any order (first, last, highest, lowest, sum). So it makes no difference how ticks
+are dealt to files and files to batches, and nothing is late. What runs along a series (exponential means, cumulative
+sums) does need order: its ticks must arrive in the order of time from batch to batch.
+"""
 
 from __future__ import annotations
 
@@ -12,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.sources.bars import resample
+from tidemark.sources.bars import OHLCV, resample
 
 DEFAULT_SHARED = "file:///tmp/checkpoints/tidemark"
 
@@ -48,6 +54,55 @@ def bar_stream(ticks: DataFrame, late: str = "1 hour", width: str = "5 minutes")
     return resample(ticks.withWatermark("ts", late), width)
 
 
+def bar_parts(ticks: DataFrame, width: str = "5 minutes") -> DataFrame:
+    """What a batch of ticks adds to each bar: its first and last tick, highest and lowest value and volume."""
+    tick = F.struct("ts", "event_id", "value")
+    parts = ticks.groupBy("symbol", F.window("ts", width).alias("w")).agg(F.min(tick).alias("first"), F.max(tick).alias("last"), F.max("value").alias("high"), F.min("value").alias("low"), F.sum("k").alias("volume"))
+    return parts.select("symbol", F.col("w.start").alias("time"), "first", "last", "high", "low", "volume")
+
+
+def merged_bars(parts: DataFrame) -> DataFrame:
+    """Bars from any number of parts of each, in any order; parts merge before they are shuffled."""
+    out = parts.groupBy("symbol", "time").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("volume").alias("volume"))
+    return out.select("symbol", "time", F.col("first.value").alias("open"), "high", "low", F.col("last.value").alias("close"), "volume").select("symbol", "time", *OHLCV)
+
+
+def distinct_parts(ticks: DataFrame) -> DataFrame:
+    """The earliest tick of each id; parts merge by the same function."""
+    first = F.min(F.struct("ts", *(c for c in ticks.columns if c not in ("ts", "event_id"))))
+    return ticks.groupBy("event_id").agg(first.alias("t")).select("event_id", "t.*")
+
+
+def merge_sink(stream: DataFrame, folder: str, checkpoint: str, part: Callable[[DataFrame], DataFrame]):
+    """Writes what part() makes of each micro-batch to a folder of its own, so that a repeated batch replaces itself."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        part(batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+
+
+def run_merged(stream: DataFrame, name: str, part: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Runs a stream over what is there now and merges the parts of all its micro-batches; of no batch there are no rows."""
+    spark = stream.sparkSession
+    folder = work_folder(spark, name)
+    query = merge_sink(stream, f"{folder}/rows", f"{folder}/checkpoint", part)
+    query.awaitTermination()
+    kind = part(spark.createDataFrame([], stream.schema)).schema
+    if query.lastProgress is None:
+        return merge(spark.createDataFrame([], kind))
+    return merge(spark.read.schema(kind).option("recursiveFileLookup", "true").parquet(f"{folder}/rows"))
+
+
+def streamed_bars(ticks: DataFrame, width: str = "5 minutes") -> DataFrame:
+    return run_merged(ticks, "bars", lambda batch: bar_parts(batch, width), merged_bars)
+
+
+def streamed_distinct(ticks: DataFrame) -> DataFrame:
+    """Ticks without repeated ids, whatever the distance between two with the same id; the earliest of them stays."""
+    return run_merged(ticks, "ticks", distinct_parts, distinct_parts)
+
+
 def upsert_sink(stream: DataFrame, folder: str, checkpoint: str, mode: str = "update"):
     """Writes each micro-batch to a folder of its own, so that a repeated batch replaces itself; read with current()."""
 
