@@ -184,6 +184,78 @@ def test_label_queries_with_a_close_of_zero(bars):
     assert labels.short_recode(label_queries.events_with_side(df)).count() > 0
 
 
+def test_first_over_and_moments_against_loops():
+    r = np.random.default_rng(12)
+    for n in (1, 2, 7, 64, 200):
+        x = r.integers(0, 40, n).astype(float)
+        x[r.random(n) < 0.1] = np.nan
+        level = np.where(r.random(n) < 0.1, np.nan, x + r.integers(-3, 30, n))
+        for most in (1, 5, 1000):
+            want = [next((j - i for j in range(i + 1, min(i + most, n - 1) + 1) if x[j] >= level[i]), 0) for i in range(n)]
+            assert K.FirstOver(x).after(level, most).tolist() == want
+    x = r.normal(5, 1, 300)
+    x[[3, 50, 51]], x[120:140] = np.nan, 7.0
+    for width in (7, 15, 100):
+        s = pd.Series(x)
+        skew, kurtosis = K.skewness_kurtosis(x, width)
+        flat = s.rolling(width).std() < 1e-9
+        np.testing.assert_allclose(skew[~flat], s.rolling(width).skew()[~flat], rtol=1e-7, atol=1e-9)
+        np.testing.assert_allclose(kurtosis[~flat], s.rolling(width).kurt()[~flat], rtol=1e-6, atol=1e-8)
+        assert np.isnan(skew[flat]).all()
+
+
+def test_trend_scan_in_chunks(bars, table):
+    whole = labels.trend_scan(bars, 40, every=3).orderBy("symbol", "time").toPandas()
+    parts = labels.trend_scan(bars, 40, every=3, rows=50).orderBy("symbol", "time").toPandas()
+    pd.testing.assert_frame_equal(whole, parts)
+    x = whole.iloc[20]
+    t = table[x["symbol"]]
+    i = int(t.index[t["time"] == x["time"]][0])
+    fits = {}
+    for n in range(5, 40):
+        y, k = t["close"].to_numpy()[i : i + n], np.arange(n)
+        slope, level = np.polyfit(k, y, 1)
+        error = np.sqrt(((y - level - slope * k) ** 2).sum() / (n - 2) / ((k - k.mean()) ** 2).sum())
+        fits[n] = slope / (error + 1e-8)
+    best = max(fits, key=lambda n: abs(fits[n]))
+    assert (x["length"], x["t_value"]) == (best, pytest.approx(fits[best], rel=1e-6))
+
+
+def test_running_product_of_any_sign(spark):
+    growth = [1.0, 1.1, -0.5, 1.1, -2.0, 0.0, 3.0]
+    df = series(spark, np.array(growth))
+    got = [r["p"] for r in df.withColumn("p", win.running_product(F.col("close"))).orderBy("time").collect()]
+    assert got == pytest.approx(np.cumprod(growth).tolist())
+
+
+def test_threshold_search_against_all_thresholds(spark):
+    r = np.random.default_rng(3)
+    y, p, ret, side = (r.random(100) < 0.4).astype(int), r.random(100).round(2), r.normal(0, 0.01, 100), r.choice([-1, 1], 100)
+    df = spark.createDataFrame([("a", float(a), float(b), int(c), int(d)) for a, b, c, d in zip(p, ret, side, y, strict=True)], "g string, p double, r double, s int, y int")
+    for metric in ("f1", "sharpe", "sortino"):
+        best, kept = -np.inf, None
+        for i in range(18):
+            t = round(0.05 + 0.05 * i, 10)
+            chosen = p > t
+            if metric == "f1":
+                score = 2 * (chosen & (y == 1)).sum() / max(chosen.sum() + y.sum(), 1)
+            else:
+                x = chosen * side * ret
+                down = x.std() if metric == "sharpe" else x[x < 0].std() if (x < 0).any() else 0
+                score = x.mean() / down * (252 * 288) ** 0.5 if down > 1e-12 else 0
+            if score > best + 1e-9:
+                best, kept = score, (t, int(chosen.sum()))
+        got = metrics.threshold_search(df, "g", "p", "r", "s", "y", metric).first()
+        assert (got["threshold"], got["n"], got["score"]) == (*kept, pytest.approx(best))
+
+
+def test_left_join_of_labels(spark):
+    x = spark.createDataFrame([("a", 1, 5.0), ("b", 2, 6.0)], "symbol string, time int, v double")
+    y = spark.createDataFrame([("a", 1, 9.0, 3), ("c", 1, 9.0, 4)], "symbol string, time int, v double, label int")
+    out = align.with_labels(x, y)
+    assert out.columns == ["symbol", "time", "v", "label"] and sorted(map(tuple, out.collect())) == [("a", 1, 5.0, 3), ("b", 2, 6.0, None)]
+
+
 def test_first_touch_in_chunks(bars):
     df = bars.withColumn("pt_dist", F.lit(15.0)).withColumn("sl_dist", F.lit(10.0))
     columns = ("long_hit_1R_h12", "short_hit_1R_h12", "long_hit_2R_h30")
@@ -295,17 +367,25 @@ def test_models_have_their_settings(spark, bars):
     assert folds.filter("split = 0 AND role = 'train'").count() == 0 and folds.filter("split = 2 AND role = 'train'").count() > 0
 
 
-def test_data_set_is_features_with_labels(bars, table):
+def test_data_set_is_features_with_labels(spark, bars, table):
     from tidemark.plans import master
 
-    got = master.data_set(bars, window=30, every=4, horizon=20, pt=1.5, sl=1.0).toPandas()
+    got = master.data_set(bars, window=30, every=4, pt=1.5, sl=1.0, work=ST.work_folder(spark, "data-set")).toPandas()
+    assert set(got.columns) > {"ema_20", "atr_14", "cusum_event_rate_w1440", "sadf_log_tstat", "fractal_dim_60", "returns_skew_rolling"} and len(got.columns) > 75
     scans = labels.strong_trends(labels.trend_scan(bars, 30, every=4)).toPandas().set_index(["symbol", "time"])
-    vol = by_symbol(recursive.daily_volatility(labels.daily_change(bars)), "daily_vol")
-    assert len(got) == len(scans) - sum(t["time"].iloc[-1] == at for (k, at) in scans.index for t in [table[k]])
-    for _, x in got.iterrows():
-        t = table[x["symbol"]]
-        i = int(t.index[t["time"] == x["time"]][0])
-        assert x["side"] == scans.loc[(x["symbol"], x["time"])]["side"] and x["trgt"] == pytest.approx(vol[x["symbol"]]["daily_vol"][i])
-        c = t["close"].to_numpy()
-        ret, at, kind = plain_barriers(c, np.full(len(c), x["side"]), np.where(np.arange(len(c)) == i, x["trgt"], np.nan), 20, 1.5, 1.0)[i]
-        assert (x["ret"], x["t1"]) == (pytest.approx(ret), t["time"][at]) and x["bin"] == (-np.sign(ret) if x["side"] < 0 else kind)
+    vol = by_symbol(recursive.daily_volatility(labels.daily_change(bars), 50), "daily_vol")
+    found, wanted = got.set_index(["symbol", "time"]), 0
+    for (k, at), event in scans.iterrows():
+        t = table[k]
+        i, c, times = int(t.index[t["time"] == at][0]), t["close"].to_numpy(), t["time"]
+        later = [j for j in range(i + 1, len(t)) if times[j] >= at + pd.Timedelta(days=5)]
+        end = later[0] if later else len(t) - 1
+        trgt = vol[k]["daily_vol"][i]
+        path = [((c[j] / c[i] - 1) * event["side"], j) for j in range(i + 1, end + 1)]
+        hit = next(((m, j, 1 if m >= 1.5 * trgt else -1) for m, j in path if m >= 1.5 * trgt or m <= -trgt), (path[-1][0], path[-1][1], 0) if later else None)
+        if hit is None:
+            assert (k, at) not in found.index
+            continue
+        x, wanted = found.loc[(k, at)], wanted + 1
+        assert (x["ret"], x["t1"], x["trgt"], x["side"]) == (pytest.approx(hit[0]), times[hit[1]], pytest.approx(trgt), event["side"]) and x["bin"] == (-np.sign(hit[0]) if x["side"] < 0 else hit[2])
+    assert wanted == len(got) > 20

@@ -312,3 +312,108 @@ def sadf_ends(y: np.ndarray, first: int, least: int, lags: int = 0, constant: bo
         if not np.isnan(t).all():
             out[place[e] - first] = np.nanmax(t)
     return out
+
+
+# kernels along one series --------------------------------------------------------------------------------------------
+
+
+def rolling_moments(x: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Number of known values, mean and sums of the second to fourth powers about it, over the last `width` rows of each row
+    (unknown before there are so many rows). Blocks of `width` rows are added up once from both ends; each window is the
+    end of one block and the start of the next, whose moments merge, so the time does not depend on the width."""
+    n, blocks = len(x), -(-len(x) // width)
+    padded = np.full(blocks * width, np.nan)
+    padded[:n] = x
+    padded = padded.reshape(blocks, width)
+    known = ~np.isnan(padded)
+    centre = np.nanmedian(np.where(known.any(1)[:, None], padded, 0.0), axis=1)[:, None]  # near most values, whatever the outliers
+    d = np.where(known, padded - centre, 0.0)
+    powers = [known.astype(float), d, d * d, d**3, d**4]
+
+    def central(sums: list[np.ndarray]) -> list[np.ndarray]:
+        count, s1, s2, s3, s4 = sums
+        m = s1 / np.maximum(count, 1)
+        return [count, centre + m, s2 - count * m * m, s3 - 3 * m * s2 + 2 * count * m**3, s4 - 4 * m * s3 + 6 * m * m * s2 - 3 * count * m**4]
+
+    starts = [v.ravel() for v in central([p.cumsum(1) for p in powers])]
+    ends = [v.ravel() for v in central([p[:, ::-1].cumsum(1)[:, ::-1] for p in powers])]
+    at = np.arange(width - 1, n)
+    first = at - width + 1
+    whole = first % width == 0  # a block of its own
+    a, b = [v[first] for v in ends], [np.where(whole, 0.0, v[at]) for v in starts]
+    total = a[0] + b[0]
+    with np.errstate(all="ignore"):
+        gap = np.where((a[0] > 0) & (b[0] > 0), b[1] - a[1], 0.0)
+        share = gap / np.maximum(total, 1)
+        mean = np.where(a[0] > 0, a[1] + share * b[0], b[1])
+        second = a[2] + b[2] + gap * share * a[0] * b[0]
+        third = a[3] + b[3] + gap * share * share * a[0] * b[0] * (a[0] - b[0]) + 3 * share * (a[0] * b[2] - b[0] * a[2])
+        fourth = a[4] + b[4] + gap * share**3 * a[0] * b[0] * (a[0] ** 2 - a[0] * b[0] + b[0] ** 2) + 6 * share**2 * (a[0] ** 2 * b[2] + b[0] ** 2 * a[2]) + 4 * share * (a[0] * b[3] - b[0] * a[3])
+    return tuple(np.concatenate([np.full(min(width - 1, n), np.nan), v]) for v in (total, mean, second, third, fourth))
+
+
+def skewness_kurtosis(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bias-corrected skewness and excess kurtosis of full windows; unknown where all values of one are equal."""
+    n, _, second, third, fourth = rolling_moments(x, width)
+    row = np.arange(len(x))
+    equal_since = np.maximum.accumulate(np.where(np.append(True, x[1:] != x[:-1])[: len(x)], row, 0)) if len(x) else row
+    with np.errstate(all="ignore"):
+        ready = (n == width) & (second > 0) & (row - equal_since + 1 < width)
+        skew = np.where(ready, width**0.5 * third / second**1.5 * (width * (width - 1)) ** 0.5 / (width - 2), np.nan)
+        excess = width * fourth / second**2 - 3
+        kurtosis = np.where(ready, ((width + 1) * excess + 6) * (width - 1) / ((width - 2) * (width - 3)), np.nan)
+    return skew, kurtosis
+
+
+class FirstOver:
+    """Finds, for every row, how many rows later a series first reaches a level: blocks of 2, 4, 8 ... rows know their
+    maxima, and all rows climb and descend this tree at once, so no row looks at its path."""
+
+    def __init__(self, x: np.ndarray):
+        self.n, self.maxima, self.starts = len(x), [np.where(np.isnan(x), -np.inf, x)], [0]
+        while len(self.maxima[-1]) > 1:
+            last = self.maxima[-1]
+            last = np.append(last, -np.inf) if len(last) % 2 else last
+            self.maxima.append(np.maximum(last[::2], last[1::2]))
+        self.flat = np.concatenate([np.append(m, -np.inf) for m in self.maxima])
+        sizes = [len(m) + 1 for m in self.maxima]
+        self.starts, self.sizes = np.cumsum([0, *sizes[:-1]]), np.array(sizes) - 1
+
+    def after(self, level: np.ndarray, most: int) -> np.ndarray:
+        """Rows from each row to the first later one at or over its level; 0 where none of the next `most` is, or the level
+        is unknown."""
+        out = np.zeros(self.n, np.int64)
+        row = np.flatnonzero(~np.isnan(level))
+        depth, block = np.zeros(len(row), np.int64), row + 1
+        while len(row):
+            inside = (block < self.sizes[depth]) & ((block << depth) - row <= most)
+            row, depth, block = row[inside], depth[inside], block[inside]
+            hit = self.flat[self.starts[depth] + block] >= level[row]
+            done = hit & (depth == 0)
+            out[row[done]] = block[done] - row[done]
+            up = ~hit & (block % 2 == 1) & (depth + 1 < len(self.sizes))
+            block = np.where(hit, block * 2, np.where(up, (block + 1) >> 1, block + 1))
+            depth = np.where(hit, depth - 1, np.where(up, depth + 1, depth))
+            row, depth, block = row[~done], depth[~done], block[~done]
+        return np.where(out > most, 0, out)
+
+
+def trend_scans(y: np.ndarray, at: np.ndarray, window: int, least: int, step: int, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of the windows of y from rows `at` on: the length (the shortest of equals) whose slope has the largest |t|, and t.
+    Running sums of each event's own window, centred at its first value, give the fits of all its lengths."""
+    n = np.arange(least, window, step)
+    lengths, scores = np.zeros(len(at), np.int64), np.full(len(at), np.nan)
+    skk, sk, k = n * (n * n - 1.0) / 12, n * (n - 1) / 2, np.arange(window)
+    for a in range(0, len(at), 2048):
+        rows = at[a : a + 2048]
+        path = np.lib.stride_tricks.sliding_window_view(y, window)[rows]
+        path = path - path[:, :1]
+        sy, syy, sky = (v.cumsum(1)[:, n - 1] for v in (path, path * path, k * path))
+        covary, vary = sky - sk * sy / n, syy - sy * sy / n
+        slope = covary / skk
+        with np.errstate(all="ignore"):
+            t = slope / (np.sqrt(np.maximum(vary - slope * covary, 0) / (n - 2) / skk) + epsilon)
+        size = np.where(np.isnan(t), -1, np.abs(t))
+        best = size.argmax(1)
+        lengths[a : a + 2048], scores[a : a + 2048] = n[best], t[np.arange(len(rows)), best]
+    return lengths, scores

@@ -62,6 +62,14 @@ def fill_forward(x: Column, part: Sequence[str] = PART) -> Column:
     return F.last(x, ignorenulls=True).over(order(part).rowsBetween(W.unboundedPreceding, 0))
 
 
+def running_product(x: Column, part: Sequence[str] = PART) -> Column:
+    """Product of the values so far, of any sign: their sizes are added up as logarithms, a zero makes all that follows zero."""
+    frame = order(part).rowsBetween(W.unboundedPreceding, 0)
+    size = F.exp(F.coalesce(F.sum(F.ln(F.nullif(F.abs(x), F.lit(0.0)))).over(frame), F.lit(0.0)))
+    sign = F.when(F.sum((x < 0).cast("int")).over(frame) % 2 == 1, -size).otherwise(size)
+    return F.when(F.max((x == 0).cast("int")).over(frame) == 1, 0.0).otherwise(sign)
+
+
 def row_numbers(df: DataFrame, part: Sequence[str] = PART, name: str = "rn") -> DataFrame:
     """Numbers the rows of each series from 1 in the order of time, by counts of days and then within each day, so that
     no task needs a whole series. A column of that name is taken to be the numbers already."""

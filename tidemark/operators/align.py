@@ -61,6 +61,11 @@ def common_rows(first: DataFrame, *others: DataFrame, key: Sequence[str] = ("sym
     return first
 
 
+def with_labels(first: DataFrame, labels: DataFrame, key: Sequence[str] = ("symbol", "time")) -> DataFrame:
+    """All rows of first with the columns of labels that it does not have itself; null where labels have no such row."""
+    return first.join(labels.select(*key, *(c for c in labels.columns if c not in first.columns)), list(key), "left")
+
+
 def event_flag(df: DataFrame, events: DataFrame, name: str, key: Sequence[str] = ("symbol", "time")) -> DataFrame:
     marked = events.select(*key).distinct().withColumn(name, F.lit(1))
     return df.join(marked, list(key), "left").withColumn(name, F.coalesce(name, F.lit(0)))

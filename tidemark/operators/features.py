@@ -49,20 +49,25 @@ def microstructure(df: DataFrame, part: Part = PART) -> DataFrame:
     return out.withColumns({"tick_volume_ratio": F.lit(1.0), "order_flow_imbalance": F.lit(0.0)})
 
 
-def skewness(x: Column, n: int, part: Part = PART) -> Column:
-    """Bias-corrected, over full frames of n."""
-    return rolling(F.skewness, x, n, None, part) * F.lit((n * (n - 1)) ** 0.5 / (n - 2))
+def moments(df: DataFrame, value: Column, n: int, skew: str, kurtosis: str, part: Part = PART) -> DataFrame:
+    """Adds bias-corrected skewness and excess kurtosis over full frames of n, null where all values of a frame are equal.
+    Blocks of n rows are added up once and merged in pairs, as Spark's own functions begin anew for each frame."""
+    out = df.withColumn("_m", value.cast("double"))
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), f"`{skew}` double", f"`{kurtosis}` double"])
 
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("time", kind="stable")
+        first, second = K.skewness_kurtosis(rows["_m"].to_numpy(float), n)
+        return rows.drop(columns="_m").assign(**{skew: first, kurtosis: second})
 
-def excess_kurtosis(x: Column, n: int, part: Part = PART) -> Column:
-    """Bias-corrected, over full frames of n."""
-    return ((n + 1) * rolling(F.kurtosis, x, n, None, part) + 6) * F.lit((n - 1) / ((n - 2) * (n - 3)))
+    out = out.groupBy(*part).applyInPandas(run, schema)
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in (skew, kurtosis)})
 
 
 def distribution(df: DataFrame, n: int = 100, long: int = 200, part: Part = PART) -> DataFrame:
     """Rolling skew and kurtosis of returns, and how often they breach value at risk and three deviations."""
     out = df.withColumn("_r", pct_change("close", 1, part))
-    out = out.withColumn("returns_skew_rolling", skewness(F.col("_r"), n, part)).withColumn("returns_kurt_rolling", excess_kurtosis(F.col("_r"), n, part))
+    out = moments(out, F.col("_r"), n, "returns_skew_rolling", "returns_kurt_rolling", part)
     out = out.withColumn("_s", std(F.col("_r"), n, None, part)).withColumn("var_breach", flag(F.col("_r") < -1.65 * F.col("_s")))
     out = out.withColumn("_x", flag(F.abs("_r") > 3 * F.col("_s")))
     out = out.withColumn("var_breach_frequency", mean(F.col("var_breach"), long, None, part)).withColumn("extreme_move_frequency", mean(F.col("_x"), long, None, part))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalars import pip_value
-from tidemark.functions.windows import PART, fill_forward, in_chunks, next_rows, order, pct_change, row_numbers, std
+from tidemark.functions import kernels as K
+from tidemark.functions.windows import PART, fill_forward, in_chunks, order, pct_change, row_numbers, std
 from tidemark.operators.align import as_of
 
 
@@ -25,64 +26,76 @@ def first_touch(df: DataFrame, horizons: Sequence[int], multiples: Sequence[floa
     """long_hit_{m}R_h{h} and short_hit_{m}R_h{h}: 1 where the target is touched within h bars and the stop not before it.
 
     df needs pt_dist and sl_dist. A bar that touches both counts as the tie argument says: target or stop. Rows with fewer
-    than h later bars are 0. One forward frame of the longest horizon serves all pairs; `part` names the series or, with
-    windows.in_chunks, its chunks.
+    than h later bars are 0. A tree of block maxima (and minima) serves all levels and horizons: a row climbs it to the
+    first block that reaches its level and descends to the bar, so no row carries its path and the time grows with the
+    logarithm of the horizon. `part` names the series or, with windows.in_chunks, its chunks.
     """
     spread = F.lit(spread) if isinstance(spread, float) else spread
-    most = max(horizons)
-    out = df.withColumn("_path", F.collect_list(F.struct("high", "low")).over(next_rows(most, part)))
-    above = lambda level: F.array_position(F.transform("_path", lambda b: b["high"] >= level), True)
-    below = lambda level: F.array_position(F.transform("_path", lambda b: b["low"] <= level), True)
-    out = out.withColumn("_stop_l", below(F.col("close") - F.col("sl_dist"))).withColumn("_stop_s", above(F.col("close") + F.col("sl_dist")))
-    columns: dict[str, Column] = {}
-    for m in multiples:
+    most, close = max(horizons), F.col("close")
+    levels = {"_stop_l": close - F.col("sl_dist"), "_stop_s": close + F.col("sl_dist")}
+    for i, m in enumerate(multiples):
         reach = F.col("pt_dist") * m + spread
-        name = f"{m:g}R"
-        out = out.withColumn("_target_l", above(F.col("close") + reach)).withColumn("_target_s", below(F.col("close") - reach))
-        for h in horizons:
+        levels |= {f"_target_l{i}": close + reach, f"_target_s{i}": close - reach}
+    names = [f"{side}_hit_{m:g}R_h{h}" for m in multiples for h in horizons for side in ("long", "short")]
+    given, searched = df.columns, list(levels)
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), *(f"`{c}` byte" for c in names)])
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("time", kind="stable")
+        value = lambda c: rows[c].to_numpy(float)
+        over, under = K.FirstOver(value("high")), K.FirstOver(-value("low"))
+        after = {c: under.after(-value(c), most) if c == "_stop_l" or c.startswith("_target_s") else over.after(value(c), most) for c in searched}
+        known = {side: ~np.isnan(value(f"_stop_{side}")) for side in "ls"}
+        left = len(rows) - 1 - np.arange(len(rows))
+        found = {}
+        for i, m in enumerate(multiples):
             for side, tie in (("long", tie_long), ("short", tie_short)):
-                target, stop = F.col(f"_target_{side[0]}"), F.col(f"_stop_{side[0]}")
-                before = target <= stop if tie == "target" else target < stop
-                hit = target.between(1, h) & ((stop == 0) | before) & (F.size("_path") >= h)
-                columns[f"{side}_hit_{name}_h{h}"] = F.coalesce(hit, F.lit(False)).cast("byte")
-        out = out.withColumns(columns).drop("_target_l", "_target_s")
-        columns = {}
-    return out.drop("_path", "_stop_l", "_stop_s")
+                target, stop = after[f"_target_{side[0]}{i}"], after[f"_stop_{side[0]}"]
+                first = known[side[0]] & (target > 0) & ((stop == 0) | ((target <= stop) if tie == "target" else (target < stop)))
+                for h in horizons:
+                    found[f"{side}_hit_{m:g}R_h{h}"] = (first & (target <= h) & (left >= h)).astype(np.int8)
+        return rows[given].assign(**found)
+
+    return df.withColumns(levels).groupBy(*part).applyInPandas(run, schema)
 
 
 def sample_weights(df: DataFrame) -> DataFrame:
     return df.withColumn("weight", F.lit(1.0))
 
 
-def trend_scan(df: DataFrame, window: int = 60, least: int = 5, step: int = 1, every: int = 12, epsilon: float = 1e-8) -> DataFrame:
+def trend_scan(df: DataFrame, window: int = 60, least: int = 5, step: int = 1, every: int = 12, epsilon: float = 1e-8, rows: int = 50_000) -> DataFrame:
     """For every `every`-th bar with `window` bars from it on: the length whose least-squares slope has the largest |t| (the
     shortest of equals), its end t1, t_value, ret over it and bin, the sign.
 
-    Each event carries its own window of closes, so nothing is joined; running sums of the centred closes give every
-    length's slope and error. A first close of 0 leaves ret unknown.
+    Series are cut into chunks of `rows` bars, each with the bars that its last events still need; only events get the
+    running sums of their window, and nothing but them leaves the chunk. A first close of 0 leaves ret unknown.
     """
-    frame = order().rowsBetween(0, window - 1)
-    rows = df.withColumn("_i", F.row_number().over(order()) - 1)
-    rows = rows.withColumn("_path", F.collect_list(F.struct("time", "close")).over(frame)).filter((F.col("_i") % every == 0) & (F.size("_path") == window))
-    points = rows.select("symbol", "time", "close", F.posexplode("_path").alias("k", "p"))
-    points = points.select("symbol", "time", F.col("close").alias("first"), "k", F.col("p.time").alias("end"), F.col("p.close").alias("last"), (F.col("p.close") - F.col("close")).alias("y"))
-    w = W.partitionBy("symbol", "time").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
-    n = (F.col("k") + 1).cast("double")
-    sums = points.withColumn("sy", F.sum("y").over(w)).withColumn("syy", F.sum(F.col("y") * F.col("y")).over(w)).withColumn("sky", F.sum(F.col("k") * F.col("y")).over(w))
-    skk, sk = n * (n * n - 1) / 12, n * (n - 1) / 2
-    covary, vary = F.col("sky") - sk * F.col("sy") / n, F.col("syy") - F.col("sy") * F.col("sy") / n
-    slope = covary / skk
-    error = F.sqrt(F.greatest(vary - slope * covary, F.lit(0.0)) / (n - 2) / skk)
-    chosen = sums.filter((F.col("k") + 1 >= least) & (F.col("k") + 1 < window) & ((F.col("k") + 1 - least) % step == 0))
-    scored = chosen.withColumn("t", slope / (error + epsilon))
-    best = scored.groupBy("symbol", "time").agg(F.max_by(F.struct("end", "t", "last", "first", "k"), F.struct(F.abs("t").alias("a"), (-F.col("k")).alias("n"))).alias("b"))
-    return best.select("symbol", "time", F.col("b.end").alias("t1"), (F.col("b.k") + 1).alias("length"), F.col("b.t").alias("t_value"), (F.try_divide("b.last", "b.first") - 1).alias("ret"), F.signum("b.t").cast("int").alias("bin"))
+    rows = max(rows, window)
+    numbered = row_numbers(df.select("symbol", "time", F.col("close").cast("double").alias("close")))
+    own, place = F.floor((F.col("rn") - 1) / rows), (F.col("rn") - 1) % rows
+    also = F.array_compact(F.array(own, F.when((place < window - 1) & (own > 0), own - 1)))
+    spread = numbered.withColumn("_own", own).withColumn("_chunk", F.explode(also))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("rn")
+        close, mine = part["close"].to_numpy(float), (part["_own"] == part["_chunk"]).to_numpy()
+        at = np.flatnonzero(mine & ((part["rn"].to_numpy() - 1) % every == 0))
+        at = at[at + window <= len(part)]
+        lengths, t = K.trend_scans(close, at, window, least, step, epsilon) if len(at) else (at, np.zeros(0))
+        at, lengths, t = at[~np.isnan(t)], lengths[~np.isnan(t)], t[~np.isnan(t)]
+        end, first = at + lengths - 1, close[at]
+        with np.errstate(all="ignore"):
+            ret = np.where(first != 0, close[end] / first - 1, np.nan)
+        return pd.DataFrame({"symbol": part["symbol"].to_numpy()[at], "time": part["time"].to_numpy()[at], "t1": part["time"].to_numpy()[end], "length": lengths, "t_value": t, "ret": ret, "bin": np.sign(t).astype(np.int32)})
+
+    out = spread.groupBy("symbol", "_chunk").applyInPandas(run, "symbol string, time timestamp, t1 timestamp, length int, t_value double, ret double, bin int")
+    return out.withColumn("ret", F.when(~F.isnan("ret"), F.col("ret")))
 
 
 def strong_trends(scans: DataFrame, quantile: float = 0.8) -> DataFrame:
-    """Events whose |t| is at or over the quantile of all, with side, the sign of t."""
+    """Events whose |t| is over the quantile of all, with side, the sign of t."""
     level = scans.groupBy("symbol").agg(F.percentile(F.abs("t_value"), quantile).alias("_level"))
-    return scans.join(level, "symbol").filter(F.abs("t_value") >= F.col("_level")).withColumn("side", F.signum("t_value").cast("int")).drop("_level")
+    return scans.join(level, "symbol").filter(F.abs("t_value") > F.col("_level")).withColumn("side", F.signum("t_value").cast("int")).drop("_level")
 
 
 def vertical_barrier(df: DataFrame, bars: DataFrame, wait: str = "INTERVAL 5 DAYS", days: int | None = None) -> DataFrame:
@@ -126,18 +139,40 @@ def barrier_labels(df: DataFrame, horizon: int, pt: float, sl: float, event: Col
     return chosen.drop("t1", "ret", "bin").join(found, ["symbol", "_chunk", "rn"]).select(*(c for c in df.columns if c not in ("t1", "ret", "bin")), "_end.*")
 
 
+def barrier_labels_by_time(df: DataFrame, pt: float, sl: float, end: str = "vertical", event: Column | None = None, days: int = 1) -> DataFrame:
+    """barrier_labels whose paths end at a time of their own, the column `end` (included), however many bars that is. Where
+    end is null, the path goes on to the last bar, and only events that it touches are returned.
+
+    An interval join: events meet the bars of the spans of `days` days that their path reaches into, so that a series is
+    many tasks and no row carries its path.
+    """
+    span = lambda at: F.floor(F.unix_seconds(at) / (86400 * days))
+    chosen = df.filter(F.lit(True) if event is None else event)
+    last = df.groupBy("symbol").agg(F.max("time").alias("_last"))
+    events = chosen.join(last, "symbol").select("symbol", F.col("time").alias("_from"), F.col(end).alias("_end"), F.coalesce(end, "_last").alias("_until"), F.col("close").alias("_first"), "side", "trgt")
+    events = events.withColumn("_span", F.explode(F.sequence(span(F.col("_from")), span(F.col("_until")))))
+    path = df.select("symbol", span(F.col("time")).alias("_span"), F.col("time").alias("t1"), F.col("close").alias("_close"))
+    met = events.join(path, ["symbol", "_span"]).filter((F.col("t1") > F.col("_from")) & (F.col("t1") <= F.col("_until")))
+    met = met.withColumn("ret", (F.try_divide("_close", "_first") - 1) * F.col("side"))
+    met = met.withColumn("bin", F.when(F.col("ret") >= pt * F.col("trgt"), 1).when(F.col("ret") <= -sl * F.col("trgt"), -1).otherwise(0))
+    found = F.struct("t1", "ret", "bin")
+    first, final = F.min_by(found, F.when(F.col("bin") != 0, F.col("t1"))), F.max_by(found, F.when(F.col("_end").isNotNull(), F.col("t1")))
+    ends = met.groupBy("symbol", F.col("_from").alias("time")).agg(F.coalesce(first, final).alias("_found")).filter("_found IS NOT NULL")
+    return chosen.drop("t1", "ret", "bin").join(ends, ["symbol", "time"]).select(*(c for c in df.columns if c not in ("t1", "ret", "bin")), "_found.*")
+
+
 def short_recode(df: DataFrame) -> DataFrame:
     """Three classes for short events by the sign of ret: -1 for gains, 1 for losses."""
     return df.withColumn("bin", F.when(F.col("side") < 0, -F.signum("ret").cast("int")).otherwise(F.col("bin")))
 
 
-def dynamic_labels(df: DataFrame, horizons: Sequence[int], ratios: Sequence[float], atr: str = "atr", scale: float = 2.0, pips: float = 2.0, rows: int = 100_000) -> DataFrame:
-    """first_touch with stops of `scale` times the column `atr`, targets at ratios of the stop plus `pips`, and targets looked
-    at first on both sides; rows without atr are dropped first. t1: the time of the longest horizon, and at the end of a
+def dynamic_labels(df: DataFrame, horizons: Sequence[int], ratios: Sequence[float], atr: str = "atr", scale: float = 2.0, pips: float = 2.0, pip: float = 0.0001, rows: int = 100_000) -> DataFrame:
+    """first_touch with stops of `scale` times the column `atr`, targets at ratios of the stop plus `pips` of size `pip`, and
+    targets looked at first on both sides; rows without atr are dropped first. t1: the time of the longest horizon, and at the end of a
     series the last one known."""
     distance = scale * F.col(atr)
     out = df.filter(F.col(atr).isNotNull()).withColumn("pt_dist", distance).withColumn("sl_dist", distance)
-    cost = pips * pip_value(F.col("symbol"))
+    cost = F.lit(pips * pip)
     most = max(horizons)
     touched = in_chunks(out, lambda x, part: first_touch(x, horizons, ratios, cost, "target", "target", part), ahead=most, rows=max(rows, 2 * most)).drop("pt_dist", "sl_dist")
     t1 = touched.withColumn("_t1", F.lead("time", most).over(order()))
@@ -149,32 +184,39 @@ def plain(multiple: float) -> str:
     return f"{multiple:g}".replace(".", "_")
 
 
-def barrier_hits(df: DataFrame, horizon: int, multiples: Sequence[float], stop: float, sides: Sequence[int] = (1, -1)) -> DataFrame:
+def barrier_hits(df: DataFrame, horizon: int, multiples: Sequence[float], stop: float, sides: Sequence[int] = (1, -1), wait: str | None = None) -> DataFrame:
     """df (trgt) with long_hit_rr{m} and short_hit_rr{m} (m as 1_5 for 1.5): 1 where barrier_labels of a trade on that side wins; t1 is that of the
-    last multiple's long trade. Rows without a later bar or trgt are 0."""
+    last multiple's long trade. Rows without a later bar or trgt are 0. wait: trades last for that interval, to the first bar
+    at or after it, and not for `horizon` bars."""
+    df = df if wait is None else vertical_barrier(df, df, wait)
     out = df
     for m in multiples:
         for side in sides:
             name = f"{'long' if side > 0 else 'short'}_hit_rr{plain(m)}"
-            found = barrier_labels(df.withColumn("side", F.lit(side)), horizon, m, stop, F.col("trgt").isNotNull())
+            found = _barriers(df.withColumn("side", F.lit(side)), horizon, m, stop, F.col("trgt").isNotNull(), wait)
             ends = [F.col("t1")] if (m, side) == (multiples[-1], sides[0]) else []
             found = found.select("symbol", "time", (F.col("bin") == 1).cast("int").alias(name), *ends)
             out = out.join(found, ["symbol", "time"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    return out
+    return out if wait is None else out.drop("vertical")
+
+
+def _barriers(df: DataFrame, horizon: int, pt: float, sl: float, event: Column, wait: str | None) -> DataFrame:
+    return barrier_labels(df, horizon, pt, sl, event) if wait is None else barrier_labels_by_time(df, pt, sl, "vertical", event)
 
 
-def trend_meta_labels(df: DataFrame, horizon: int, multiples: Sequence[float], stop: float, window: int = 20, limit: float = 2.0) -> DataFrame:
+def trend_meta_labels(df: DataFrame, horizon: int, multiples: Sequence[float], stop: float, window: int = 20, limit: float = 2.0, wait: str | None = None) -> DataFrame:
     """df (trgt) with side, the sign of trends whose |t| is over the limit (else null), and meta_rr{m}: 1 where barrier_labels
-    of that side wins, else 0."""
+    of that side wins, else 0. wait: trades last for that interval, as in barrier_hits, and its end is the column t1."""
+    df = df if wait is None else vertical_barrier(df, df, wait)
     sides = trend_scan(df, window, every=1).filter(F.abs("t_value") > limit).select("symbol", "time", F.signum("t_value").cast("int").alias("side"))
     out = df.join(sides, ["symbol", "time"], "left")
     marked = out
     for m in multiples:
-        found = barrier_labels(marked, horizon, m, stop, F.col("side").isNotNull() & F.col("trgt").isNotNull())
+        found = _barriers(marked, horizon, m, stop, F.col("side").isNotNull() & F.col("trgt").isNotNull(), wait)
         name = f"meta_rr{plain(m)}"
         found = found.select("symbol", "time", (F.col("bin") == 1).cast("int").alias(name))
         out = out.join(found, ["symbol", "time"], "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    return out
+    return out if wait is None else out.withColumnRenamed("vertical", "t1")
 
 
 def meta_features(df: DataFrame, probabilities: Sequence[str], more: Sequence[str] = (), key: Sequence[str] = ("symbol", "time")) -> DataFrame:

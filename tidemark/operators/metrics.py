@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.functions.windows import order
+from tidemark.functions.windows import order, running_product
 
 
 def _ratio(top: Column, bottom: Column, at_zero: Column) -> Column:
@@ -35,10 +35,10 @@ def trade_metrics(trades: DataFrame) -> DataFrame:
 
 
 def signal_backtest(df: DataFrame, periods: int = 252 * 288) -> DataFrame:
-    """df (side, ret): position is the signal of the bar before; strategy returns and the equity they compound to."""
+    """df (side, ret): position is the signal of the bar before; strategy returns and the equity they compound to, which losses
+    of more than all turn negative."""
     out = df.withColumn("position", F.coalesce(F.lag("side").over(order()), F.lit(0))).withColumn("strategy_ret", F.col("position") * F.coalesce("ret", F.lit(0.0)))
-    growth = F.when(1 + F.col("strategy_ret") > 0, F.ln(1 + F.col("strategy_ret")))
-    return out.withColumn("equity", F.exp(F.sum(growth).over(order().rowsBetween(W.unboundedPreceding, 0))))
+    return out.withColumn("equity", running_product(1 + F.col("strategy_ret")))
 
 
 def objective(metrics: DataFrame, legacy: bool = False) -> DataFrame:
@@ -59,17 +59,52 @@ def sharpe_score(df: DataFrame, by: str, value: str, periods: int = 252) -> Data
     return out.withColumn("sharpe_clipped", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("sharpe") + 1) / 4))).withColumn("sharpe_squashed", (F.tanh(F.col("sharpe") / 2) + 1) / 2).drop("m", "s", "d")
 
 
-def threshold_search(df: DataFrame, by: str, proba: str, ret: str, start: float = 0.05, stop: float = 0.90, step: float = 0.05) -> DataFrame:
-    """The smallest threshold with the best mean return over deviation of the rows whose probability reaches it. Each row is
-    expanded to the thresholds that it reaches, and sums are pre-aggregated."""
-    n = round((stop - start) / step)
-    levels = F.array(*(F.lit(round(start + i * step, 10)) for i in range(n + 1)))
-    rows = df.select(by, F.col(ret).alias("r"), F.explode(F.filter(levels, lambda t: t <= F.col(proba))).alias("threshold"))
-    scores = rows.groupBy(by, "threshold").agg(F.coalesce(F.try_divide(F.avg("r"), F.nullif(F.stddev_pop("r"), F.lit(0.0))), F.lit(0.0)).alias("score"), F.count(F.lit(1)).alias("n"))
-    best = scores.groupBy(by).agg(F.max_by(F.struct("threshold", "score", "n"), F.struct(F.round("score", 9).alias("s"), (-F.col("threshold")).alias("t"))).alias("b"))
+def threshold_search(df: DataFrame, by: str, proba: str, ret: str | None = None, side: str | None = None, label: str | None = None, metric: str = "f1", periods: int = 252 * 288, start: float = 0.05, stop: float = 0.90, step: float = 0.05) -> DataFrame:
+    """The smallest threshold with the best score of the rows whose probability is over it: its score and how many rows those are.
+
+    metric f1 compares them with the 0/1 column `label`. sharpe and sortino take `ret` times `side` (1 if not given) of
+    these rows, and 0 of all others: the mean of all rows over the population deviation of all, or of the losses, times
+    the root of periods; 0 where there is none. Rows are added up by how many thresholds they are over, and the sums of
+    those cells from the top down give every threshold's score, so no row is expanded.
+    """
+    n = round((stop - start) / step) + 1
+    levels = [round(start + i * step, 10) for i in range(n)]
+    x = F.lit(0.0) if ret is None else F.coalesce(F.col(ret) * (F.lit(1) if side is None else F.col(side)), F.lit(0.0)).cast("double")
+    hit = F.lit(0) if label is None else F.coalesce((F.col(label) == 1).cast("int"), F.lit(0))
+    rows = df.select(by, F.size(F.filter(F.array(*map(F.lit, levels)), lambda t: t < F.col(proba))).alias("cell"), x.alias("x"), hit.alias("hit"))
+    loss = F.when(F.col("x") < 0, F.col("x"))
+    zero = F.lit(0.0)
+    sums = {"n": F.count(F.lit(1)).cast("double"), "hits": F.sum("hit").cast("double"), "x1": F.sum("x"), "x2": F.sum(F.col("x") * F.col("x")), "d0": F.count(loss).cast("double"), "d1": F.coalesce(F.sum(loss), zero), "d2": F.coalesce(F.sum(loss * loss), zero)}
+    cells = rows.groupBy(by, "cell").agg(*(v.alias(k) for k, v in sums.items()))
+    whole = cells.groupBy(by).agg(F.collect_list(F.struct("cell", *sums)).alias("cells"), F.sum("n").alias("all"), F.sum("hits").alias("true"))  # at most n + 1 cells
+    tried = whole.select(by, "cells", "all", "true", F.posexplode(F.array(*map(F.lit, levels))).alias("i", "threshold"))
+    above = lambda k: F.aggregate(F.filter("cells", lambda c: c["cell"] > F.col("i")), F.lit(0.0), lambda a, c: a + c[k])
+    tried = tried.select(by, "all", "true", "threshold", *(above(k).alias(k) for k in sums))
+
+    def deviation(count: Column, first: Column, second: Column) -> Column:
+        spread = F.try_divide(second, count) - F.pow(F.try_divide(first, count), 2)
+        return F.when(spread > 1e-14 * F.try_divide(second, count), F.sqrt(spread))
+
+    mean = F.col("x1") / F.col("all")
+    root = F.lit(periods**0.5)
+    scores = {
+        "f1": F.try_divide(2 * F.col("hits"), F.nullif(F.col("n") + F.col("true"), zero)),
+        "sharpe": root * mean / deviation(F.col("all"), F.col("x1"), F.col("x2")),
+        "sortino": root * mean / deviation(F.col("d0"), F.col("d1"), F.col("d2")),
+    }
+    scored = tried.withColumn("score", F.coalesce(scores[metric], zero))
+    best = scored.groupBy(by).agg(F.max_by(F.struct("threshold", "score", F.col("n").cast("long").alias("n")), F.struct(F.round("score", 9).alias("s"), (-F.col("threshold")).alias("t"))).alias("b"))
     return best.select(by, "b.threshold", "b.score", "b.n")
 
 
+def binary_scores(df: DataFrame, by: str, truth: str, guess: str) -> DataFrame:
+    """Accuracy, precision, recall and F1 per group of 0/1 guesses, where any label but 0 is a hit; 0 where there is none."""
+    t, g = F.col(truth) != 0, F.col(guess) == 1
+    stats = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg((t == g).cast("double")).alias("accuracy"), F.count_if(t & g).alias("tp"), F.count_if(g).alias("claimed"), F.count_if(t).alias("real"))
+    share = lambda a, b: F.coalesce(F.try_divide(a, F.nullif(b, F.lit(0))), F.lit(0.0))
+    return stats.select(by, "n", "accuracy", share(F.col("tp"), F.col("claimed")).alias("precision"), share(F.col("tp"), F.col("real")).alias("recall"), share(2 * F.col("tp"), F.col("claimed") + F.col("real")).alias("f1_score"))
+
+
 def classification(df: DataFrame, by: str, truth: str, guess: str) -> DataFrame:
     """Accuracy and weighted precision, recall and F1 per group, from its confusion counts."""
     cells = df.groupBy(by, truth, guess).agg(F.count(F.lit(1)).alias("n"))

@@ -172,6 +172,11 @@ def target_volatility(df: DataFrame, n: int = 100) -> DataFrame:
     return recurrences(out.withColumn("_t", part), {"target_vol": (F.col("_t"), 1 - 1 / n)}).drop("_t", *([] if given else ["rn"]))
 
 
+def average_true_range(df: DataFrame, n: int = 100, name: str = "atr") -> DataFrame:
+    """Exponential mean of the true range with alpha 1 / n, null before n ranges."""
+    return weighted(df.withColumn("_tr", true_range()), {name: F.col("_tr")}, n).drop("_tr")
+
+
 def daily_volatility(df: DataFrame, span: int = 100) -> DataFrame:
     """Exponential deviation (bias-corrected) of day_ret, carried forward, then backward to the start."""
     keep = 1 - 2 / (span + 1)

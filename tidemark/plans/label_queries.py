@@ -13,6 +13,7 @@ from tidemark.operators import labels as L
 from tidemark.operators import metrics as M
 from tidemark.operators import recursive as R
 from tidemark.operators import splits as V
+from tidemark.plans import master
 from tidemark.plans.bar_queries import KEYS, O, full, on_bars
 from tidemark.plans.registry import BARS, H1, register
 from tidemark.sources import bars as B
@@ -49,11 +50,25 @@ SCAN = """scans AS MATERIALIZED (
       FROM numbered q WHERE q.symbol = e.symbol AND q.rn BETWEEN e.rn AND p.rn) p2 ON true
     WHERE (e.rn - 1) % 12 = 0 AND e.rn + 287 <= (SELECT max(rn) FROM numbered z WHERE z.symbol = e.symbol)) GROUP BY ALL)"""
 register("trend_scan", on_bars(L.trend_scan, window=288, every=12), (*KEYS, "t1", "length", "bin"), ("t_value", "ret"), "SELECT symbol, time, b.e AS t1, b.n::INT AS length, sign(b.t)::INT AS bin, b.t AS t_value, b.r AS ret FROM scans", (BARS, RN, SCAN), digits=5)
-register("strong_trends", on_bars(lambda df: L.strong_trends(L.trend_scan(df, window=288, every=12))), (*KEYS, "side"), ("t_value",), "SELECT symbol, time, sign(b.t)::INT AS side, b.t AS t_value FROM scans QUALIFY abs(b.t) >= quantile_cont(abs(b.t), 0.8) OVER (PARTITION BY symbol)", (BARS, RN, SCAN), digits=5)
+register("strong_trends", on_bars(lambda df: L.strong_trends(L.trend_scan(df, window=288, every=12))), (*KEYS, "side"), ("t_value",), "SELECT symbol, time, sign(b.t)::INT AS side, b.t AS t_value FROM scans QUALIFY abs(b.t) > quantile_cont(abs(b.t), 0.8) OVER (PARTITION BY symbol)", (BARS, RN, SCAN), digits=5)
 register("vertical_barrier", on_bars(lambda df: L.vertical_barrier(df.select(*KEYS), df, days=7)), (*KEYS, "vertical"), (), "SELECT a.symbol, a.time, b.time AS vertical FROM (SELECT symbol, time, time + INTERVAL 5 DAY AS due FROM bars) a ASOF LEFT JOIN bars b ON a.symbol = b.symbol AND a.due <= b.time")
 register("daily_change", on_bars(L.daily_change), KEYS, ("day_ret",), "SELECT a.symbol, a.time, a.close / b.close - 1 AS day_ret FROM (SELECT *, time - INTERVAL 1 DAY AS due FROM bars) a ASOF LEFT JOIN bars b ON a.symbol = b.symbol AND a.due >= b.time", (BARS,))
 
 
+LABEL_VIEWS = (BARS, RN, SCAN, """
+days AS MATERIALIZED (SELECT n.*, n.close / nullif(p.close, 0) - 1 AS dr, n.due FROM (SELECT *, time - INTERVAL 1 DAY AS due FROM numbered) n ASOF LEFT JOIN bars p ON n.symbol = p.symbol AND n.due >= p.time),
+spread AS MATERIALIZED (SELECT symbol, rn, time, CASE WHEN c > 1 THEN sqrt(greatest(q / w - pow(x / w, 2), 0) * w * w / (w * w - w2)) END AS v FROM (
+  SELECT a.symbol, a.rn, a.time, count(b.rn) AS c, sum(pow(49 / 51.0, a.rn - b.rn)) AS w, sum(pow(49 / 51.0, 2 * (a.rn - b.rn))) AS w2, sum(pow(49 / 51.0, a.rn - b.rn) * b.dr) AS x, sum(pow(49 / 51.0, a.rn - b.rn) * b.dr * b.dr) AS q
+  FROM days a LEFT JOIN days b ON a.symbol = b.symbol AND b.rn <= a.rn AND b.dr IS NOT NULL GROUP BY ALL)),
+vol50 AS MATERIALIZED (SELECT symbol, time, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY rn), first_value(v IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS trgt FROM spread),
+chosen AS MATERIALIZED (SELECT s.symbol, s.time, sign(s.b.t)::INT AS side, n.close, trgt, s.time + INTERVAL 5 DAY AS due FROM (SELECT * FROM scans QUALIFY abs(b.t) > quantile_cont(abs(b.t), 0.8) OVER (PARTITION BY symbol)) s JOIN numbered n USING (symbol, time) JOIN vol50 USING (symbol, time)),
+bounded AS MATERIALIZED (SELECT c.*, v.time AS stop_at FROM chosen c ASOF LEFT JOIN bars v ON c.symbol = v.symbol AND c.due <= v.time),
+trips AS MATERIALIZED (SELECT c.symbol, c.time, c.side, c.trgt, c.stop_at, p.time AS pt, (p.close / nullif(c.close, 0) - 1) * c.side AS m FROM bounded c JOIN bars p ON c.symbol = p.symbol AND p.time > c.time AND p.time <= coalesce(c.stop_at, TIMESTAMP '2100-01-01')),
+timed_labels AS MATERIALIZED (SELECT symbol, time, side, trgt, coalesce(arg_min(struct_pack(t := pt, m := m, k := k), pt) FILTER (k <> 0), arg_max(struct_pack(t := pt, m := m, k := k), pt) FILTER (stop_at IS NOT NULL)) AS e FROM (
+  SELECT *, CASE WHEN m >= 15 * trgt THEN 1 WHEN m <= -1.5 * trgt THEN -1 ELSE 0 END AS k FROM trips) GROUP BY symbol, time, side, trgt)""")
+register("event_labels", on_bars(lambda df: master.labelled(df)), (*KEYS, "t1", "side", "bin"), ("trgt", "ret"), "SELECT symbol, time, e.t AS t1, side, CASE WHEN side < 0 THEN -sign(e.m)::INT ELSE e.k END AS bin, trgt, e.m AS ret FROM timed_labels WHERE e IS NOT NULL", LABEL_VIEWS)
+
+
 def events_with_side(df):
     scored = X.returns(df).withColumn("trgt", L.std(F.col("ret"), 48)).withColumn("side", F.when(F.col("close") > F.col("open"), 1).otherwise(-1))
     return L.barrier_labels(scored.filter("trgt IS NOT NULL"), 24, 1.5, 1.0)
@@ -80,14 +95,18 @@ def _wins(side: str, up: float) -> str:
     return f"coalesce(min(b.rn) FILTER ({move} >= {up} * a.v) < coalesce(min(b.rn) FILTER ({move} <= -a.v), 1000000000000), false)::INT"
 
 
-register("dynamic_labels", on_bars(lambda df: L.dynamic_labels(R.target_volatility(df).withColumnRenamed("target_vol", "atr"), (12, 24), (1.0, 2.0), rows=1000)), (*KEYS, "t1", *(f"{s}_hit_{m}R_h{h}" for m in (1, 2) for h in (12, 24) for s in ("long", "short"))), (), f"""
+register("dynamic_labels", on_bars(lambda df: L.dynamic_labels(R.average_true_range(df), (12, 24), (1.0, 2.0), rows=1000)), (*KEYS, "t1", *(f"{s}_hit_{m}R_h{h}" for m in (1, 2) for h in (12, 24) for s in ("long", "short"))), (), f"""
 SELECT a.symbol, a.time, last_value(a.t IGNORE NULLS) OVER (PARTITION BY a.symbol ORDER BY a.time) AS t1, {", ".join(f"l{m}_{h} AS long_hit_{m}R_h{h}, s{m}_{h} AS short_hit_{m}R_h{h}" for m in (1, 2) for h in (12, 24))} FROM (
-  SELECT a.symbol, a.time, a.t, {", ".join(f"coalesce(count(*) FILTER (b.rn <= a.rn + {h}) = {h} AND min(b.rn) FILTER (b.rn <= a.rn + {h} AND {hit}) <= coalesce(min(b.rn) FILTER (b.rn <= a.rn + {h} AND {miss}), 1000000000000), false)::TINYINT AS {s}{m}_{h}" for m in (1, 2) for h in (12, 24) for s, hit, miss in (("l", f"b.high >= a.close + ({m} * a.d + 0.02)", "b.low <= a.close - a.d"), ("s", f"b.low <= a.close - ({m} * a.d + 0.02)", "b.high >= a.close + a.d")))}
-  FROM (SELECT n.symbol, n.time, n.rn, n.close, 2 * target_vol AS d, lead(n.time, 24) OVER (PARTITION BY n.symbol ORDER BY n.time) AS t FROM numbered n JOIN vol_rows USING (symbol, time)) a LEFT JOIN numbered b ON a.symbol = b.symbol AND b.rn > a.rn AND b.rn <= a.rn + 24 GROUP BY ALL) a""", (BARS, RN, "ranges AS MATERIALIZED (SELECT *, CASE WHEN rn = 1 THEN high - low ELSE greatest(high - low, abs(high - before), abs(low - before)) END AS tr FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY time) AS before FROM numbered))", "vol_rows AS MATERIALIZED (SELECT a.symbol, a.time, sum(CASE WHEN b.rn = 1 THEN pow(0.99, a.rn - 1) ELSE 0.01 * pow(0.99, a.rn - b.rn) END * b.tr) AS target_vol FROM ranges a JOIN ranges b ON a.symbol = b.symbol AND b.rn <= a.rn GROUP BY ALL)"))
+  SELECT a.symbol, a.time, a.t, {", ".join(f"coalesce(count(*) FILTER (b.rn <= a.rn + {h}) = {h} AND min(b.rn) FILTER (b.rn <= a.rn + {h} AND {hit}) <= coalesce(min(b.rn) FILTER (b.rn <= a.rn + {h} AND {miss}), 1000000000000), false)::TINYINT AS {s}{m}_{h}" for m in (1, 2) for h in (12, 24) for s, hit, miss in (("l", f"b.high >= a.close + ({m} * a.d + 0.0002)", "b.low <= a.close - a.d"), ("s", f"b.low <= a.close - ({m} * a.d + 0.0002)", "b.high >= a.close + a.d")))}
+  FROM (SELECT n.symbol, n.time, n.rn, n.close, 2 * target_vol AS d, lead(n.time, 24) OVER (PARTITION BY n.symbol ORDER BY n.time) AS t FROM numbered n JOIN vol_rows USING (symbol, time)) a LEFT JOIN numbered b ON a.symbol = b.symbol AND b.rn > a.rn AND b.rn <= a.rn + 24 GROUP BY ALL) a""", (BARS, RN, "ranges AS MATERIALIZED (SELECT *, CASE WHEN rn > 1 THEN greatest(high - low, abs(high - before), abs(low - before)) END AS tr FROM (SELECT *, lag(close) OVER (PARTITION BY symbol ORDER BY time) AS before FROM numbered))", "vol_rows AS MATERIALIZED (SELECT a.symbol, a.time, sum(pow(0.99, a.rn - b.rn) * b.tr) / sum(pow(0.99, a.rn - b.rn)) AS target_vol FROM ranges a JOIN ranges b ON a.symbol = b.symbol AND b.rn <= a.rn AND b.rn > 1 GROUP BY a.symbol, a.time HAVING count(*) >= 100)"))
 register("barrier_hits", on_bars(lambda df: L.barrier_hits(volatile(df), 24, (1.5, 3.0), 1.0)), (*KEYS, "long_hit_rr1_5", "short_hit_rr1_5", "long_hit_rr3", "short_hit_rr3", "t1"), (), f"""
 SELECT a.symbol, a.time, {_wins("1", 1.5)} AS long_hit_rr1_5, {_wins("-1", 1.5)} AS short_hit_rr1_5, {_wins("1", 3)} AS long_hit_rr3, {_wins("-1", 3)} AS short_hit_rr3,
   CASE WHEN any_value(a.v) IS NOT NULL THEN coalesce(arg_min(b.time, b.rn) FILTER (b.close / nullif(a.close, 0) - 1 >= 3 * a.v OR b.close / nullif(a.close, 0) - 1 <= -a.v), max(b.time)) END AS t1
 FROM vols a LEFT JOIN vols b ON a.symbol = b.symbol AND b.rn BETWEEN a.rn + 1 AND a.rn + 24 GROUP BY a.symbol, a.time""", (BARS, RN, VOL))
+_TIMED = "b.time > a.time AND b.time <= coalesce(a.stop_at, TIMESTAMP '2100-01-01')"
+_STOPS = "stops AS MATERIALIZED (SELECT v.*, e.time AS stop_at FROM (SELECT *, time + INTERVAL 1 DAY AS due FROM vols) v ASOF LEFT JOIN bars e ON v.symbol = e.symbol AND v.due <= e.time)"
+register("barrier_hits_by_time", on_bars(lambda df: L.barrier_hits(volatile(df), 0, (1.5, 3.0), 1.0, wait="INTERVAL 1 DAY").drop("t1")), (*KEYS, "long_hit_rr1_5", "short_hit_rr1_5", "long_hit_rr3", "short_hit_rr3"), (), f"""
+SELECT a.symbol, a.time, {_wins("1", 1.5)} AS long_hit_rr1_5, {_wins("-1", 1.5)} AS short_hit_rr1_5, {_wins("1", 3)} AS long_hit_rr3, {_wins("-1", 3)} AS short_hit_rr3 FROM stops a LEFT JOIN vols b ON a.symbol = b.symbol AND {_TIMED} GROUP BY a.symbol, a.time""", (BARS, RN, VOL, _STOPS))
 _SCAN20 = "(SELECT symbol, time, b.t AS t FROM scans)"
 register("trend_meta_labels", on_bars(lambda df: L.trend_meta_labels(volatile(df), 24, (1.5,), 1.0)), (*KEYS, "side", "meta_rr1_5"), (), f"""
 SELECT a.symbol, a.time, a.side, {_wins("a.side", 1.5)} AS meta_rr1_5 FROM (SELECT v.*, s.side FROM vols v LEFT JOIN (SELECT symbol, time, sign(t)::INT AS side FROM {_SCAN20} WHERE abs(t) > 2) s ON v.symbol = s.symbol AND v.time = s.time) a
@@ -180,17 +199,27 @@ CROSS = "crossed AS MATERIALIZED (SELECT symbol, time, close / lag(close) OVER (
 
 
 def crossed(s, d):
-    """Hourly returns in thousandths with a side."""
+    """Hourly returns with a side."""
     df = B.bars(s, d, "1 hour")
-    return df.withColumn("ret", pct_change("close") / 1000).withColumn("side", F.when(F.col("close") > F.col("open"), 1).otherwise(-1))
+    return df.withColumn("ret", pct_change("close")).withColumn("side", F.when(F.col("close") > F.col("open"), 1).otherwise(-1))
 
 
-register("signal_backtest", lambda s, d: M.signal_backtest(crossed(s, d)), (*KEYS, "position"), ("strategy_ret", "equity"), f"SELECT symbol, time, position, sr AS strategy_ret, exp(sum(CASE WHEN 1 + sr > 0 THEN ln(1 + sr) END) OVER ({O})) AS equity FROM (SELECT *, position * coalesce(r / 1000, 0) AS sr FROM (SELECT *, coalesce(lag(side) OVER ({O}), 0) AS position FROM crossed))", (BARS, H1, CROSS), digits=5)
+register("signal_backtest", lambda s, d: M.signal_backtest(crossed(s, d)).withColumn("equity_sign", F.signum("equity").cast("int")).withColumn("log_equity", F.ln(F.nullif(F.abs("equity"), F.lit(0.0)))), (*KEYS, "position", "equity_sign"), ("strategy_ret", "log_equity"), f"""
+SELECT symbol, time, position, sign(p)::INT AS equity_sign, sr AS strategy_ret, ln(nullif(abs(p), 0)) AS log_equity FROM (SELECT *, product(1 + sr) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p FROM (SELECT *, position * coalesce(r, 0) AS sr FROM (SELECT *, coalesce(lag(side) OVER ({O}), 0) AS position FROM crossed)))""", (BARS, H1, CROSS), digits=5)
 register("sharpe_scores", lambda s, d: M.sharpe_score(crossed(s, d).withColumn("x", F.col("side") * F.col("ret")).filter("x IS NOT NULL"), "symbol", "x"), ("symbol",), ("hit_ratio", "sharpe", "sortino", "sharpe_clipped", "sharpe_squashed"), """
-SELECT symbol, hit_ratio, s AS sharpe, so AS sortino, greatest(0, least(1, (s + 1) / 4)) AS sharpe_clipped, (tanh(s / 2) + 1) / 2 AS sharpe_squashed FROM (SELECT symbol, avg((x > 0)::INT) AS hit_ratio, sqrt(252) * avg(x) / stddev_pop(x) AS s, sqrt(252) * avg(x) / stddev_pop(x) FILTER (x < 0) AS so FROM (SELECT symbol, side * r / 1000 AS x FROM crossed WHERE r IS NOT NULL) GROUP BY symbol)""", (BARS, H1, CROSS), digits=5)
-register("threshold_search", lambda s, d: M.threshold_search(crossed(s, d).filter("ret IS NOT NULL").withColumn("p", (F.col("volume") % 100) / 100), "symbol", "p", "ret"), ("symbol", "threshold", "n"), ("score",), """
+SELECT symbol, hit_ratio, s AS sharpe, so AS sortino, greatest(0, least(1, (s + 1) / 4)) AS sharpe_clipped, (tanh(s / 2) + 1) / 2 AS sharpe_squashed FROM (SELECT symbol, avg((x > 0)::INT) AS hit_ratio, sqrt(252) * avg(x) / stddev_pop(x) AS s, sqrt(252) * avg(x) / stddev_pop(x) FILTER (x < 0) AS so FROM (SELECT symbol, side * r AS x FROM crossed WHERE r IS NOT NULL) GROUP BY symbol)""", (BARS, H1, CROSS), digits=5)
+_SCORE = {
+    "f1": "2 * count_if(p > t AND r > 0) / nullif(count_if(p > t) + count_if(r > 0), 0)",
+    "sharpe": "sqrt(252 * 288) * avg(CASE WHEN p > t THEN side * r ELSE 0 END) / nullif(stddev_pop(CASE WHEN p > t THEN side * r ELSE 0 END), 0)",
+    "sortino": "sqrt(252 * 288) * avg(CASE WHEN p > t THEN side * r ELSE 0 END) / nullif(stddev_pop(side * r) FILTER (p > t AND side * r < 0), 0)",
+}
+for _metric, _score in _SCORE.items():
+    register(f"threshold_{_metric}" if _metric != "f1" else "threshold_search", lambda s, d, k=_metric: M.threshold_search(crossed(s, d).filter("ret IS NOT NULL").withColumn("p", (F.col("volume") % 100) / 100).withColumn("up", (F.col("ret") > 0).cast("int")), "symbol", "p", "ret", "side", "up", k), ("symbol", "threshold", "n"), ("score",), f"""
 SELECT symbol, b.t AS threshold, b.n AS n, b.s AS score FROM (SELECT symbol, arg_max(struct_pack(t := t, n := n, s := s), (round(s, 9), -t)) AS b FROM (
-  SELECT symbol, t, count(*) AS n, coalesce(avg(r) / nullif(stddev_pop(r), 0), 0) AS s FROM (SELECT c.symbol, c.r / 1000 AS r, (volume % 100) / 100 AS p FROM crossed c JOIN bars_h1 USING (symbol, time) WHERE r IS NOT NULL) JOIN (SELECT round(0.05 + i * 0.05, 10)::DOUBLE AS t FROM range(18) q(i)) ON t <= p GROUP BY ALL) GROUP BY symbol)""", (BARS, H1, CROSS), digits=5)
+  SELECT symbol, t, count_if(p > t) AS n, coalesce({_score}, 0) AS s FROM (SELECT c.symbol, c.side, c.r, (volume % 100) / 100 AS p FROM crossed c JOIN bars_h1 USING (symbol, time) WHERE r IS NOT NULL), (SELECT round(0.05 + i * 0.05, 10)::DOUBLE AS t FROM range(18) q(i)) GROUP BY symbol, t) GROUP BY symbol)""", (BARS, H1, CROSS), digits=5)
+register("binary_scores", on_bars(lambda df: M.binary_scores(df.withColumn("truth", F.signum(F.col("close") - F.col("open")).cast("int")).withColumn("guess", (F.col("volume") % 2).cast("int")), "symbol", "truth", "guess")), ("symbol", "n"), ("accuracy", "precision", "recall", "f1_score"), """
+SELECT symbol, count(*) AS n, avg((t = g)::INT) AS accuracy, coalesce(count_if(t = 1 AND g = 1) / nullif(count_if(g = 1), 0), 0) AS precision, coalesce(count_if(t = 1 AND g = 1) / nullif(count_if(t = 1), 0), 0) AS recall,
+  coalesce(2 * count_if(t = 1 AND g = 1) / nullif(count_if(g = 1) + count_if(t = 1), 0), 0) AS f1_score FROM (SELECT symbol, (close <> open)::INT AS t, (volume % 2)::INT AS g FROM bars) GROUP BY symbol""")
 register("classification_metrics", on_bars(lambda df: M.classification(df.withColumn("truth", F.signum(F.col("close") - F.col("open")).cast("int")).withColumn("guess", (F.col("volume") % 3).cast("int") - 1), "symbol", "truth", "guess")), ("symbol", "n"), ("accuracy", "precision", "recall", "f1_weighted"), """
 SELECT symbol, sum(su)::BIGINT AS n, sum(tp) / sum(su) AS accuracy, sum(p * su) / sum(su) AS precision, sum(r * su) / sum(su) AS recall, sum(coalesce(2 * p * r / nullif(p + r, 0), 0) * su) / sum(su) AS f1_weighted FROM (
   SELECT symbol, c, su, tp, coalesce(tp / nullif(cl, 0), 0) AS p, tp / su AS r FROM (SELECT symbol, c, count_if(t = c) AS su, count_if(t = c AND g = c) AS tp, count_if(g = c) AS cl

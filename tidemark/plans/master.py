@@ -49,17 +49,25 @@ def feature_names(df: DataFrame, bars: DataFrame) -> list[str]:
     return [c for c in df.columns if c not in bars.columns]
 
 
-def labelled(bars: DataFrame, window: int = 288, every: int = 12, quantile: float = 0.8, pt: float = 15.0, sl: float = 1.5, horizon: int = 1440) -> DataFrame:
-    """Strong trends as events with barrier labels: (symbol, time, t1, side, trgt, ret, bin), short ones recoded."""
+#: Settings of the published versions of the data set that differ: the target's multiple and the bars between events.
+VERSIONS = {1: {"pt": 15.0, "every": 12}, 2: {"pt": 20.0, "every": 12}, 3: {"pt": 20.0, "every": 1}}
+
+
+def labelled(bars: DataFrame, window: int = 288, every: int = 12, quantile: float = 0.8, pt: float = 15.0, sl: float = 1.5, wait: str = "INTERVAL 5 DAYS", lookback: int = 50) -> DataFrame:
+    """Strong trends as events with barrier labels: (symbol, time, t1, side, trgt, ret, bin), short ones recoded. Trades last to
+    the first bar at or after `wait`; where the series ends before, only those that touch a barrier are labelled."""
     events = L.strong_trends(L.trend_scan(bars, window, every=every), quantile).select("symbol", "time", "side")
-    vol = R.daily_volatility(L.daily_change(bars).select("symbol", "time", "day_ret")).select("symbol", "time", F.col("daily_vol").alias("trgt"))
-    rows = bars.join(vol, ["symbol", "time"]).join(events, ["symbol", "time"], "left")
-    marked = L.barrier_labels(rows, horizon, pt, sl, F.col("side").isNotNull())
+    vol = R.daily_volatility(L.daily_change(bars).select("symbol", "time", "day_ret"), lookback).select("symbol", "time", F.col("daily_vol").alias("trgt"))
+    ends = L.vertical_barrier(events.select("symbol", "time"), bars, wait)
+    rows = bars.join(vol, ["symbol", "time"]).join(events, ["symbol", "time"], "left").join(ends, ["symbol", "time"], "left")
+    marked = L.barrier_labels_by_time(rows, pt, sl, "vertical", F.col("side").isNotNull())
     return L.short_recode(marked).select("symbol", "time", "t1", "side", "trgt", "ret", "bin")
 
 
-def data_set(bars: DataFrame, **options) -> DataFrame:
-    """Features and labels of the same bars, by symbol and time."""
-    labels = labelled(bars, **options)
-    features = X.returns(X.sessions(X.microstructure(bars))).drop("ret")
+def data_set(bars: DataFrame, version: int = 1, work: str | None = None, complete: bool = False, **options) -> DataFrame:
+    """All features and the labels of the same bars, by symbol and time. Options are those of labelled(); work and complete
+    are those of all_features()."""
+    labels = labelled(bars, **(VERSIONS[version] | options))
+    features = all_features(bars, work=work, complete=complete)
+    features = features.drop(*(c for c in labels.columns if c in features.columns and c not in ("symbol", "time")))
     return align.common_rows(features, labels).join(labels, ["symbol", "time"])

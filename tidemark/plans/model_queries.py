@@ -13,8 +13,8 @@ from tidemark.operators import recursive as R
 from tidemark.operators import splits as V
 from tidemark.plans import master
 from tidemark.plans.bar_queries import KEYS, OHLCV, O, full, on_bars, rows
-from tidemark.plans.label_queries import RN, probabilities, sampled
-from tidemark.plans.registry import BARS, H1, register
+from tidemark.plans.label_queries import LABEL_VIEWS, RN, probabilities, sampled
+from tidemark.plans.registry import BARS, H1, QUERIES, plain_session, register
 from tidemark.sources import bars as B
 from tidemark.streaming import streams as ST
 
@@ -159,5 +159,13 @@ def master_features(s, d):
     return df.select(*KEYS, *(F.col(f"`{c}`").cast("double").alias(c.replace(".", "_").replace("-", "m")) for c in master.feature_names(df, bars)))
 
 
-register("master_features", master_features, KEYS, ("ema_20", "atr_14", "fractal_dim_30", "power_mean_p2_0", "renyi_entropy_q2_0", "cusum_event_rate_w1440", "max_drawdown_w288", "sadf_log_tstat"))
-register("data_set", on_bars(master.data_set), (*KEYS, "t1", "side", "bin"), ("trgt", "ret", "log_ret"))
+def all_master_features(s, d):
+    """Every feature, so that none is left out of the plan."""
+    plain_session(s)
+    df = master_features(s, d)
+    return df.select("symbol", F.col("time").cast("timestamp_ntz").alias("time"), *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in df.columns[2:]))
+
+
+QUERIES["master_features"] = all_master_features
+register("data_set", lambda s, d: master.data_set(B.bars(s, d), work=ST.work_folder(s, "data-set")), (*KEYS, "t1", "side", "bin"), ("trgt", "ret", "volume_roc"), f"""
+SELECT symbol, time, e.t AS t1, side, CASE WHEN side < 0 THEN -sign(e.m)::INT ELSE e.k END AS bin, trgt, e.m AS ret, volume_roc FROM timed_labels JOIN (SELECT symbol, time, 100 * (volume / nullif(lag(volume, 14) OVER ({O}), 0) - 1) AS volume_roc FROM bars) USING (symbol, time) WHERE e IS NOT NULL""", LABEL_VIEWS)
