@@ -79,17 +79,22 @@ def alias_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     declare nothing, nor do other schemes (mailto:) and fragments. Null URLs have no edges, URLs without :// only those to
     absolute URLs that they declare; null html declares nothing.
     """
-    url, html = F.col(url_col), F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), HIDDEN, "")
-    tags = pages.select(url.alias("a"), F.regexp_extract_all(html, F.lit(TAGS), F.lit(0)).alias("tags")).filter("a IS NOT NULL")
-    base = F.filter("tags", lambda t: t.rlike("(?i)^<base") & _attribute(t, "href").isNotNull())
-    tags = tags.withColumn("base", _attribute(F.try_element_at(base, F.lit(1)), "href"))
-    tags = tags.withColumn("base", F.coalesce(resolved(F.col("base"), F.col("a")), "a"))
-    each = tags.select("a", "base", F.explode("tags").alias("tag"))
-    each = each.select("a", "base", *(_attribute(F.col("tag"), k).alias(f"_{i}") for i, k in enumerate(("rel", "href", "http-equiv", "content"))), F.lower(F.substr("tag", F.lit(2), F.lit(4))).alias("kind"))
-    link = F.when((F.col("kind") == "link") & F.array_contains(F.split(F.lower("_0"), r"\s+"), "canonical"), F.col("_1"))
-    refresh = F.when((F.col("kind") == "meta") & (F.lower("_2") == "refresh"), F.nullif(F.regexp_extract("_3", REFRESH, 1), F.lit("")))
-    declared = each.select("a", "base", F.coalesce(link, refresh).alias("b")).filter("b IS NOT NULL").select("a", resolved(F.col("b"), F.col("base")).alias("b"))
-    targets = declared.union(tags.select("a", F.col("a").alias("b"))).select("a", canonical(F.col("b")).alias("b"))
+    # Values go from step to step through explode(), past which the optimiser takes no filter: it would put the expression
+    # of each step into the next one's wherever that names it.
+    once = lambda x: F.explode(F.array_compact(F.array(x)))
+    html = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), HIDDEN, "")
+    tags = pages.filter(F.col(url_col).isNotNull()).select(F.col(url_col).alias("a"), once(F.regexp_extract_all(html, F.lit(TAGS), F.lit(0))).alias("tags"))
+    first = F.try_element_at(F.filter("tags", lambda t: t.rlike("(?i)^<base") & _attribute(t, "href").isNotNull()), F.lit(1))
+    based = tags.select("a", "tags", once(F.coalesce(_attribute(first, "href"), F.lit(""))).alias("href"))
+    based = based.select("a", "tags", once(F.coalesce(resolved(F.col("href"), F.col("a")), "a")).alias("base"))
+    names = {"rel": "rel", "href": "href", "equiv": "http-equiv", "content": "content"}
+    each = based.select("a", "base", F.explode("tags").alias("tag"))
+    each = each.select("a", "base", once(F.struct(F.lower(F.substr("tag", F.lit(2), F.lit(4))).alias("kind"), *(_attribute(F.col("tag"), v).alias(k) for k, v in names.items()))).alias("t"))
+    link = F.when((F.col("t.kind") == "link") & F.array_contains(F.split(F.lower("t.rel"), r"\s+"), "canonical"), F.col("t.href"))
+    refresh = F.when((F.col("t.kind") == "meta") & (F.lower("t.equiv") == "refresh"), F.nullif(F.regexp_extract("t.content", REFRESH, 1), F.lit("")))
+    declared = each.select("a", "base", once(F.coalesce(link, refresh)).alias("b")).select("a", once(resolved(F.col("b"), F.col("base"))).alias("b"))
+    own = pages.filter(F.col(url_col).isNotNull()).select(F.col(url_col).alias("a"), F.col(url_col).alias("b"))
+    targets = declared.union(own).select("a", once(canonical(F.col("b"))).alias("b"))
     return targets.filter(F.col("b").contains("://") & (F.col("a") != F.col("b"))).distinct()
 
 
