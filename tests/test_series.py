@@ -204,6 +204,15 @@ def test_first_over_and_moments_against_loops():
         assert np.isnan(skew[flat]).all()
 
 
+def test_rolling_quantiles_against_sorting():
+    r = np.random.default_rng(13)
+    x = r.integers(0, 9, 200).astype(float)
+    x[[4, 60, 61]] = np.nan
+    for width in (1, 5, 20):
+        for share, found in zip((0.25, 0.5, 0.95), K.rolling_quantiles(x, width, (0.25, 0.5, 0.95)), strict=True):
+            np.testing.assert_allclose(found, pd.Series(x).rolling(width).quantile(share), rtol=1e-12)
+
+
 def test_trend_scan_in_chunks(bars, table):
     whole = labels.trend_scan(bars, 40, every=3).orderBy("symbol", "time").toPandas()
     parts = labels.trend_scan(bars, 40, every=3, rows=50).orderBy("symbol", "time").toPandas()

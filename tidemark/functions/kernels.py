@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, insort
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -365,6 +367,22 @@ def skewness_kurtosis(x: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
     return skew, kurtosis
 
 
+def rolling_quantiles(x: np.ndarray, width: int, shares: Sequence[float]) -> list[np.ndarray]:
+    """Interpolated quantiles of full windows. One sorted window is kept up to date along the series: each row puts one value
+    in and takes one out, and nothing is sorted anew."""
+    out, window, values = [np.full(len(x), np.nan) for _ in shares], [], x.tolist()
+    places = [(int(s * (width - 1)), s * (width - 1) % 1) for s in shares]
+    for i, v in enumerate(values):
+        if v == v:
+            insort(window, v)
+        if i >= width and values[i - width] == values[i - width]:
+            del window[bisect_left(window, values[i - width])]
+        if len(window) == width:
+            for found, (low, part) in zip(out, places, strict=True):
+                found[i] = window[low] + part * (window[low + 1] - window[low]) if part else window[low]
+    return out
+
+
 class FirstOver:
     """Finds, for every row, how many rows later a series first reaches a level: blocks of 2, 4, 8 ... rows know their
     maxima, and all rows climb and descend this tree at once, so no row looks at its path."""

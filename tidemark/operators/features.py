@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -30,10 +30,9 @@ def returns(df: DataFrame, part: Part = PART) -> DataFrame:
 
 def volume_regime(df: DataFrame, n: int = 100, part: Part = PART) -> DataFrame:
     """-1 below the rolling lower quartile of volume, 1 above the upper, else 0."""
-    bounds = rolling(lambda x: F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))), F.col("volume"), n, None, part)
-    out = df.withColumn("_q", bounds)
-    low, high = F.col("volume") < F.col("_q")[0], F.col("volume") > F.col("_q")[1]
-    return out.withColumn("volume_regime", F.when(high, 1).when(low, -1).otherwise(0)).drop("_q")
+    out = quantiles(df, F.col("volume"), n, (0.25, 0.75), part)
+    low, high = F.col("volume") < F.col("_q0"), F.col("volume") > F.col("_q1")
+    return out.withColumn("volume_regime", F.when(high, 1).when(low, -1).otherwise(0)).drop("_q0", "_q1")
 
 
 def microstructure(df: DataFrame, part: Part = PART) -> DataFrame:
@@ -49,19 +48,29 @@ def microstructure(df: DataFrame, part: Part = PART) -> DataFrame:
     return out.withColumns({"tick_volume_ratio": F.lit(1.0), "order_flow_imbalance": F.lit(0.0)})
 
 
-def moments(df: DataFrame, value: Column, n: int, skew: str, kurtosis: str, part: Part = PART) -> DataFrame:
-    """Adds bias-corrected skewness and excess kurtosis over full frames of n, null where all values of a frame are equal.
-    Blocks of n rows are added up once and merged in pairs, as Spark's own functions begin anew for each frame."""
+def in_order(df: DataFrame, value: Column, columns: Sequence[str], kernel: Callable[[np.ndarray], Sequence[np.ndarray]], part: Part = PART) -> DataFrame:
+    """Adds columns that a kernel makes of each series' (or chunk's) values in the order of time; missing values are NaN there
+    and null here."""
     out = df.withColumn("_m", value.cast("double"))
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), f"`{skew}` double", f"`{kurtosis}` double"])
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), *(f"`{c}` double" for c in columns)])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("time", kind="stable")
-        first, second = K.skewness_kurtosis(rows["_m"].to_numpy(float), n)
-        return rows.drop(columns="_m").assign(**{skew: first, kurtosis: second})
+        return rows.drop(columns="_m").assign(**dict(zip(columns, kernel(rows["_m"].to_numpy(float)), strict=True)))
 
     out = out.groupBy(*part).applyInPandas(run, schema)
-    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in (skew, kurtosis)})
+    return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
+
+
+def moments(df: DataFrame, value: Column, n: int, skew: str, kurtosis: str, part: Part = PART) -> DataFrame:
+    """Adds bias-corrected skewness and excess kurtosis over full frames of n, null where all values of a frame are equal.
+    Blocks of n rows are added up once and merged in pairs, as Spark's own functions begin anew for each frame."""
+    return in_order(df, value, (skew, kurtosis), lambda x: K.skewness_kurtosis(x, n), part)
+
+
+def quantiles(df: DataFrame, value: Column, n: int, shares: Sequence[float], part: Part = PART) -> DataFrame:
+    """Adds _q0, _q1 ...: interpolated quantiles over full frames of n."""
+    return in_order(df, value, [f"_q{i}" for i in range(len(shares))], lambda x: K.rolling_quantiles(x, n, shares), part)
 
 
 def distribution(df: DataFrame, n: int = 100, long: int = 200, part: Part = PART) -> DataFrame:
@@ -78,9 +87,10 @@ def volatility_regime(df: DataFrame, n: int = 100, part: Part = PART) -> DataFra
     """0 to 3 by the rolling 25th, 75th and 95th percentiles of the volatility of log returns; 1 where unknown."""
     out = df.withColumn("_v", F.ln("close") - F.ln(lag("close", 1, part)))
     out = out.withColumn("_v", std(F.col("_v"), n, None, part))
-    out = out.withColumn("_q", rolling(lambda x: F.percentile(x, F.array(*map(F.lit, (0.25, 0.75, 0.95)))), F.col("_v"), n, None, part))
-    v, q = F.col("_v"), F.col("_q")
-    return out.withColumn("volatility_regime", F.when(v >= q[2], 3).when(v >= q[1], 2).when(v < q[0], 0).otherwise(1)).drop("_v", "_q")
+    out = quantiles(out, F.col("_v"), n, (0.25, 0.75, 0.95), part)
+    v = F.col("_v")
+    regime = F.when(v >= F.col("_q2"), 3).when(v >= F.col("_q1"), 2).when(v < F.col("_q0"), 0).otherwise(1)
+    return out.withColumn("volatility_regime", regime).drop("_v", "_q0", "_q1", "_q2")
 
 
 def volatility_stress(df: DataFrame, part: Part = PART) -> DataFrame:
