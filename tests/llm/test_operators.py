@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+import sentencepiece
 
 from tests.llm import brute
 from tidemark.llm import exact_dedup, jaccard, mixing, ngram_lm, pieces_codec, pii, quality, suffix_dedup, url_filter, warc
@@ -338,10 +339,30 @@ def test_empty_tables(spark, empty):
 
 
 def test_null_and_repeated_ids(spark):
-    rows = [(None, "one two three"), (None, "one two three"), (7, "one two three"), (7, "one two three"), (7, "other words here")]
+    """Rows without an id, or that repeat one with the same or another text, get the values of their own text."""
+    texts = ["one two three mail a@b.org", "one two three mail a@b.org", "word " * 12, "other words here call +1 (555) 010-9999 now", "lone", None, "other words here"]
+    rows = list(zip([None, None, 7, 7, 7, None, 8], texts, strict=True))
     df = table(spark, rows)
     for op in (exact_dedup.exact_dedup, pieces_codec.piece_encode, quality.quality_rules, jaccard.jaccard_join, pii.find_pii, ngram_lm.lm_scoring, suffix_dedup.suffix_dedup):
         assert op(df).count() == len(rows), op.__name__
+    rank = lambda found: sorted(found, key=repr)
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces_codec.MODEL)
+    encoded = [(r["doc_id"], r["ids"]) for r in pieces_codec.piece_encode(df).collect()]
+    assert rank(encoded) == rank((i, library.encode(t or "")) for i, t in rows)
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "longest_repeat"]
+    measured = [(r["doc_id"], *(r[c] for c in names)) for r in quality.quality_rules(df).collect()]
+    assert rank(measured) == rank((i, *(brute.quality(t)[c] for c in names)) for i, t in rows)
+    private = [(r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in pii.find_pii(df).collect()]
+    assert rank(private) == rank((i, *brute.pii(t)) for i, t in rows)
+
+
+def test_archives_with_null_and_repeated_ids(spark):
+    same, other = "x" * 1200, "y" * 1300
+    rows = [(None, "u", same), (3, "u", same), (3, "u", other), (5, "u", other), (None, "v", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = warc.read_archives(warc.normalise_archives(warc.write_archives(df))).collect()
+    assert sorted((r["record_id"], r["payload_bytes"]) for r in found) == [("3", 1200), ("3", 1300), ("5", 1300), ("None", 0), ("None", 1200)]
+    assert {r["record_type"] for r in found} <= {"response", "revisit"}
 
 
 def test_pieces_cut_batches():
