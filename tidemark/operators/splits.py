@@ -78,14 +78,19 @@ def _purged(rows: DataFrame, tests: DataFrame, spans: DataFrame, embargo: str) -
     return train.select("symbol", "split", F.lit("train").alias("role"), "row").join(tests.select("symbol", "split", "row"), ["symbol", "split", "row"], "left_anti")
 
 
-def purged_kfold(df: DataFrame, k: int, embargo: str = "INTERVAL 24 HOURS", label: str | None = None) -> DataFrame:
+def purged_kfold(df: DataFrame, k: int, embargo: str = "INTERVAL 24 HOURS", label: str | None = None, share: float | None = None) -> DataFrame:
     """k splits of df (time, t1): each fold is tested, and training rows that overlap its span or start in the embargo after
     it are purged. With a label the folds are stratified, and splits are left out whose test classes training lacks.
-    The span runs from the first test time to the last test t1."""
+    The span runs from the first test time to the last test t1. share: the embargo is that share of a symbol's rows, after
+    the last row tested, and not a time."""
     rows = stratified_folds(df, k, label) if label else folds(df, k)
     tests = rows.withColumn("split", F.col("fold"))
     spans = tests.groupBy("symbol", "split").agg(F.min("time").alias("start"), F.max(F.coalesce("t1", "time")).alias("end"))
-    train = _purged(rows, tests, spans, embargo)
+    train = _purged(rows, tests, spans, embargo if share is None else "INTERVAL 0 HOURS")
+    if share is not None:
+        last = tests.groupBy("symbol", "split").agg(F.max("row").alias("_last")).join(_sizes(df), "symbol")
+        after = F.col("row") - F.col("_last")
+        train = train.join(last, ["symbol", "split"]).filter(~after.between(1, F.floor(F.col("n") * share))).select(*train.columns)
     out = train.unionByName(tests.select("symbol", "split", F.lit("test").alias("role"), "row"))
     if label:
         classes = out.join(rows.select("symbol", "row", label), ["symbol", "row"]).select("symbol", "split", "role", label).distinct()

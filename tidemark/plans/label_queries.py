@@ -165,6 +165,9 @@ _FOLD = "SELECT *, (ntile(5) OVER (PARTITION BY symbol ORDER BY time) - 1)::INT
 _CLASSES = "SELECT *, (ntile(5) OVER (PARTITION BY symbol, label ORDER BY time) - 1)::INT AS f FROM base"
 register("split_purged_kfold", on_bars(lambda df: V.purged_kfold(sampled(df), 5)), SPLIT, (), _kfold(_FOLD), (BARS, RN, BASE))
 register("split_purged_stratified", on_bars(lambda df: V.purged_kfold(sampled(df), 5, label="label")), SPLIT, (), _kfold(_CLASSES, True), (BARS, RN, BASE))
+register("split_purged_share", on_bars(lambda df: V.purged_kfold(sampled(df), 5, share=0.02)), SPLIT, (), f"""
+SELECT b.symbol, s.f AS split, CASE WHEN b.f = s.f THEN 'test' ELSE 'train' END AS role, b.row FROM ({_FOLD}) b JOIN (SELECT symbol, f, min(time) AS lo, max(t1) AS hi, max(row) AS last FROM ({_FOLD}) GROUP BY ALL) s ON b.symbol = s.symbol
+WHERE b.f = s.f OR ((b.t1 < s.lo OR b.time > s.hi) AND NOT (b.row > s.last AND b.row <= s.last + floor(b.n * 0.02)))""", (BARS, RN, BASE))
 _CHOICES = ", ".join(f"({i}, {f})" for i, c in enumerate(combinations(range(5), 2)) for f in c)
 register("split_combinatorial", on_bars(lambda df: V.combinatorial_purged(sampled(df), 5, 2)), SPLIT, (), f"""
 WITH choices(k, f) AS (VALUES {_CHOICES}), fb AS ({_FOLD}), spans AS (SELECT symbol, k, min(time) AS lo, max(time) AS hi FROM fb JOIN choices USING (f) GROUP BY ALL)
