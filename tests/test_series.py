@@ -102,6 +102,23 @@ def test_filter_events_against_a_loop(bars, table, legacy):
         assert got[k]["filter_event"].tolist() == want and (legacy or sum(want))
 
 
+@pytest.mark.parametrize("rows", [23, 100])
+def test_events_in_chunks(bars, rows):
+    for find, name in ((lambda r: recursive.cusum_events(bars, 3.0, 9, rows=r), "cusum_event"), (lambda r: recursive.filter_events(bars, 9, rows=r), "filter_event"), (lambda r: recursive.filter_events(bars, 9, legacy=True, rows=r), "filter_event")):
+        whole, parts = by_symbol(find(None), "time", name), by_symbol(find(rows), "time", name)
+        assert sum(t[name].sum() for t in whole.values()) > 20 or name == "filter_event"
+        for k, t in whole.items():
+            assert parts[k].equals(t)
+
+
+def test_events_whose_paths_never_meet(spark):
+    """No sum is ever taken back, so every chunk waits for all before it."""
+    df = series(spark, [1.0] * 40).withColumn("x", F.lit(0.3))
+    found = recursive.with_events(df, "hit", lambda x, *left: K.cusum_from(x, 3.2, *left), ["x"], rows=4)
+    assert found.columns == [*df.columns, "hit"] and [r["i"] for r in found.filter("hit = 1").orderBy("i").collect()] == [10, 21, 32]
+    assert recursive.with_events(df.limit(0), "hit", lambda x, *left: K.cusum_from(x, 3.2, *left), ["x"], rows=4).count() == 0
+
+
 def test_complexity_against_loops(spark):
     x = np.concatenate([np.random.default_rng(3).normal(size=40).cumsum() + 50, np.full(30, 50.0)])
     got = recursive.complexity(series(spark, x), n=12).orderBy("time").toPandas()

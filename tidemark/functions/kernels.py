@@ -67,7 +67,12 @@ def adx(high, low, close, n: int = 14) -> np.ndarray:
 
 def cusum(z: np.ndarray, k: float) -> np.ndarray:
     """1 where a running sum of z above or below zero passes k; both sums then start anew, as they do at unknown z."""
-    out, up, down = np.zeros(len(z), np.int8), 0.0, 0.0
+    return cusum_from(z, k)[0]
+
+
+def cusum_from(z: np.ndarray, k: float, up: float = 0.0, down: float = 0.0) -> tuple[np.ndarray, float, float]:
+    """cusum with the sums that earlier rows left, and the sums that it leaves."""
+    out = np.zeros(len(z), np.int8)
     for i, v in enumerate(z.tolist()):
         if v != v:
             up = down = 0.0
@@ -76,12 +81,13 @@ def cusum(z: np.ndarray, k: float) -> np.ndarray:
         if up > k or down < -k:
             out[i] = 1
             up = down = 0.0
-    return out
+    return out, up, down
 
 
-def cusum_filter(change: np.ndarray, limit: np.ndarray) -> np.ndarray:
-    """Symmetric filter: 1 where the sum of changes passes the limit up or down; only that side starts anew."""
-    out, up, down = np.zeros(len(change), np.int8), 0.0, 0.0
+def cusum_filter_from(change: np.ndarray, limit: np.ndarray, up: float = 0.0, down: float = 0.0) -> tuple[np.ndarray, float, float]:
+    """Symmetric filter: 1 where the sum of changes passes the limit up or down; only that side starts anew. Takes the sums
+    that earlier rows left and gives those that it leaves."""
+    out = np.zeros(len(change), np.int8)
     for i, (v, h) in enumerate(zip(change.tolist(), limit.tolist(), strict=True)):
         if v != v or h != h:
             continue
@@ -90,7 +96,7 @@ def cusum_filter(change: np.ndarray, limit: np.ndarray) -> np.ndarray:
             out[i], down = 1, 0.0
         elif up > h:
             out[i], up = 1, 0.0
-    return out
+    return out, up, down
 
 
 # windows: arrays of shape (rows, width), NaN where a value is missing ------------------------------------------------

@@ -1,9 +1,9 @@
 """Operators whose state runs along a series: exponential means, oscillators, cumulative-sum events, sliding kernels.
 
 Exponential means are linear recurrences, which compose: chunks of a series are summed up side by side, and each gets
-what the chunks before it carry over. Sliding kernels only need the last rows, so they run on chunks with a halo. Only
-cumulative-sum events, which start anew where they fire, take each series as one group, dealt and sorted once; its
-length is that of one symbol's bars.
+what the chunks before it carry over. Sliding kernels only need the last rows, so they run on chunks with a halo.
+Cumulative-sum events start anew where they fire, so chunks first run as if nothing came before them; where the chunk
+before left something, they run again from that, until every chunk starts from what the one before it leaves.
 """
 
 from __future__ import annotations
@@ -17,8 +17,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import kernels as K
-from tidemark.functions.windows import PART, fill_forward, flag, lag, last_rows, mean, order, over_past, pct_change, row_numbers, std
+from tidemark.functions.windows import PART, fill_forward, flag, in_chunks, lag, last_rows, mean, order, over_past, pct_change, row_numbers, std
 from tidemark.operators.align import as_of
+from tidemark.sources.shared import work_folder
 
 
 def along(df: DataFrame, columns: dict[str, Callable[[pd.DataFrame], np.ndarray]], kind: str = "double", part: Sequence[str] = PART) -> DataFrame:
@@ -37,8 +38,8 @@ def unknown_to_null(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.withColumns({c: F.when(~F.isnan(f"`{c}`"), F.col(f"`{c}`")) for c in columns})
 
 
-#: Rows of a series that one task sums up.
-ROWS = 500_000
+#: Rows of a series that one task sums up, and that one task looks for events in.
+ROWS, EVENT_ROWS = 500_000, 100_000
 
 
 def chunk_rows(df: DataFrame, rows: int = ROWS) -> int | None:
@@ -191,22 +192,91 @@ def daily_volatility(df: DataFrame, span: int = 100) -> DataFrame:
     return out.withColumn("daily_vol", F.coalesce("daily_vol", first)).drop("_s", "_q", "_w", "_w2", "_v")
 
 
-def cusum_events(df: DataFrame, k: float = 5.0, n: int = 288) -> DataFrame:
-    """cusum_event: returns over their rolling deviation (population, a quarter of n at least), summed on both sides up to k."""
-    out = df.withColumn("_r", F.coalesce(pct_change("close"), F.lit(0.0)))
-    frame = last_rows(n)
-    deviation = F.when(F.count("_r").over(frame) >= max(8, n // 4), F.stddev_pop("_r").over(frame))
-    out = out.withColumn("_z", F.try_divide(F.col("_r"), F.nullif(deviation, F.lit(0.0))))
-    return along(out, {"cusum_event": lambda r: K.cusum(r["_z"].astype(float).to_numpy(), k)}, "byte").drop("_r", "_z")
+def with_events(df: DataFrame, name: str, kernel: Callable[..., tuple[np.ndarray, float, float]], inputs: Sequence[str], rows: int | None = None) -> DataFrame:
+    """Adds name, the events that kernel(*inputs, up, down) finds along each series; it takes the two sums that earlier rows
+    left and gives those that it leaves.
 
+    rows=None takes each series as one task. Else it is cut into chunks of so many rows. All run from sums of 0 first;
+    then those whose predecessor leaves other sums than they started from run again, until none does. Two paths meet
+    where both start anew, so a chunk mostly leaves the same sums wherever it starts from and the second round is the
+    last; the rounds are at most the chunks of a series, and the result is that of one pass in any case. Values and
+    sums are written to the shared folder, so a round does not depend on the rounds before it.
+    """
+    if rows is None:
+        return along(df, {name: lambda r: kernel(*(r[c].to_numpy(float) for c in inputs))[0]}, "byte")
+    spark, given = df.sparkSession, df.columns
+    folder = work_folder(spark, name)
+    numbered = row_numbers(df).withColumn("_chunk", F.floor((F.col("rn") - 1) / rows))
+    packed = F.sort_array(F.collect_list(F.struct("rn", *(F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in inputs))))
+    values = numbered.groupBy("symbol", "_chunk").agg(packed.alias("_v"))
+    values.select("symbol", "_chunk", *(F.col(f"_v.{c}").alias(c) for c in inputs)).write.parquet(f"{folder}/values")
+    values = spark.read.parquet(f"{folder}/values")
+
+    def sums(parts: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for part in parts:
+            left = [kernel(*(np.asarray(r[c], float) for c in inputs), r["up"], r["down"])[1:] for r in part.to_dict("records")]
+            yield part[["symbol", "_chunk", "up", "down"]].assign(up_left=[x for x, _ in left], down_left=[x for _, x in left])
+
+    def kept(states: DataFrame, turn: int) -> DataFrame:
+        states.write.parquet(f"{folder}/sums-{turn}")
+        return spark.read.parquet(f"{folder}/sums-{turn}")
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in values.select("symbol", "_chunk").dtypes) + ", up double, down double, up_left double, down_left double"
+    states, turn = kept(values.withColumn("up", F.lit(0.0)).withColumn("down", F.lit(0.0)).mapInPandas(sums, kinds), 0), 0
+    before = lambda c: F.coalesce(F.lag(c).over(W.partitionBy("symbol").orderBy("_chunk")), F.lit(0.0))
+    while True:
+        due = states.withColumn("_up", before("up_left")).withColumn("_down", before("down_left")).filter("_up <> up OR _down <> down")
+        due = due.select("symbol", "_chunk", F.col("_up").alias("up"), F.col("_down").alias("down"))
+        if due.isEmpty():
+            break
+        again, turn = values.join(due, ["symbol", "_chunk"]).mapInPandas(sums, kinds), turn + 1
+        states = kept(states.join(due.select("symbol", "_chunk"), ["symbol", "_chunk"], "left_anti").unionByName(again), turn)
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), f"`{name}` byte"])
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("rn")
+        return part[given].assign(**{name: kernel(*(part[c].to_numpy(float) for c in inputs), part["_up"].iloc[0], part["_down"].iloc[0])[0]})
+
+    starts = states.select("symbol", "_chunk", F.col("up").alias("_up"), F.col("down").alias("_down"))
+    return numbered.join(starts, ["symbol", "_chunk"]).groupBy("symbol", "_chunk").applyInPandas(run, schema)
+
+
+def _framed(df: DataFrame, feature: Callable[[DataFrame, Sequence[str]], DataFrame], halo: int, rows: int | None) -> DataFrame:
+    """A feature over row frames, on chunks where a series is long."""
+    return feature(df, PART) if rows is None else in_chunks(df, feature, halo, rows=max(rows, 2 * halo))
 
-def filter_events(df: DataFrame, n: int = 288, scale: float = 2.0, floor: float = 0.001, legacy: bool = False) -> DataFrame:
+
+def cusum_events(df: DataFrame, k: float = 5.0, n: int = 288, rows: int | None = None) -> DataFrame:
+    """cusum_event: returns over their rolling deviation (population, a quarter of n at least), summed on both sides up to k.
+    rows: as in with_events."""
+
+    def scores(out: DataFrame, part: Sequence[str]) -> DataFrame:
+        out, frame = out.withColumn("_r", F.coalesce(pct_change("close", 1, part), F.lit(0.0))), last_rows(n, part)
+        deviation = F.when(F.count("_r").over(frame) >= max(8, n // 4), F.stddev_pop("_r").over(frame))
+        return out.withColumn("_z", F.try_divide(F.col("_r"), F.nullif(deviation, F.lit(0.0))))
+
+    return with_events(_framed(df, scores, n, rows), "cusum_event", lambda z, *left: K.cusum_from(z, k, *left), ["_z"], rows).drop("_r", "_z")
+
+
+def filter_events(df: DataFrame, n: int = 288, scale: float = 2.0, floor: float = 0.001, legacy: bool = False, rows: int | None = None) -> DataFrame:
     """filter_event of the symmetric filter on log returns. Limit: scale times the mean so far of the rolling deviation
-    (legacy: the mean of the whole series, which looks ahead), or floor where unknown."""
-    out = df.withColumn("_r", F.ln("close") - F.ln(lag("close"))).withColumn("_p", pct_change("close")).withColumn("_s", std(F.col("_p"), n))
-    frame = W.partitionBy("symbol") if legacy else order().rowsBetween(W.unboundedPreceding, 0)
-    out = out.withColumn("_h", F.coalesce(scale * F.avg("_s").over(frame), F.lit(floor)))
-    return along(out, {"filter_event": lambda r: K.cusum_filter(r["_r"].astype(float).to_numpy(), r["_h"].astype(float).to_numpy())}, "byte").drop("_r", "_s", "_p", "_h")
+    (legacy: the mean of the whole series, which looks ahead), or floor where unknown. rows: as in with_events."""
+
+    def steps(out: DataFrame, part: Sequence[str]) -> DataFrame:
+        out = out.withColumn("_r", F.ln("close") - F.ln(lag("close", 1, part))).withColumn("_p", pct_change("close", 1, part))
+        return out.withColumn("_s", std(F.col("_p"), n, None, part))
+
+    out = _framed(df, steps, n, rows)
+    if rows is None:
+        frame = W.partitionBy("symbol") if legacy else order().rowsBetween(W.unboundedPreceding, 0)
+        out = out.withColumn("_m", F.avg("_s").over(frame))
+    elif legacy:
+        out = out.join(out.groupBy("symbol").agg(F.avg("_s").alias("_m")), "symbol")
+    else:
+        known = F.col("_s").isNotNull().cast("double")
+        out = recurrences(out, {"_total": (F.col("_s"), 1.0), "_count": (known, 1.0)}, rows).withColumn("_m", F.try_divide("_total", F.nullif(F.col("_count"), F.lit(0.0)))).drop("_total", "_count")
+    out = out.withColumn("_h", F.coalesce(scale * F.col("_m"), F.lit(floor)))
+    return with_events(out, "filter_event", K.cusum_filter_from, ["_r", "_h"], rows).drop("_r", "_s", "_p", "_m", "_h")
 
 
 def sliding(df: DataFrame, value: Column, width: int, columns: dict[str, Callable[[np.ndarray], np.ndarray]], least: int | None = None, every: int = 1, rows: int = 20_000) -> DataFrame:

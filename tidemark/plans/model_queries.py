@@ -38,6 +38,16 @@ def numbered(table: str, name: str = "h") -> str:
     return f"{name} AS MATERIALIZED (SELECT *, row_number() OVER ({O}) AS rn, close - {before} AS ch, close / nullif({before}, 0) - 1 AS r, CASE WHEN {before} IS NOT NULL THEN greatest(high - low, abs(high - {before}), abs(low - {before})) END AS tr, high - lag(high) OVER ({O}) AS up, lag(low) OVER ({O}) - low AS dn FROM {table})"
 
 
+def by_events(feature, **options):
+    """Events along bars, looked for in chunks where a series is long."""
+
+    def build(s, d):
+        df = B.bars(s, d)
+        return feature(df, rows=R.chunk_rows(df, R.EVENT_ROWS), **options)
+
+    return build
+
+
 HN = numbered("bars")
 H4 = """
 bars_h4 AS MATERIALIZED (SELECT symbol, time_bucket(INTERVAL 4 HOUR, ts) AS time, arg_max(value, (ts, event_id)) AS close, max(value) AS high, min(value) AS low FROM ticks GROUP BY ALL)"""
@@ -87,9 +97,9 @@ CUSUM = """steps(symbol, rn, up, dn, hit) AS (
   SELECT DISTINCT symbol, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0 FROM z
   UNION ALL SELECT symbol, rn, CASE WHEN hit THEN 0 ELSE up END, CASE WHEN hit THEN 0 ELSE dn END, hit::INT FROM (
     SELECT symbol, rn, up, dn, up > 5 OR dn < -5 AS hit FROM (SELECT z.symbol, z.rn, CASE WHEN z.z IS NULL THEN 0 ELSE greatest(0, s.up + z.z) END AS up, CASE WHEN z.z IS NULL THEN 0 ELSE least(0, s.dn + z.z) END AS dn FROM steps s JOIN z ON z.symbol = s.symbol AND z.rn = s.rn + 1)))"""
-register("cusum_events", on_bars(R.cusum_events), (*KEYS, "cusum_event"), (), "SELECT z.symbol, z.time, s.hit::TINYINT AS cusum_event FROM z JOIN steps s USING (symbol, rn)", (BARS, HN, Z, CUSUM))
-register("filter_events", on_bars(R.filter_events), (*KEYS, "filter_event"))
-register("filter_events_legacy", on_bars(R.filter_events, legacy=True), (*KEYS, "filter_event"))
+register("cusum_events", by_events(R.cusum_events), (*KEYS, "cusum_event"), (), "SELECT z.symbol, z.time, s.hit::TINYINT AS cusum_event FROM z JOIN steps s USING (symbol, rn)", (BARS, HN, Z, CUSUM))
+register("filter_events", by_events(R.filter_events), (*KEYS, "filter_event"))
+register("filter_events_legacy", by_events(R.filter_events, legacy=True), (*KEYS, "filter_event"))
 _BINS = lambda n: f"list_transform(range({n}), lambda i: len(list_filter(xs, lambda x: CASE WHEN mx > mn THEN least(floor((x - mn) / (mx - mn) * {n}), {n - 1}) ELSE {n // 2} END = i)) / len(xs))"
 _LISTS = lambda n: f"(SELECT *, list_min(xs) AS mn, list_max(xs) AS mx FROM (SELECT symbol, time, list(r) FILTER (r IS NOT NULL) OVER {rows(n)} AS xs FROM h))"
 _RANGE = lambda n: f"SELECT symbol, time, CASE WHEN len(xs) >= {n // 4} THEN -list_sum(list_transform(list_filter({_BINS(9)}, lambda p: p > 0), lambda p: p * log2(p))) END AS price_range_entropy_w{n} FROM {_LISTS(n)}"

@@ -8,8 +8,6 @@ sums) does need order: its ticks must arrive in the order of time from batch to
 
 from __future__ import annotations
 
-import uuid
-import warnings
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,21 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.sources.bars import OHLCV, resample
-
-DEFAULT_SHARED = "file:///tmp/checkpoints/tidemark"
-
-
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share. Without it a local session takes
-    DEFAULT_SHARED and says so, and a cluster's session is refused."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        warnings.warn(f"spark.checkpoint.dir is not set: work folders are below {DEFAULT_SHARED}", stacklevel=2)
-        base = DEFAULT_SHARED
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
+from tidemark.sources.shared import work_folder
 
 def watch(spark: SparkSession, path: str, schema, per_trigger: int = 256 << 20) -> DataFrame:
     """The files that are at a path (a folder, or a pattern of folders and files) or arrive there, as a stream; a micro-batch takes about so
