@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as S
+from tidemark.operators.ranks import quantiles
 from tidemark.sources.bars import OHLCV
 
 KEY = ("symbol", "time")
@@ -144,3 +145,19 @@ def known_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def columns_like(df: DataFrame, word: str) -> list[str]:
     """Columns whose name holds a word."""
     return [c for c in df.columns if word in c]
+
+
+#: Shares of the quantiles of a description.
+QUARTERS = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
+
+
+def describe(df: DataFrame, value: str = "close", move: Column | None = None, high: float = 0.8, ranges: int | None = None) -> DataFrame:
+    """Per symbol: n, mean, std, min, quartiles and max of a column, and p80_move, the `high` quantile of |move|. ranges: quantiles by
+    ranges of values (operators.ranks), for series that no task should hold; None where one task a series will do."""
+    rows = df.withColumn("_move", F.abs(F.lit(None).cast("double") if move is None else move))
+    plain = [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max")]
+    if ranges is None:
+        return rows.groupBy("symbol").agg(*plain, *(F.percentile(value, s).alias(c) for c, s in QUARTERS.items()), F.percentile("_move", high).alias("p80_move"))
+    levels = quantiles(rows, "symbol", value, list(QUARTERS.values()), ranges).select("symbol", *(F.col("_quantiles")[i].alias(c) for i, c in enumerate(QUARTERS)))
+    moves = quantiles(rows, "symbol", "_move", [high], ranges).select("symbol", F.col("_quantiles")[0].alias("p80_move"))
+    return rows.groupBy("symbol").agg(*plain).join(levels, "symbol", "left").join(moves, "symbol", "left")

@@ -14,6 +14,7 @@ from tidemark.functions import kernels as K
 from tidemark.functions.scalars import session_columns
 from tidemark.functions.windows import PART, diff, fill_forward, flag, lag, last_rows, mean, order, over_past, pct_change, rolling, row_numbers, std
 from tidemark.operators.align import as_of
+from tidemark.operators.ranks import ranks, tile
 
 Part = Sequence[str]
 
@@ -181,10 +182,14 @@ def permutation_entropy(df: DataFrame, n: int = 144, part: Part = PART) -> DataF
     return out.drop("_c", *(f"_p{k}" for k in (0, 2, 3, 4, 5, 7)))
 
 
-def encode_returns(df: DataFrame, bins: int = 4) -> DataFrame:
-    """sign_code 0, 1, 2 of the return; quantile_code 0 ... bins - 1 by global rank (a look-ahead, kept on request)."""
+def encode_returns(df: DataFrame, bins: int = 4, ranges: int | None = None) -> DataFrame:
+    """sign_code 0, 1, 2 of the return; quantile_code 0 ... bins - 1 by global rank (a look-ahead, kept on request). ranges: the
+    rank by ranges of returns (operators.ranks), for series that no task should sort; None where one task a series will do."""
     out = df.withColumn("_r", pct_change("close"))
     out = out.filter(F.col("_r").isNotNull()).withColumn("sign_code", (F.signum("_r") + 1).cast("int"))
+    if ranges is not None:
+        ranked = ranks(out, "symbol", "_r", ranges=ranges)
+        return ranked.withColumn("quantile_code", tile(F.col("_rank"), F.col("_of"), bins)).drop("_r", "_rank", "_of")
     return out.withColumn("quantile_code", F.ntile(bins).over(W.partitionBy("symbol").orderBy("_r", "time")) - 1).drop("_r")
 
 

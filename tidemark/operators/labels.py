@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import kernels as K
 from tidemark.functions.windows import PART, fill_forward, in_chunks, order, pct_change, row_numbers, std
 from tidemark.operators.align import as_of
+from tidemark.operators.ranks import quantiles
 
 
 def barrier_events(df: DataFrame, horizons: Sequence[int], vol_window: int = 288, base: float = 2.0, vol: Column | None = None) -> DataFrame:
@@ -92,9 +93,13 @@ def trend_scan(df: DataFrame, window: int = 60, least: int = 5, step: int = 1, e
     return out.withColumn("ret", F.when(~F.isnan("ret"), F.col("ret")))
 
 
-def strong_trends(scans: DataFrame, quantile: float = 0.8) -> DataFrame:
-    """Events whose |t| is over the quantile of all, with side, the sign of t."""
-    level = scans.groupBy("symbol").agg(F.percentile(F.abs("t_value"), quantile).alias("_level"))
+def strong_trends(scans: DataFrame, quantile: float = 0.8, ranges: int | None = None) -> DataFrame:
+    """Events whose |t| is over the quantile of all, with side, the sign of t. ranges: the quantile by ranges of |t|
+    (operators.ranks), for series that no task should hold; None where one task a series will do."""
+    if ranges is None:
+        level = scans.groupBy("symbol").agg(F.percentile(F.abs("t_value"), quantile).alias("_level"))
+    else:
+        level = quantiles(scans.select("symbol", F.abs("t_value").alias("_t")), "symbol", "_t", [quantile], ranges).select("symbol", F.col("_quantiles")[0].alias("_level"))
     return scans.join(level, "symbol").filter(F.abs("t_value") > F.col("_level")).withColumn("side", F.signum("t_value").cast("int")).drop("_level")
 
 

@@ -255,7 +255,9 @@ def cusum_events(df: DataFrame, k: float = 5.0, n: int = 288, rows: int | None =
         deviation = F.when(F.count("_r").over(frame) >= max(8, n // 4), F.stddev_pop("_r").over(frame))
         return out.withColumn("_z", F.try_divide(F.col("_r"), F.nullif(deviation, F.lit(0.0))))
 
-    return with_events(_framed(df, scores, n, rows), "cusum_event", lambda z, *left: K.cusum_from(z, k, *left), ["_z"], rows).drop("_r", "_z")
+    out = _framed(df if rows is None else row_numbers(df), scores, n, rows)
+    out = with_events(out, "cusum_event", lambda z, *left: K.cusum_from(z, k, *left), ["_z"], rows).drop("_r", "_z")
+    return out if "rn" in df.columns else out.drop("rn")
 
 
 def filter_events(df: DataFrame, n: int = 288, scale: float = 2.0, floor: float = 0.001, legacy: bool = False, rows: int | None = None) -> DataFrame:
@@ -266,7 +268,7 @@ def filter_events(df: DataFrame, n: int = 288, scale: float = 2.0, floor: float
         out = out.withColumn("_r", F.ln("close") - F.ln(lag("close", 1, part))).withColumn("_p", pct_change("close", 1, part))
         return out.withColumn("_s", std(F.col("_p"), n, None, part))
 
-    out = _framed(df, steps, n, rows)
+    out = _framed(df if rows is None else row_numbers(df), steps, n, rows)
     if rows is None:
         frame = W.partitionBy("symbol") if legacy else order().rowsBetween(W.unboundedPreceding, 0)
         out = out.withColumn("_m", F.avg("_s").over(frame))
@@ -276,7 +278,8 @@ def filter_events(df: DataFrame, n: int = 288, scale: float = 2.0, floor: float
         known = F.col("_s").isNotNull().cast("double")
         out = recurrences(out, {"_total": (F.col("_s"), 1.0), "_count": (known, 1.0)}, rows).withColumn("_m", F.try_divide("_total", F.nullif(F.col("_count"), F.lit(0.0)))).drop("_total", "_count")
     out = out.withColumn("_h", F.coalesce(scale * F.col("_m"), F.lit(floor)))
-    return with_events(out, "filter_event", K.cusum_filter_from, ["_r", "_h"], rows).drop("_r", "_s", "_p", "_m", "_h")
+    out = with_events(out, "filter_event", K.cusum_filter_from, ["_r", "_h"], rows).drop("_r", "_s", "_p", "_m", "_h")
+    return out if "rn" in df.columns else out.drop("rn")
 
 
 def sliding(df: DataFrame, value: Column, width: int, columns: dict[str, Callable[[np.ndarray], np.ndarray]], least: int | None = None, every: int = 1, rows: int = 20_000) -> DataFrame:

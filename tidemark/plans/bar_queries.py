@@ -8,6 +8,8 @@ from tidemark.functions import scalars as S
 from tidemark.functions import windows as win
 from tidemark.operators import align, cleaning
 from tidemark.operators import features as X
+from tidemark.operators.ranks import RANGES
+from tidemark.operators.recursive import chunk_rows
 from tidemark.plans.registry import BARS, DAILY, DIRTY, H1, register
 from tidemark.sources import bars as B
 from tidemark.sources import files
@@ -30,6 +32,20 @@ def on_bars(feature, **options):
     return lambda s, d: feature(B.bars(s, d), **options)
 
 
+def by_ranges(feature, **options):
+    """A feature by global ranks on bars: by ranges of values where a series is long."""
+
+    def build(s, d):
+        df = B.bars(s, d)
+        return feature(df, ranges=RANGES if chunk_rows(df) else None, **options)
+
+    return build
+
+
+def described(df, ranges=None):
+    return cleaning.describe(df, "close", F.col("close") - F.col("open"), 0.8, ranges)
+
+
 def in_chunks(feature, halo: int, **options):
     """A feature over fixed row frames, on chunks of each series."""
     return lambda s, d: win.in_chunks(B.bars(s, d), lambda df, part: feature(df, part=part, **options), halo)
@@ -169,7 +185,9 @@ register("permutation_entropy", in_chunks(X.permutation_entropy, 144), KEYS, ("p
 SELECT symbol, time, ({_PLOGP([f"p{k}" for k in (0, 2, 3, 4, 5, 7)])}) / log2(6) AS perm_entropy_w144 FROM (
   SELECT *, {", ".join(f"CASE WHEN count(c) OVER {rows(142)} >= 142 THEN avg((c = {k})::INT) OVER {rows(142)} END AS p{k}" for k in (0, 2, 3, 4, 5, 7))}
   FROM (SELECT *, 4 * (x <= y)::INT + 2 * (y <= close)::INT + (x <= close)::INT AS c FROM (SELECT *, lag(close, 2) OVER ({O}) AS x, lag(close) OVER ({O}) AS y FROM bars)))""")
-register("encode_returns", on_bars(X.encode_returns), (*KEYS, "sign_code", "quantile_code"), (), f"SELECT symbol, time, (sign(r) + 1)::INT AS sign_code, (ntile(4) OVER (PARTITION BY symbol ORDER BY r, time) - 1)::INT AS quantile_code FROM {_RET} WHERE r IS NOT NULL")
+_ENCODED = f"SELECT symbol, time, (sign(r) + 1)::INT AS sign_code, (ntile(4) OVER (PARTITION BY symbol ORDER BY r, time) - 1)::INT AS quantile_code FROM {_RET} WHERE r IS NOT NULL"
+register("encode_returns", by_ranges(X.encode_returns), (*KEYS, "sign_code", "quantile_code"), (), _ENCODED)
+register("encode_returns_ranges", on_bars(X.encode_returns, ranges=8), (*KEYS, "sign_code", "quantile_code"), (), _ENCODED)
 register("excursions", in_chunks(X.excursions, 287), KEYS, ("max_drawup_w288", "max_drawdown_w288"), f"SELECT symbol, time, close / ({full('min(close)', 'close', 288)}) - 1 AS max_drawup_w288, close / ({full('max(close)', 'close', 288)}) - 1 AS max_drawdown_w288 FROM bars")
 register("one_sided_deviation", in_chunks(X.one_sided_deviation, 576), KEYS, ("one_sided_dev_z_w288", "sub_martingale_z_w288", "super_martingale_z_w288"), f"""
 SELECT *, -one_sided_dev_z_w288 AS sub_martingale_z_w288, one_sided_dev_z_w288 AS super_martingale_z_w288 FROM (
@@ -230,5 +248,8 @@ register("inner_join_lagged", lambda s, d: X.returns(B.bars(s, d)).join(X.sma_cr
 register("purge_overlap", lambda s, d: align.purge(B.bars(s, d).select("symbol", F.col("time").alias("t0"), (F.col("time") + F.expr("INTERVAL 2 HOURS")).alias("t1")), B.bars(s, d).groupBy("symbol").agg(F.expr("min(time) + INTERVAL 5 DAYS").alias("start"), F.expr("min(time) + INTERVAL 8 DAYS").alias("end"))), ("symbol", "t0", "t1"), (), "SELECT b.symbol, time AS t0, time + INTERVAL 2 HOUR AS t1 FROM bars b JOIN (SELECT symbol, min(time) AS m FROM bars GROUP BY symbol) s ON b.symbol = s.symbol WHERE NOT (time <= m + INTERVAL 8 DAY AND time + INTERVAL 2 HOUR >= m + INTERVAL 5 DAY)")
 register("last_per_key", lambda s, d: align.last_per_key(B.bars(s, d).withColumn("day", F.to_date("time")), ["symbol", "day"], "time"), ("symbol", "day", "time"), ("close",), "SELECT *, time::DATE AS day FROM bars QUALIFY row_number() OVER (PARTITION BY symbol, time::DATE ORDER BY time DESC) = 1")
 register("value_shares", on_bars(lambda df: df.groupBy("symbol", F.signum(F.col("close") - F.col("open")).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / F.sum("n").over(win.W.partitionBy("symbol"))).withColumn("imbalance", F.min("n").over(win.W.partitionBy("symbol")) / F.max("n").over(win.W.partitionBy("symbol")))), ("symbol", "label", "n"), ("share", "imbalance"), "SELECT *, n / sum(n) OVER (PARTITION BY symbol) AS share, min(n) OVER (PARTITION BY symbol) / max(n) OVER (PARTITION BY symbol) AS imbalance FROM (SELECT symbol, sign(close - open)::INT AS label, count(*) AS n FROM bars GROUP BY ALL)")
-register("describe_close", on_bars(lambda df: df.groupBy("symbol").agg(F.count("close").alias("n"), F.avg("close").alias("mean"), F.stddev_samp("close").alias("std"), F.min("close").alias("min"), F.percentile("close", 0.25).alias("q25"), F.percentile("close", 0.5).alias("q50"), F.percentile("close", 0.75).alias("q75"), F.max("close").alias("max"), F.percentile(F.abs(F.col("close") - F.col("open")), 0.8).alias("p80_move"))), ("symbol", "n"), ("mean", "std", "min", "q25", "q50", "q75", "max", "p80_move"), "SELECT symbol, count(*) AS n, avg(close) AS mean, stddev_samp(close) AS std, min(close) AS min, quantile_cont(close, 0.25) AS q25, quantile_cont(close, 0.5) AS q50, quantile_cont(close, 0.75) AS q75, max(close) AS max, quantile_cont(abs(close - open), 0.8) AS p80_move FROM bars GROUP BY symbol")
+_DESCRIBED = ("mean", "std", "min", "q25", "q50", "q75", "max", "p80_move")
+_DESCRIBE = "SELECT symbol, count(*) AS n, avg(close) AS mean, stddev_samp(close) AS std, min(close) AS min, quantile_cont(close, 0.25) AS q25, quantile_cont(close, 0.5) AS q50, quantile_cont(close, 0.75) AS q75, max(close) AS max, quantile_cont(abs(close - open), 0.8) AS p80_move FROM bars GROUP BY symbol"
+register("describe_close", by_ranges(described), ("symbol", "n"), _DESCRIBED, _DESCRIBE)
+register("describe_close_ranges", on_bars(described, ranges=8), ("symbol", "n"), _DESCRIBED, _DESCRIBE)
 register("index_set_operations", lambda s, d: (lambda a, b: a.intersect(b).withColumn("kind", F.lit("both")).unionByName(a.exceptAll(b).withColumn("kind", F.lit("first"))).unionByName(a.union(b).distinct().withColumn("kind", F.lit("any"))))(B.bars(s, d).filter("volume > 40").select("symbol", "time"), B.bars(s, d).filter("close > 20").select("symbol", "time")), (*KEYS, "kind"), (), "SELECT symbol, time, 'both' AS kind FROM bars WHERE volume > 40 AND close > 20 UNION ALL SELECT symbol, time, 'first' FROM bars WHERE volume > 40 AND NOT close > 20 UNION ALL SELECT symbol, time, 'any' FROM bars WHERE volume > 40 OR close > 20")

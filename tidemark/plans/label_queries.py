@@ -14,7 +14,7 @@ from tidemark.operators import metrics as M
 from tidemark.operators import recursive as R
 from tidemark.operators import splits as V
 from tidemark.plans import master
-from tidemark.plans.bar_queries import KEYS, O, full, on_bars
+from tidemark.plans.bar_queries import KEYS, O, by_ranges, full, on_bars
 from tidemark.plans.registry import BARS, H1, register
 from tidemark.sources import bars as B
 
@@ -50,7 +50,15 @@ SCAN = """scans AS MATERIALIZED (
       FROM numbered q WHERE q.symbol = e.symbol AND q.rn BETWEEN e.rn AND p.rn) p2 ON true
     WHERE (e.rn - 1) % 12 = 0 AND e.rn + 287 <= (SELECT max(rn) FROM numbered z WHERE z.symbol = e.symbol)) GROUP BY ALL)"""
 register("trend_scan", on_bars(L.trend_scan, window=288, every=12), (*KEYS, "t1", "length", "bin"), ("t_value", "ret"), "SELECT symbol, time, b.e AS t1, b.n::INT AS length, sign(b.t)::INT AS bin, b.t AS t_value, b.r AS ret FROM scans", (BARS, RN, SCAN), digits=5)
-register("strong_trends", on_bars(lambda df: L.strong_trends(L.trend_scan(df, window=288, every=12))), (*KEYS, "side"), ("t_value",), "SELECT symbol, time, sign(b.t)::INT AS side, b.t AS t_value FROM scans QUALIFY abs(b.t) > quantile_cont(abs(b.t), 0.8) OVER (PARTITION BY symbol)", (BARS, RN, SCAN), digits=5)
+_STRONG = "SELECT symbol, time, sign(b.t)::INT AS side, b.t AS t_value FROM scans QUALIFY abs(b.t) > quantile_cont(abs(b.t), 0.8) OVER (PARTITION BY symbol)"
+
+
+def strong(df, ranges=None):
+    return L.strong_trends(L.trend_scan(df, window=288, every=12), ranges=ranges)
+
+
+register("strong_trends", by_ranges(strong), (*KEYS, "side"), ("t_value",), _STRONG, (BARS, RN, SCAN), digits=5)
+register("strong_trends_ranges", on_bars(strong, ranges=8), (*KEYS, "side"), ("t_value",), _STRONG, (BARS, RN, SCAN), digits=5)
 register("vertical_barrier", on_bars(lambda df: L.vertical_barrier(df.select(*KEYS), df, days=7)), (*KEYS, "vertical"), (), "SELECT a.symbol, a.time, b.time AS vertical FROM (SELECT symbol, time, time + INTERVAL 5 DAY AS due FROM bars) a ASOF LEFT JOIN bars b ON a.symbol = b.symbol AND a.due <= b.time")
 register("daily_change", on_bars(L.daily_change), KEYS, ("day_ret",), "SELECT a.symbol, a.time, a.close / b.close - 1 AS day_ret FROM (SELECT *, time - INTERVAL 1 DAY AS due FROM bars) a ASOF LEFT JOIN bars b ON a.symbol = b.symbol AND a.due >= b.time", (BARS,))
 

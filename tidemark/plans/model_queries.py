@@ -97,9 +97,25 @@ CUSUM = """steps(symbol, rn, up, dn, hit) AS (
   SELECT DISTINCT symbol, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0 FROM z
   UNION ALL SELECT symbol, rn, CASE WHEN hit THEN 0 ELSE up END, CASE WHEN hit THEN 0 ELSE dn END, hit::INT FROM (
     SELECT symbol, rn, up, dn, up > 5 OR dn < -5 AS hit FROM (SELECT z.symbol, z.rn, CASE WHEN z.z IS NULL THEN 0 ELSE greatest(0, s.up + z.z) END AS up, CASE WHEN z.z IS NULL THEN 0 ELSE least(0, s.dn + z.z) END AS dn FROM steps s JOIN z ON z.symbol = s.symbol AND z.rn = s.rn + 1)))"""
-register("cusum_events", by_events(R.cusum_events), (*KEYS, "cusum_event"), (), "SELECT z.symbol, z.time, s.hit::TINYINT AS cusum_event FROM z JOIN steps s USING (symbol, rn)", (BARS, HN, Z, CUSUM))
-register("filter_events", by_events(R.filter_events), (*KEYS, "filter_event"))
-register("filter_events_legacy", by_events(R.filter_events, legacy=True), (*KEYS, "filter_event"))
+_CUSUM = "SELECT z.symbol, z.time, s.hit::TINYINT AS cusum_event FROM z JOIN steps s USING (symbol, rn)"
+register("cusum_events", by_events(R.cusum_events), (*KEYS, "cusum_event"), (), _CUSUM, (BARS, HN, Z, CUSUM))
+register("cusum_events_chunks", on_bars(R.cusum_events, rows=700), (*KEYS, "cusum_event"), (), _CUSUM, (BARS, HN, Z, CUSUM))
+
+
+def sql_filter(frame: str) -> str:
+    """The symmetric filter row by row; frame: over which rows the mean of the deviation is taken."""
+    return f"""limits AS MATERIALIZED (SELECT symbol, time, rn, lr, coalesce(2 * avg(dev) OVER ({frame}), 0.001) AS h FROM (SELECT symbol, time, rn, ln(close) - ln(lag(close) OVER ({O})) AS lr, {full("stddev_samp(r)", "r", 288)} AS dev FROM h)),
+moves(symbol, rn, up, dn, hit) AS (
+  SELECT DISTINCT symbol, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0 FROM limits
+  UNION ALL SELECT symbol, rn, CASE WHEN known AND dn >= -h AND up > h THEN 0 ELSE up END, CASE WHEN known AND dn < -h THEN 0 ELSE dn END, (known AND (dn < -h OR up > h))::INT FROM (
+    SELECT l.symbol, l.rn, l.h, l.lr IS NOT NULL AS known, CASE WHEN l.lr IS NULL THEN m.up ELSE greatest(0, m.up + l.lr) END AS up, CASE WHEN l.lr IS NULL THEN m.dn ELSE least(0, m.dn + l.lr) END AS dn FROM moves m JOIN limits l ON l.symbol = m.symbol AND l.rn = m.rn + 1))"""
+
+
+_FILTER = "SELECT l.symbol, l.time, m.hit::TINYINT AS filter_event FROM limits l JOIN moves m USING (symbol, rn)"
+_SO_FAR = f"{O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+register("filter_events", by_events(R.filter_events), (*KEYS, "filter_event"), (), _FILTER, (BARS, HN, sql_filter(_SO_FAR)))
+register("filter_events_chunks", on_bars(R.filter_events, rows=700), (*KEYS, "filter_event"), (), _FILTER, (BARS, HN, sql_filter(_SO_FAR)))
+register("filter_events_legacy", by_events(R.filter_events, legacy=True), (*KEYS, "filter_event"), (), _FILTER, (BARS, HN, sql_filter("PARTITION BY symbol")))
 _BINS = lambda n: f"list_transform(range({n}), lambda i: len(list_filter(xs, lambda x: CASE WHEN mx > mn THEN least(floor((x - mn) / (mx - mn) * {n}), {n - 1}) ELSE {n // 2} END = i)) / len(xs))"
 _LISTS = lambda n: f"(SELECT *, list_min(xs) AS mn, list_max(xs) AS mx FROM (SELECT symbol, time, list(r) FILTER (r IS NOT NULL) OVER {rows(n)} AS xs FROM h))"
 _RANGE = lambda n: f"SELECT symbol, time, CASE WHEN len(xs) >= {n // 4} THEN -list_sum(list_transform(list_filter({_BINS(9)}, lambda p: p > 0), lambda p: p * log2(p))) END AS price_range_entropy_w{n} FROM {_LISTS(n)}"
@@ -152,7 +168,7 @@ def on_models(use):
 register("model_out_of_fold", on_models(lambda df: ML.positive_probability(ML.out_of_fold(df, V.expanding(df, 2), ML.binary_model(FEATURES, "up", "fast", **FEW))).withColumn("split", F.col("split").cast("int"))), (*KEYS, "split"), ("win_prob",))
 register("model_multiclass", on_models(lambda df: ML.multiclass_model(FEATURES, "code").fit(df).transform(df)), KEYS, ("prediction",))
 register("model_importances", on_models(lambda df: ML.mean_importance(df.sparkSession.createDataFrame([(k, f, v) for k in ("fast", "balanced") for f, v in ML.importances(ML.binary_model(FEATURES, "up", k, **FEW).fit(df), FEATURES)], "model string, feature string, importance double"))), ("feature",), ("importance",))
-register("model_search", on_models(lambda df: ML.search(df, V.expanding(df, 2), FEATURES, "code", 3, trees=(50, 100), depths=(3, 5, 8))), ("trial", "trees", "depth", "split"), ("accuracy",))
+register("model_search", on_models(lambda df: ML.search(df, V.expanding(df, 2), FEATURES, "code", 3, space={"trees": [50, 100], "depth": [3, 5, 8]})), ("trial", "trees", "depth", "split"), ("accuracy",))
 
 register("model_persisted", on_models(lambda df: ML.positive_probability(ML.saved(ML.binary_model(FEATURES, "up", "fast", **FEW).fit(df), ST.work_folder(df.sparkSession, "model")).transform(df))), KEYS, ("win_prob",))
 register("model_per_label", on_models(lambda df: ML.positive_probability(ML.fit_labels(df.withColumn("never", F.lit(0.0)), FEATURES, ("up", "never"), **FEW)["up"].transform(df))), KEYS, ("win_prob",))
