@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from statistics import NormalDist
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
@@ -23,6 +25,29 @@ BINARY = {
 CLASSES = {"numTrees": 200, "maxDepth": 5, "subsamplingRate": 0.8}
 SIZES = {"maxIter": 300, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8}
 
+#: A part of a search space: choices, or (low, high, kind) with the kinds int, float and log (even in the logarithm).
+Space = list | tuple[float, float, str]
+FORESTS: dict[str, Space] = {"trees": [100, 200, 300, 500], "depth": [3, 4, 5, 6, 7, 8]}
+
+# The published search spaces of boosted trees.
+_WIDE = {"n_estimators": (100, 1000, "int"), "max_depth": (3, 10, "int"), "learning_rate": (0.01, 0.3, "log"), "subsample": (0.6, 1.0, "float"), "colsample_bytree": (0.6, 1.0, "float"), "gamma": (0.0, 5.0, "float")}
+_NARROW = {"n_estimators": (100, 1000, "int"), "max_depth": (3, 8, "int"), "learning_rate": (0.01, 0.2, "float"), "subsample": (0.7, 1.0, "float"), "colsample_bytree": (0.7, 1.0, "float"), "gamma": (0.0, 2.0, "float"), "reg_alpha": (0.0, 1.0, "float"), "reg_lambda": (0.0, 1.0, "float")}
+_PENALTIES = {"min_child_weight": (1, 10, "int"), "reg_alpha": (1e-8, 2.0, "log"), "reg_lambda": (1e-8, 2.0, "log")}
+_COLUMNS = {"colsample_bylevel": (0.6, 1.0, "float"), "colsample_bynode": (0.6, 1.0, "float")}
+#: Spaces by version.
+SPACES: dict[str, dict[str, Space]] = {
+    "single": _WIDE,
+    "v1": _NARROW,
+    "v1_short": _NARROW | {"n_estimators": (50, 300, "int")},
+    "v2": _WIDE | _COLUMNS | _PENALTIES,
+    "v3": _WIDE | _COLUMNS | _PENALTIES,
+    "v4": _WIDE | _COLUMNS | _PENALTIES,
+    "v5": _WIDE | _PENALTIES,
+    "v6": _WIDE | _PENALTIES,
+}
+#: Names of settings here and in pyspark.ml; shares of columns are multiplied, and its trees have no penalties on weights.
+TREE_SETTINGS = {"n_estimators": "maxIter", "max_depth": "maxDepth", "learning_rate": "stepSize", "subsample": "subsamplingRate", "gamma": "minInfoGain", "min_child_weight": "minInstancesPerNode"}
+
 
 def assembler(features: Sequence[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
@@ -82,19 +107,115 @@ def out_of_fold(df: DataFrame, splits: DataFrame, model: Pipeline, key: Sequence
     return out
 
 
-def search(df: DataFrame, splits: DataFrame, features: Sequence[str], label: str, trials: int = 100, seed: int = 42, patience: int = 20, tolerance: float = 1e-3, trees: Sequence[int] = (100, 200, 300, 500), depths: Sequence[int] = (3, 4, 5, 6, 7, 8)) -> DataFrame:
-    """Seeded random search over forests: one row per trial and split with its accuracy. Stops when the best of the last
-    `patience` trials moves less than `tolerance`."""
-    draw, rows, best = random.Random(seed), [], []
+def draw(space: Mapping[str, Space], rng: random.Random) -> dict[str, float | int]:
+    """Settings drawn evenly from a space."""
+    return {name: _value(part, rng.random()) for name, part in space.items()}
+
+
+def _value(part: Space, u: float) -> float | int:
+    """What lies at the share u of a part of a space."""
+    if isinstance(part, list):
+        return part[min(int(u * len(part)), len(part) - 1)]
+    low, high, kind = part
+    if kind == "log":
+        return min(max(math.exp(math.log(low) + u * (math.log(high) - math.log(low))), low), high)
+    return min(low + int(u * (high - low + 1)), high) if kind == "int" else low + u * (high - low)
+
+
+def _place(part: Space, value: float) -> float:
+    """The share at which a value lies; that of a choice or whole number is the middle of its share."""
+    if isinstance(part, list):
+        return (part.index(value) + 0.5) / len(part)
+    low, high, kind = part
+    if kind == "log":
+        return (math.log(value) - math.log(low)) / (math.log(high) - math.log(low))
+    return (value - low + 0.5) / (high - low + 1) if kind == "int" else (value - low) / (high - low)
+
+
+class _Density:
+    """Density of shares near some trials: a bell around each, as wide as the gap to its farther neighbour, and one even part,
+    so that nothing is ruled out. For choices, how often each was taken, and once more."""
+
+    def __init__(self, part: Space, places: Sequence[float]):
+        self.choices = len(part) if isinstance(part, list) else 0
+        if self.choices:
+            self.weights = [1.0] * self.choices
+            for u in places:
+                self.weights[int(u * self.choices)] += 1
+            return
+        edges = [0.0, *sorted(places), 1.0]
+        least = 1 / min(100, len(places) + 1)
+        self.bells = [(m, max(m - edges[i], edges[i + 2] - m, least)) for i, m in enumerate(edges[1:-1])]
+
+    def take(self, rng: random.Random) -> float:
+        if self.choices:
+            return (rng.choices(range(self.choices), self.weights)[0] + 0.5) / self.choices
+        at = rng.randrange(len(self.bells) + 1)
+        if at == len(self.bells):
+            return rng.random()
+        middle, width = self.bells[at]
+        while True:
+            u = rng.gauss(middle, width)
+            if 0 <= u <= 1:
+                return u
+
+    def at(self, u: float) -> float:
+        if self.choices:
+            return self.weights[min(int(u * self.choices), self.choices - 1)] / sum(self.weights)
+        total = 1.0
+        for middle, width in self.bells:
+            inside = NormalDist(middle, width).cdf(1) - NormalDist(middle, width).cdf(0)
+            total += NormalDist(middle, width).pdf(u) / inside
+        return total / (len(self.bells) + 1)
+
+
+def propose(space: Mapping[str, Space], seen: Sequence[tuple[Mapping[str, float], float]], rng: random.Random, start: int = 10, candidates: int = 24) -> dict[str, float | int]:
+    """The next settings to try, given settings and scores (higher is better) of the trials so far.
+
+    The first `start` are drawn evenly. Then the best tenth (25 at most) is told from the rest, and each setting is that of
+    `candidates` draws near the good trials which is densest among them against the others.
+    """
+    if len(seen) < start:
+        return draw(space, rng)
+    ranked = [s for s, _ in sorted(seen, key=lambda x: -x[1])]
+    good = min(-(-len(ranked) // 10), 25)
+    out = {}
+    for name, part in space.items():
+        places = [_place(part, s[name]) for s in ranked]
+        near, far = _Density(part, places[:good]), _Density(part, places[good:])
+        out[name] = _value(part, max((near.take(rng) for _ in range(candidates)), key=lambda u: near.at(u) / far.at(u)))
+    return out
+
+
+def boosted(features: Sequence[str], label: str, seed: int = 42, classes: int = 2, **settings) -> Pipeline:
+    """Boosted trees with settings by their names in SPACES; for more than two classes, one such model for each against the rest."""
+    known = {TREE_SETTINGS[k]: v for k, v in settings.items() if k in TREE_SETTINGS}
+    share = math.prod(v for k, v in settings.items() if k.startswith("colsample"))
+    trees = GBTClassifier(labelCol=label, seed=seed, featureSubsetStrategy="all" if share == 1 else str(share), **known)
+    return Pipeline(stages=[assembler(features), trees if classes == 2 else OneVsRest(classifier=trees, labelCol=label)])
+
+
+def forest(features: Sequence[str], label: str, seed: int = 42, trees: int = 200, depth: int = 5) -> Pipeline:
+    return multiclass_model(features, label, seed, numTrees=trees, maxDepth=depth)
+
+
+def search(df: DataFrame, splits: DataFrame, features: Sequence[str], label: str, trials: int = 100, seed: int = 42, patience: int = 20, tolerance: float = 1e-3, space: Mapping[str, Space] = FORESTS, model: Callable[..., Pipeline] = forest) -> DataFrame:
+    """Seeded search over a space: model(features, label, seed, **settings) is tried with settings that propose() draws. One row
+    per trial and split with the settings and the accuracy; a trial's score is the mean over splits. Stops when the best
+    of the last `patience` trials moves less than `tolerance`."""
+    rng, rows, seen, best = random.Random(seed), [], [], []
     for trial in range(trials):
-        size, depth = draw.choice(list(trees)), draw.choice(list(depths))
-        scored = out_of_fold(df, splits, multiclass_model(features, label, seed, numTrees=size, maxDepth=depth))
+        settings = propose(space, seen, rng)
+        scored = out_of_fold(df, splits, model(features, label, seed, **settings))
         found = scored.groupBy("split").agg(F.avg((F.col("prediction") == F.col(label)).cast("double")).alias("accuracy")).collect()
-        rows += [(trial, size, depth, int(r["split"]), float(r["accuracy"])) for r in found]
-        best.append(max(sum(r["accuracy"] for r in found) / len(found), best[-1] if best else 0))
+        rows += [(trial, *settings.values(), int(r["split"]), float(r["accuracy"])) for r in found]
+        score = sum(r["accuracy"] for r in found) / len(found)
+        seen.append((settings, score))
+        best.append(max(score, best[-1] if best else 0))
         if len(best) >= patience and max(best[-patience:]) - min(best[-patience:]) < tolerance:
             break
-    return df.sparkSession.createDataFrame(rows, "trial int, trees int, depth int, split int, accuracy double")
+    kinds = ", ".join(f"`{k}` {'int' if isinstance(_value(p, 0.0), int) else 'double'}" for k, p in space.items())
+    return df.sparkSession.createDataFrame(rows, f"trial int, {kinds}, split int, accuracy double")
 
 
 def importances(model: PipelineModel, features: Sequence[str]) -> list[tuple[str, float]]:
