@@ -183,6 +183,10 @@ def test_catalog_helpers(spark, bars):
     bars.createOrReplaceTempView("m5_bars")
     found = {r["name"]: r for r in files.inspect(spark).collect()}
     assert found["m5_bars"]["rows"] == bars.count() and files.bar_tables(spark) == ["m5_bars"]
+    both = bars.withColumn("timeframe", F.when(F.minute("time") == 0, "H1").otherwise("M5"))
+    held = {(r["symbol"], r["timeframe"]): r["rows"] for r in files.timeframes(both).collect()}
+    assert sum(held.values()) == bars.count() and held["click", "H1"] == bars.filter("symbol = 'click' AND minute(time) = 0").count()
+    assert {(r["timeframe"], r["rows"]) for r in files.timeframes(bars.filter("symbol = 'view'")).collect()} == {(None, bars.filter("symbol = 'view'").count())}
     assert files.sample(bars, 10).count() == 10 and rows(files.sample(bars, 10)) == rows(files.sample(bars, 10))
     source = files.broker_bars(spark, "eur", 12_000)
     assert source.count() == source.distinct().count() == 12_000 and source.rdd.getNumPartitions() == 3

@@ -102,3 +102,24 @@ def test_sadf_starts_from_the_beginning(spark):
             want = K.sadf(np.log(close[: t + 1 : 2]), 34, 3, constant=True, trend=True)
             assert events[s, t] == [pytest.approx(want, rel=1e-6), int(want > -2.86)]
     assert plain["boom", 10] == [None] and plain["boom", 149][0] > cut["boom", 149][0]
+
+
+@pytest.mark.parametrize("lags, constant, trend", [(0, False, False), (2, True, True), (3, True, True)])
+def test_sadf_by_pairs_of_blocks(spark, lags, constant, trend):
+    """Blocks of 16 values, so that most windows have blocks between their ends; one stretch is straight, one value missing."""
+    rng = np.random.default_rng(5)
+    y = 50 + np.cumsum(rng.normal(size=150))
+    y[60:90] = y[60] + 0.5 * np.arange(30)
+    values = [None if i == 40 else float(v) for i, v in enumerate(y)]
+    rows = [(k, i, v) for k, part in (("long", values), ("short", values[:20]), ("least", values[:3])) for i, v in enumerate(part)]
+    df = spark.createDataFrame(rows, "symbol string, i int, close double").withColumn("time", F.timestamp_seconds(F.col("i") * 300))
+    got = R.by_block_pairs(df, F.col("close"), "sadf", 12, lags, constant, trend, rows=16)
+    assert got.columns == [*df.columns, "sadf"]
+    got = got.toPandas().sort_values("i")
+    for k, part in (("long", values), ("short", values[:20]), ("least", values[:3])):
+        want = K.sadf_ends(np.array([np.nan if v is None else v for v in part]), 0, 12, lags, constant, trend)
+        mine = got[got["symbol"] == k]["sadf"].astype(float).to_numpy()
+        exact = np.abs(want) > 1e6  # a window without residuals: what is divided by is rounding noise in either form
+        assert set(np.flatnonzero(exact)) <= set(range(60, 90)) and (np.abs(mine[exact]) > 1e6).all()
+        np.testing.assert_allclose(mine[~exact], want[~exact], rtol=1e-6)
+    assert R.by_block_pairs(df.limit(0), F.col("close"), "sadf", 12, lags, constant, trend, rows=16).count() == 0

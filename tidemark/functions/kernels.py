@@ -322,6 +322,80 @@ def sadf_ends(y: np.ndarray, first: int, least: int, lags: int = 0, constant: bo
     return out
 
 
+def adf_rows(y: np.ndarray, lags: int, constant: bool, trend: bool, level: float, origin: float, scale: float) -> np.ndarray:
+    """Regressors and what they explain, one row a fit's row: [constant, trend,] lagged changes, y less level (with a constant,
+    which takes that up), change. Rows begin after `lags` changes; the trend is (row - origin) / scale."""
+    d = np.diff(y)
+    i = np.arange(lags, len(d))
+    columns = [np.ones(len(i))] if constant else []
+    columns += [(i - lags - origin) / scale] if trend else []
+    columns += [d[i - j] for j in range(1, lags + 1)]
+    return np.stack([*columns, y[i] - (level if constant else 0.0), d[i]])
+
+
+def moved(products: np.ndarray, shift: float, later: float, trend: bool) -> np.ndarray:
+    """Products of adf_rows (with a constant) as they are with y higher by shift and the trend by later."""
+    a = np.eye(len(products))
+    a[-2, 0] = shift
+    if trend:
+        a[1, 0] = later
+    return a @ products @ a.T
+
+
+def sadf_between(ends: np.ndarray, starts: np.ndarray, between: np.ndarray, gap: int, least: int, lags: int = 0, constant: bool = False, trend: bool = False) -> np.ndarray:
+    """The largest ADF t value for each end in one block over all starts in an earlier one. `ends` and `starts` are the blocks'
+    values (with the lags + 1 values of the next block that their last rows need), gap is the rows from the first of
+    starts to the first of ends, between the products of all rows in the blocks between, as adf_rows(ends) has them.
+
+    Products grow from the end block's first row to both sides and are never differences of sums. Where they are close to
+    singular, a window of these two blocks is fitted by itself; one with blocks between, of which only the products are
+    here, by their pseudo-inverse. (Where values lie on a straight line and a fit leaves no residuals, t is rounding noise
+    in any form.)
+    """
+    level, size = ends[lags], float(len(starts))
+    after = adf_rows(ends, lags, constant, trend, level, 0.0, size)
+    before = adf_rows(starts, lags, constant, trend, level, float(gap), size)
+    k = len(after) - 1
+    pairs = [(p, q) for p in range(k + 1) for q in range(p, k + 1)]
+    grown = {(p, q): (before[p] * before[q])[::-1].cumsum()[::-1] + between[p, q] for p, q in pairs}
+    added = {(p, q): (after[p] * after[q]).cumsum() for p, q in pairs}
+    out = np.full(after.shape[1], np.nan)
+    for b in range(after.shape[1]):
+        rows = gap + b + 1 - np.arange(before.shape[1])
+        m = {pq: grown[pq] + added[pq][b] for pq in pairs}
+        whole, weak = {p: m[p, p] for p in range(k + 1)}, np.zeros(len(rows), bool)
+        with np.errstate(all="ignore"):
+            for p in range(k):
+                weak |= ~(m[p, p] > 1e-9 * whole[p])
+                if p < k - 1:
+                    for q in range(p + 1, k + 1):
+                        share = m[p, q] / m[p, p]
+                        for r in range(q, k + 1):
+                            m[q, r] = m[q, r] - share * m[p, r]
+            rho = m[k - 1, k] / m[k - 1, k - 1]
+            rest = m[k, k] - rho * m[k - 1, k]
+            weak |= ~(rest > 1e-9 * whole[k])
+            t = rho / np.sqrt(rest / (rows - k) / m[k - 1, k - 1])
+        short = (rows <= k) | (rows < max(1, least - lags - 1))
+        t[short] = np.nan
+        for w in np.flatnonzero(weak & ~short):
+            if gap == len(starts) - lags - 1:  # neighbours
+                t[w] = adf_t(np.concatenate([starts[w:gap], ends[: b + lags + 2]]), lags, constant, trend)
+            else:
+                full = np.array([[grown[min(p, q), max(p, q)][w] + added[min(p, q), max(p, q)][b] for q in range(k + 1)] for p in range(k + 1)])
+                plain = np.eye(k + 1)  # y itself and a trend of 0, 1, ..., as adf_t has them: a singular fit depends on that
+                if constant:
+                    plain[k - 1, 0] = level
+                if trend:
+                    plain[1, :2] = gap - w, size
+                order = [k - 1, *range(int(constant) + int(trend), k - 1), *range(int(constant) + int(trend)), k]
+                full = (plain @ full @ plain.T)[np.ix_(order, order)]
+                t[w] = t_of_products(full[np.triu_indices(k + 1)], k + 1, int(rows[w]))
+        if not np.isnan(t).all():
+            out[b] = np.nanmax(t)
+    return out
+
+
 # kernels along one series --------------------------------------------------------------------------------------------
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import kernels as K
-from tidemark.functions.windows import PART, fill_forward, flag, in_chunks, lag, last_rows, mean, order, over_past, pct_change, row_numbers, std
+from tidemark.functions.windows import PART, fill_forward, flag, in_chunks, lag, last_rows, mean, order, pct_change, row_numbers, std
 from tidemark.operators.align import as_of
 from tidemark.sources.shared import work_folder
 
@@ -358,4 +358,79 @@ def sadf_sequence(df: DataFrame, window: int | None = None, least: int = 12) ->
 def _sadf(df: DataFrame, value: Column, name: str, window: int | None, least: int, lags: int = 0, constant: bool = False, trend: bool = False) -> DataFrame:
     if window is not None:
         return sliding(df, value, window, {name: lambda w: np.array([K.sadf(x, least, lags, constant, trend) for x in w])})
-    return over_past(df, value, [name], lambda y, first: [K.sadf_ends(y, first, least, lags, constant, trend)], rows=512)
+    return by_block_pairs(df, value, name, least, lags, constant, trend)
+
+
+def by_block_pairs(df: DataFrame, value: Column, name: str, least: int, lags: int = 0, constant: bool = False, trend: bool = False, rows: int = 2048) -> DataFrame:
+    """Adds name, the supremum ADF of value at each row over all starts from the beginning of its series; missing values are
+    left out.
+
+    A series is cut into blocks of `rows` values. Each pair of a block of ends and an earlier (or the same) block of starts
+    is a task of its own that gets these two blocks and the products of all rows between them, some 30 numbers; a row's
+    statistic is the largest of its pairs. So no task holds more than two blocks, however long the series, and for n rows
+    8 n * n / rows bytes are shuffled.
+    """
+    given = "rn" in df.columns
+    numbered = row_numbers(df)
+    known = row_numbers(numbered.select("symbol", "time", F.col("rn").alias("_rn"), value.cast("double").alias("_v")).filter("_v IS NOT NULL AND NOT isnan(_v)"), name="_m")
+    at = F.col("_m") - 1
+    own = F.floor(at / rows)
+    also = F.array_compact(F.array(own, F.when((at % rows <= lags) & (own > 0), own - 1)))
+    packed = F.transform(F.sort_array(F.collect_list(F.struct("_m", "_v"))), lambda x: x["_v"])
+    blocks = known.withColumn("_end", F.explode(also)).groupBy("symbol", "_end").agg(packed.alias("_y")).filter(F.size("_y") > lags + 1)
+    folder = work_folder(df.sparkSession, name)
+    blocks.write.parquet(f"{folder}/blocks")
+    blocks = df.sparkSession.read.schema(blocks.schema).parquet(f"{folder}/blocks")
+    size = float(rows + lags + 1)
+
+    def totals(parts: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for part in parts:
+            sums, levels = [], []
+            for y in part["_y"]:
+                y = np.asarray(y, float)
+                x = K.adf_rows(y, lags, constant, trend, y[lags], 0.0, size)
+                sums.append((x @ x.T).ravel())
+                levels.append(y[lags])
+            yield part[["symbol", "_end"]].assign(_sums=sums, _level=levels)
+
+    def between(part: pd.DataFrame) -> pd.DataFrame:
+        """For one block of ends: the products of the blocks between it and each earlier one, from near to far."""
+        part = part.sort_values("_start", ascending=False)
+        end, level = part["_end"].iloc[0], part["_level"].iloc[0]
+        total, found = 0.0, []
+        for start, sums, own_level in zip(part["_start"], part["_sums"], part["_level"], strict=True):
+            m = np.asarray(sums, float)
+            side = round(len(m) ** 0.5)
+            found.append(np.zeros(len(m)) + np.ravel(total))
+            if start < end:
+                m = m.reshape(side, side)
+                total = total + (K.moved(m, own_level - level, (start - end) * rows / size, trend) if constant else m)
+        return part[["symbol", "_end", "_start"]].assign(_y=found)
+
+    spread = F.max("_end").over(W.partitionBy("symbol"))
+    kinds = {c: t for c, t in blocks.dtypes}
+    sums = blocks.mapInPandas(totals, f"symbol {kinds['symbol']}, _end bigint, _sums array<double>, _level double")
+    later = lambda b: b.withColumn("_last", spread).withColumnRenamed("_end", "_start").withColumn("_end", F.explode(F.sequence("_start", "_last"))).drop("_last")
+    inner = later(sums).groupBy("symbol", "_end").applyInPandas(between, f"symbol {kinds['symbol']}, _end bigint, _start bigint, _y array<double>")
+    starts = later(blocks.select("symbol", "_end", "_y")).filter("_start < _end")
+    ends = blocks.withColumn("_start", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_end"))))
+    columns = ["symbol", "_end", "_start", "_y"]
+    pairs = ends.select(*columns, F.lit(0).alias("_kind")).unionByName(starts.select(*columns, F.lit(1).alias("_kind"))).unionByName(inner.select(*columns, F.lit(2).alias("_kind")))
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        held = {k: np.asarray(y, float) for k, y in zip(part["_kind"], part["_y"], strict=True)}
+        end, start = int(part["_end"].iloc[0]), int(part["_start"].iloc[0])
+        if start == end:
+            best = K.sadf_ends(held[0], 0, least, lags, constant, trend)
+            place = end * rows + np.arange(len(best)) + 1
+        else:
+            side = round(len(held[2]) ** 0.5)
+            best = K.sadf_between(held[0], held[1], held[2].reshape(side, side), (end - start) * rows, least, lags, constant, trend)
+            place = end * rows + lags + 1 + np.arange(len(best)) + 1
+        keep = ~np.isnan(best)
+        return pd.DataFrame({"symbol": part["symbol"].iloc[0], "_m": place[keep], name: best[keep]})
+
+    found = pairs.groupBy("symbol", "_end", "_start").applyInPandas(run, f"symbol {kinds['symbol']}, _m bigint, `{name}` double")
+    best = known.join(found.groupBy("symbol", "_m").agg(F.max(name).alias(name)), ["symbol", "_m"]).select("symbol", F.col("_rn").alias("rn"), name)
+    out = numbered.join(best, ["symbol", "rn"], "left").select(*df.columns, *([] if given else ["rn"]), name)
+    return out if given else out.drop("rn")

@@ -89,6 +89,13 @@ def inspect(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(found, "name string, temporary boolean, columns array<string>, rows long")
 
 
+def timeframes(df: DataFrame) -> DataFrame:
+    """What a table of bars holds, by symbol and timeframe (null where df has no such column): rows, and the first and last time."""
+    at = next(c for c in df.columns if c.lower() in ("time", "timestamp", "datetime"))
+    frame = F.col("timeframe").cast("string") if "timeframe" in df.columns else F.lit(None).cast("string")
+    return df.groupBy("symbol", frame.alias("timeframe")).agg(F.count(F.lit(1)).alias("rows"), F.min(at).alias("first"), F.max(at).alias("last"))
+
+
 def bar_tables(spark: SparkSession) -> list[str]:
     """Tables that look like five-minute bars: by name or timeframe, and with a time and prices."""
     out = []
