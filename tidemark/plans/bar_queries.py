@@ -69,6 +69,8 @@ register("scan_latest", lambda s, d: cleaning.latest(B.bars(s, d), 200), KEYS, O
 register("scan_range", lambda s, d: cleaning.scan_range(B.bars(s, d), "click", "2024-01-05", "2024-01-12"), KEYS, OHLCV, "SELECT * FROM bars WHERE symbol = 'click' AND time BETWEEN '2024-01-05' AND '2024-01-12'")
 register("scan_range_newest", lambda s, d: cleaning.scan_range(timed(B.dirty_bars(B.bars(s, d))), "click", "2024-01-05", "2024-01-05 20:00:00", "batch"), (*KEYS, "batch"), OHLCV, "SELECT symbol, time, batch, open, high, low, close, volume FROM (SELECT * REPLACE (strptime(replace(substr(time, 1, 19), 'T', ' '), '%Y-%m-%d %H:%M:%S') AS time) FROM dirty) WHERE symbol = 'click' AND time BETWEEN '2024-01-05' AND '2024-01-05 20:00:00' QUALIFY row_number() OVER (PARTITION BY time ORDER BY batch DESC) = 1", (BARS, DIRTY))
 
+register("timeframe_counts", lambda s, d: files.timeframes(B.bars(s, d).withColumn("timeframe", F.lit("M5")).unionByName(B.bars(s, d, "1 hour").withColumn("timeframe", F.lit("H1")))), ("symbol", "timeframe", "rows", "first", "last"), (), "SELECT symbol, timeframe, count(*) AS rows, min(time) AS first, max(time) AS last FROM (SELECT symbol, time, 'M5' AS timeframe FROM bars UNION ALL SELECT symbol, time, 'H1' FROM bars_h1) GROUP BY ALL", (BARS, H1))
+
 # cleaning -----------------------------------------------------------------------------------------------------------
 _T = "strptime(replace(substr(time, 1, 19), 'T', ' '), '%Y-%m-%d %H:%M:%S')"
 register("validate_bars", lambda s, d: cleaning.validate_bars(timed(B.dirty_bars(B.bars(s, d)))), KEYS, OHLCV, f"SELECT symbol, t AS time, open, high, low, close, volume FROM (SELECT *, {_T} AS t FROM dirty) WHERE minute(t) % 5 = 0 AND low <= high AND greatest(open, close) <= high AND least(open, close) >= low QUALIFY row_number() OVER (PARTITION BY symbol, t ORDER BY batch DESC) = 1", (BARS, DIRTY))
