@@ -104,7 +104,7 @@ register("cusum_events_chunks", on_bars(R.cusum_events, rows=700), (*KEYS, "cusu
 
 def sql_filter(frame: str) -> str:
     """The symmetric filter row by row; frame: over which rows the mean of the deviation is taken."""
-    return f"""limits AS MATERIALIZED (SELECT symbol, time, rn, lr, coalesce(2 * avg(dev) OVER ({frame}), 0.001) AS h FROM (SELECT symbol, time, rn, ln(close) - ln(lag(close) OVER ({O})) AS lr, {full("stddev_samp(r)", "r", 288)} AS dev FROM h)),
+    return f"""limits AS MATERIALIZED (SELECT symbol, time, rn, lr, coalesce(2 * avg(dev) OVER ({frame}), 0.001) AS h FROM (SELECT symbol, time, rn, ln(nullif(close, 0)) - ln(nullif(lag(close) OVER ({O}), 0)) AS lr, {full("stddev_samp(r)", "r", 288)} AS dev FROM h)),
 moves(symbol, rn, up, dn, hit) AS (
   SELECT DISTINCT symbol, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0 FROM limits
   UNION ALL SELECT symbol, rn, CASE WHEN known AND dn >= -h AND up > h THEN 0 ELSE up END, CASE WHEN known AND dn < -h THEN 0 ELSE dn END, (known AND (dn < -h OR up > h))::INT FROM (
