@@ -104,7 +104,7 @@ def test_sadf_starts_from_the_beginning(spark):
     assert plain["boom", 10] == [None] and plain["boom", 149][0] > cut["boom", 149][0]
 
 
-@pytest.mark.parametrize("lags, constant, trend", [(0, False, False), (2, True, True), (3, True, True)])
+@pytest.mark.parametrize("lags, constant, trend", [(0, False, False), (0, True, False), (2, True, True), (3, True, True)])
 def test_sadf_by_pairs_of_blocks(spark, lags, constant, trend):
     """Blocks of 16 values, so that most windows have blocks between their ends; one stretch is straight, one value missing."""
     rng = np.random.default_rng(5)
