@@ -247,6 +247,19 @@ def test_language_model(docs, order, monkeypatch):
         assert got[i][4:] == pytest.approx(e[4:], rel=1e-9)
 
 
+@pytest.mark.parametrize("order", [2, 3])
+def test_language_model_of_one_frequent_word(spark, order):
+    # Every second token is one word, so that its n-grams are parted and its histories put together again.
+    r = random.Random(21)
+    rows = [(i, " ".join(f"the v{r.randrange(60)}" for _ in range(r.randint(5, 30))) + (" the" if i % 3 else "")) for i in range(60)]
+    docs = table(spark, rows).repartition(4)
+    ranges = ngram_lm.fit(docs, order=order).ranges
+    assert max(ranges.parts) > 1 and ranges.parts.sum() <= ranges.n + len(ranges.parts)
+    got = found(ngram_lm.lm_scoring(docs, order=order), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    for i, e in brute.lm(rows, ngram_lm.discounts, order).items():
+        assert got[i][:4] == e[:4] and got[i][4:] == pytest.approx(e[4:], rel=1e-9)
+
+
 def test_language_model_beats_unigrams(spark):
     r = random.Random(8)
     rows = [(i, " ".join(f"k{(i + j) % 40}" for j in range(r.randint(20, 60)))) for i in range(150)]

@@ -2,6 +2,8 @@
 
 Words and n-grams are known by 64-bit hashes. The hash of an n-gram or history starts with the first bits of its last
 history word, so one hash range holds all n-grams of all orders around that word: one shuffle is enough for all levels.
+A word with more tokens after it than a range should take is parted by the word that follows; what its histories add up to
+is then put together in the shuffle that counts words.
 Each range is a file in the shared folder. Workers map a file when they first need it and look up sorted batches of
 distinct n-grams, so only the pages they need are read.
 """
@@ -12,7 +14,7 @@ import os
 import uuid
 from collections import OrderedDict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,8 @@ ORDER = 2
 CHUNK = 32 << 20
 #: Files that a task keeps mapped; each takes one map and one descriptor.
 MAPS = 256
-#: Bits of a history word that choose its range, so the most ranges there can be; the manifest has two rows for each.
+#: Bits of a history word that choose its range, so the most ranges there can be. Parts of frequent words add as many again
+#: at most, and the manifest has two rows for each.
 BITS = 18
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0xE6546B64C2B2AE35)
 _LOW48 = np.uint64((1 << 48) - 1)
@@ -69,6 +72,35 @@ def _range(keys: np.ndarray, n: int) -> np.ndarray:
     return (((keys >> np.uint64(64 - BITS)) * np.uint64(n)) >> np.uint64(BITS)).astype(np.int64)
 
 
+@dataclass
+class Ranges:
+    """Where n-grams and histories are kept: one of n ranges by the first bits of the last history word, or one of the parts
+    of those bits where more tokens have them than a range should take. Parts are chosen by the next word for n-grams, by
+    the history itself for what it adds up to."""
+
+    n: int
+    #: Such bits in order, the number of their first part, and how many parts they have.
+    bits: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    parts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+
+    @classmethod
+    def of(cls, n: int, total: int, frequent: list[tuple[int, int]]) -> Ranges:
+        """frequent: (first bits, tokens) of those with more than total / n tokens."""
+        bits, counts = np.array(sorted(frequent), np.int64).reshape(-1, 2).T
+        parts = -(-counts * n // max(1, total))
+        return cls(n, bits.astype(np.uint64), n + np.cumsum(parts) - parts, parts)
+
+    def place(self, histories: np.ndarray, by: np.ndarray) -> np.ndarray:
+        out = _range(histories, self.n)
+        if len(self.bits):
+            bits = histories >> np.uint64(64 - BITS)
+            at = np.minimum(np.searchsorted(self.bits, bits), len(self.bits) - 1)
+            at, frequent = at[hit := self.bits[at] == bits], np.flatnonzero(hit)
+            out[frequent] = self.first[at] + (mix(by[frequent] & _LOW48) % self.parts[at].astype(np.uint64)).astype(np.int64)
+        return out
+
+
 def _word_range(words: np.ndarray, n: int) -> np.ndarray:
     """Range of a word by the low 48 bits, which n-grams keep of it."""
     return (((words & _LOW48) >> np.uint64(48 - BITS)) * np.uint64(n) >> np.uint64(BITS)).astype(np.int64)
@@ -134,8 +166,19 @@ def _unique(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[order][heads], order[heads], np.add.reduceat(counts[order], heads) if len(heads) else counts
 
 
-def _gram_counts(n: int, order: int):
-    """N-grams of each task with their counts, packed by the range of the last history word."""
+def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many tokens of each task follow words with the same first bits."""
+    counts = np.zeros(1 << BITS, np.int64)
+    for piece in pieces(batches):
+        _, (before,), _ = tokens(piece, 2)
+        bits, back = np.unique(before >> np.uint64(64 - BITS), return_inverse=True)
+        counts[bits.astype(np.int64)] += np.bincount(back, minlength=len(bits))
+    some = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(counts[some], pa.int64())], names=["bits", "tokens"])
+
+
+def _gram_counts(ranges: Ranges, order: int):
+    """N-grams of each task with their counts, packed by range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, list[np.ndarray]]] = []
@@ -145,13 +188,13 @@ def _gram_counts(n: int, order: int):
             past = [np.concatenate([x[k] for _, x in held]) for k in range(order - 1)]
             histories = history_keys(past)
             _, at, counts = _unique(gram_keys(histories[-1], words), np.ones(len(words), np.int64))
-            turn = np.lexsort((histories[-1][at], past[0][at]))
-            at, counts = at[turn], counts[turn]
+            place = ranges.place(past[0][at], words[at])
+            turn = np.lexsort((histories[-1][at], past[0][at], place))
+            at, counts, place = at[turn], counts[turn], place[turn]
             words, past = words[at], [x[at] for x in past]
-            ranges = _range(past[0], n)
-            cuts = _heads(ranges)
-            ends = np.append(cuts[1:], len(ranges))
-            return pa.RecordBatch.from_arrays([pa.array(ranges[cuts], pa.int32()), pa.array([_encode([x[a:b] for x in past], words[a:b], counts[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary())], names=["bucket", "data"])
+            cuts = _heads(place)
+            ends = np.append(cuts[1:], len(place))
+            return pa.RecordBatch.from_arrays([pa.array(place[cuts], pa.int32()), pa.array([_encode([x[a:b] for x in past], words[a:b], counts[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary())], names=["bucket", "data"])
 
         size = 0
         for piece in pieces(batches):
@@ -192,21 +235,27 @@ def _of_counts(counts: np.ndarray) -> list[int]:
     return np.bincount(np.minimum(counts, 5), minlength=6)[1:5].tolist()
 
 
-def _level(keys: np.ndarray, histories: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
-    """The arrays of one level: n-grams with counts over one, those counts, n-grams that occur once; histories with their
-    totals and how many words follow them once, twice, more often; histories whose total is one."""
+def _totals(histories: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each history, and its total and how many words follow it once, twice, more often."""
     history, back = np.unique(histories, return_inverse=True)
     stats = np.zeros((len(history), 4), np.uint64)
     stats[:, 0] = np.bincount(back, counts, len(history))
     for i in range(3):
         stats[:, i + 1] = np.bincount(back, (counts == i + 1) if i < 2 else (counts > 2), len(history))
-    once, lone = counts == 1, stats[:, 0] == 1
-    return [keys[~once], counts[~once], keys[once], history[~lone], stats[~lone], history[lone]]
+    return history, stats
+
 
+def _held(history: np.ndarray, stats: np.ndarray) -> list[np.ndarray]:
+    """Histories with their totals, and those whose total is one."""
+    lone = stats[:, 0] == 1
+    return [history[~lone], stats[~lone], history[lone]]
 
-def _histories(n: int, order: int, folder: str):
-    """Merges one range of n-grams; writes the arrays of all levels, and passes on how many histories each word follows there
-    and how often it occurs."""
+
+def _histories(n: int, order: int, folder: str, ranges: Ranges | None = None):
+    """Merges one range of n-grams; writes the arrays of all levels (n-grams with counts over one, those counts, n-grams that
+    occur once; after those of all levels the histories), and passes on how many histories each word follows there and
+    how often it occurs. A part of a frequent word passes on what it adds to each history, too."""
+    ranges = ranges or Ranges(n)
 
     def run(table: pa.Table) -> pa.Table:
         parts = [_decode(x, order) for x in table["data"].to_pylist()]
@@ -215,20 +264,27 @@ def _histories(n: int, order: int, folder: str):
         histories = history_keys(past)
         follows, back = np.unique(words, return_inverse=True)
         occurs = np.bincount(back, counts).astype(np.int64)
-        total, arrays, of_counts = int(counts.sum()), [], []
+        bucket, total, arrays, totals, of_counts, rows = int(table["bucket"][0].as_py()), int(counts.sum()), [], [], [], []
         for k in range(order - 2, -1, -1):
             keys, at, counts = _unique(gram_keys(histories[k], words), counts)
             words, histories = words[at], [x[at] for x in histories]
-            arrays = _level(keys, histories[k], counts) + arrays
+            once, (history, stats) = counts == 1, _totals(histories[k], counts)
+            arrays = [keys[~once], counts[~once], keys[once], *arrays]
+            if bucket < n:
+                totals = _held(history, stats) + totals
+            else:
+                place = ranges.place(history, history)
+                packed = np.column_stack([np.full(len(history), k, np.uint64), history, stats])
+                rows += [{"bucket": int(b), "kind": "stats", "data": packed[place == b].astype("<u8").tobytes()} for b in np.unique(place)]
             of_counts = _of_counts(counts) + of_counts
             counts = np.ones(len(words), np.int64)  # lower levels count the different n-grams that end in each
         times = np.bincount(np.searchsorted(follows, words), minlength=len(follows))
-        name, sizes = _save(folder, arrays)
-        ranges = _word_range(follows, n)
-        cuts = _heads(ranges)
-        ends = np.append(cuts[1:], len(ranges))
-        rows = [{"bucket": int(table["bucket"][0].as_py()), "kind": "grams", "name": name, "sizes": sizes, "stats": [total, *of_counts]}]
-        rows += [{"bucket": int(ranges[a]), "kind": "words", "data": np.uint64(b - a).tobytes() + _six(follows[a:b]) + np.uint64(len(x := _small(times[a:b]))).tobytes() + x + _small(occurs[a:b])} for a, b in zip(cuts, ends, strict=True)]
+        name, sizes = _save(folder, arrays + totals)
+        place = _word_range(follows, n)
+        cuts = _heads(place)
+        ends = np.append(cuts[1:], len(place))
+        rows.insert(0, {"bucket": bucket, "kind": "grams", "name": name, "sizes": sizes, "stats": [total, *of_counts]})
+        rows += [{"bucket": int(place[a]), "kind": "words", "data": np.uint64(b - a).tobytes() + _six(follows[a:b]) + np.uint64(len(x := _small(times[a:b]))).tobytes() + x + _small(occurs[a:b])} for a, b in zip(cuts, ends, strict=True)]
         return pa.Table.from_pylist(rows, _ROW)
 
     return run
@@ -241,8 +297,8 @@ def _word_rows(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _from_six(data[8 : at - 8]), _from_small(data[at : at + size], k), _from_small(data[at + size :], k)
 
 
-def _words(folder: str):
-    """Adds up one range of words; rows of the step before that name files pass through."""
+def _words(order: int, folder: str):
+    """Adds up one range of words, or of the histories of frequent words; rows of the step before that name files pass through."""
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
@@ -254,6 +310,17 @@ def _words(folder: str):
             several = occurs > 1
             name, sizes = _save(folder, [words[several], times[several], occurs[several], words[~several]])
             out.append({"bucket": rows[0]["bucket"], "kind": "words", "data": None, "name": name, "sizes": sizes, "stats": [int(times.sum()), len(words), *_of_counts(times)]})
+        parts = [np.frombuffer(r["data"], "<u8").reshape(-1, 6) for r in rows if r["kind"] == "stats"]
+        if parts:
+            added, arrays = np.concatenate(parts), []
+            for k in range(order - 1):
+                mine = added[added[:, 0] == k]
+                history, back = np.unique(mine[:, 1], return_inverse=True)
+                stats = np.zeros((len(history), 4), np.uint64)
+                np.add.at(stats, back, mine[:, 2:])
+                arrays += _held(history, stats)
+            name, sizes = _save(folder, arrays)
+            out.append({"bucket": rows[0]["bucket"], "kind": "stats", "data": None, "name": name, "sizes": sizes, "stats": None})
         return pa.Table.from_pylist(out, _ROW)
 
     return run
@@ -276,7 +343,7 @@ class Model:
     """Where the arrays are and the few numbers about the whole corpus; small enough to go with each task."""
 
     order: int
-    ranges: int
+    ranges: Ranges
     folder: str
     files: dict[tuple[str, int], tuple[str, list[int]]]
     train_tokens: int
@@ -304,16 +371,19 @@ def fit(docs: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
     spark = docs.sparkSession
     n, folder = min(buckets(docs, text_col), 1 << BITS), fresh(spark, "grams")
     rows = docs.select(F.col(text_col).alias("text"))
-    counted = rows.mapInArrow(_gram_counts(n, order), "bucket int, data binary")
-    merged = counted.groupBy("bucket").applyInArrow(_histories(n, order, folder), _ROW_DDL)
-    manifest = written(merged.groupBy("bucket").applyInArrow(_words(folder), _ROW_DDL).drop("data"), "manifest").collect()
+    leads = written(rows.mapInArrow(_leads, "bits long, tokens long").groupBy("bits").agg(F.sum("tokens").alias("tokens")), "leads")
+    total = leads.agg(F.sum("tokens")).first()[0] or 0
+    ranges = Ranges.of(n, total, [tuple(r) for r in leads.filter(F.col("tokens") > total / n).collect()])
+    counted = rows.mapInArrow(_gram_counts(ranges, order), "bucket int, data binary")
+    merged = counted.groupBy("bucket").applyInArrow(_histories(n, order, folder, ranges), _ROW_DDL)
+    manifest = written(merged.groupBy("bucket").applyInArrow(_words(order, folder), _ROW_DDL).drop("data"), "manifest").collect()
     grams = [r for r in manifest if r["kind"] == "grams"]
     words = [r for r in manifest if r["kind"] == "words"]
     add = lambda rows, i: sum(r["stats"][i] for r in rows)
     levels = [discounts([add(grams, 1 + 4 * k + i) for i in range(4)]) for k in range(order - 1)]
     word_counts = [add(words, i) for i in range(2, 6)]
     files = {(r["kind"], r["bucket"]): (r["name"], r["sizes"]) for r in manifest}
-    return Model(order, n, folder, files, add(grams, 0), add(words, 1), levels, discounts(word_counts), word_counts, add(words, 0))
+    return Model(order, ranges, folder, files, add(grams, 0), add(words, 1), levels, discounts(word_counts), word_counts, add(words, 0))
 
 
 class Lookup:
@@ -344,43 +414,47 @@ class Lookup:
         hit = np.flatnonzero(keys[at] == wanted)
         return hit, at[hit]
 
-    def _by_range(self, kind: str, ranges: np.ndarray) -> Iterator[tuple[list[np.ndarray], slice]]:
-        edges = np.searchsorted(ranges, np.arange(self.model.ranges + 1))
-        for b in np.unique(ranges).tolist():
-            if (arrays := self.arrays(kind, b)) is not None:
-                yield arrays, slice(int(edges[b]), int(edges[b + 1]))
+    def _by_range(self, kind: str, place: np.ndarray) -> Iterator[tuple[list[np.ndarray], np.ndarray]]:
+        """Arrays of each range, and which of the wanted are there; kind totals: those of histories."""
+        order = np.argsort(place, kind="stable")
+        for mine in np.split(order, _heads(place[order])[1:]):
+            if not len(mine):
+                continue
+            b = int(place[mine[0]])
+            arrays = self.arrays(kind if kind != "totals" else "grams" if b < self.model.ranges.n else "stats", b)
+            if arrays is not None:
+                yield arrays[-3 * (self.model.order - 1) :] if kind == "totals" else arrays, mine
 
     def history(self, level: int, wanted: np.ndarray) -> np.ndarray:
         """Total of each (sorted) history of level + 1 words, and how many words follow it once, twice, more often."""
         out = np.zeros((len(wanted), 4))
-        for arrays, s in self._by_range("grams", _range(wanted, self.model.ranges)):
-            histories, stats, lone = arrays[6 * level + 3 : 6 * level + 6]
-            mine = out[s]
-            hit, at = self._find(histories, wanted[s])
-            mine[hit] = stats.reshape(-1, 4)[at]
-            hit, _ = self._find(lone, wanted[s])
-            mine[hit, :2] = 1
+        for arrays, mine in self._by_range("totals", self.model.ranges.place(wanted, wanted)):
+            histories, stats, lone = arrays[3 * level : 3 * level + 3]
+            hit, at = self._find(histories, wanted[mine])
+            out[mine[hit]] = stats.reshape(-1, 4)[at]
+            hit, _ = self._find(lone, wanted[mine])
+            out[mine[hit], :2] = 1
         return out
 
-    def gram(self, level: int, wanted: np.ndarray) -> np.ndarray:
+    def gram(self, level: int, wanted: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """Count of each (sorted) n-gram; words: the last of each."""
         out = np.zeros(len(wanted))
-        for arrays, s in self._by_range("grams", _range(wanted, self.model.ranges)):
-            keys, counts, singles = arrays[6 * level : 6 * level + 3]
-            mine = out[s]
-            hit, at = self._find(keys, wanted[s])
-            mine[hit] = counts[at]
-            hit, _ = self._find(singles, wanted[s])
-            mine[hit] = 1
+        for arrays, mine in self._by_range("grams", self.model.ranges.place(wanted, words)):
+            keys, counts, singles = arrays[3 * level : 3 * level + 3]
+            hit, at = self._find(keys, wanted[mine])
+            out[mine[hit]] = counts[at]
+            hit, _ = self._find(singles, wanted[mine])
+            out[mine[hit]] = 1
         return out
 
     def words(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """How many histories each word (sorted low 48 bits) follows, and how often it occurs."""
         times, occurs = np.zeros(len(wanted)), np.zeros(len(wanted))
-        for (words, follows, counts, lone), s in self._by_range("words", _word_range(wanted, self.model.ranges)):
-            hit, at = self._find(words, wanted[s])
-            times[s][hit], occurs[s][hit] = follows[at], counts[at]
-            hit, _ = self._find(lone, wanted[s])
-            times[s][hit] = occurs[s][hit] = 1
+        for (words, follows, counts, lone), mine in self._by_range("words", _word_range(wanted, self.model.ranges.n)):
+            hit, at = self._find(words, wanted[mine])
+            times[mine[hit]], occurs[mine[hit]] = follows[at], counts[at]
+            hit, _ = self._find(lone, wanted[mine])
+            times[mine[hit]] = occurs[mine[hit]] = 1
         return times, occurs
 
     def score(self, words: np.ndarray, past: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -394,8 +468,8 @@ class Lookup:
         for level, history in enumerate(history_keys(past)):
             held, place = np.unique(history, return_inverse=True)
             known = self.history(level, held)
-            keys, again = np.unique(gram_keys(history, words), return_inverse=True)
-            joint = self.gram(level, keys)[again]
+            keys, one, again = np.unique(gram_keys(history, words), return_index=True, return_inverse=True)
+            joint = self.gram(level, keys, words[one])[again]
             d = m.discounts[level]
             total, rest = known[:, 0][place], (known[:, 1:] @ d[1:])[place]
             seen = total > 0
