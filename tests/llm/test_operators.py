@@ -142,6 +142,25 @@ def test_jaccard_in_a_cluster_of_many_sizes(spark, monkeypatch):
     assert found(jaccard.jaccard_join(df), "n_shingles", "component_id", "n_links") == want
 
 
+@pytest.mark.parametrize("hot", [1, 1000])
+def test_jaccard_with_a_passage_in_all_texts(spark, monkeypatch, hot):
+    # hot 1: no n-gram is dealt by class; 1000: those of the passage are, and no range has many of the classes.
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    passage, r = " ".join(f"b{j}" for j in range(20)), random.Random(4)
+    rows = []
+    for i in range(200):
+        own = [f"o{i}x{j}" for j in range(r.randint(1, 12))]
+        rows += [(3 * i, f"{passage} {' '.join(own)}"), (3 * i + 1, f"{passage} {' '.join(own[:-1] + ['z'] * (i % 3))}")]
+    df = table(spark, rows).repartition(3)
+    assert found(jaccard.jaccard_join(df), "n_shingles", "component_id", "n_links") == brute.jaccard(rows)
+    grams, _ = jaccard.hot_grams(df, 5, 80)
+    assert (len(grams) > 0) == (hot == 1000)
+    packed = df.select("text").mapInArrow(jaccard._prefix_rows(8, 5, 80, grams), "bucket int, data binary").collect()
+    largest = {b: len(jaccard._decode([x["data"] for x in packed if x["bucket"] == b])[0]) for b in {x["bucket"] for x in packed}}
+    by_class = [k for b, k in largest.items() if b >= 8]
+    assert len(by_class) == (8 if hot == 1000 else 0) and max(by_class, default=0) < 0.25 * len(rows)
+
+
 def test_components(spark):
     r = random.Random(4)
     pairs = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(500, 500), (None, 3)] + [(900 + i, 901 + i) for i in range(40)]

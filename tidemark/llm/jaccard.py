@@ -3,6 +3,7 @@
 1. Every text becomes a set of hashed word n-grams; equal sets form one class, known by a 128-bit hash of the set.
 2. Linked sets x and y share at least ceil(T max(|x|, |y|)) n-grams, so of the smallest hashes of each, a prefix of
    |x| - ceil(T |x|) + c holds c common ones. A class with too few prefix n-grams that any other class has is out.
+   N-grams that very many classes have are found first, and dealt by class: their frequencies are known by then.
 3. Of those n-grams a class keeps all but its most frequent ones (as many as can be spared); classes that share a kept
    one are candidates, and their connected components are the clusters.
 4. In each cluster the sets, ordered from the rarest n-gram to the commonest, form a trie. All members walk it at once:
@@ -30,6 +31,9 @@ WORDS, PERCENT = 5, 80
 CHUNK = 16 << 20
 #: Sets, and n-grams in them, that one task takes of a cluster; larger clusters are joined by pairs of such blocks.
 BLOCK, BLOCK_GRAMS = 1024, 4 << 20
+#: An n-gram with more than one in HOT of all prefix rows is dealt by class; there are fewer than HOT of them.
+HOT = 1000
+_LOW48 = np.uint64((1 << 48) - 1)
 
 
 def spare(n: np.ndarray) -> np.ndarray:
@@ -137,55 +141,89 @@ def _deal(keys: np.ndarray, classes: np.ndarray, grams: np.ndarray) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(keys[cuts], pa.int32()), pa.array([_encode(classes[a:b], grams[a:b]) for a, b in zip(cuts, ends, strict=True)], pa.binary())], names=["bucket", "data"])
 
 
-def _prefix_rows(n: int, words: int, percent: int):
-    """Prefixes of the distinct sets of each task, dealt by n-gram."""
+def _prefixes(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Classes and n-grams (48 bits) of the prefixes of the distinct sets of each chunk."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    seen: set[bytes] = set()
+
+    def pack() -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([np.zeros(0, KEY), *(x for x, _ in held)]), np.concatenate([np.zeros(0, np.uint64), *(x for _, x in held)])
+
+    size = 0
+    for piece in pieces(batches):
+        grams, bounds = shingle_sets(piece, words)
+        keys, counts = class_keys(grams, bounds), np.diff(bounds)
+        new = np.zeros(len(piece), bool)
+        for i, k in enumerate(keys.tolist()):
+            if k not in seen and counts[i]:
+                seen.add(k)
+                new[i] = True
+        take = np.where(new, counts - least_overlap(counts, percent) + spare(counts), 0)
+        take = np.minimum(take, counts)
+        place = np.arange(len(grams)) - np.repeat(bounds[:-1], counts)
+        held.append((np.repeat(keys, take), grams[place < np.repeat(take, counts)] & _LOW48))
+        size += len(piece.data)
+        if size >= CHUNK:
+            yield pack()
+            held, size, seen = [], 0, set()
+    yield pack()
+
+
+def _heavy(words: int, percent: int):
+    """N-grams that several sets of a chunk and one in HOT of its prefix rows have, and (without an n-gram) all its rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        seen: set[bytes] = set()
+        for _, grams in _prefixes(batches, words, percent):
+            values, counts = np.unique(grams, return_counts=True)
+            heavy = counts >= max(2, len(grams) / HOT)
+            found = [None, *values[heavy].astype(np.int64).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([len(grams), *counts[heavy].tolist()], pa.int64())], names=["gram", "rows"])
 
-        def pack() -> pa.RecordBatch:
-            classes = np.concatenate([np.zeros(0, KEY), *(x for x, _ in held)])
-            grams = np.concatenate([np.zeros(0, np.uint64), *(x for _, x in held)])
-            return _deal((grams % np.uint64(n)).astype(np.int32), classes, grams)
+    return run
 
-        size = 0
-        for piece in pieces(batches):
-            grams, bounds = shingle_sets(piece, words)
-            keys, counts = class_keys(grams, bounds), np.diff(bounds)
-            new = np.zeros(len(piece), bool)
-            for i, k in enumerate(keys.tolist()):
-                if k not in seen and counts[i]:
-                    seen.add(k)
-                    new[i] = True
-            take = np.where(new, counts - least_overlap(counts, percent) + spare(counts), 0)
-            take = np.minimum(take, counts)
-            place = np.arange(len(grams)) - np.repeat(bounds[:-1], counts)
-            held.append((np.repeat(keys, take), grams[place < np.repeat(take, counts)]))
-            size += len(piece.data)
-            if size >= CHUNK:
-                yield pack()
-                held, size, seen = [], 0, set()
-        yield pack()
+
+def hot_grams(rows: DataFrame, words: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams (ascending) that surely have more than one in HOT of all prefix rows, with the rows so known; any other
+    has at most two in HOT, and one row a chunk."""
+    known = written(rows.mapInArrow(_heavy(words, percent), "gram long, rows long").groupBy("gram").agg(F.sum("rows").alias("rows")), "heavy")
+    total = known.filter("gram is null").agg(F.sum("rows")).first()[0] or 0
+    found = sorted(known.filter(F.col("gram").isNotNull() & (F.col("rows") * HOT > total)).select("gram", "rows").collect())
+    return np.array([x["gram"] for x in found], np.uint64), np.array([x["rows"] for x in found], np.int64)
+
+
+def _ranges(classes: np.ndarray, grams: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
+    """One of n ranges of n-grams; for hot ones, one of n more by class."""
+    by_class = (classes.view("<u8").reshape(-1, 2)[:, 0] % np.uint64(n)).astype(np.int32)
+    return np.where(np.isin(grams, hot), n + by_class, (grams % np.uint64(n)).astype(np.int32)).astype(np.int32)
+
+
+def _prefix_rows(n: int, words: int, percent: int, hot: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for classes, grams in _prefixes(batches, words, percent):
+            yield _deal(_ranges(classes, grams, hot, n), classes, grams)
 
     return run
 
 
-_SHARED = np.dtype([("docs", "<u4"), ("gram", "<u8")])
+_SHARED = np.dtype([("docs", "<u8"), ("gram", "<u8")])
 
 
-def _shared_grams(table: pa.Table) -> pa.Table:
-    """Of one range of n-grams, those that several classes have, with their number, by class."""
+def _shared_grams(table: pa.Table, n: int, hot: np.ndarray, rows_of_hot: np.ndarray) -> pa.Table:
+    """Of one range of n-grams, those that several classes have, with their number (of hot ones, the rows known), by class."""
     names, classes, grams = _decode(table["data"].to_pylist())
     order = np.lexsort((classes, grams))
     classes, grams = classes[order], grams[order]
     new = np.ones(len(grams), bool)
     new[1:] = (grams[1:] != grams[:-1]) | (classes[1:] != classes[:-1])
     classes, grams = classes[new], grams[new]
-    _, back, counts = np.unique(grams, return_inverse=True, return_counts=True)
-    several = counts[back] > 1
+    if table["bucket"][0].as_py() >= n:
+        docs = rows_of_hot[np.searchsorted(hot, grams)]
+    else:
+        _, back, counts = np.unique(grams, return_inverse=True, return_counts=True)
+        docs = counts[back]
+    several = docs > 1
     rows = np.zeros(int(several.sum()), _SHARED)
-    rows["docs"], rows["gram"] = counts[back][several], grams[several]
+    rows["docs"], rows["gram"] = docs[several], grams[several]
     classes = classes[several]
     order = np.argsort(classes, kind="stable")
     classes, rows = classes[order], rows[order]
@@ -194,7 +232,7 @@ def _shared_grams(table: pa.Table) -> pa.Table:
     return pa.table({"class": keys_out(names[classes[cuts]]), "data": pa.array([rows[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())})
 
 
-def _kept_grams(n: int, percent: int):
+def _kept_grams(n: int, percent: int, hot: np.ndarray):
     """Drops classes with too few shared n-grams, and of the others the most frequent ones that can be spared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,21 +245,26 @@ def _kept_grams(n: int, percent: int):
                     kept = found["gram"][np.lexsort((found["gram"], found["docs"]))][: len(found) - least + 1]
                     classes.append(np.full(len(kept), key, KEY))
                     grams.append(kept)
-            grams = np.concatenate([np.zeros(0, np.uint64), *grams])
-            yield _deal((grams % np.uint64(n)).astype(np.int32), np.concatenate([np.zeros(0, KEY), *classes]), grams)
+            classes, grams = np.concatenate([np.zeros(0, KEY), *classes]), np.concatenate([np.zeros(0, np.uint64), *grams])
+            yield _deal(_ranges(classes, grams, hot, n), classes, grams)
 
     return run
 
 
-def _stars(table: pa.Table) -> pa.Table:
-    """Joins the classes of each kept n-gram to the smallest of them."""
+def _stars(table: pa.Table, n: int) -> pa.Table:
+    """Joins the classes of each kept n-gram to the smallest of them; where others of the n-gram's classes are in other
+    ranges, that one is joined to a node that stands for the n-gram."""
     names, classes, grams = _decode(table["data"].to_pylist())
     order = np.lexsort((classes, grams))
     classes, grams = classes[order], grams[order]
     first = np.append(True, grams[1:] != grams[:-1]) if len(grams) else np.zeros(0, bool)
     root = classes[np.maximum.accumulate(np.where(first, np.arange(len(grams)), 0))] if len(grams) else classes
     pairs = np.unique(np.stack([classes, root], 1)[classes != root], axis=0).reshape(-1, 2)
-    return pa.table({"a": keys_out(names[pairs[:, 0]]), "b": keys_out(names[pairs[:, 1]])})
+    a, b = names[pairs[:, 0]], names[pairs[:, 1]]
+    if len(grams) and table["bucket"][0].as_py() >= n:
+        nodes = np.stack([grams[first], np.full(int(first.sum()), ~np.uint64(0))], 1).view(KEY).reshape(-1)
+        a, b = np.concatenate([a, names[root[first]]]), np.concatenate([b, nodes])
+    return pa.table({"a": keys_out(a), "b": keys_out(b)})
 
 
 _SET = ("cluster", "class", "weight", "cells")
@@ -394,11 +437,12 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     n = buckets(rows)
     sizes, classes = set_classes(rows, words)
-    prefixes = rows.mapInArrow(_prefix_rows(n, words, percent), "bucket int, data binary")
-    shared = prefixes.groupBy("bucket").applyInArrow(_shared_grams, "class binary, data binary")
+    hot, rows_of_hot = hot_grams(rows, words, percent)
+    prefixes = rows.mapInArrow(_prefix_rows(n, words, percent, hot), "bucket int, data binary")
+    shared = prefixes.groupBy("bucket").applyInArrow(lambda t: _shared_grams(t, n, hot, rows_of_hot), "class binary, data binary")
     shared = shared.groupBy("class").agg(F.collect_list("data").alias("data")).join(classes.select("class", "n_shingles"), "class")
-    kept = shared.select("class", "n_shingles", "data").mapInArrow(_kept_grams(n, percent), "bucket int, data binary")
-    edges = kept.groupBy("bucket").applyInArrow(_stars, "a binary, b binary")
+    kept = shared.select("class", "n_shingles", "data").mapInArrow(_kept_grams(n, percent, hot), "bucket int, data binary")
+    edges = kept.groupBy("bucket").applyInArrow(lambda t: _stars(t, n), "a binary, b binary")
     out = linked(rows, sizes, classes, edges, n, words, percent, block)
     return out.select(F.col("id").alias(id_col), *(["text_key"] if keyed else []), "n_shingles", "component_id", "n_links")
 
