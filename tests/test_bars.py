@@ -164,6 +164,21 @@ def test_master_pipeline_has_all_columns(bars):
     assert {"ema_algnment", "ema20_h4", "sadf_log_break", "renyi_entropy_q0.5", "time_since_last_event_w96", "volatility_stress"} <= set(names)
 
 
+def test_master_pipeline_in_chunks(bars, tmp_path):
+    # Means and events in chunks of a part of a series give what whole series give.
+    settings = {"windows": (24, 48), "breaks": (48, 96)}
+    few = bars.filter("symbol in ('click', 'view')")
+    whole = master.all_features(few, work=str(tmp_path / "whole"), **settings)
+    parts = master.all_features(few, work=str(tmp_path / "parts"), rows=60, event_rows=50, **settings)
+    assert (tmp_path / "parts" / "filtered").exists() and not (tmp_path / "whole" / "filtered").exists()
+    names = master.feature_names(whole, few)
+    assert parts.columns == whole.columns
+    a, b = ([tuple(math.nan if r[c] is None else float(r[c]) for c in names) for r in x.orderBy("symbol", "time").collect()] for x in (whole, parts))
+    assert len(a) == few.count() > 120
+    for x, y in zip(a, b, strict=True):
+        assert y == pytest.approx(x, rel=1e-6, abs=1e-9, nan_ok=True)
+
+
 def test_csv_round_trip(spark, bars, tmp_path):
     text = ["Date;Time;Open;High;Low;Close;Vol", "2024-01-01;0:05;1,000.5;1001;999;1000;7", "20240101;00:10;1;2;0.5;1.5;nan", "2024-01-01;00:11;1;2;0.5;1.5;3", "bad;00:15;1;2;0.5;1.5;3"]
     path = tmp_path / "x.csv"

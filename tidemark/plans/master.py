@@ -16,26 +16,32 @@ CONSTANTS = {"vix_regime": 0, "put_call_ratio": 0, "commitment_traders": 0, "sen
 WINDOWS, BREAKS = (144, 288), (288, 1440)
 
 
-def all_features(bars: DataFrame, windows=WINDOWS, breaks=BREAKS, legacy: bool = False, complete: bool = False, work: str | None = None) -> DataFrame:
+def all_features(bars: DataFrame, windows=WINDOWS, breaks=BREAKS, legacy: bool = False, complete: bool = False, work: str | None = None, rows: int = R.ROWS, event_rows: int = R.EVENT_ROWS) -> DataFrame:
     """Bars with every feature family. complete: only rows where all features that bars can fill are known (optional
-    columns such as spread do not count). work: a new folder in which two stages in between are written, which keeps the
-    plan of each short and survives lost executors."""
+    columns such as spread do not count). work: a new folder in which stages in between are written, which keeps the plan
+    of each short and survives lost executors; with it, exponential means of series over `rows` rows, and events of those
+    over `event_rows`, are found in chunks of so many. Without it each series is one task there, as chunks read what
+    comes before them twice."""
 
-    def stage(df: DataFrame, name: str) -> DataFrame:
-        if work is None:
+    def stage(df: DataFrame, name: str, wanted: bool = True) -> DataFrame:
+        if work is None or not wanted:
             return df
         df.write.parquet(f"{work}/{name}")
         return df.sparkSession.read.schema(df.schema).parquet(f"{work}/{name}")
 
     # What reads the bars twice comes first, so that no long plan is repeated; rows are numbered once for all kernels.
-    df = stage(R.sadf_events(R.higher_trend(stage(row_numbers(bars), "numbered"), legacy, None)), "joined")
-    df = R.oscillators(R.trend(X.microstructure(X.sessions(df)), None), None)
+    df = stage(row_numbers(bars), "numbered")
+    means, events = (None if work is None else R.chunk_rows(df, n) for n in (rows, event_rows))
+    df = stage(R.sadf_events(R.higher_trend(df, legacy, means)), "joined")
+    df = stage(R.trend(X.microstructure(X.sessions(df)), means), "trend", means is not None)
+    df = stage(R.oscillators(df, means), "oscillators", means is not None)
     df = X.distribution(df).withColumns({k: F.lit(v) for k, v in CONSTANTS.items()})
     for n in windows:
         df = R.range_entropy(X.sign_entropy(df, n), n)
     df = X.volatility_stress(X.volatility_regime(X.fractal_dimension(df)))
-    df = X.z_score_event(R.filter_events(df, windows[-1], legacy=legacy), windows[-1])
-    df = stage(R.cusum_events(df), "events")
+    df = stage(df, "before-events", events is not None)
+    df = stage(X.z_score_event(R.filter_events(df, windows[-1], legacy=legacy, rows=events), windows[-1]), "filtered", events is not None)
+    df = stage(R.cusum_events(df, rows=events), "events")
     for n in breaks:
         df = X.excursions(X.one_sided_deviation(df, n), n, max(8, n // 4)).drop(f"sub_martingale_z_w{n}", f"super_martingale_z_w{n}")
         df = df.withColumn(f"cusum_event_rate_w{n}", X.mean(F.col("cusum_event"), n, max(8, n // 4)))
