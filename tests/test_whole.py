@@ -46,6 +46,20 @@ def test_csw_takes_all_earlier_rows(spark):
         assert far > 100  # references that a window of 64 rows would miss
 
 
+def test_csw_from_references_alone(spark):
+    # Chunks of 16 rows, of which later ones get only what can be a best reference: ties, gaps, falling and rising series.
+    r = np.random.default_rng(9)
+    walk = np.exp(np.round(np.cumsum(r.normal(size=150)), 1) / 50)
+    values = {"walk": walk, "flat": np.ones(60), "down": np.exp(-np.arange(80) / 100), "up": np.exp(np.arange(80) / 100), "gaps": np.where(r.random(120) < 0.2, 0.0, walk[:120])}
+    for two_sided in (False, True):
+        whole, parts = (by_row(X.csw_statistic(series(spark, values), two_sided=two_sided, rows=n), "csw_stat", "csw_crit") for n in (4096, 16))
+        assert whole.keys() == parts.keys()
+        for k, want in whole.items():
+            assert [x is None for x in parts[k]] == [x is None for x in want] and parts[k] == [x if x is None else pytest.approx(x, rel=1e-9) for x in want]
+        y = np.log(walk)
+        assert K.csw_references(y, two_sided).sum() < 0.4 * len(y)
+
+
 def test_csw_by_hand(spark):
     y = [0, 0.1, 0.05, 0.2, 0.1]
     found = by_row(X.csw_statistic(series(spark, {"a": np.exp(y)})), "csw_stat")

@@ -231,14 +231,37 @@ def sadf(y: np.ndarray, least: int, lags: int = 0, constant: bool = False, trend
 # kernels over all earlier values of a series: results at rows first.. of y ------------------------------------------
 
 
-def csw(y: np.ndarray, first: int = 0, block: int = 256, ends: int = 256, two_sided: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def csw_references(y: np.ndarray, two_sided: bool = False) -> np.ndarray:
+    """Which rows can be the best reference of a row after all of y. A rise is largest over its root from a row below all
+    later ones (any other has a later one at most as high); where there is no rise, from a row below all earlier ones. Of
+    falls (two_sided) it is a row above all later ones."""
+    low, high = np.where(np.isnan(y), np.inf, y), np.where(np.isnan(y), -np.inf, y)
+    after = lambda least, x, end: least.accumulate(np.append(x[1:], end)[::-1])[::-1]
+    out = (low < np.minimum.accumulate(np.append(np.inf, low[:-1]))) | (low < after(np.minimum, low, np.inf))
+    return out | (high > after(np.maximum, high, -np.inf)) if two_sided else out
+
+
+def squared_changes(y: np.ndarray) -> tuple[float, int]:
+    """Sum and number of the known squared changes from one row to the next."""
+    change = np.diff(y)
+    known = ~np.isnan(change)
+    return float((change[known] ** 2).sum()), int(known.sum())
+
+
+def csw(y: np.ndarray, first: int = 0, block: int = 256, ends: int = 256, two_sided: bool = False, before: tuple[float, int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Chu-Stinchcombe-White statistic over every earlier row, and the distance to the row that gives it (the farthest
-    of equals). Blocks of rows are skipped only where their extremes at their nearest distance cannot reach the best."""
+    of equals). Blocks of rows are skipped only where their extremes at their nearest distance cannot reach the best.
+    before: sum and number of the squared changes up to row first - 1, where y lacks rows before first that are no
+    references."""
     n = len(y)
     change = np.diff(y, prepend=np.nan) ** 2
+    if before is not None:
+        change[:first] = np.nan
     known = ~np.isnan(change)
+    sums, number = before or (0.0, 0)
+    sums, number = np.where(known, change, 0).cumsum() + sums, known.cumsum() + number
     with np.errstate(all="ignore"):
-        mean_square = np.where(known.cumsum() > 1, np.where(known, change, 0).cumsum() / (known.cumsum() - 1), np.nan)
+        mean_square = np.where(number > 1, sums / (number - 1), np.nan)
     stat, distance = np.full(n - first, np.nan), np.full(n - first, np.nan)
     for a in range(first, n, ends):
         b = min(a + ends, n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.functions import kernels as K
+
 PART = ("symbol",)
 
 
@@ -101,24 +103,46 @@ def in_chunks(df: DataFrame, feature: Callable[[DataFrame, Sequence[str]], DataF
     return out.filter("_own = _chunk").drop("_own", "_chunk", *([] if given else ["rn"]))
 
 
-def over_past(df: DataFrame, value: Column, columns: Sequence[str], kernel: Callable[[np.ndarray, int], Sequence[np.ndarray]], part: Sequence[str] = PART, rows: int = 4096) -> DataFrame:
+def over_past(df: DataFrame, value: Column, columns: Sequence[str], kernel: Callable[..., Sequence[np.ndarray]], part: Sequence[str] = PART, rows: int = 4096, needed: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """Adds columns that depend on all rows of a series up to each one: kernel(y, first) gives them at rows first.. of y.
 
     A series is cut into chunks; each chunk's task gets the values of its own and all earlier chunks (8 bytes a row), so
-    the tasks of one series run side by side. Missing values are NaN in y.
+    the tasks of one series run side by side. Missing values are NaN in y. With `needed`, only those of earlier chunks go
+    along that needed(values) says can matter to a later row (and the first and last, so that changes between chunks are
+    known); others are NaN in y, too, and kernel(y, first, before) gets the sum and the number of all squared changes up
+    to row first - 1.
     """
     given = df.columns
     numbered = row_numbers(df.withColumn("_v", value.cast("double")), part).withColumn("_chunk", F.floor((F.col("rn") - 1) / rows))
     packed = F.sort_array(F.collect_list(F.struct("rn", F.coalesce("_v", F.lit(float("nan"))).alias("v"))))
     blocks = numbered.groupBy(*part, "_chunk").agg(F.transform(packed, lambda x: x["v"]).alias("_y"))
-    past = blocks.withColumnRenamed("_chunk", "_block").withColumn("_last", F.max("_block").over(W.partitionBy(*part)))
-    past = past.select(*(F.col(c).alias(f"_of_{c}") for c in part), "_block", "_y", F.explode(F.sequence("_block", "_last")).alias("_of_chunk"))
+    kinds = ", ".join(f"`{c}` {t}" for c, t in blocks.select(*part, "_chunk").dtypes)
+
+    def reduced(parts: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        for p in parts:
+            found = []
+            for y in (np.asarray(x, float) for x in p["_y"]):
+                keep = np.ones(len(y), bool) if needed is None else needed(y)
+                keep[[0, -1]] = True
+                found.append((np.flatnonzero(keep), y[keep], *K.squared_changes(y)))
+            yield p[[*part, "_chunk"]].assign(**{c: [x[i] for x in found] for i, c in enumerate(("_at", "_kept", "_sum", "_count"))})
+
+    past = blocks.mapInPandas(reduced, f"{kinds}, _at array<long>, _kept array<double>, _sum double, _count long")
+    past = past.withColumnRenamed("_chunk", "_block").withColumn("_last", F.max("_block").over(W.partitionBy(*part))).filter("_block < _last")
+    past = past.select(*(F.col(c).alias(f"_of_{c}") for c in part), "_block", "_at", "_kept", "_sum", "_count", F.explode(F.sequence(F.col("_block") + 1, "_last")).alias("_of_chunk"))
     schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes), *(f"`{c}` double" for c in columns)])
 
     def run(own: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("rn")
-        y = np.concatenate([np.asarray(x, float) for x in before.sort_values("_block")["_y"]])
-        return own[given].assign(**dict(zip(columns, kernel(y, len(y) - len(own)), strict=True)))
+        first = rows * len(before)
+        y = np.append(np.full(first, np.nan), own["_v"].astype(float).to_numpy())
+        for b, at, kept in zip(before["_block"], before["_at"], before["_kept"], strict=True):
+            y[b * rows + np.asarray(at, np.int64)] = kept
+        seams = np.arange(rows, first, rows)
+        steps = (y[seams] - y[seams - 1]) ** 2
+        known = ~np.isnan(steps)
+        sums = float(before["_sum"].sum() + steps[known].sum()), int(before["_count"].sum() + known.sum())
+        return own[given].assign(**dict(zip(columns, kernel(y, first) if needed is None else kernel(y, first, sums), strict=True)))
 
     out = numbered.groupBy(*part, "_chunk").cogroup(past.groupBy(*(f"_of_{c}" for c in part), "_of_chunk")).applyInPandas(run, schema)
     return out.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})

@@ -320,13 +320,13 @@ def bde_cusum(df: DataFrame, part: Part = PART) -> DataFrame:
     return out.withColumn("bde_cusum", total).drop("_e")
 
 
-def csw_statistic(df: DataFrame, bound: int | None = None, two_sided: bool = False, part: Part = PART) -> DataFrame:
+def csw_statistic(df: DataFrame, bound: int | None = None, two_sided: bool = False, part: Part = PART, rows: int = 4096) -> DataFrame:
     """Chu-Stinchcombe-White: largest rise (two_sided: departure) from an earlier log price, over the variance of changes so far
     (squares over their number less one) times the root of the distance, with its critical value root(4.6 + ln distance);
     from the third row on. References are all earlier rows, or with `bound` only those up to so many rows back; of equals
     the farthest counts."""
     if bound is None:
-        out = over_past(df, F.ln("close"), ["csw_stat", "_far"], lambda y, first: K.csw(y, first, two_sided=two_sided), part)
+        out = over_past(df, F.ln("close"), ["csw_stat", "_far"], lambda y, first, before: K.csw(y, first, two_sided=two_sided, before=before), part, rows, lambda y: K.csw_references(y, two_sided))
         return out.withColumn("csw_crit", F.sqrt(4.6 + F.ln("_far"))).drop("_far")
     out = df.withColumn("_y", F.ln("close"))
     out = out.withColumn("_d2", F.pow(F.col("_y") - lag("_y", 1, part), 2))
