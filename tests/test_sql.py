@@ -36,3 +36,32 @@ def test_against_sql(spark, db, name):
     assert sorted(names) == sorted(df.columns)
     mine = sorted(repr([plain(r[c]) for c in names]) for r in df.collect())
     assert mine == sorted(repr([plain(v) for v in r]) for r in rows.fetchall())
+
+
+def same_rows(df, db, name):
+    rows = db.execute(registry.SQL[name])
+    names = [d[0] for d in rows.description]
+    mine = sorted(repr([plain(r[c]) for c in names]) for r in df.collect())
+    assert mine == sorted(repr([plain(v) for v in r]) for r in rows.fetchall())
+
+
+@pytest.fixture(scope="module")
+def zeros(tmp_path_factory):
+    """The smallest tables with closes of 0 far apart, and two of them in a row."""
+    folder = str(tmp_path_factory.mktemp("zeros"))
+    duckdb.execute(f"""COPY (SELECT event_id, ts, user_id, event_type, CASE WHEN event_type IN ('click', 'view') AND n IN (60, 130, 131) THEN 0.0 ELSE value END AS value, props
+      FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS n FROM '{SF}/events.parquet')) TO '{folder}/events.parquet'""")
+    return folder
+
+
+@pytest.fixture(scope="module")
+def zeros_db(zeros):
+    out = duckdb.connect()
+    out.execute("SET timezone = 'UTC'")
+    out.execute(f"CREATE VIEW events AS SELECT * FROM '{zeros}/events.parquet'")
+    return out
+
+
+@pytest.mark.parametrize("name", ["barrier_labels", "binary_meta_label", "short_recode"])
+def test_barriers_over_closes_of_zero_against_sql(spark, zeros, zeros_db, name):
+    same_rows(registry.QUERIES[name](spark, zeros), zeros_db, name)
