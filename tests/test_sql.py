@@ -6,7 +6,9 @@ import os
 import duckdb
 import pytest
 
+from tidemark.operators import features as X
 from tidemark.plans import registry
+from tidemark.sources import bars as B
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -65,3 +67,25 @@ def zeros_db(zeros):
 @pytest.mark.parametrize("name", ["barrier_labels", "binary_meta_label", "short_recode"])
 def test_barriers_over_closes_of_zero_against_sql(spark, zeros, zeros_db, name):
     same_rows(registry.QUERIES[name](spark, zeros), zeros_db, name)
+
+
+@pytest.mark.parametrize("name", ["csw_statistic", "csw_two_sided"])
+def test_unknown_references_against_sql(spark, zeros, zeros_db, name):
+    same_rows(registry.QUERIES[name](spark, zeros), zeros_db, name)
+
+
+@pytest.mark.parametrize("two_sided", [False, True])
+def test_unknown_references_in_chunks(spark, zeros, two_sided):
+    df = B.bars(spark, zeros)
+    rows = lambda n: sorted(repr([plain(v) for v in r]) for r in X.csw_statistic(df, two_sided=two_sided, rows=n, strict=True).collect())
+    assert rows(4096) == rows(16)
+
+
+def test_halves_round_as_in_sql(spark):
+    values = [-16.4703125, 0.2178125, 0.21781249999999996, 2.5e-6, -7.5e-6, float("inf"), float("nan"), None]
+    registry.register("_halves", lambda s, d: s.createDataFrame([(v,) for v in values], "x double"), (), ("x",), "SELECT unnest($1) AS x", ())
+    try:
+        want = [r[0] for r in duckdb.execute(registry.SQL["_halves"], [values]).fetchall()]
+        assert [plain(r["x"]) for r in registry.QUERIES["_halves"](spark, "").collect()] == [plain(v) for v in want]
+    finally:
+        del registry.QUERIES["_halves"], registry.SQL["_halves"]
