@@ -89,3 +89,18 @@ def test_halves_round_as_in_sql(spark):
         assert [plain(r["x"]) for r in registry.QUERIES["_halves"](spark, "").collect()] == [plain(v) for v in want]
     finally:
         del registry.QUERIES["_halves"], registry.SQL["_halves"]
+
+
+OVER_ZERO = "daily_change drop_incomplete encode_returns encode_returns_ranges excursions inner_join_lagged liquidity_features mean_absolute one_sided_deviation power_means returns sign_entropy daily_spread daily_spread_legacy"
+
+
+@pytest.mark.parametrize("name", OVER_ZERO.split())
+def test_division_by_closes_of_zero_against_sql(spark, zeros, zeros_db, name):
+    same_rows(registry.QUERIES[name](spark, zeros), zeros_db, name)
+
+
+def test_excursions_from_and_to_closes_of_zero(spark):
+    df = spark.createDataFrame([("s", i, v) for i, v in enumerate((2.0, 0.0, 0.0, 0.0, 4.0, 8.0, 5.0))], "symbol string, time int, close double")
+    rows = lambda over_zero: [tuple(plain(v) for v in r[3:]) for r in X.excursions(df, 3, over_zero=over_zero).orderBy("time").collect()]
+    assert rows(True) == [(None, None)] * 2 + [("nan", "-1"), ("nan", "nan"), ("inf", "0"), ("inf", "0"), ("0.25", "-0.375")]
+    assert rows(False) == [(None, None)] * 2 + [(None, "-1"), (None, None), (None, "0"), (None, "0"), ("0.25", "-0.375")]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import kernels as K
-from tidemark.functions.windows import PART, fill_forward, in_chunks, order, pct_change, row_numbers, std
+from tidemark.functions.windows import PART, divide, fill_forward, in_chunks, order, pct_change, row_numbers, std
 from tidemark.operators.align import as_of
 from tidemark.operators.ranks import quantiles
 
@@ -110,12 +110,12 @@ def vertical_barrier(df: DataFrame, bars: DataFrame, wait: str = "INTERVAL 5 DAY
     return as_of(due, times, ["vertical"], left_time="_due", right_time="_bar", forward=True, days=days).drop("_due")
 
 
-def daily_change(df: DataFrame) -> DataFrame:
-    """Return against the last bar at least a day earlier."""
+def daily_change(df: DataFrame, over_zero: bool = False) -> DataFrame:
+    """Return against the last bar at least a day earlier; over_zero as in operators.features."""
     past = df.select("symbol", F.col("time").alias("_past"), F.col("close").alias("_old"))
     rows = df.withColumn("_before", F.col("time") - F.expr("INTERVAL 1 DAY"))
     out = as_of(rows, past, ["_old"], left_time="_before", right_time="_past")
-    return out.withColumn("day_ret", F.try_divide("close", "_old") - 1).drop("_old", "_before")
+    return out.withColumn("day_ret", divide(F.col("close"), F.col("_old"), over_zero) - 1).drop("_old", "_before")
 
 
 def barrier_labels(df: DataFrame, horizon: int, pt: float, sl: float, event: Column | None = None, rows: int = 100) -> DataFrame:
