@@ -1,6 +1,7 @@
 """Properties of bar operators: independent recomputation, no overlap, no look-ahead, conserved equity."""
 
 import math
+from itertools import permutations
 
 import numpy as np
 import pandas as pd
@@ -205,3 +206,12 @@ def test_catalog_helpers(spark, bars):
     assert files.sample(bars, 10).count() == 10 and rows(files.sample(bars, 10)) == rows(files.sample(bars, 10))
     source = files.broker_bars(spark, "eur", 12_000)
     assert source.count() == source.distinct().count() == 12_000 and source.rdd.getNumPartitions() == 3
+
+
+def test_concentration_in_any_order_of_rows(spark):
+    # 0.2178125 is a half at the sixth digit; sums of shares are just under it in 40 of the 120 orders of rows.
+    weights = [(t, str(i), float(v)) for t, vs in enumerate(permutations((79, 202, 174, 117, 148))) for i, v in enumerate(vs)]
+    weights += [(200, "a", None), (200, "b", 3.0), (200, "c", 1.0), (201, "a", 0.0), (201, "b", None)]
+    found = {r["time"]: r for r in X.concentration(spark.createDataFrame(weights, "time int, asset string, weight double").coalesce(1)).collect()}
+    assert {found[t]["hhi"] for t in range(120)} == {0.2178125}
+    assert found[200]["hhi"] == 0.625 and found[200]["normalized_concentration"] == 0.25 and found[201]["hhi"] is None
