@@ -1,6 +1,7 @@
 """Operators along whole series and over paths, against plain loops; long series in chunks against whole ones."""
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
@@ -359,6 +360,38 @@ def test_streams_take_shuffled_files_one_a_batch(spark, tmp_path):
     assert late.count() == B.bars(spark, SF).count()
 
 
+def test_running_state_goes_from_batch_to_batch(spark, tmp_path):
+    """Batches in the order of time, of which one lacks a symbol; equal to the stateful stream over one file."""
+    days = spark.read.parquet(f"{SF}/events.parquet").withColumn("d", F.floor((F.dayofmonth("ts") - 1) / 8)).filter("NOT (d = 1 AND event_type = 'click')")
+    days.drop("d").coalesce(1).write.parquet(str(tmp_path / "whole" / "events.parquet"))
+    for d in range(4):
+        days.filter(F.col("d") == d).drop("d").coalesce(1).write.mode("append").parquet(str(tmp_path / "parts" / "events.parquet"))
+    rows = lambda df, c: sorted((r["symbol"], r["ts"], r["event_id"], r[c]) for r in df.collect())
+    whole, parts = ST.tick_stream(spark, str(tmp_path / "whole")), ST.tick_stream(spark, str(tmp_path / "parts"), 1)
+    for column, stateful, bounded in (("ema", ST.running_ema(whole, 5), lambda t: ST.streamed_ema(t, 5)), ("event", ST.running_cusum(whole, 300.0, 50.0), lambda t: ST.streamed_cusum(t, 300.0, 50.0))):
+        want = rows(ST.run_to_table(stateful, column, ("event_id",), "append"), column)
+        assert len(want) == days.count() and rows(bounded(whole), column) == want and rows(bounded(parts), column) == want
+
+
+def test_running_state_holds_a_piece_at_a_time(spark):
+    """The caller of a step holds no more rows than an Arrow batch has, where the stateful stream holds all of a symbol."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    ticks = ST.tick_stream(spark, SF)
+    try:
+        for bounded in (True, False):
+            more = spark.sparkContext.accumulator(0)
+
+            def step(state, v, more=more):
+                more.add(int(len(sys._getframe(1).f_locals["rows"]) > 50))
+                return state, (v,)
+
+            args = {"x": "double"}, (0.0,), step
+            found = ST.streamed_running(ticks, "x", *args) if bounded else ST.run_to_table(ST.running(ticks, *args), "x", ("event_id",), "append")
+            assert found.count() == B.ticks(spark, SF).count() and (more.value == 0) == bounded
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_stream_without_files(spark, tmp_path):
     spark.read.parquet(f"{SF}/events.parquet").limit(0).write.parquet(str(tmp_path / "events.parquet"))
     assert ST.streamed_bars(ST.tick_stream(spark, str(tmp_path))).count() == 0

@@ -141,8 +141,8 @@ register("backtest_fixed_hold", on_bars(lambda df: T.fixed_hold_backtest(probabi
 # streams ------------------------------------------------------------------------------------------------------------
 register("stream_bars", lambda s, d: ST.streamed_bars(ST.tick_stream(s, d)), KEYS, OHLCV, "SELECT * FROM bars")
 register("stream_distinct", lambda s, d: ST.streamed_distinct(ST.tick_stream(s, d).unionAll(ST.tick_stream(s, d))), ("symbol", "event_id"), ("value",), "SELECT symbol, event_id, value FROM ticks")
-register("stream_ema", lambda s, d: ST.run_to_table(ST.running_ema(ST.tick_stream(s, d)), "ema", ("event_id",), "append"), ("symbol", "event_id"), ("ema",))
-register("stream_cusum", lambda s, d: ST.run_to_table(ST.running_cusum(ST.tick_stream(s, d), 300.0, 50.0), "cusum", ("event_id",), "append"), ("symbol", "event_id", "event"))
+register("stream_ema", lambda s, d: ST.streamed_ema(ST.tick_stream(s, d)), ("symbol", "event_id"), ("ema",))
+register("stream_cusum", lambda s, d: ST.streamed_cusum(ST.tick_stream(s, d), 300.0, 50.0), ("symbol", "event_id", "event"))
 
 # models -------------------------------------------------------------------------------------------------------------
 #: Features of the registered models. Boosted ones take fewer rounds than the operators' own settings; see the README.

@@ -96,9 +96,9 @@ def upsert_sink(stream: DataFrame, folder: str, checkpoint: str, mode: str = "up
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
-def current(spark: SparkSession, folder: str, schema, key: tuple[str, ...] = ("symbol", "time")) -> DataFrame:
-    """The newest row of each key over all batches."""
-    rows = spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema).option("basePath", folder).parquet(f"{folder}/*")
+def current(spark: SparkSession, folder: str, schema, key: tuple[str, ...] = ("symbol", "time"), condition: str = "true") -> DataFrame:
+    """The newest row of each key over all batches, of rows that meet a condition."""
+    rows = spark.read.schema(schema.add("batch", "long") if "batch" not in schema.names else schema).option("basePath", folder).parquet(f"{folder}/*").filter(condition)
     rank = F.row_number().over(W.partitionBy(*key).orderBy(F.desc("batch")))
     return rows.withColumn("_rank", rank).filter("_rank = 1").drop("_rank", "batch")
 
@@ -119,7 +119,8 @@ def distinct_ticks(ticks: DataFrame, late: str = "1 hour") -> DataFrame:
 
 def running(ticks: DataFrame, columns: dict[str, str], start: tuple, step: Callable[[tuple, float], tuple[tuple, tuple]]) -> DataFrame:
     """Arbitrary state per symbol: step(state, value) gives the next state and the row's new columns. Within a micro-batch
-    rows go in the order of (ts, event_id), for which a task holds a symbol's rows of that batch (see watch)."""
+    rows go in the order of (ts, event_id), for which a task holds a symbol's rows of that batch (see watch); streamed_running
+    does not."""
     kinds = ", ".join(f"s{i} double" for i in range(len(start)))
     out = "symbol string, ts timestamp, event_id long, " + ", ".join(f"{c} {t}" for c, t in columns.items())
 
@@ -136,8 +137,56 @@ def running(ticks: DataFrame, columns: dict[str, str], start: tuple, step: Calla
     return ticks.groupBy("symbol").applyInPandasWithState(update, out, kinds, "append", GroupStateTimeout.NoTimeout)
 
 
-def running_ema(ticks: DataFrame, n: int = 20) -> DataFrame:
-    """Exponential mean of values with alpha 2 / (n + 1) from the first tick on."""
+def streamed_running(ticks: DataFrame, name: str, columns: dict[str, str], start: tuple, step: Callable[[tuple, float], tuple[tuple, tuple]]) -> DataFrame:
+    """What running() gives, run over what is there now, with memory that does not grow with a micro-batch: each is dealt by
+    symbol and sorted, and one pass takes the sorted rows a piece at a time. A symbol's state is a row before its ticks; the
+    pass leaves the last ones for the next batch, so a repeated batch starts from the same states and replaces itself."""
+    spark = ticks.sparkSession
+    folder = work_folder(spark, name)
+    states, keys = [f"s{i}" for i in range(len(start))], ["symbol", "ts", "event_id"]
+    held = "symbol string, " + ", ".join(f"{s} double" for s in states)
+    kind = f"{held}, ts timestamp, event_id long, is_state boolean, " + ", ".join(f"{c} {t}" for c, t in columns.items())
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = lambda found: pd.DataFrame(found, columns=["symbol", *states]).assign(ts=pd.NaT, event_id=0, is_state=True, **dict.fromkeys(columns, 0))
+        begun, symbol, now = False, None, tuple(start)
+        for rows in parts:
+            is_state, found, ended = rows["is_state"].to_numpy(bool), [], []
+            for s, carried, v, *state in zip(rows["symbol"], is_state, rows["value"], *(rows[c] for c in states), strict=True):
+                if not begun or s != symbol:
+                    ended += [(symbol, *now)] if begun else []
+                    begun, symbol, now = True, s, tuple(start)
+                if carried:
+                    now = tuple(state)
+                else:
+                    now, new = step(tuple(now), float(v))
+                    found.append(new)
+            if found:
+                mine = rows.loc[~is_state, keys].reset_index(drop=True)
+                yield pd.concat([mine, pd.DataFrame(found, columns=list(columns))], axis=1).assign(is_state=False, **dict.fromkeys(states, float("nan")))
+            if ended:
+                yield last(ended)
+        if begun:
+            yield last([(symbol, *now)])
+
+    def write(batch: DataFrame, number: int) -> None:
+        here = batch.sparkSession
+        rows = batch.select(*keys, F.col("value").cast("double").alias("value"), F.lit(False).alias("is_state"), *(F.lit(None).cast("double").alias(s) for s in states))
+        if number:
+            before = here.read.schema(held).parquet(f"{folder}/states/batch={number - 1}")
+            rows = rows.union(before.select("symbol", F.lit(None).cast("timestamp"), F.lit(0).cast("long"), F.lit(None).cast("double"), F.lit(True), *states))
+        ordered = rows.repartition("symbol").sortWithinPartitions("symbol", F.desc("is_state"), F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
+        ordered.mapInPandas(run, kind).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        here.read.schema(kind).parquet(f"{folder}/rows/batch={number}").filter("is_state").select("symbol", *states).write.mode("overwrite").parquet(f"{folder}/states/batch={number}")
+
+    query = ticks.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    schema = spark.createDataFrame([], kind).schema
+    out = spark.createDataFrame([], schema) if query.lastProgress is None else current(spark, f"{folder}/rows", schema, ("event_id",), "NOT is_state")
+    return out.select(*keys, *columns)
+
+
+def _ema(n: int) -> tuple[dict[str, str], tuple, Callable]:
     alpha = 2 / (n + 1)
 
     def step(state: tuple, v: float) -> tuple[tuple, tuple]:
@@ -145,15 +194,33 @@ def running_ema(ticks: DataFrame, n: int = 20) -> DataFrame:
         mean = v if not seen else mean + alpha * (v - mean)
         return (1.0, mean), (mean,)
 
-    return running(ticks, {"ema": "double"}, (0.0, 0.0), step)
-
+    return {"ema": "double"}, (0.0, 0.0), step
 
-def running_cusum(ticks: DataFrame, k: float, centre: float) -> DataFrame:
-    """Events of the two-sided cumulative sum of value - centre beyond k."""
 
+def _cusum(k: float, centre: float) -> tuple[dict[str, str], tuple, Callable]:
     def step(state: tuple, v: float) -> tuple[tuple, tuple]:
         up, down = max(0.0, state[0] + v - centre), min(0.0, state[1] + v - centre)
         hit = up > k or down < -k
         return ((0.0, 0.0) if hit else (up, down)), (int(hit),)
 
-    return running(ticks, {"event": "int"}, (0.0, 0.0), step)
+    return {"event": "int"}, (0.0, 0.0), step
+
+
+def running_ema(ticks: DataFrame, n: int = 20) -> DataFrame:
+    """Exponential mean of values with alpha 2 / (n + 1) from the first tick on."""
+    return running(ticks, *_ema(n))
+
+
+def running_cusum(ticks: DataFrame, k: float, centre: float) -> DataFrame:
+    """Events of the two-sided cumulative sum of value - centre beyond k."""
+    return running(ticks, *_cusum(k, centre))
+
+
+def streamed_ema(ticks: DataFrame, n: int = 20) -> DataFrame:
+    """running_ema over what is there now, in bounded memory."""
+    return streamed_running(ticks, "ema", *_ema(n))
+
+
+def streamed_cusum(ticks: DataFrame, k: float, centre: float) -> DataFrame:
+    """running_cusum over what is there now, in bounded memory."""
+    return streamed_running(ticks, "cusum", *_cusum(k, centre))
