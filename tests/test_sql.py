@@ -104,3 +104,20 @@ def test_excursions_from_and_to_closes_of_zero(spark):
     rows = lambda over_zero: [tuple(plain(v) for v in r[3:]) for r in X.excursions(df, 3, over_zero=over_zero).orderBy("time").collect()]
     assert rows(True) == [(None, None)] * 2 + [("nan", "-1"), ("nan", "nan"), ("inf", "0"), ("inf", "0"), ("0.25", "-0.375")]
     assert rows(False) == [(None, None)] * 2 + [(None, "-1"), (None, None), (None, "0"), (None, "0"), ("0.25", "-0.375")]
+
+
+@pytest.fixture(scope="module")
+def equals(tmp_path_factory):
+    """The smallest tables with three values only, so that means are often equal."""
+    folder = str(tmp_path_factory.mktemp("equals"))
+    duckdb.execute(f"COPY (SELECT event_id, ts, user_id, event_type, (1 + event_id % 3) / 10 AS value, props FROM '{SF}/events.parquet') TO '{folder}/events.parquet'")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["inner_join_lagged"])
+def test_equal_means_against_sql_over_decimals(spark, equals, name):
+    """The same SQL, over decimals, adds up without rounding, where over doubles the order of adding decides."""
+    db = duckdb.connect()
+    db.execute("SET timezone = 'UTC'")
+    db.execute(f"CREATE VIEW events AS SELECT * REPLACE (value::DECIMAL(10, 2) AS value) FROM '{equals}/events.parquet'")
+    same_rows(registry.QUERIES[name](spark, equals), db, name)
