@@ -114,10 +114,17 @@ def equals(tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["inner_join_lagged"])
+@pytest.mark.parametrize("name", ["inner_join_lagged", "sma_cross"])
 def test_equal_means_against_sql_over_decimals(spark, equals, name):
     """The same SQL, over decimals, adds up without rounding, where over doubles the order of adding decides."""
     db = duckdb.connect()
     db.execute("SET timezone = 'UTC'")
     db.execute(f"CREATE VIEW events AS SELECT * REPLACE (value::DECIMAL(10, 2) AS value) FROM '{equals}/events.parquet'")
     same_rows(registry.QUERIES[name](spark, equals), db, name)
+
+
+def test_sides_of_equal_unknown_and_infinite_means(spark):
+    closes = [0.1, 0.1, 0.1, 0.3, 0.1, 0.2, 0.2, 0.2, 0.2, float("inf"), 0.2, float("nan"), 0.2, 0.2, 0.2, 0.1]
+    df = spark.createDataFrame(list(enumerate(closes)), "time int, close double").selectExpr("'s' AS symbol", "*")
+    sides = {r["time"]: r["side"] for r in X.sma_cross(df, 2, 3).collect()}
+    assert sides == dict(zip(range(3, 16), [1, 1, -1, 1, 1, 1, 1, 1, 1, 1, 1, 1, -1], strict=True))
